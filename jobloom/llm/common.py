@@ -173,3 +173,20 @@ def worker_tokenizer(name: str) -> CachedTokenizer:
     if name not in _LOADED:
         _LOADED[name] = CachedTokenizer(tokenizer_path(name))
     return _LOADED[name]
+
+
+def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df (settled) with consecutive positions from 0 in the given total order, without a window over all rows.
+
+    Ranges of the order are sorted apart; only one count a partition, as many as spark.sql.shuffle.partitions at most,
+    meets on the driver.
+    """
+    spark = df.sparkSession
+    placed = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part, row = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = 0, []
+    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect()):
+        offsets.append((p, before))
+        before += n
+    table = spark.createDataFrame(offsets, "_p long, _before long")
+    return placed.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn(name, F.col("_before") + row).drop("_m", "_p", "_before")
