@@ -55,8 +55,12 @@ def n_words_of(text: Column) -> Column:
     return F.when(squeezed == "", F.lit(0)).otherwise(spaces + 1).cast("long")
 
 
-#: A word of Latin letters whose NFC form and lower case are one letter each.
-LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\Z").match
+#: A word of Latin letters whose NFC form and lower case are one letter each, and a mark behind it.
+LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)").fullmatch
+#: White space besides blanks and newlines; two kinds in a row; separators that are white space to Python alone.
+SPACES = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+SPACE_RUN = re.compile(r" \s").search
+SEPARATORS = re.compile(r"[\x1c-\x1f]").search
 
 
 def _byte_chars() -> dict[int, str]:
@@ -67,6 +71,7 @@ def _byte_chars() -> dict[int, str]:
 
 
 BYTE_CHARS = _byte_chars()
+LETTER_CHARS = {b: c for b, c in BYTE_CHARS.items() if b >= 0x7F}
 
 
 class CachedTokenizer:
@@ -88,9 +93,9 @@ class CachedTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.by_space = self.lib.normalizer is None  # byte level: a blank belongs to the chunk behind it
-        self.odd = re.compile(r" (?=\s|\Z)|<\|" if self.by_space else r"[\x1c-\x1f]|<\|")
         self.packed = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size(with_added_tokens=True))]
         self.mark = {m: self._ids([m])[0] for m in ".,;:!?"}
+        self.newline = self._ids(["\n"])[0]
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.keep = keep
@@ -100,28 +105,27 @@ class CachedTokenizer:
 
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, word: str, lead: str) -> bytes:
-        """Ids of letters that the pre-split leaves whole, straight from the library's model."""
-        raw = (lead + word) if self.by_space else word.lower()
-        if raw.isascii():
-            raw = raw.replace(" ", BYTE_CHARS[0x20])
-        else:
-            raw = raw.encode().decode("latin-1").translate(BYTE_CHARS)
-        packed = self.packed
-        return b"".join([packed[t.id] for t in self.lib.model.tokenize(raw)])
-
     def _learn(self, cache: dict[str, bytes], new: list[str], lead: str) -> None:
-        """Adds chunks to a cache: words, words with one mark behind, and what only the whole library splits."""
+        """Adds chunks to a cache: words, and words with one mark behind, straight from the library's model; others from the whole library."""
         if len(cache) > self.keep:
             cache.clear()
-        other = []
+        words, marked, other = [], [], []
         for c in new:
-            if LATIN(c):
-                cache[c] = self._piece(c, lead)
-            elif LATIN(word := c[:-1]) and c[-1] in ".,;:!?":
-                cache[c] = (cache.get(word) or self._piece(word, lead)) + self.mark[c[-1]]
-            else:
+            if (m := LATIN(c)) is None:
                 other.append(c)
+            elif m[2]:
+                marked.append((c, m[1], m[2]))
+            else:
+                words.append(c)
+        bare = list(dict.fromkeys([*words, *(w for _, w, _ in marked if w not in cache)]))
+        raw = "\n".join(bare if self.by_space else [w.lower() for w in bare])
+        raw = raw.encode().decode("latin-1").translate(LETTER_CHARS)
+        packed, tokenize, lead_char = self.packed, self.lib.model.tokenize, BYTE_CHARS[0x20] if lead else ""
+        ids = {w: b"".join([packed[t.id] for t in tokenize(lead_char + r)]) for w, r in zip(bare, raw.split("\n") if bare else (), strict=True)}
+        for w in words:
+            cache[w] = ids[w]
+        for c, w, m in marked:
+            cache[c] = (ids.get(w) or cache[w]) + self.mark[m]
         cache.update(zip(other, self._ids([lead + c for c in other]), strict=True))
 
     def _join(self, some: list[tuple[int, list[str]]], cache: dict[str, bytes], lead: str, out: list[bytes]) -> None:
@@ -129,28 +133,45 @@ class CachedTokenizer:
         for i, c in some:
             got = list(map(get, c))
             if None in got:
-                late.append((i, c))
-                new.update(dict.fromkeys(x for x, g in zip(c, got, strict=True) if g is None))
+                gaps = [k for k, g in enumerate(got) if g is None]
+                late.append((i, c, got, gaps))
+                new.update(dict.fromkeys([c[k] for k in gaps]))
             else:
                 out[i] += b"".join(got)
         if late:
-            if len(cache) > self.keep:  # emptied by _learn: then all chunks are new
-                new = dict.fromkeys(x for _, c in late for x in c)
             self._learn(cache, list(new), lead)
-            for i, c in late:
-                out[i] += b"".join(map(cache.__getitem__, c))
+            for i, c, got, gaps in late:
+                for k in gaps:
+                    got[k] = cache[c[k]]
+                out[i] += b"".join(got)
+
+    def _odd(self, text: str) -> bool:
+        """Whether chunks between blanks could get other ids than the whole text."""
+        if "<|" in text:
+            return True
+        if not self.by_space:
+            return SEPARATORS(text) is not None
+        return "  " in text or "\n\n" in text or " \n" in text or text.endswith(" ") or SPACES(text) is not None and SPACE_RUN(text) is not None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and self.odd.search(t)]
+        whole = [i for i, t in enumerate(texts) if t and self._odd(t)]
         skip = set(whole)
         todo = [i for i, t in enumerate(texts) if t and i not in skip]
         for at in range(0, len(todo), 256):
-            some = [(i, texts[i].split(" ") if self.by_space else texts[i].split()) for i in todo[at : at + 256]]
-            if self.by_space:
-                self._join([(i, c[:1]) for i, c in some], self.first, "", out)
-                some = [(i, c[1:]) for i, c in some]
-            self._join(some, self.rest, " " if self.by_space else "", out)
+            some = todo[at : at + 256]
+            if not self.by_space:
+                self._join([(i, texts[i].split()) for i in some], self.rest, "", out)
+                continue
+            lines = [(i, line.split(" ")) for i in some for line in texts[i].split("\n")]
+            heads, tails = [b""] * len(lines), [b""] * len(lines)
+            self._join([(k, c[:1]) for k, (_, c) in enumerate(lines)], self.first, "", heads)
+            self._join([(k, c[1:]) for k, (_, c) in enumerate(lines)], self.rest, " ", tails)
+            parts: dict[int, list[bytes]] = {i: [] for i in some}
+            for (i, _), head, tail in zip(lines, heads, tails, strict=True):
+                parts[i].append(head + tail)
+            for i, own in parts.items():
+                out[i] = self.newline.join(own)
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out

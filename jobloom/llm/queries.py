@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
+from .quality import OP6_SQL, op6_quality_rules
 from .tokens import op7_token_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_parquet": op7_token_parquet,
+    "op8_mixing": op8_mixing,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL}
