@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import OP9_SQL, op9_jaccard_join
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
 from .quality import OP6_SQL, op6_quality_rules
@@ -15,7 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_token_parquet": op7_token_parquet,
     "op8_mixing": op8_mixing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL, "op9_jaccard_join": OP9_SQL}
