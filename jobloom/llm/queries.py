@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import OP9_SQL, op9_jaccard_join
+from .lm import op3_context_tree
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
 from .quality import OP6_SQL, op6_quality_rules
 from .tokens import op7_token_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_context_tree": op3_context_tree,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_parquet": op7_token_parquet,
     "op8_mixing": op8_mixing,
