@@ -12,8 +12,10 @@ from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
 from .quality import OP6_SQL, op6_quality_rules
 from .tokens import op7_token_parquet
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_context_tree": op3_context_tree,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_parquet": op7_token_parquet,
