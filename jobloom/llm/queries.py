@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import OP9_SQL, op9_jaccard_join
+from .knn import OP4_SQL, op4_voronoi_join
 from .lm import op3_context_tree
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
@@ -17,6 +18,7 @@ from .toxicity import op1_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_context_tree": op3_context_tree,
+    "op4_voronoi_join": op4_voronoi_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_parquet": op7_token_parquet,
     "op8_mixing": op8_mixing,
@@ -24,4 +26,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_voronoi_join": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL, "op9_jaccard_join": OP9_SQL}

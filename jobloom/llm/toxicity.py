@@ -36,7 +36,7 @@ _TRIPLE = re.compile(r"(.)\1\1").search
 _SPACED = re.compile(r"(?<!\S)[^\s](?: [^\s]){3,}(?!\S)")
 
 #: Channel costs in natural logarithms: a sign for a letter, a repeated letter dropped, a separator dropped or kept, a sign kept or dropped.
-COST = {"leet": 1.5, "repeat": 0.7, "drop": 0.3, "keep": 0.5, "sign": 3.0}
+COST = {"leet": 1.5, "repeat": 0.7, "drop": 0.3, "keep": 2.0, "sign": 5.0}
 
 
 class CharModel:
