@@ -55,6 +55,39 @@ def n_words_of(text: Column) -> Column:
     return F.when(squeezed == "", F.lit(0)).otherwise(spaces + 1).cast("long")
 
 
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list = []
+
+
+def mixed(h, salt: int = 0):
+    """A 64-bit finaliser (xor-shifts and odd multiplications) over a numpy array."""
+    import numpy as np
+
+    h = (h + np.uint64(salt & (1 << 64) - 1)).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def span_hashes(data, begin, end):
+    """64-bit hashes of data[begin:end] for many spans of a byte array: polynomials over mixed bytes, read off prefix sums, then mixed."""
+    import numpy as np
+
+    n = len(data)
+    with np.errstate(over="ignore"):
+        if not _POWERS or len(_POWERS[0]) < n:
+            powers = []
+            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+                p = np.full(max(n, 1 << 22), base, np.uint64)
+                p[0] = 1
+                powers.append(np.multiply.accumulate(p, out=p))
+            _POWERS[:] = [*powers, mixed(np.arange(256, dtype=np.uint64), 0x5851F42D4C957F2D)]
+        power, inverse, coded = _POWERS
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(coded[data] * power[:n], out=prefix[1:])
+        return mixed((prefix[end] - prefix[begin]) * inverse[begin])
+
+
 #: A word of Latin letters whose NFC form and lower case are one letter each, and a mark behind it.
 LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)").fullmatch
 #: White space besides blanks and newlines; two kinds in a row; separators that are white space to Python alone.
@@ -83,7 +116,7 @@ class CachedTokenizer:
     Ids are returned as little-endian uint32 bytes.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,61 +151,82 @@ class CachedTokenizer:
             else:
                 words.append(c)
         bare = list(dict.fromkeys([*words, *(w for _, w, _ in marked if w not in cache)]))
-        raw = "\n".join(bare if self.by_space else [w.lower() for w in bare])
-        raw = raw.encode().decode("latin-1").translate(LETTER_CHARS)
+        raw = bare if self.by_space else [w.lower() for w in bare]
+        raw = [w if w.isascii() else w.encode().decode("latin-1").translate(LETTER_CHARS) for w in raw]
         packed, tokenize, lead_char = self.packed, self.lib.model.tokenize, BYTE_CHARS[0x20] if lead else ""
-        ids = {w: b"".join([packed[t.id] for t in tokenize(lead_char + r)]) for w, r in zip(bare, raw.split("\n") if bare else (), strict=True)}
+        ids = {w: b"".join([packed[t.id] for t in tokenize(lead_char + r)]) for w, r in zip(bare, raw, strict=True)}
         for w in words:
             cache[w] = ids[w]
         for c, w, m in marked:
             cache[c] = (ids.get(w) or cache[w]) + self.mark[m]
         cache.update(zip(other, self._ids([lead + c for c in other]), strict=True))
 
-    def _join(self, some: list[tuple[int, list[str]]], cache: dict[str, bytes], lead: str, out: list[bytes]) -> None:
-        get, late, new = cache.get, [], {}
-        for i, c in some:
-            got = list(map(get, c))
-            if None in got:
-                gaps = [k for k, g in enumerate(got) if g is None]
-                late.append((i, c, got, gaps))
-                new.update(dict.fromkeys([c[k] for k in gaps]))
-            else:
-                out[i] += b"".join(got)
-        if late:
-            self._learn(cache, list(new), lead)
-            for i, c, got, gaps in late:
-                for k in gaps:
-                    got[k] = cache[c[k]]
-                out[i] += b"".join(got)
-
     def _odd(self, text: str) -> bool:
         """Whether chunks between blanks could get other ids than the whole text."""
-        if "<|" in text:
+        if "<|" in text or "\0" in text:
             return True
         if not self.by_space:
-            return SEPARATORS(text) is not None
+            return not text.isascii() and SPACES(text) is not None or SEPARATORS(text) is not None
         return "  " in text or "\n\n" in text or " \n" in text or text.endswith(" ") or SPACES(text) is not None and SPACE_RUN(text) is not None
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _ids_of(self, chunks: list[str], cache: dict[str, bytes], lead: str) -> list[bytes]:
+        found = list(map(cache.get, chunks))
+        if None in found:
+            missing = [c for c, f in zip(chunks, found, strict=True) if f is None]
+            if len(cache) > self.keep:
+                missing = chunks  # _learn empties the cache
+            self._learn(cache, missing, lead)
+            found = [cache[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
+        return found
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        """Chunks are told apart by 64-bit hashes within the batch, so that each distinct one is looked up once; their ids are then laid out by places."""
+        import numpy as np
+
+        raw = "\0".join(texts).encode()
+        data = np.frombuffer(raw + b"\0", np.uint8)
+        cut = np.flatnonzero((data == 0) | (data == 32) | (data == 10) if self.by_space else (data <= 32) & ((data == 0) | (data == 32) | (data >= 9) & (data <= 13)))
+        begin, end = np.concatenate([[0], cut[:-1] + 1]), cut
+        before = np.concatenate([np.zeros(1, np.uint8), data[cut[:-1]]])
+        doc = np.cumsum(before == 0) - 1
+        if self.by_space:
+            kind = np.where(before == 32, 0, np.where(before == 10, 2, 1)).astype(np.uint64)
+        else:
+            full = end > begin
+            begin, end, doc = begin[full], end[full], doc[full]
+            kind = np.zeros(len(begin), np.uint64)
+        _, first, place = np.unique(span_hashes(data, begin, end) + kind * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
+        own = kind[first].astype(int).tolist()
+        chunks = [raw[a:b].decode() for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+        tails, heads = [k for k, o in enumerate(own) if o == 0], [k for k, o in enumerate(own) if o]
+        ids: list[bytes] = [b""] * len(chunks)
+        for where, cache, lead in ((tails, self.rest, " " if self.by_space else ""), (heads, self.first, "")):
+            for k, x in zip(where, self._ids_of([chunks[k] for k in where], cache, lead), strict=True):
+                ids[k] = self.newline + x if own[k] == 2 else x
+        size = np.array([len(x) >> 2 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        start = np.cumsum(size) - size
+        length = size[place]
+        out_end = np.cumsum(length)
+        total = int(out_end[-1]) if len(out_end) else 0
+        tokens = flat[np.repeat(start[place] - (out_end - length), length) + np.arange(total)]
+        bounds = np.concatenate([[0], out_end])[np.searchsorted(doc, np.arange(len(texts) + 1))]
+        whole = tokens.tobytes()
+        return [whole[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def encode(self, texts: list[str | None], batch_chars: int = 3 << 20) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and self._odd(t)]
-        skip = set(whole)
-        todo = [i for i, t in enumerate(texts) if t and i not in skip]
-        for at in range(0, len(todo), 256):
-            some = todo[at : at + 256]
-            if not self.by_space:
-                self._join([(i, texts[i].split()) for i in some], self.rest, "", out)
-                continue
-            lines = [(i, line.split(" ")) for i in some for line in texts[i].split("\n")]
-            heads, tails = [b""] * len(lines), [b""] * len(lines)
-            self._join([(k, c[:1]) for k, (_, c) in enumerate(lines)], self.first, "", heads)
-            self._join([(k, c[1:]) for k, (_, c) in enumerate(lines)], self.rest, " ", tails)
-            parts: dict[int, list[bytes]] = {i: [] for i in some}
-            for (i, _), head, tail in zip(lines, heads, tails, strict=True):
-                parts[i].append(head + tail)
-            for i, own in parts.items():
-                out[i] = self.newline.join(own)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+        odd = [i for i, t in enumerate(texts) if t and self._odd(t)]
+        skip, some, size = set(odd), [], 0
+        for i, t in enumerate(texts):
+            if t and i not in skip:
+                some.append(i)
+                size += len(t)
+            if some and (size >= batch_chars or i == len(texts) - 1):
+                for k, ids in zip(some, self._batch([texts[k] for k in some]), strict=True):
+                    out[k] = ids
+                some, size = [], 0
+        for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out
 
