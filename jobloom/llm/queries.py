@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html import op5_main_text
 from .jaccard import OP9_SQL, op9_jaccard_join
 from .knn import OP4_SQL, op4_voronoi_join
 from .lm import op3_context_tree
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_context_tree": op3_context_tree,
     "op4_voronoi_join": op4_voronoi_join,
+    "op5_main_text": op5_main_text,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_parquet": op7_token_parquet,
     "op8_mixing": op8_mixing,
