@@ -5,8 +5,8 @@ The global order of n-grams is the order of their 64-bit hashes, and fragments a
 Candidates. If J(x, y) >= t, x and y differ in at most d = (1 - t) / t * min(|x|, |y|) n-grams. Cut into more than d
 fragments, they agree exactly on all but d of them, so their lists of non-empty fragments share an entry among the
 first d + 1 (prefix filter over fragments). The fragments are chosen by size class, a class reaching over a ratio
-1 / t; a set uses its own class's fragments and those of the class below, so that any two similar sets meet. Sets
-with an entry in common, directly or over others, form a candidate cluster.
+1 / t; a set uses its own class's fragments and those of the class below, so that any two similar sets meet in the
+class of the smaller. Sets with an entry of one class in common, directly or over others, form a candidate cluster.
 
 Counting. Inside a cluster, blocks of sets of compatible sizes meet in pairs; overlaps are counted fragment by
 fragment as matrix products, and summed per pair. What leaves a block pair is a spanning forest of its links, so
@@ -107,48 +107,48 @@ class Fragments:
         d = (self.den - self.num) * largest // self.num
         return d, (1 << 20) if d < 8 else int(np.ceil(1.3 * (d + 1))) + 24
 
-    def entries(self, grams: np.ndarray) -> np.ndarray:
-        """The set's prefix entries under the fragments of its own class and the class below."""
-        found = []
-        c = self.size_class(len(grams))
-        for s in {c, max(0, c - 1)}:
-            d, count = self.scheme(s)
-            if d == 0:
-                continue  # such sets link only if equal
-            place = ((grams >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-            at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            with np.errstate(over="ignore"):
-                sums = np.add.reduceat(mixed(grams, 0x2545F4914F6CDD1D), at)[: d + 1]
-                found.append(mixed(sums + (place[at][: d + 1] + np.uint64(s << 32)) * _BASE))
-        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    def entries(self, grams: np.ndarray, s: int) -> np.ndarray:
+        """The set's prefix entries under the fragments of size class s."""
+        d, count = self.scheme(s) if s >= 0 else (0, 0)
+        if d == 0:
+            return np.zeros(0, np.uint64)  # such sets link only if equal
+        place = ((grams >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(mixed(grams, 0x2545F4914F6CDD1D), at)[: d + 1]
+            return mixed(sums + (place[at][: d + 1] + np.uint64(s << 32)) * _BASE)
 
 
 def _describe(n: int, num: int, den: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        fragments, seen = Fragments(num, den), set()
+        fragments, seen, none = Fragments(num, den), set(), np.zeros(0, np.uint64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 some = batch.slice(lo, 1024)
                 sets = ngram_sets(some.column(1).to_pylist(), n)
-                entries, s1, s2 = [], [], []
+                own, low, s1, s2, size = [], [], [], [], []
                 for grams in sets:
                     with np.errstate(over="ignore"):
                         a, b = np.add.reduce(mixed(grams, 1), dtype=np.uint64), np.add.reduce(mixed(grams, 2), dtype=np.uint64)
                     s1.append(a)
                     s2.append(b)
+                    c = fragments.size_class(len(grams)) if len(grams) else -1
+                    size.append(c)
                     # copies within a task give their entries once
-                    entries.append(np.zeros(0, np.uint64) if len(grams) == 0 or a in seen else fragments.entries(grams))
+                    skip = len(grams) == 0 or a in seen
+                    own.append(none if skip else fragments.entries(grams, c))
+                    low.append(none if skip else fragments.entries(grams, c - 1))
                     seen.add(a)
-                ends = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(e) for e in part])]).astype(np.int32)), pa.array(np.concatenate([none, *part]).view(np.int64)))
+                    for part in (own, low)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column(0), pa.array([len(g) for g in sets], pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)),
-                        pa.array(np.array(s2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *entries]).view(np.int64))),
-                    ],
-                    ["doc_id", "n_shingles", "s1", "s2", "entries"],
-                )
+                    [some.column(0), pa.array([len(g) for g in sets], pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(size, pa.int32()), *lists],
+                    ["doc_id", "n_shingles", "s1", "s2", "class", "own", "low"],
+                )
 
     return run
 
@@ -187,7 +187,7 @@ def _verify(n: int, num: int, den: int):
 
         sets = ngram_sets(pdf["text"].tolist(), n)
         ids, side = pdf["doc_id"].to_numpy(), pdf["side"].to_numpy()
-        same = key[1] == key[3] and key[2] == key[4]
+        same = key[2] == 0 and key[1] == key[3]
         left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
         if len(left) == 0 or len(right) == 0:
@@ -220,35 +220,38 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     64-bit hashes: only a collision of hashes (about pairs / 2**64) could join other texts.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    facts = settled(rows.mapInArrow(_describe(n, num, den), "doc_id long, n_shingles long, s1 long, s2 long, entries array<long>"))
+    facts = settled(rows.mapInArrow(_describe(n, num, den), "doc_id long, n_shingles long, s1 long, s2 long, class int, own array<long>, low array<long>"))
     sets = settled(
-        facts.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        facts.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "s1", "s2", "class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     )
-    # sets that share an entry: each with the first of the entry
-    entry = Window.partitionBy("entry").orderBy("node")
-    met = facts.select(F.explode("entries").alias("entry"), F.col("s1").alias("node")).withColumn("first", F.first("node").over(entry))
+    # sets that share an entry: each with the first of the entry. A pair meets in the class of its smaller set, so
+    # the classes' clusters stay apart: a node is a set in a class, its own or the one below
+    node = lambda of, scheme: F.xxhash64(of, scheme)
+    lists = F.array(F.struct((F.col("class") + 0).alias("s"), F.col("own").alias("e")), F.struct((F.col("class") - 1).alias("s"), F.col("low").alias("e")))
+    met = facts.filter("size(own) + size(low) > 0").select("s1", F.explode(lists).alias("l")).select(node("s1", "l.s").alias("node"), F.explode("l.e").alias("entry"))
+    met = met.withColumn("first", F.first("node").over(Window.partitionBy("entry").orderBy("node")))
     clusters = connected_components(met.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
-    members = clusters.join(sets, F.col("node") == F.col("s1")).select("component", "rep", "n_shingles")
-    bands = Fragments(num, den).bounds
-    # the class boundaries reach 2 ** 40 n-grams; an array literal of them finds the class inside the row
-    band = F.size(F.filter(F.array(*(F.lit(float(b)) for b in bands)), lambda b: b <= F.col("n_shingles")))
-    members = settled(members.withColumn("band", band))
-    blocks = settled(members.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
-    around = lambda shift, name: blocks.select("component", (F.col("band") + shift).alias("band"), F.col("blocks").alias(name))
-    wide = settled(blocks.join(around(1, "below"), ["component", "band"], "left").join(around(-1, "above"), ["component", "band"], "left").na.fill(0, ["below", "above"]))
-    own = members.join(wide, ["component", "band"]).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    upto = lambda m: F.when(m > 0, F.sequence(F.lit(0), m.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    pair = lambda b1, k1, b2, k2, side: F.struct(b1.alias("b1"), k1.cast("int").alias("k1"), b2.alias("b2"), k2.cast("int").alias("k2"), side.cast("int").alias("side"))
-    b, k = F.col("band"), F.col("k")
-    places = F.concat(
-        F.transform(upto(F.col("blocks")), lambda j: pair(b, F.least(k, j), b, F.greatest(k, j), F.when(k <= j, 0).otherwise(1))),
-        F.transform(upto(F.col("above")), lambda j: pair(b, k, b + 1, j, F.lit(0))),
-        F.transform(upto(F.col("below")), lambda j: pair(b - 1, j, b, k, F.lit(1))),
+    roles = sets.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).select(node("s1", F.col("class") - F.col("upper")).alias("node"), "rep", "upper")
+    members = settled(clusters.join(roles, "node").select("component", "rep", "upper"))
+    # blocks of the smaller and of the larger sets of a cluster; every two of the former meet, and each with each of the latter
+    blocks = members.groupBy("component").agg(
+        F.ceil(F.count(F.when(F.col("upper") == 0, 1)) / block).cast("int").alias("lows"), F.ceil(F.count(F.when(F.col("upper") == 1, 1)) / block).cast("int").alias("highs")
     )
-    placed = own.select("component", F.col("rep").alias("doc_id"), places.alias("places"))
-    # one row of an id suffices: a repeated id with another text is another set with the same representative
+    placed = members.join(settled(blocks.filter("lows > 0")), "component")
+    upto = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda k1, upper, k2, side: F.struct(k1.cast("int").alias("k1"), F.lit(upper).alias("u2"), k2.cast("int").alias("k2"), side.cast("int").alias("side"))
+    low_k, high_k = F.pmod(F.xxhash64("rep"), F.col("lows")), F.pmod(F.xxhash64("rep"), F.col("highs"))
+    places = F.when(
+        F.col("upper") == 0,
+        F.concat(
+            F.transform(upto(F.col("lows")), lambda j: pair(F.least(low_k, j), 0, F.greatest(low_k, j), F.when(low_k <= j, 0).otherwise(1))),
+            F.transform(upto(F.col("highs")), lambda j: pair(low_k, 1, j, F.lit(0))),
+        ),
+    ).otherwise(F.transform(upto(F.col("lows")), lambda j: pair(j, 1, high_k, F.lit(1))))
+    placed = placed.select("component", F.col("rep").alias("doc_id"), places.alias("places"))
+    # a repeated id with another text is another set with the same representative: both come along
     texts = rows.join(placed, "doc_id").withColumn("place", F.explode("places")).select("component", "place.*", "doc_id", "text")
-    links = texts.groupBy("component", "b1", "k1", "b2", "k2").applyInPandas(_verify(n, num, den), "a long, b long")
+    links = texts.groupBy("component", "k1", "u2", "k2").applyInPandas(_verify(n, num, den), "a long, b long")
     merged = connected_components(links.select("a", "b"))
     merged = settled(sets.filter("copies > 1").select("rep").join(merged.withColumnRenamed("node", "rep"), "rep", "full").select("rep", F.coalesce("component", "rep").alias("component_id")))
     known = settled(sets.join(merged, "rep").select("n_shingles", "s1", "s2", "component_id"))
