@@ -135,13 +135,13 @@ def certified_levels(holdout: DataFrame, risk: float = RISK, confidence: float =
 
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """One row per row of docs: doc_id, its stratum, the measures, base_failed, level and kept.
+    """One row per row of docs: doc_id, its stratum, a hash of text and stratum (text_hash), the measures, base_failed, level and kept.
 
     labels has doc_id and quality (1 good); documents with both marks count as good, null marks as none. A null
     stratum is a stratum of its own. Null, empty and short texts fail the base rules. Repeated rows keep a row each;
     labels never add rows. An empty table gives no rows. Measures are computed once and kept in the checkpoint folder.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.col(text).alias("text"), F.xxhash64(text, stratum).alias("text_hash"))
     measured = with_text_measures(rows).drop("text").withColumn("base_failed", base_failed()).withColumn("passes", strictest_passed())
     measured = settled(measured)
     good = labels.groupBy(F.col("doc_id").alias("doc_id")).agg(F.max("quality").alias("_q")).filter("_q = 1").select("doc_id")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP2_SQL, op2_preference_format
 from .html import op5_main_text
 from .jaccard import OP9_SQL, op9_jaccard_join
 from .knn import OP4_SQL, op4_voronoi_join
@@ -18,6 +19,7 @@ from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_preference_format": op2_preference_format,
     "op3_context_tree": op3_context_tree,
     "op4_voronoi_join": op4_voronoi_join,
     "op5_main_text": op5_main_text,
@@ -28,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_voronoi_join": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_preference_format": OP2_SQL, "op4_voronoi_join": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL, "op9_jaccard_join": OP9_SQL}
