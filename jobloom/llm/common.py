@@ -32,6 +32,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as a compressed table in the shared folder; for wide results that are read several times."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc_fold(column: str, folds: int = 5) -> Column:
     """crc32 of the column as text modulo folds; null ids fall in fold -1, which no split holds out."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds)), F.lit(-1))
