@@ -9,7 +9,6 @@ solved against its rows in blocks, and blocks' winners are merged.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +120,7 @@ def _solve(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int = 256, block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int = 256, group: int = 128, block: int = 4096) -> DataFrame:
     """`query_id, rank, vec_id, score`: for each query its k best rows of vectors besides its own, ties to the smaller id.
 
     Both have `vec_id` and integer `v`; queries are rows of vectors. Rows whose length is not the commonest one take
@@ -137,7 +136,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
         return empty
     length = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
     vectors, queries = vectors.filter(F.size("v") == length), queries.filter(F.size("v") == length).dropDuplicates(["vec_id", "v"])
-    wanted = max(1, min(max_pivots, int(math.sqrt(n))))
+    # about `group` queries a cell: a row goes to a cell once, however many of its queries want it
+    wanted = max(1, min(max_pivots, -(-queries.count() // group)))
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * wanted).collect()
     pivots = np.unique(np.array([r["v"] for r in chosen], np.float64), axis=0)[:wanted]
     where = spark.sparkContext.broadcast(pivots)
