@@ -1,10 +1,555 @@
-"""Reference-operator queries bound to the test tables, and their SQL."""
+"""Reference-operator queries bound to the test tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numbers as N
+from ..functions import text as X
+from ..operators import clustering as C
+from ..operators import gates as G
+from ..operators import pacing as P
+from ..operators import state as S
+from ..sources import payloads as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def seconds(column: str):
+    """Epoch seconds of a zone-less time, read as UTC."""
+    return F.unix_micros(F.col(column).cast("timestamp")) / 1e6
+
+
+@query("q01", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 42")
+def q01(spark, d):
+    return table(spark, d, "orders").filter("o_custkey = 42").select("o_orderkey", "o_totalprice")
+
+
+@query(
+    "q02",
+    r"""SELECT k AS dedup_key, count(*) AS n FROM (SELECT sha256(coalesce(trim(lower(source)), '') || '|' ||
+    coalesce(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')), '') || '|' || coalesce(trim(lower(lang)), '')) AS k FROM documents)
+    GROUP BY k HAVING count(*) > 1""",
+)
+def q02(spark, d):
+    key = X.dedup_key(F.col("source"), F.col("text"), F.col("lang"))
+    return table(spark, d, "documents").select(key.alias("dedup_key")).groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def _diffed(spark, d):
+    docs = table(spark, d, "documents")
+    stored = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
+    content = lambda t: X.content_hash(F.struct(F.col("source").alias("company"), t.alias("title"), F.col("lang").alias("location"), F.array_sort(F.array("lang", "source")).alias("skills")))
+    known = docs.filter("doc_id % 10 <> 0").select("doc_id", content(stored).alias("hash"))
+    now = docs.filter("doc_id % 11 <> 0").select("doc_id", "source", content(F.col("text")).alias("now_hash"))
+    joined = G.attach_known_hash(now, known, ["doc_id"])
+    return joined.withColumn("status", G.diff_status(F.col("now_hash"), F.col("known_hash")))
+
+
+_DIFF = "CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 7 = 0 AND text IS NOT NULL THEN 'changed' ELSE 'unchanged' END"
+
+
+@query("q03", f"SELECT doc_id, {_DIFF} AS status FROM documents WHERE doc_id % 11 <> 0")
+def q03(spark, d):
+    return _diffed(spark, d).select("doc_id", "status")
+
+
+_PREFS = [("u1", "PROMO, ECONOMY", False, "Brand#11"), ("u2", "", True, "Brand#2 "), ("u3", "Standard", True, "brand#1")]
+
+
+@query(
+    "q04",
+    r"""WITH p(user_id, types, remote_required, place) AS (VALUES ('u1', ['promo', 'economy'], false, 'brand#11'), ('u2', CAST([] AS VARCHAR[]), true, 'brand#2'), ('u3', ['standard'], true, 'brand#1'))
+    SELECT p_partkey, user_id, CASE WHEN len(types) > 0 AND len(list_intersect(list_transform(string_split_regex(p_type, '[,\s]+'), lambda x: lower(x)), types)) = 0 THEN 'type'
+      WHEN remote_required AND p_size % 3 = 1 AND NOT contains(lower(p_brand), place) THEN 'remote' END AS reason FROM part, p""",
+)
+def q04(spark, d):
+    prefs = spark.createDataFrame(_PREFS, "user_id string, types string, remote_required boolean, places string").withColumn("types", X.split_list(F.col("types"))).withColumn("places", X.split_list(F.col("places")))
+    remote = F.when(F.col("p_size") % 3 == 0, F.lit(True)).when(F.col("p_size") % 3 == 1, F.lit(False))
+    reason = G.first_reason(type=G.type_mismatch(F.col("p_type"), F.col("types")), remote=G.remote_mismatch(remote, F.col("remote_required"), F.col("p_brand"), F.col("places")))
+    # every posting meets its tenant's preferences; here all three tenants see every part
+    return table(spark, d, "part").withColumn("user_id", F.explode(F.array(*(F.lit(p[0]) for p in _PREFS)))).join(F.broadcast(prefs), "user_id", "left").select("p_partkey", "user_id", reason.alias("reason"))
+
+
+@query(
+    "q05",
+    r"""WITH w AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS words FROM part),
+    m AS (SELECT p_partkey, words, len(list_filter(words, lambda x: x IN ('widget', 'bolted', 'gear') OR left(x, 4) IN ('widg', 'bolt', 'gear') AND length(x) >= 4)) > 0 AS hit,
+      len(list_filter(words, lambda x: x IN ('anvil', 'ring'))) > 0 AS off_family FROM w)
+    SELECT p_partkey, false AS rejected_off, NOT hit AND off_family AS rejected_loose, NOT hit AS rejected_strict FROM m""",
+)
+def q05(spark, d):
+    roles = F.array(F.lit("Senior Widget"), F.lit("Bolted Gear"))
+    return table(spark, d, "part").select("p_partkey", *(G.title_rejected(F.col("p_name"), roles, m, ("anvil", "ring")).alias(f"rejected_{m}") for m in ("off", "loose", "strict")))
+
+
+_ROUTES = [("blog", r"^blog\.([a-z0-9]+)\."), ("mobile", r"^m\.([a-z0-9]+)\."), ("site", r"^(?:www\.)?([a-z0-9]+)\.")]
+_RESERVED = ("www", "example")
+
+
+@query(
+    "q06",
+    r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host FROM pages),
+    m AS (SELECT page_id, regexp_extract(host, '^blog\.([a-z0-9]+)\.', 1) AS a, regexp_extract(host, '^m\.([a-z0-9]+)\.', 1) AS b, regexp_extract(host, '^(?:www\.)?([a-z0-9]+)\.', 1) AS c FROM h)
+    SELECT page_id, CASE WHEN a <> '' AND a NOT IN ('www', 'example') THEN 'blog' WHEN b <> '' AND b NOT IN ('www', 'example') THEN 'mobile' WHEN c <> '' AND c NOT IN ('www', 'example') THEN 'site' END AS vendor,
+      CASE WHEN a <> '' AND a NOT IN ('www', 'example') THEN a WHEN b <> '' AND b NOT IN ('www', 'example') THEN b WHEN c <> '' AND c NOT IN ('www', 'example') THEN c END AS board FROM m""",
+)
+def q06(spark, d):
+    route = G.classify_route(F.col("url"), _ROUTES, _RESERVED)
+    return table(spark, d, "pages").select("page_id", route["vendor"].alias("vendor"), route["board"].alias("board"))
+
+
+@query(
+    "q07",
+    r"""SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || regexp_extract(html, 'href="([^"]*)"', 1) AS link FROM pages WHERE regexp_matches(html, 'href="/[^/"][^"]*"')""",
+)
+def q07(spark, d):
+    first = F.regexp_extract("html", 'href="([^"]*)"', 1)
+    return table(spark, d, "pages").filter(F.col("html").rlike('href="/[^/"][^"]*"')).select("page_id", X.url_join(F.col("url"), first).alias("link"))
+
+
+@query(
+    "q08",
+    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(?:p|div|li|ul|ol|h[1-6]|br|tr|table|section)\s*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM pages),
+    b AS (SELECT page_id, replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM a),
+    c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM b)
+    SELECT page_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS digest FROM c""",
+)
+def q08(spark, d):
+    t = table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("t"))
+    return t.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+
+
+@query(
+    "q09",
+    """SELECT p_partkey, 'http://h.example/job/' || p_partkey AS url, p_name AS title, p_brand AS company_name, CASE WHEN p_partkey % 4 = 1 THEN 'Tokyo, JP; Osaka' ELSE 'Tokyo, JP' END AS location,
+    CASE WHEN p_partkey % 3 = 0 THEN 'FULL_TIME, CONTRACTOR' ELSE 'FULL_TIME' END AS employment_type, CAST(p_size * 12 AS BIGINT) AS salary_min, CAST(p_size * 24 AS BIGINT) AS salary_max
+    FROM part WHERE p_partkey % 5 <> 4""",
+)
+def q09(spark, d):
+    """Pages of one posting each as object, list or @graph, with a repeat of it; a fifth has broken JSON."""
+    p = table(spark, d, "part")
+    kinds = F.when(F.col("p_partkey") % 3 == 0, F.lit('["FULL_TIME", "CONTRACTOR"]')).otherwise(F.lit('"FULL_TIME"'))
+    place = F.lit('{"address": {"addressLocality": "Tokyo", "addressCountry": "JP"}}')
+    places = F.when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("["), place, F.lit(', {"address": "Osaka"}, '), place, F.lit("]"))).otherwise(place)
+    node = F.concat(
+        F.lit('{"@type": "JobPosting", "title": "'), "p_name", F.lit('", "hiringOrganization": {"name": "'), "p_brand", F.lit('"}, "url": "/job/'), F.col("p_partkey").cast("string"),
+        F.lit('", "jobLocation": '), places, F.lit(', "employmentType": '), kinds, F.lit(', "baseSalary": {"currency": "JPY", "value": {"minValue": '), F.col("p_size").cast("string"),
+        F.lit(', "maxValue": '), (F.col("p_size") * 2).cast("string"), F.lit(', "unitText": "MONTH"}}}'),
+    )
+    shape = F.col("p_partkey") % 5
+    body = F.when(shape == 0, node).when(shape == 1, F.concat(F.lit("["), node, F.lit(", "), node, F.lit("]"))).when(shape == 4, F.substring(node, 1, 60)).otherwise(F.concat(F.lit('{"@graph": [{"@type": "Thing"}, '), node, F.lit("]}")))
+    pages = p.select("p_partkey", F.lit("http://h.example/list").alias("url"), F.concat(F.lit('<html><script type="application/ld+json">'), body, F.lit("</script></html>")).alias("html"))
+    return L.extract_job_postings(pages, "p_partkey", "url", "html").select("p_partkey", "url", "title", "company_name", "location", "employment_type", "salary_min", "salary_max")
+
+
+@query(
+    "q10",
+    """SELECT p_brand AS source_id, CASE p_size % 3 WHEN 0 THEN 'object' WHEN 1 THEN 'list' ELSE 'paid' END AS vendor, CAST(p_partkey AS VARCHAR) AS external_id, p_name AS title, p_type AS location,
+    CASE WHEN p_size % 3 = 2 AND p_partkey % 2 = 0 THEN true END AS remote, CASE WHEN p_size % 3 = 2 THEN CAST(p_size * 12 AS BIGINT) END AS salary_min FROM part""",
+)
+def q10(spark, d):
+    p = table(spark, d, "part").withColumn("vendor", F.element_at(F.array(F.lit("object"), F.lit("list"), F.lit("paid")), F.col("p_size") % 3 + 1))
+    pay = F.struct(F.array(F.struct(F.lit("USD").alias("currencyCode"), F.lit("year").alias("interval"), F.lit(1).alias("minValue")), F.struct(F.lit("JPY").alias("currencyCode"), F.lit("Months").alias("interval"), F.col("p_size").alias("minValue"))).alias("summaryComponents"))
+    job = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_name").alias("text"), F.struct(F.col("p_type").alias("name")).alias("location"), F.struct(F.col("p_type").alias("location")).alias("categories"))
+    paid = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("location"), (F.col("p_partkey") % 2 == 0).alias("isRemote"), pay.alias("compensation"))
+    one = F.when(F.col("vendor") == "paid", F.to_json(paid)).otherwise(F.to_json(job))
+    # boards of at most a thousand jobs: a vendor's payload is one record
+    boards = p.withColumn("page", F.floor(F.col("p_partkey") / 1000)).groupBy("p_brand", "vendor", "page").agg(F.array_join(F.collect_list(one), ",").alias("jobs"))
+    body = F.when(F.col("vendor") == "list", F.concat(F.lit("["), "jobs", F.lit("]"))).otherwise(F.concat(F.lit('{"jobs": ['), "jobs", F.lit("]}")))
+    landed = boards.select(F.col("p_brand").alias("source_id"), "vendor", F.col("p_brand").alias("board_id"), body.alias("body"))
+    return L.normalise_boards(landed).select("source_id", "vendor", "external_id", "title", "location", "remote", "salary_min")
+
+
+@query(
+    "q11",
+    """SELECT p_partkey, CAST(trunc(p_retailprice * [1, 12, 52, 260, 2080, 1][1 + p_size % 6]) AS BIGINT) AS salary_min, CAST(trunc(p_retailprice * [1, 12, 52, 260, 2080, 1][1 + p_size % 6]) AS BIGINT) AS salary_max FROM part""",
+)
+def q11(spark, d):
+    unit = F.element_at(F.array(*(F.lit(u) for u in ("year", "month", "week", "day", "hour", "moon"))), F.col("p_size") % 6 + 1)
+    none = F.lit(None).cast("double")
+    pay = N.annual_salary(none, none, F.col("p_retailprice"), unit, F.lit(None).cast("string"))
+    return table(spark, d, "part").select("p_partkey", pay["salary_min"].alias("salary_min"), pay["salary_max"].alias("salary_max"))
+
+
+@query(
+    "q12",
+    "SELECT p_partkey FROM part WHERE p_type <> 'PROMO' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate < TIMESTAMP '1995-04-01')",
+)
+def q12(spark, d):
+    early = table(spark, d, "lineitem").filter("l_shipdate < TIMESTAMP_NTZ '1995-04-01'")
+    return C.orphan_parents(table(spark, d, "part"), [(early, "p_partkey", "l_partkey")], F.col("p_type") == "PROMO").select("p_partkey")
+
+
+@query(
+    "q13",
+    """WITH h AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 25)
+    SELECT * FROM h WHERE l_suppkey % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.l_suppkey = h.l_suppkey AND s.l_partkey = h.l_partkey)""",
+)
+def q13(spark, d):
+    items = table(spark, d, "lineitem")
+    held, survivors = items.select("l_suppkey", "l_partkey").distinct(), items.filter("l_quantity > 25").select("l_suppkey", "l_partkey")
+    complete = table(spark, d, "supplier").filter("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return C.stale_rows(held, survivors, complete, ["l_suppkey", "l_partkey"], "l_suppkey").select("l_suppkey", "l_partkey")
+
+
+@query(
+    "q14",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'P' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS first_seen,
+    CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS last_seen FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""",
+)
+def q14(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    existing = o.filter("o_orderkey % 2 = 0").withColumn("first_seen", F.lit(1)).withColumn("last_seen", F.lit(1))
+    batch = o.filter("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("P"))
+    return C.upsert(existing, batch, ["o_orderkey"], ["o_orderstatus"], F.lit(2))
+
+
+@query(
+    "q15",
+    """WITH e AS (SELECT user_id, event_id, CASE WHEN event_type <> 'view' THEN CAST(trunc(value) AS BIGINT) END AS score FROM events WHERE user_id IS NOT NULL),
+    r AS (SELECT *, max(score) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM e)
+    SELECT user_id, max(event_id) AS view_event, max(score) AS best_score FROM r WHERE score IS NULL OR best IS NULL OR score >= best GROUP BY user_id""",
+)
+def q15(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") != "view", F.col("value").cast("long")).alias("score"))
+    return C.best_view(e, ["user_id"], ["event_id"], "score").select("user_id", F.col("view.event_id").alias("view_event"), "best_score")
+
+
+@query("q16", "SELECT l_partkey, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY l_partkey")
+def q16(spark, d):
+    return P.seen_range(table(spark, d, "lineitem"), ["l_partkey"], "l_shipdate")
+
+
+@query(
+    "q17",
+    f"""SELECT source, count(*) AS fetched, count(*) FILTER (WHERE s = 'new') AS new, count(*) FILTER (WHERE s = 'changed') AS changed, count(*) FILTER (WHERE s = 'unchanged') AS unchanged
+    FROM (SELECT source, {_DIFF} AS s FROM documents WHERE doc_id % 11 <> 0) GROUP BY source""",
+)
+def q17(spark, d):
+    return C.run_counters(_diffed(spark, d), ["source"], "status", ["new", "changed", "unchanged"])
+
+
+@query("q18", "SELECT conv_id, max(turn) AS turn, arg_max(md5(text), turn) AS digest FROM conversations GROUP BY conv_id")
+def q18(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.md5("text").alias("digest"))
+    return C.latest_version(c, "conv_id", "turn").select("conv_id", "latest.turn", "latest.digest")
+
+
+@query(
+    "q19",
+    """SELECT conv_id, turn, coalesce((SELECT max(turn) FROM conversations e WHERE e.conv_id = c.conv_id AND e.role <> 'user'), 0) + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version_no
+    FROM conversations c WHERE role = 'user'""",
+)
+def q19(spark, d):
+    c = table(spark, d, "conversations")
+    existing = c.filter("role <> 'user'").select("conv_id", F.col("turn").alias("version_no"))
+    return C.number_versions(c.filter("role = 'user'").select("conv_id", "turn"), existing, "conv_id", ["turn"]).select("conv_id", "turn", "version_no")
+
+
+@query("q20", "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, count(*) AS n FROM conversations GROUP BY conv_id")
+def q20(spark, d):
+    c = table(spark, d, "conversations")
+    out = C.with_nested(c.select("conv_id").distinct(), c.select("conv_id", "turn", "role"), "conv_id", "turn", "turns")
+    return out.select("conv_id", F.array_join("turns.role", ",").alias("roles"), F.size("turns").cast("long").alias("n"))
+
+
+@query(
+    "q21",
+    "SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_acctbal >= 0 THEN c_acctbal END DESC NULLS LAST, c_custkey DESC) AS rank FROM customer",
+)
+def q21(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("score"))
+    return P.ranked(c, "score", [F.desc("c_custkey")]).select("c_custkey", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "q22",
+    """WITH e AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events),
+    s AS (SELECT user_id, event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM e)
+    SELECT user_id, CAST(max(streak) AS BIGINT) AS longest, min(event_id) FILTER (WHERE streak >= 5) AS stopped_at, min(event_id) FILTER (WHERE streak >= 3) AS warned_at FROM s GROUP BY user_id""",
+)
+def q22(spark, d):
+    s = P.failure_streak(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") != "error")
+    hit = lambda n: F.min(F.when(F.col("streak") >= n, F.col("event_id")))
+    return s.groupBy("user_id").agg(F.max("streak").cast("long").alias("longest"), hit(5).alias("stopped_at"), hit(3).alias("warned_at"))
+
+
+@query(
+    "q23",
+    """SELECT event_id, row_number() OVER (PARTITION BY user_id, floor(epoch_us(ts) / 1e6 / 86400) ORDER BY ts, event_id) <= 2 AND
+    row_number() OVER (PARTITION BY event_type, floor(epoch_us(ts) / 1e6 / 86400) ORDER BY ts, event_id) <= 60 AS allowed FROM events""",
+)
+def q23(spark, d):
+    e = table(spark, d, "events").withColumn("s", seconds("ts"))
+    e = P.fixed_window_limit(e, ["user_id"], F.col("s"), ["ts", "event_id"], 2, 86400, "a")
+    return P.fixed_window_limit(e, ["event_type"], F.col("s"), ["ts", "event_id"], 60, 86400, "b").select("event_id", (F.col("a") & F.col("b")).alias("allowed"))
+
+
+@query(
+    "q24",
+    """WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+    f AS (SELECT user_id, event_type, event_id, k, s AS last, true AS kept FROM o WHERE k = 1 UNION ALL
+      SELECT o.user_id, o.event_type, o.event_id, o.k, CASE WHEN o.s - f.last >= 86400 THEN o.s ELSE f.last END, o.s - f.last >= 86400 FROM f JOIN o ON o.user_id = f.user_id AND o.event_type = f.event_type AND o.k = f.k + 1)
+    SELECT event_id FROM f WHERE kept""",
+)
+def q24(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", seconds("ts").alias("s"))
+    return S.dedupe_ttl(e, ["user_id", "event_type"], "s", "event_id", 86400.0).select("event_id")
+
+
+@query(
+    "q25",
+    """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, CASE WHEN event_type = 'error' THEN 25200 ELSE 10800 END AS gap, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    f AS (SELECT user_id, event_id, k, s AS start FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.k, greatest(o.s, f.start + o.gap) FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+    SELECT event_id, CAST(round(start) AS BIGINT) AS start FROM f""",
+)
+def q25(spark, d):
+    e = table(spark, d, "events").withColumn("s", seconds("ts"))
+    gap = F.when(F.col("event_type") == "error", 25200).otherwise(10800)
+    return P.pace(e, "user_id", "s", ["ts", "event_id"], gap).select("event_id", F.round("start").cast("long").alias("start"))
+
+
+@query(
+    "q26",
+    """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    f AS (SELECT user_id, event_id, k, false AS alive, s AS touched FROM o WHERE k = 1 UNION ALL
+      SELECT o.user_id, o.event_id, o.k, o.s < f.touched + 86400, CASE WHEN o.s >= f.touched + 86400 OR o.s - f.touched >= 21600 THEN o.s ELSE f.touched END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+    SELECT event_id, alive, CAST(round(touched + 86400) AS BIGINT) AS expires FROM f""",
+)
+def q26(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", seconds("ts").alias("s"))
+    return S.sliding_sessions(e, "user_id", "s", "event_id", 21600.0, 86400.0).select("event_id", "alive", F.round("expires").cast("long").alias("expires"))
+
+
+@query("q27")
+def q27(spark, d):
+    """Verification replay over events: a signup issues a code, others try one; tested against a plain loop."""
+    e = table(spark, d, "events").select(
+        "event_id", "user_id", seconds("ts").alias("s"), F.when(F.col("event_type") == "signup", "issue").otherwise("verify").alias("kind"),
+        F.when((F.col("event_type") == "signup") | (F.col("event_id") % 4 == 0), "right").otherwise("wrong").alias("code"), F.when(F.col("event_id") % 9 == 0, "x").otherwise("c").alias("challenge"),
+    )
+    return S.replay_attempts(e, "user_id", "s", "event_id", "kind", "code", "challenge", 5, 6 * 86400.0).select("event_id", "user_id", "result")
+
+
+@query(
+    "q28",
+    """SELECT c_custkey FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey
+    WHERE c_acctbal >= 0 AND (last IS NULL OR last + to_hours(24 * (c_custkey % 7 + 1)) <= TIMESTAMP '1998-08-01')""",
+)
+def q28(spark, d):
+    last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").cast("timestamp").alias("last"))
+    c = table(spark, d, "customer").join(last, "c_custkey", "left").withColumn("status", F.when(F.col("c_acctbal") >= 0, "active").otherwise("paused"))
+    return c.filter(G.due(F.col("status"), F.col("last"), 24 * (F.col("c_custkey") % 7 + 1), F.lit("1998-08-01").cast("timestamp"))).select("c_custkey")
+
+
+@query(
+    "q29",
+    """WITH c AS (SELECT event_type, CAST(trunc(value * 100) AS BIGINT) AS i, CAST(trunc(value * 10) AS BIGINT) AS o, CASE WHEN event_type LIKE 'purch%' THEN 15 WHEN event_type LIKE 'cl%' THEN 1 ELSE 3 END AS ri,
+      CASE WHEN event_type LIKE 'purch%' THEN 75 WHEN event_type LIKE 'cl%' THEN 5 ELSE 15 END AS ro FROM events)
+    SELECT event_type, count(*) AS calls, CAST(sum(CAST(CAST(i * ri + o * ro AS DECIMAL(24, 0)) / 1000000 AS DECIMAL(10, 6))) AS DOUBLE) AS cost FROM c GROUP BY event_type""",
+)
+def q29(spark, d):
+    prices = spark.createDataFrame([(1, "purch", 15, 75), (2, "cl", 1, 5), (3, "c", 9, 9)], "priority int, model_prefix string, a int, b int").select(
+        "priority", "model_prefix", F.col("a").cast("decimal(10,4)").alias("input_rate"), F.col("b").cast("decimal(10,4)").alias("output_rate")
+    )
+    e = table(spark, d, "events").select("event_type", (F.col("value") * 100).cast("long").alias("i"), (F.col("value") * 10).cast("long").alias("o"))
+    calls = C.attach_rates(e, prices, "event_type", ("3", "15"))
+    cost = N.cost_usd(F.col("i"), F.col("o"), F.col("input_rate"), F.col("output_rate"))
+    return calls.groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.sum(cost).cast("double").alias("cost"))
+
+
+_OUTCOME = "CASE doc_id % 6 WHEN 0 THEN CAST(doc_id % 101 AS INTEGER) WHEN 1 THEN CAST(doc_id % 101 AS INTEGER) WHEN 2 THEN 0 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE CAST(doc_id % 101 AS INTEGER) END"
+
+
+def _outcomes(spark, d):
+    n = (F.col("doc_id") % 101).cast("string")
+    raw = (
+        F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit('{"score": '), n, F.lit(', "matched": ["a", "b"], "concerns": null}')))
+        .when(F.col("doc_id") % 6 == 1, F.concat(F.lit('{"score": "'), n, F.lit('", "matched": "one", "concerns": []}')))
+        .when(F.col("doc_id") % 6 == 2, F.lit('{"score": "none", "matched": " ", "concerns": ["x"]}'))
+        .when(F.col("doc_id") % 6 == 3, F.concat(F.lit('{"score": "'), n, F.lit('/100"}')))
+        .when(F.col("doc_id") % 6 == 4, F.lit("{broken"))
+        .otherwise(F.concat(F.lit('{"score": '), n, F.lit("}")))
+    )
+    docs = table(spark, d, "documents").filter("doc_id % 101 > 0").select("doc_id", raw.alias("raw"))
+    return docs.withColumn("o", N.parse_outcome(F.col("raw")))
+
+
+@query(
+    "q30",
+    f"""SELECT doc_id, {_OUTCOME} AS score, CAST(CASE doc_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS n_matched, CAST(CASE doc_id % 6 WHEN 2 THEN 1 ELSE 0 END AS INTEGER) AS n_concerns,
+    CASE doc_id % 4 WHEN 0 THEN 'transient' WHEN 1 THEN 'fatal' WHEN 2 THEN 'transient' ELSE CASE WHEN doc_id % 6 = 4 THEN 'transient' ELSE 'ok' END END AS triage FROM documents WHERE doc_id % 101 > 0""",
+)
+def q30(spark, d):
+    status = F.element_at(F.array(F.lit(429), F.lit(404), F.lit(503), F.lit(200)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _outcomes(spark, d).select(
+        "doc_id", F.col("o.score").alias("score"), F.coalesce(F.size("o.matched"), F.lit(0)).alias("n_matched"), F.coalesce(F.size("o.concerns"), F.lit(0)).alias("n_concerns"),
+        G.triage(status, F.try_parse_json("raw").isNotNull()).alias("triage"),
+    )
+
+
+@query("q31", f"SELECT doc_id, score FROM (SELECT doc_id, {_OUTCOME} AS score FROM documents WHERE doc_id % 101 > 0) WHERE score >= 30")
+def q31(spark, d):
+    return _outcomes(spark, d).select("doc_id", F.col("o.score").alias("score")).filter("score >= 30")
+
+
+@query(
+    "q32",
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+    SELECT page_id, CASE WHEN hash_free THEN 'allowed' WHEN path LIKE '/en/1%' THEN 'allowed' WHEN path LIKE '/en/%' THEN 'disallowed' WHEN path LIKE '/fr/%' THEN 'disallowed' ELSE 'allowed' END AS decision
+    FROM (SELECT *, host LIKE 'www.%' AS hash_free FROM p)""",
+)
+def q32(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")).alias("host"), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")).alias("path"))
+    stamp = lambda s: F.lit(s).cast("timestamp")
+    landed = p.filter("NOT host LIKE 'www.%'").select("host").distinct().withColumn("fetched_at", F.explode(F.array(stamp("2024-01-01 00:00:00"), stamp("2024-01-02 11:00:00"))))
+    fresh = G.fresh_rules(landed, stamp("2024-01-02 12:00:00"), 86400)
+    rules = fresh.select("host", F.explode(F.array(*(F.struct(F.lit(pre).alias("prefix"), F.lit(ok).alias("allow")) for pre, ok in (("/en/", False), ("/en/1", True), ("/fr/", False))))).alias("r")).select("host", "r.*")
+    return G.crawl_decision(p, rules).select("page_id", "decision")
+
+
+@query(
+    "q33",
+    r"""SELECT page_id, regexp_matches(url, '^https?://[^/?#]+') AS allowed, CASE WHEN page_id % 10 = 3 THEN 'http 404' WHEN octet_length(encode(html)) > 4000 THEN 'too large' END AS error,
+    CASE WHEN page_id % 2 = 0 THEN 'iso-8859-1' ELSE 'utf-8' END AS charset FROM pages""",
+)
+def q33(spark, d):
+    status = F.when(F.col("page_id") % 10 == 3, 404).otherwise(200)
+    kind = F.when(F.col("page_id") % 2 == 0, F.lit('text/html; charset="ISO-8859-1"')).otherwise("text/html")
+    return table(spark, d, "pages").select("page_id", G.url_allowed(F.col("url")).alias("allowed"), L.landed_error(status, F.octet_length("html"), 4000).alias("error"), L.charset_of(kind).alias("charset"))
+
+
+@query(
+    "q34",
+    """WITH a AS (SELECT event_id, [10, 100, 127, 169, 172, 192, 8, 224][1 + event_id % 8] AS a, event_id % 256 AS b, (event_id // 256) % 256 AS c FROM events)
+    SELECT event_id, a || '.' || b || '.' || c || '.7' AS ip, a IN (10, 127, 224) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) AS blocked FROM a""",
+)
+def q34(spark, d):
+    first = F.element_at(F.array(*(F.lit(n) for n in (10, 100, 127, 169, 172, 192, 8, 224))), (F.col("event_id") % 8 + 1).cast("int"))
+    ip = F.concat_ws(".", first.cast("string"), (F.col("event_id") % 256).cast("string"), (F.floor(F.col("event_id") / 256) % 256).cast("string"), F.lit("7"))
+    e = table(spark, d, "events").select("event_id", X.first_forwarded(F.concat(ip, F.lit(" , 1.2.3.4"))).alias("ip"))
+    return e.withColumn("blocked", G.blocked_v4(F.col("ip")))
+
+
+@query(
+    "q35",
+    """WITH s AS (SELECT o_orderkey AS target, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS external_id, 'u' || (o_orderkey // 3) AS url FROM orders),
+    b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS external_id, 'u' || (o_orderkey // 2) AS url FROM orders WHERE o_orderkey % 5 = 0)
+    SELECT o_orderkey, coalesce((SELECT min(target) FROM s WHERE s.external_id = b.external_id), (SELECT min(target) FROM s WHERE s.url = b.url)) AS target FROM b""",
+)
+def q35(spark, d):
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    when = lambda n: F.when(key % n == 0, key.cast("string")).alias("external_id")
+    stored = o.select(key.alias("target"), when(2), F.concat(F.lit("u"), F.floor(key / 3).cast("string")).alias("url"))
+    batch = o.filter("o_orderkey % 5 = 0").select("o_orderkey", when(4), F.concat(F.lit("u"), F.floor(key / 2).cast("string")).alias("url"))
+    return C.match_existing(batch, stored, ["external_id", "url"], "target").select("o_orderkey", "target")
+
+
+@query(
+    "q36",
+    """WITH b AS (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents WHERE doc_id % 3 <> 0)
+    SELECT doc_id, CASE WHEN r = 1 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 3 = 0 AND md5(e.text) = md5(b.text)) THEN 'accepted' ELSE 'rejected' END AS verdict FROM b""",
+)
+def q36(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("k"))
+    good, bad = C.split_duplicates(docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id % 3 = 0"), ["k"], ["doc_id"])
+    return good.select("doc_id", F.lit("accepted").alias("verdict")).unionByName(bad.select("doc_id", F.lit("rejected").alias("verdict")))
+
+
+@query(
+    "q37",
+    """SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE event_type <> 'view') AS status, arg_max(event_id % 2 = 0, event_id) FILTER (WHERE event_id % 3 = 0) AS bookmarked FROM events GROUP BY user_id""",
+)
+def q37(spark, d):
+    e = table(spark, d, "events")
+    patch = lambda value, given: F.max_by(F.when(given, value), F.when(given, F.col("event_id")))
+    return e.groupBy("user_id").agg(patch(F.col("event_type"), F.col("event_type") != "view").alias("status"), patch(F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0).alias("bookmarked"))
+
+
+@query(
+    "q38",
+    """SELECT c_custkey, md5(lower(trim('  ' || c_name || '@Example.com '))) AS folded, left(c_name, 1) || '***@Example.com' AS masked, '***' AS secret FROM customer""",
+)
+def q38(spark, d):
+    email = F.concat("c_name", F.lit("@Example.com"))
+    fields = X.redact_map(F.create_map(F.lit("email"), email, F.lit("auth_Token"), F.col("c_name")))
+    return table(spark, d, "customer").select("c_custkey", F.md5(X.normalize_email(F.concat(F.lit("  "), email, F.lit(" ")))).alias("folded"), fields["email"].alias("masked"), fields["auth_Token"].alias("secret"))
+
+
+@query(
+    "q39",
+    """SELECT p_partkey, md5('Title: ' || p_name || chr(10) || 'Company: ' || p_brand || chr(10) || 'Location: ' || p_type || chr(10) || 'Stated salary (JPY/yr): ' || p_size || ' to None' || chr(10) || chr(10) || p_name) AS job,
+    'from ¥' || p_size AS pay, CASE WHEN p_size % 2 = 0 THEN CAST(CAST(floor(p_retailprice + 0.5) AS INTEGER) AS VARCHAR) ELSE '—' END AS score FROM part""",
+)
+def q39(spark, d):
+    null = F.lit(None)
+    size = F.col("p_size").cast("long")
+    text = N.job_text(F.col("p_name"), F.col("p_brand"), F.col("p_type"), null.cast("boolean"), null.cast("string"), size, null.cast("long"), F.col("p_name"))
+    score = F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice"))
+    return table(spark, d, "part").select("p_partkey", F.md5(text).alias("job"), N.salary_line(size, null.cast("long")).alias("pay"), N.score_text(score).alias("score"))
+
+
+@query(
+    "q40",
+    r"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unsupported file' WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 40 THEN 'too little text' END AS error,
+    array_to_string(list_filter([CASE WHEN NOT n_chars >= 100 THEN 'length' END, CASE WHEN NOT lang IN ('en', 'de') THEN 'language' END], lambda x: x IS NOT NULL), ',') AS broken FROM documents""",
+)
+def q40(spark, d):
+    name = F.concat(F.lit("cv."), F.when(F.col("doc_id") % 5 == 0, "exe").otherwise("PDF"))
+    broken = G.failed_rules(length=F.col("n_chars") >= 100, language=F.col("lang").isin("en", "de"))
+    return table(spark, d, "documents").select("doc_id", L.text_gate(name, F.col("text"))["error"].alias("error"), F.array_join(broken, ",").alias("broken"))
+
+
+@query(
+    "q41",
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN '' ELSE strftime(o_orderdate, '%Y-%m') END AS month FROM orders",
+)
+def q41(spark, d):
+    day = F.col("o_orderdate")
+    spelt = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(day, "yyyy-MM")).when(F.col("o_orderkey") % 4 == 1, F.date_format(day, "yyyy-M")).when(F.col("o_orderkey") % 4 == 2, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "MM/yyyy"))
+    return table(spark, d, "orders").select("o_orderkey", X.to_month(spelt).alias("month"))
+
+
+@query(
+    "q42",
+    """WITH o AS (SELECT o_orderkey FROM orders WHERE o_custkey % 5 <> 0) SELECT count(*) AS n, CAST(round(sum(l_quantity)) AS BIGINT) AS quantity FROM lineitem SEMI JOIN o ON l_orderkey = o_orderkey""",
+)
+def q42(spark, d):
+    gone = table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    orders = table(spark, d, "orders")
+    left = orders.join(gone, "o_custkey", "left_anti")
+    gone_orders = orders.join(left.select("o_orderkey"), "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, d, "lineitem").join(gone_orders, "l_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity")).cast("long").alias("quantity"))
+
+
+@query(
+    "q44",
+    """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_type END AS task, CASE WHEN event_id % 4 = 0 THEN 'k' || event_id ELSE sha256(CAST(event_id AS VARCHAR)) END AS idempotency_key FROM events""",
+)
+def q44(spark, d):
+    body = F.concat(
+        F.lit('{"payload": "{}"'), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit(', "task": "'), "event_type", F.lit('"'))).otherwise(""),
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(', "idempotency_key": "k'), F.col("event_id").cast("string"), F.lit('"'))).otherwise(""), F.lit("}"),
+    )
+    messages = table(spark, d, "events").select("event_id", body.alias("body"))
+    return L.decode_envelopes(messages, "body", F.col("event_id"), F.lit("2024-02-01").cast("timestamp")).select("event_id", "task", "idempotency_key")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.numbers import annual_salary
-from ..functions.text import first_nonempty, html_to_text, identity
+from ..functions.text import first_nonempty, html_to_text, identity, url_join
+from ..operators.clustering import first_by
 
 POSTING = "external_id string, url string, title string, company_name string, location string, remote boolean, employment_type string, salary_min bigint, salary_max bigint, description string, needs_review array<string>"
 NODE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "company", "location", "employment_type", "url", "external_id", "description", "currency", "unit", "lo", "hi", "single")]))
@@ -62,7 +65,8 @@ def _title(c: Column) -> Column:
 
 def jobs_object(landed: DataFrame) -> DataFrame:
     """Object with `jobs`, HTML contents, places in `location` and `offices`; remote is true if any place says so, else unknown."""
-    places = F.concat(F.array(_get("$.location.name")), F.coalesce(_get("$.offices[*].name", "array<string>"), F.transform(F.coalesce(_get("$.offices", "array<variant>"), F.array().cast("array<variant>")), lambda o: F.try_variant_get(o, "$.name", "string"))))
+    offices = F.coalesce(_get("$.offices", "array<struct<name:string>>"), F.array().cast("array<struct<name:string>>"))
+    places = F.concat(F.array(_get("$.location.name")), F.transform(offices, lambda o: o["name"]))
     remote = F.exists(places, lambda p: F.coalesce(F.lower(p).contains("remote"), F.lit(False)))
     description = html_to_text(F.coalesce(_get("$.content"), F.lit("")))
     null = F.lit(None)
@@ -103,13 +107,12 @@ register_normaliser("list", jobs_list)
 register_normaliser("paid", jobs_paid)
 
 
-def _jsonld(batches: Iterator) -> Iterator:
+@pandas_udf(NODE)
+def jsonld_nodes(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Job nodes of one page: scripts in document order, lists from the end, objects with @graph opened; broken JSON skipped."""
     import json
     import re
 
-    import pandas as pd
-
     script = re.compile(r"<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", re.I | re.S)
 
     def text(v):
@@ -166,7 +169,7 @@ def _jsonld(batches: Iterator) -> Iterator:
                         out.append(found)
         return out
 
-    for s in batches:
+    for s in pages:
         yield pd.Series([page(h) for h in s], index=s.index)
 
 
@@ -174,23 +177,13 @@ def _jsonld(batches: Iterator) -> Iterator:
 
 def extract_job_postings(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """Postings in JSON-LD scripts, one row a resolved url of a page: the first in traversal order. Pages without such a script stay out of Python."""
-    from pyspark.sql.functions import pandas_udf
-
-    from ..functions.text import url_join
-
-    @pandas_udf(NODE)
-    def nodes(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        yield from _jsonld(batches)
-
-    found = pages.filter(F.col(html).contains("ld+json")).select(key, F.col(url).alias("_base"), F.posexplode(nodes(F.col(html))).alias("place", "n"))
+    found = pages.filter(F.col(html).contains("ld+json")).select(key, F.col(url).alias("_base"), F.posexplode(jsonld_nodes(F.col(html))).alias("place", "n"))
     link = F.coalesce(url_join(F.col("_base"), F.col("n.url")), F.col("_base"))
     pay = annual_salary(F.col("n.lo").cast("double"), F.col("n.hi").cast("double"), F.col("n.single").cast("double"), F.col("n.unit"), F.col("n.currency"))
     rows = found.select(
         key, "place", link.alias("url"), F.col("n.title").alias("title"), F.col("n.company").alias("company_name"), F.col("n.location").alias("location"), F.col("n.employment_type").alias("employment_type"),
         identity(F.col("n.external_id"), link).alias("external_id"), html_to_text(F.coalesce(F.col("n.description"), F.lit(""))).alias("description"), pay.alias("pay"),
     )
-    from ..operators.clustering import first_by
-
     return first_by(rows, [key, "url"], [F.asc("place")]).select(key, "url", "title", "company_name", "location", "employment_type", "external_id", "description", F.col("pay.salary_min").alias("salary_min"), F.col("pay.salary_max").alias("salary_max"))
 
 
