@@ -14,6 +14,7 @@ from ..operators import gates as G
 from ..operators import pacing as P
 from ..operators import state as S
 from ..sources import payloads as L
+from ..streaming import streams as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -553,3 +554,38 @@ def q44(spark, d):
     )
     messages = table(spark, d, "events").select("event_id", body.alias("body"))
     return L.decode_envelopes(messages, "body", F.col("event_id"), F.lit("2024-02-01").cast("timestamp")).select("event_id", "task", "idempotency_key")
+
+
+@query("s1", ORACLE_SQL["q24"])
+def s1(spark, d):
+    return R.drained(R.dedupe_stream(R.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"], 86400))
+
+
+@query("s2", "SELECT user_id, CAST(floor(epoch_us(ts) / 1e6 / 86400) * 86400 AS BIGINT) AS window_start, count(*) AS hits FROM events GROUP BY ALL")
+def s2(spark, d):
+    return R.drained(R.rate_counts_stream(R.read_events(spark, f"{d}/events.parquet"), "user_id"), "complete")
+
+
+@query(
+    "s3",
+    """WITH e AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events),
+    s AS (SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM e)
+    SELECT event_id, streak, streak >= 5 AS stopped FROM s""",
+)
+def s3(spark, d):
+    events = R.read_events(spark, f"{d}/events.parquet").withColumn("failed", F.col("event_type") == "error")
+    return R.drained(R.failure_stream(events, "user_id", "failed"))
+
+
+@query("s4", f"SELECT event_id, alive FROM ({ORACLE_SQL['q26']})")
+def s4(spark, d):
+    return R.drained(R.session_stream(R.read_events(spark, f"{d}/events.parquet"), "user_id", 21600, 86400))
+
+
+@query("s5", "SELECT event_id, CASE WHEN event_type <> 'error' THEN 'done' WHEN event_id % 4 + 1 >= 3 THEN 'dead' ELSE 'retry' END AS route FROM events")
+def s5(spark, d):
+    def each(batch: DataFrame, _: int) -> DataFrame:
+        attempts = batch.withColumn("receives", F.col("event_id") % 4 + 1)
+        return S.route_deliveries(attempts, "receives", F.col("event_type") != "error", F.lit(True)).select("event_id", "route")
+
+    return R.drained(R.read_events(spark, f"{d}/events.parquet"), each=each)
