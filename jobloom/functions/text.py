@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, StringType
 
 #: Company forms that say nothing about identity, written in Japanese (anywhere) and Latin (at the end).
 JAPANESE_FORMS = ("株式会社", "有限会社", "合同会社", "合資会社", "合名会社", "(株)", "（株）")
 LATIN_FORMS = ("inc", "incorporated", "llc", "ltd", "limited", "co", "corp", "corporation", "gmbh", "kk", "pllc", "plc")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_unicode(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC and case folding, which no built-in offers."""
     import unicodedata
@@ -23,7 +24,7 @@ def fold_unicode(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape_html(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Character references, for texts with other than the common ones."""
     import html
@@ -32,7 +33,7 @@ def unescape_html(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda v: None if v is None else html.unescape(v))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def keyed_hash(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """HMAC-SHA-256 of a value under a secret, in hexadecimal."""
     import hashlib
@@ -42,7 +43,7 @@ def keyed_hash(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series([None if v is None or k is None else hmac.new(k.encode(), v.encode(), hashlib.sha256).hexdigest() for v, k in zip(s, secret, strict=True)], index=s.index)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def join_url(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Relative references that are neither absolute nor root-relative."""
     from urllib.parse import urljoin
@@ -57,7 +58,7 @@ def join_url(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series([None if b is None or x is None else one(b, x) for b, x in zip(base, link, strict=True)], index=base.index)
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def blocked_v6(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether a literal IPv6 address, unwrapped from v4-mapped and NAT64 forms, isn't public; null if it is no address."""
     import ipaddress
