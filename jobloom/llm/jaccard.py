@@ -4,7 +4,7 @@ The global order of n-grams is the order of their 64-bit hashes, and fragments a
 
 Candidates. If J(x, y) >= t, x and y differ in at most d = (1 - t) / t * min(|x|, |y|) n-grams. Cut into more than d
 fragments, they agree exactly on all but d of them, so their lists of non-empty fragments share an entry among the
-first d + 1 (prefix filter over fragments). The fragments are chosen by size class, a class reaching over a ratio
+first d + 1, and j + 1 entries among the first d + 1 + j (prefix filter over fragments). The fragments are chosen by size class, a class reaching over a ratio
 1 / t; a set uses its own class's fragments and those of the class below, so that any two similar sets meet in the
 class of the smaller. Sets with an entry of one class in common, directly or over others, form a candidate cluster.
 
@@ -98,25 +98,31 @@ class Fragments:
     def size_class(self, n: int) -> int:
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
-    def scheme(self, c: int) -> tuple[int, int]:
-        """Most differing n-grams of a pair whose smaller set is in class c, and how many fragments tell them apart.
+    def scheme(self, c: int) -> tuple[int, int, int]:
+        """Most differing n-grams of a pair whose smaller set is in class c, how many fragments tell them apart, and how many entries beyond one the prefixes must share.
 
-        With hashes as the order, the chance that a set falls into d fragments or fewer is below 1e-16.
+        A set of the class's least size fills so many fragments, less 8.5 standard deviations, that a pair agrees on
+        more than that many; with hashes as the order, the chance of less is below 1e-16.
         """
-        largest = int(np.ceil(self.bounds[c + 1])) - 1
+        least, largest = int(np.ceil(self.bounds[c])), int(np.ceil(self.bounds[c + 1])) - 1
         d = (self.den - self.num) * largest // self.num
-        return d, (1 << 20) if d < 8 else int(np.ceil(1.3 * (d + 1))) + 24
+        if d < 16:
+            return d, 1 << 20, max(0, min(6, least - d - 3))  # a fragment of its own for each n-gram, but for two at most
+        count = int(np.ceil(1.3 * (d + 1))) + 24
+        load = least / count
+        filled = count * (1 - np.exp(-load)) - 8.5 * np.sqrt(count * (np.exp(-load) - (1 + load) * np.exp(-2 * load))) - 2
+        return d, count, max(0, min(4 + d // 8, int(filled) - d - 1))
 
     def entries(self, grams: np.ndarray, s: int) -> np.ndarray:
         """The set's prefix entries under the fragments of size class s."""
-        d, count = self.scheme(s) if s >= 0 else (0, 0)
+        d, count, more = self.scheme(s) if s >= 0 else (0, 0, 0)
         if d == 0:
             return np.zeros(0, np.uint64)  # such sets link only if equal
         place = ((grams >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(mixed(grams, 0x2545F4914F6CDD1D), at)[: d + 1]
-            return mixed(sums + (place[at][: d + 1] + np.uint64(s << 32)) * _BASE)
+            sums = np.add.reduceat(mixed(grams, 0x2545F4914F6CDD1D), at)[: d + 1 + more]
+            return mixed(sums + (place[at][: d + 1 + more] + np.uint64(s << 32)) * _BASE)
 
 
 def _describe(n: int, num: int, den: int):
@@ -227,9 +233,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     # sets that share an entry: each with the first of the entry. A pair meets in the class of its smaller set, so
     # the classes' clusters stay apart: a node is a set in a class, its own or the one below
     node = lambda of, scheme: F.xxhash64(of, scheme)
-    lists = F.array(F.struct((F.col("class") + 0).alias("s"), F.col("own").alias("e")), F.struct((F.col("class") - 1).alias("s"), F.col("low").alias("e")))
-    met = facts.filter("size(own) + size(low) > 0").select("s1", F.explode(lists).alias("l")).select(node("s1", "l.s").alias("node"), F.explode("l.e").alias("entry"))
-    met = met.withColumn("first", F.first("node").over(Window.partitionBy("entry").orderBy("node")))
+    schemes = Fragments(num, den)
+    need = F.array(*(F.lit(schemes.scheme(c)[2] + 1) for c in range(len(schemes.bounds) - 1)))  # a number a size class, up to 2**40 n-grams
+    lists = F.array(F.struct(F.col("class").alias("s"), F.col("own").alias("e")), F.struct((F.col("class") - 1).alias("s"), F.col("low").alias("e")))
+    met = facts.filter("size(own) + size(low) > 0").select("s1", F.explode(lists).alias("l")).filter("size(l.e) > 0")
+    met = met.select(node("s1", "l.s").alias("node"), F.get(need, F.col("l.s")).alias("need"), F.explode("l.e").alias("entry"))
+    entry = Window.partitionBy("entry")
+    shared = met.withColumn("lo", F.min("node").over(entry)).withColumn("hi", F.max("node").over(entry)).filter("lo <> hi")
+    shared = settled(shared.select("node", "need", "entry").distinct())
+    # a set that shares fewer entries with all others than a link needs with one has no link
+    enough = settled(shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).filter("n >= need").select("node"))
+    met = shared.join(enough, "node", "left_semi").select("node", "entry").withColumn("first", F.min("node").over(entry))
     clusters = connected_components(met.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
     roles = sets.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).select(node("s1", F.col("class") - F.col("upper")).alias("node"), "rep", "upper")
     members = settled(clusters.join(roles, "node").select("component", "rep", "upper"))
