@@ -159,7 +159,7 @@ def _describe(n: int, num: int, den: int):
     return run
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], grams_a_fragment: int = 2048) -> np.ndarray:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], grams_a_fragment: int = 1024) -> np.ndarray:
     """|x & y| for all x of left, y of right: partial overlaps of fragments of the common n-grams, summed."""
     lg, rg = np.concatenate(left), np.concatenate(right)
     li, ri = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
@@ -176,8 +176,22 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], grams_a_fragment:
         return at[order], rows[order]
 
     (la, lr), (ra, rr) = placed(lg, li), placed(rg, ri)
-    for lo in range(0, len(common), grams_a_fragment):
-        width = min(grams_a_fragment, len(common) - lo)
+    nl, nr = np.bincount(la, minlength=len(common)), np.bincount(ra, minlength=len(common))
+    rare = nl * nr <= 64
+    # rare n-grams: their few pairs one by one, so many left occurrences at a time
+    start = np.cumsum(nr) - nr
+    own = np.flatnonzero(rare[la])
+    for lo in range(0, len(own), 1 << 16):
+        at, row = la[own[lo : lo + (1 << 16)]], lr[own[lo : lo + (1 << 16)]]
+        times = nr[at]
+        each = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        pairs = np.repeat(row, times) * len(right) + rr[np.repeat(start[at], times) + each]
+        total += np.bincount(pairs, minlength=total.size).reshape(total.shape).astype(np.float32)
+    # the others: fragment by fragment as matrix products
+    rank = np.cumsum(~rare) - 1
+    (la, lr), (ra, rr) = ((rank[at[~rare[at]]], rows[~rare[at]]) for at, rows in ((la, lr), (ra, rr)))
+    for lo in range(0, int((~rare).sum()), grams_a_fragment):
+        width = min(grams_a_fragment, int((~rare).sum()) - lo)
         x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
         a, b = np.searchsorted(la, [lo, lo + width])
         x[lr[a:b], la[a:b] - lo] = 1
@@ -217,7 +231,7 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text", block: int = 512) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text", block: int = 2048) -> DataFrame:
     """`doc_id, n_shingles, component_id` per row: size of its set of word n-grams and the smallest linked id.
 
     Two documents link when den * |x & y| >= num * |x | y|. Null, empty and blank texts have no n-grams, link with
