@@ -87,7 +87,7 @@ def span_hashes(data, begin, end):
         if not _POWERS or len(_POWERS[0]) < n:
             powers = []
             for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-                p = np.full(max(n, 1 << 22), base, np.uint64)
+                p = np.full(max(n, 1 << 21), base, np.uint64)
                 p[0] = 1
                 powers.append(np.multiply.accumulate(p, out=p))
             _POWERS[:] = [*powers, mixed(np.arange(256, dtype=np.uint64), 0x5851F42D4C957F2D)]
@@ -125,7 +125,7 @@ class CachedTokenizer:
     Ids are returned as little-endian uint32 bytes.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 450_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -223,7 +223,7 @@ class CachedTokenizer:
         whole = tokens.tobytes()
         return [whole[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
-    def encode(self, texts: list[str | None], batch_chars: int = 3 << 20) -> list[bytes]:
+    def encode(self, texts: list[str | None], batch_chars: int = 2 << 20) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         odd = [i for i, t in enumerate(texts) if t and self._odd(t)]
         skip, some, size = set(odd), [], 0
