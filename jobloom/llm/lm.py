@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import crc_fold, settled, text_bytes, written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-DEPTH = 6
+DEPTH = 7
 RESOLUTION = 1 << 19
 #: Contexts this long share a bucket of the counting shuffle; shorter ones are rolled up from theirs.
 _SPLIT = 4
