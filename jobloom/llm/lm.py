@@ -5,8 +5,9 @@ word base, byte by byte. A byte is coded as eight binary decisions; a node of th
 (d = 0..depth) together with the bits of the byte seen so far, and keeps how often 0 and 1 followed in training. A
 node's weighted probability is the even mixture of its own Krichevsky-Trofimov estimate and the product of its
 children's (the contexts one byte longer), so all depths are mixed with posterior weights. Every training byte is
-counted. Nodes with less than 1 / 2**19 of the training bytes are then left to a child "other contexts" of
-their parent: at most 8 * 2**19 nodes a depth can exist for any corpus, and the tree resolves alike at every size.
+counted and every context that occurs has its nodes. The tree stays distributed: contexts of four bytes and more live
+in the bucket of their last four, and blocks of documents ask the buckets for their distinct grams. Only the nodes of
+contexts up to three bytes meet in one place, at most 255 * 256**3 of them whatever the corpus.
 
 Packed grams hold the context most recent byte first, then the byte it predicts in the lowest place, so sorted grams
 have the shorter contexts sorted too.
@@ -20,12 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, settled, text_bytes, written
+from .common import crc_fold, text_bytes, written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 DEPTH = 7
-RESOLUTION = 1 << 19
-#: Contexts this long share a bucket of the counting shuffle; shorter ones are rolled up from theirs.
+#: Contexts this long share a bucket; shorter ones are rolled up from theirs.
 _SPLIT = 4
 _U8 = np.uint64(8)
 _BYTE = np.uint64(255)
@@ -160,140 +160,174 @@ class ContextTree:
         return total
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Integers as planes of equal bytes, which the shuffle's compression makes small."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+def _bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each gram by its last four bytes of context."""
+    with np.errstate(over="ignore"):
+        return ((grams >> np.uint64(8 * (DEPTH + 1 - _SPLIT))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
 
 
-def _unplaned(raw: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+def _chunks(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about that many bytes."""
+    lo = 0
+    while lo < len(texts):
+        hi, n = lo, 0
+        while hi < len(texts) and n < size:
+            n += len(texts[hi]) + 1
+            hi += 1
+        yield lo, hi
+        lo = hi
 
 
-def _count_grams(buckets: int, flush_at: int = 3_000_000):
-    """Distinct grams of a task with counts, one row a bucket of four-byte contexts: (bucket, gaps, counts)."""
+def _block_grams(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a block in order, with their counts in its training documents (0: only held out)."""
+    grams, counts = [], []
+    for lo, hi in _chunks(texts):
+        for side in (False, True):
+            g, n = counted(packed_grams([t for t, h in zip(texts[lo:hi], held[lo:hi], strict=True) if h == side])[0])
+            grams.append(g)
+            counts.append(np.zeros_like(n) if side else n)
+    return counted(np.concatenate(grams), np.concatenate(counts))
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
 
-        held_g, held_n, held = [], [], 0
-
-        def rows():
-            grams, counts = counted(np.concatenate(held_g), np.concatenate(held_n))
-            with np.errstate(over="ignore"):
-                bucket = ((grams >> np.uint64(8 * (DEPTH + 1 - _SPLIT))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            grams, counts, bucket = grams[order], counts[order], bucket[order]
-            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            out = []
-            for a, b in zip(at, [*at[1:], len(bucket)], strict=True):
-                out.append((int(bucket[a]), _planes(np.diff(grams[a:b], prepend=np.uint64(0))), _planes(counts[a:b].astype(np.uint32))))
-            held_g.clear()
-            held_n.clear()
-            return pd.DataFrame(out, columns=["bucket", "gaps", "counts"])
-
-        docs, size = [], 0
-
-        def take():
-            nonlocal held, size
-            g, n = counted(packed_grams(docs)[0])
-            held_g.append(g)
-            held_n.append(n)
-            held += len(g)
-            docs.clear()
-            size = 0
+_KT = _log_kt(*np.meshgrid(np.arange(64.0), np.arange(64.0), indexing="ij"))
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                for d in streams(batch.slice(lo, 256).column(0).to_pylist()):
-                    docs.append(d)
-                    size += len(d)
-                if size > 3 << 20:
-                    take()
-                if held > flush_at:
-                    g, n = counted(np.concatenate(held_g), np.concatenate(held_n))
-                    held_g[:], held_n[:], held = [g], [n], len(g)
-                    if held > flush_at * 2 // 3:
-                        yield rows()
-                        held = 0
-        if docs:
-            take()
-        if held:
-            yield rows()
-
-    def arrow(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for frame in run(batches):
-            yield pa.RecordBatch.from_pandas(frame, schema=pa.schema([("bucket", pa.int32()), ("gaps", pa.binary()), ("counts", pa.binary())]), preserve_index=False)
+def _quick_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """_log_kt, small counts from a table."""
+    out = _KT[np.minimum(zeros, 63), np.minimum(ones, 63)]
+    big = np.flatnonzero((zeros > 63) | (ones > 63))
+    out[big] = _log_kt(zeros[big].astype(float), ones[big].astype(float))
+    return out
 
-    return arrow
 
+def _mixed(zeros: np.ndarray, ones: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted log probability of nodes, and the share of their own estimate in it."""
+    own = _quick_kt(zeros, ones)
+    below = np.logaddexp(own, split) - np.log(2)
+    return below, np.exp(own - np.log(2) - below)
+
+
+class Branches:
+    """All nodes of a bucket's contexts, from DEPTH bytes down to _SPLIT; grams that only held-out documents have count 0."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        """Distinct sorted grams and their counts."""
+        self.levels, self.ups = [(grams, counts)], []
+        for _ in range(DEPTH, _SPLIT - 1, -1):
+            short, up = np.unique(shortened(self.levels[-1][0]), return_inverse=True)
+            self.ups.append(up)
+            self.levels.append((short, np.bincount(up, self.levels[-1][1], len(short)).astype(np.int64)))
+
+    def weighed(self, bit: int):
+        """Per depth (node of each gram, zeros, ones, share, node one byte shorter); and keys, zeros, ones, children's log probability at _SPLIT - 1."""
+        out, below, before, mask = [], None, None, np.uint64(7 - bit)
+        for k, (grams, counts) in enumerate(self.levels):
+            path = grams >> np.uint64(8 - bit)
+            new = np.ones(len(grams), bool)
+            new[1:] = path[1:] != path[:-1]
+            first, node = np.flatnonzero(new), np.cumsum(new) - 1
+            ones = np.add.reduceat(np.where((grams >> mask & np.uint64(1)).astype(bool), counts, 0), first)
+            zeros = np.add.reduceat(counts, first) - ones
+            if k:
+                up = node[self.ups[k - 1][before]]
+                split = np.bincount(up, below, len(first))
+                out[-1] = (*out[-1], up)
+            if k == len(self.levels) - 1:
+                own = grams[first]
+                return out, (own & ~_BYTE | (own & _BYTE) >> np.uint64(8 - bit) | np.uint64(1 << bit), zeros, ones, split)
+            below, share = _mixed(zeros, ones, split) if k else (_quick_kt(zeros, ones), np.ones(len(first)))
+            out.append((node, zeros, ones, share))
+            before = first
+
+    def roots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, zeros, ones and children's log probability of the nodes of _SPLIT - 1 bytes, as far as this bucket adds to them."""
+        keys, zeros, ones, split = (np.concatenate(x) for x in zip(*(self.weighed(bit)[1] for bit in range(8)), strict=True))
+        return keys, zeros, ones, split
+
+    def log10(self, stem: Stem) -> np.ndarray:
+        """log10 P(byte | context) of the grams, in their order."""
+        grams = self.levels[0][0]
+        total = np.zeros(len(grams))
+        for bit in range(8):
+            depths, (keys, *_) = self.weighed(bit)
+            at = np.searchsorted(stem.keys, keys)
+            given, left = stem.given[at], stem.left[at]
+            for _, zeros, ones, share, up in reversed(depths):
+                given, left = given[up], left[up]
+                given, left = given + left * share * (ones + 0.5) / (zeros + ones + 1), left * (1 - share)
+            p = given[depths[0][0]]
+            total += np.log10(np.where((grams >> np.uint64(7 - bit) & np.uint64(1)).astype(bool), p, 1 - p))
+        return total
 
-def _bucket_nodes(least: int):
-    """Kept nodes of contexts of four bytes and more in a bucket, and its grams of three (depth -1), which other buckets add to."""
 
-    def run(key, pdf):
-        import pandas as pd
+class Stem:
+    """The nodes of contexts up to _SPLIT - 1 bytes: what they give to P(1) at each of the longest, and the weight they leave."""
 
-        grams = np.concatenate([np.cumsum(_unplaned(x, np.uint64), dtype=np.uint64) for x in pdf["gaps"]])
-        counts = np.concatenate([_unplaned(x, np.uint32).astype(np.int64) for x in pdf["counts"]])
-        grams, counts = counted(grams, counts)
-        parts = []
-        for d in range(DEPTH, _SPLIT - 1, -1):
-            k, z, o = nodes_of(grams, counts, least)
-            parts.append((np.full(len(k), d, np.int8), k, z, o))
-            grams, counts = counted(shortened(grams), counts)
-        parts.append((np.full(len(grams), -1, np.int8), grams, counts, np.zeros(len(grams), np.int64)))
-        d, k, z, o = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pd.DataFrame({"d": d, "k": k.view(np.int64), "n0": z, "n1": o})
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, split: np.ndarray):
+        """Sorted keys with zeros, ones and the children's log probability."""
+        self.keys, levels = keys, []
+        for d in range(_SPLIT - 1, -1, -1):
+            below, share = _mixed(zeros, ones, split)
+            short, up = np.unique(shortened(keys), return_inverse=True) if d else (keys, None)
+            levels.append((share * (ones + 0.5) / (zeros + ones + 1), share, up))
+            if d:
+                keys, split = short, np.bincount(up, below, len(short))
+                zeros, ones = (np.bincount(up, x, len(short)).astype(np.int64) for x in (zeros, ones))
+        self.given, self.left = np.zeros(len(keys)), np.ones(len(keys))
+        for part, share, up in reversed(levels):
+            if up is not None:
+                self.given, self.left = self.given[up], self.left[up]
+            self.given, self.left = self.given + self.left * part, self.left * (1 - share)
 
-    return run
 
+def _planes(values: np.ndarray) -> bytes:
+    """Integers as planes of equal bytes, which the shuffle's compression makes small."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
 
-def train_tree(train: DataFrame, text: str = "text", resolution: int = RESOLUTION, bucket_bytes: int = 8 << 20) -> ContextTree:
-    """Counts grams on Spark, makes nodes where their contexts meet, and weights the kept nodes on the driver.
 
-    What reaches the driver is bounded whatever the corpus: the nodes of one depth that have the same number of bits
-    split the training bytes among them, and only those with at least 1 / resolution of the bytes are kept.
-    """
-    rows = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = text_bytes(rows) + 1
-    least, buckets = max(1, -(-size // resolution)), max(1, -(-size // bucket_bytes))
-    grams = rows.mapInArrow(_count_grams(buckets), "bucket int, gaps binary, counts binary")
-    nodes = written(grams.groupBy("bucket").applyInPandas(_bucket_nodes(least), "d byte, k long, n0 long, n1 long"))
-    tree = [_gathered(nodes.filter(F.col("d") == d)) for d in range(_SPLIT, DEPTH + 1)]
-    # three bytes of context and less: at most 256 ** 4 rows, whatever the corpus, added up on Spark level by level
-    level = nodes.filter("d = -1").groupBy(F.col("k").alias("gram")).agg(F.sum("n0").alias("n"))
-    for d in range(_SPLIT - 1, -1, -1):
-        if d < _SPLIT - 1:
-            short = F.shiftleft(F.shiftrightunsigned("gram", 16), 8).bitwiseOR(F.col("gram").bitwiseAND(F.lit(255)))
-            level = level.groupBy(short.alias("gram")).agg(F.sum("n").alias("n"))
-        level = settled(level)
-        tree.insert(0, _gathered(level.groupBy(F.pmod(F.shiftrightunsigned("gram", 8), F.lit(64)).alias("part")).applyInPandas(_level_nodes(least), "k long, n0 long, n1 long")))
-    if not len(tree[0][0]):
-        tree = [(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64))] * (DEPTH + 1)  # nothing learnt: every bit is even
-    return ContextTree(tree)
-
-
-def _gathered(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kept nodes of one depth on the driver, sorted by key."""
-    table = nodes.select("k", "n0", "n1").toArrow()
-    k = table.column("k").to_numpy().view(np.uint64)
-    order = np.argsort(k)
-    return k[order], table.column("n0").to_numpy()[order], table.column("n1").to_numpy()[order]
-
-
-def _level_nodes(least: int):
-    def run(pdf):
-        import pandas as pd
+def _unplaned(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+
+
+def _merged_grams(gaps, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Distinct grams of a bucket's blocks with their counts; the place of each block's grams among them, block after block; and the blocks' sizes."""
+    each = [np.cumsum(_unplaned(x, np.uint64), dtype=np.uint64) for x in gaps]
+    grams, inverse = np.unique(np.concatenate(each), return_inverse=True)
+    n = np.bincount(inverse, np.concatenate([_unplaned(x, np.uint32) for x in counts]), len(grams)).astype(np.int64)
+    return grams, n, inverse, [len(x) for x in each]
+
 
-        k, z, o = nodes_of(*counted(pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64)), least)
-        return pd.DataFrame({"k": k.view(np.int64), "n0": z, "n1": o})
+def _gram_values(shared):
+    """log10 P of each block's grams in a bucket, in their order: (kind 1, bucket, block, values)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1).to_pylist()[0]
+                grams, counts, inverse, sizes = _merged_grams(one["gaps"], one["n"])
+                values = Branches(grams, counts).log10(shared.value).astype(np.float32)[inverse]
+                parts = np.split(values, np.cumsum(sizes)[:-1])
+                blocks = len(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([1] * blocks, pa.int32()), pa.array([one["bucket"]] * blocks, pa.int32()), pa.array(one["blocks"], pa.int32()), pa.array([_planes(x) for x in parts], pa.binary())],
+                    ["kind", "bucket", "block", "data"],
+                )
 
     return run
 
 
+def _stem(merged: DataFrame) -> Stem:
+    """The short contexts' nodes, added up over buckets on Spark."""
+    lists = merged.filter("kind = 1").select(F.explode(F.arrays_zip("keys", "zeros", "ones", "split")).alias("x"))
+    sums = lists.groupBy("x.keys").agg(F.sum("x.zeros").alias("zeros"), F.sum("x.ones").alias("ones"), F.sum("x.split").alias("split")).toArrow()
+    keys = sums.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return Stem(keys[order], *(sums.column(k).to_numpy()[order] for k in (1, 2, 3)))
+
+
 def _shelves(words, buckets: int) -> dict[int, list[bytes]]:
     """Distinct words by the bucket of their checksum, each bucket in byte order: the same for the same words everywhere."""
     import zlib
@@ -304,8 +338,8 @@ def _shelves(words, buckets: int) -> dict[int, list[bytes]]:
     return out
 
 
-def _words_of_block(buckets: int):
-    """Distinct words of a block of documents with their counts in its training ones (0: only held out), a row a bucket; the end is the word "\\n"."""
+def _parts_of_block(buckets: int):
+    """A block's distinct words (kind 0) and grams (kind 1) with their counts in its training documents (0: only held out), a row a bucket; the end is the word "\\n"."""
 
     def run(key, pdf):
         from collections import Counter
@@ -313,7 +347,8 @@ def _words_of_block(buckets: int):
         import pandas as pd
 
         train, every = Counter(), {b"\n"}
-        for text, held in zip(streams(pdf["text"].tolist()), pdf["held_out"].tolist(), strict=True):
+        texts, held_out = streams(pdf["text"].tolist()), pdf["held_out"].tolist()
+        for text, held in zip(texts, held_out, strict=True):
             words = text.split()
             if held:
                 every.update(words)
@@ -323,36 +358,58 @@ def _words_of_block(buckets: int):
         every.update(train)
         rows = []
         for bucket, words in _shelves(every, buckets).items():
-            rows.append((bucket, int(key[0]), b" ".join(words), _planes(np.array([train.get(w, 0) for w in words], np.uint64))))
-        return pd.DataFrame(rows, columns=["bucket", "block", "words", "counts"])
+            rows.append((0, bucket, int(key[0]), b" ".join(words), _planes(np.array([train.get(w, 0) for w in words], np.uint64))))
+        grams, counts = _block_grams(texts, held_out)
+        bucket = _bucket_of(grams, buckets)
+        order = np.argsort(bucket, kind="stable")
+        grams, counts, bucket = grams[order], counts[order], bucket[order]
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for a, b in zip(at, [*at[1:], len(bucket)], strict=True):
+            rows.append((1, int(bucket[a]), int(key[0]), _planes(np.diff(grams[a:b], prepend=np.uint64(0))), _planes(counts[a:b].astype(np.uint32))))
+        return pd.DataFrame(rows, columns=["kind", "bucket", "block", "data", "counts"])
 
     return run
 
 
+_MERGED = (
+    "kind int, bucket int, block int, data binary, tokens long, vocabulary long, "
+    "blocks array<int>, gaps array<binary>, n array<binary>, keys array<long>, zeros array<long>, ones array<long>, split array<double>"
+)
+
+
 def _merge_bucket(key, pdf):
-    """Corpus counts of a bucket's words, sent back to each block in its order; and the bucket's sums as block -1."""
+    """Words: corpus counts sent back to each block in its order, and sums as block -1. Grams: one row of all blocks' grams, with what they add to the short contexts."""
     import pandas as pd
 
+    names = [x.split()[0] for x in _MERGED.split(", ")]
+    kind, bucket = int(key[0]), int(key[1])
+    if kind:
+        grams, counts, _, _ = _merged_grams(pdf["data"], pdf["counts"])
+        keys, zeros, ones, split = Branches(grams, counts).roots()
+        row = (1, bucket, -1, b"", 0, 0, pdf["block"].tolist(), pdf["data"].tolist(), pdf["counts"].tolist(), keys.view(np.int64), zeros, ones, split)
+        return pd.DataFrame([row], columns=names)
     total: dict[bytes, int] = {}
     lists = []
-    for words, counts in zip(pdf["words"], pdf["counts"], strict=True):
+    for words, counts in zip(pdf["data"], pdf["counts"], strict=True):
         ws, ns = words.split(b" "), _unplaned(counts, np.uint64).tolist()
         lists.append(ws)
         for w, n in zip(ws, ns, strict=True):
             total[w] = total.get(w, 0) + n
-    rows = [(int(b), int(key[0]), _planes(np.array([total[w] for w in ws], np.uint64)), 0, 0) for b, ws in zip(pdf["block"], lists, strict=True)]
-    rows.append((-1, int(key[0]), b"", sum(total.values()), sum(1 for n in total.values() if n)))
-    return pd.DataFrame(rows, columns=["block", "bucket", "counts", "tokens", "vocabulary"])
+    none = (None,) * 7
+    rows = [(0, bucket, int(b), _planes(np.array([total[w] for w in ws], np.uint64)), 0, 0, *none) for b, ws in zip(pdf["block"], lists, strict=True)]
+    rows.append((0, bucket, -1, b"", sum(total.values()), sum(1 for n in total.values() if n), *none))
+    return pd.DataFrame(rows, columns=names)
 
 
-def _score_block(tree, total: int, vocabulary: int, buckets: int):
+def _score_block(total: int, vocabulary: int, buckets: int):
     def run(key, docs, found):
         import pandas as pd
 
         texts = streams(docs["text"].tolist())
         shelves = _shelves({b"\n"}.union(*(t.split() for t in texts)), buckets)
         known: dict[bytes, int] = {}
-        for bucket, counts in zip(found["bucket"].tolist(), found["counts"], strict=True):
+        words = found[found["kind"] == 0]
+        for bucket, counts in zip(words["bucket"].tolist(), words["data"], strict=True):
             known.update(zip(shelves[bucket], _unplaned(counts, np.uint64).tolist(), strict=True))
         scale = np.log10(total + 0.5 * (vocabulary + 1))
         value = dict(zip(known, np.log10(np.array([*known.values()], float) + 0.5).tolist(), strict=True))
@@ -364,16 +421,14 @@ def _score_block(tree, total: int, vocabulary: int, buckets: int):
             n_tokens[k] = len(tokens)
             n_known[k] = len(tokens) - list(map(known.__getitem__, tokens)).count(0)
             base[k] = sum(map(value.__getitem__, tokens)) - len(tokens) * scale
-        lo = 0
-        while lo < n:
-            hi, size = lo, 0
-            while hi < n and (size < 6 << 20 or hi == lo):
-                size += len(texts[hi])
-                hi += 1
-            grams, sizes = packed_grams(texts[lo:hi])
-            u, inverse = np.unique(grams, return_inverse=True)
-            score[lo:hi] = np.add.reduceat(tree.value.log10(u)[inverse], np.cumsum(sizes) - sizes)
-            lo = hi
+        grams = _block_grams(texts, docs["held_out"].tolist())[0]
+        answers = found[found["kind"] == 1].sort_values("bucket")["data"]
+        log10 = np.empty(len(grams))
+        log10[np.argsort(_bucket_of(grams, buckets), kind="stable")] = np.concatenate([_unplaned(x, np.float32) for x in answers])
+        for lo, hi in _chunks(texts):
+            own, sizes = packed_grams(texts[lo:hi])
+            u, inverse = np.unique(own, return_inverse=True)
+            score[lo:hi] = np.add.reduceat(log10[np.searchsorted(grams, u)][inverse], np.cumsum(sizes) - sizes)
         n_bytes = np.array([len(t) + 1 for t in texts], np.int64)
         return pd.DataFrame({
             "doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(n, total), "base_score": base,
@@ -383,26 +438,30 @@ def _score_block(tree, total: int, vocabulary: int, buckets: int):
     return run
 
 
-def score_documents(docs: DataFrame, held_fold: int = 1, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_fold: int = 1, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 40 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Per row: fold, word counts, the word base and the tree's log10 probability and code length per byte.
 
-    Words are counted over all training documents and joined back per block of documents, so the vocabulary never meets
-    in one place; the tree is broadcast within its proven bound. Null and blank texts are the end alone. Null ids
+    Words and grams are counted over all training documents in buckets and joined back per block of documents, so
+    neither the vocabulary nor the tree meets in one place; the short contexts' nodes alone are broadcast. A gram's
+    log10 P comes back as a 32-bit float and is added up in 64 bits. Null and blank texts are the end alone. Null ids
     train and are not held out. Repeated rows count each; other columns are not read. Without training documents all
     counts are 0 and the tree gives every bit one half. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("held_out", crc_fold("doc_id") == held_fold)
-    shared = spark.sparkContext.broadcast(train_tree(rows.filter("NOT held_out")))
-    blocks = max(1, -(-text_bytes(rows) // block_bytes))
+    size = text_bytes(rows)
+    blocks, buckets = (max(1, -(-size // x)) for x in (block_bytes, bucket_bytes))
     # by id and text: copies of one text under many ids spread, and so do rows that repeat an id
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-    shelves = rows.groupBy("block").applyInPandas(_words_of_block(blocks), "bucket int, block int, words binary, counts binary")
-    counts = written(shelves.groupBy("bucket").applyInPandas(_merge_bucket, "block int, bucket int, counts binary, tokens long, vocabulary long"))
-    total, vocabulary = counts.filter("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
+    parts = rows.groupBy("block").applyInPandas(_parts_of_block(buckets), "kind int, bucket int, block int, data binary, counts binary")
+    merged = written(parts.groupBy("kind", "bucket").applyInPandas(_merge_bucket, _MERGED))
+    total, vocabulary = merged.filter("kind = 0 AND block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
+    shared = spark.sparkContext.broadcast(_stem(merged))
+    values = merged.filter("kind = 1").select("bucket", "blocks", "gaps", "n").mapInArrow(_gram_values(shared), "kind int, bucket int, block int, data binary")
+    found = merged.filter("kind = 0 AND block >= 0").select("kind", "bucket", "block", "data").unionByName(values)
     return (
-        rows.groupBy("block").cogroup(counts.filter("block >= 0").select("block", "bucket", "counts").groupBy("block"))
-        .applyInPandas(_score_block(shared, total, vocabulary, blocks), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+        rows.groupBy("block").cogroup(found.groupBy("block"))
+        .applyInPandas(_score_block(total, vocabulary, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     )
 
 
