@@ -166,7 +166,7 @@ def _bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
         return ((grams >> np.uint64(8 * (DEPTH + 1 - _SPLIT))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
 
 
-def _chunks(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[bytes], size: int = 3 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about that many bytes."""
     lo = 0
     while lo < len(texts):
@@ -180,15 +180,29 @@ def _chunks(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]
 
 def _block_grams(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of a block in order, with their counts in its training documents (0: only held out)."""
-    grams, counts = [], []
+    grams, counts, size = [], [], 0
     for lo, hi in _chunks(texts):
         for side in (False, True):
             g, n = counted(packed_grams([t for t, h in zip(texts[lo:hi], held[lo:hi], strict=True) if h == side])[0])
             grams.append(g)
-            counts.append(np.zeros_like(n) if side else n)
+            counts.append(np.zeros(len(n), np.uint32) if side else n.astype(np.uint32))
+            size += len(g)
+        if size > 2 * len(grams[0]) + 3_000_000:
+            g, n = counted(np.concatenate(grams), np.concatenate(counts))
+            grams, counts, size = [g], [n], len(g)
     return counted(np.concatenate(grams), np.concatenate(counts))
 
 
+def _block_values(texts: list[bytes], grams: np.ndarray, log10: np.ndarray) -> np.ndarray:
+    """Sums of the grams' values a document."""
+    score = np.zeros(len(texts))
+    for lo, hi in _chunks(texts):
+        own, sizes = packed_grams(texts[lo:hi])
+        u, inverse = np.unique(own, return_inverse=True)
+        score[lo:hi] = np.add.reduceat(log10[np.searchsorted(grams, u)].astype(float)[inverse], np.cumsum(sizes) - sizes)
+    return score
+
+
 _KT = _log_kt(*np.meshgrid(np.arange(64.0), np.arange(64.0), indexing="ij"))
 
 
@@ -414,7 +428,7 @@ def _score_block(total: int, vocabulary: int, buckets: int):
         scale = np.log10(total + 0.5 * (vocabulary + 1))
         value = dict(zip(known, np.log10(np.array([*known.values()], float) + 0.5).tolist(), strict=True))
         n = len(docs)
-        base, score, n_tokens, n_known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        base, n_tokens, n_known = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for k, t in enumerate(texts):
             tokens = t.split()
             tokens.append(b"\n")
@@ -423,12 +437,9 @@ def _score_block(total: int, vocabulary: int, buckets: int):
             base[k] = sum(map(value.__getitem__, tokens)) - len(tokens) * scale
         grams = _block_grams(texts, docs["held_out"].tolist())[0]
         answers = found[found["kind"] == 1].sort_values("bucket")["data"]
-        log10 = np.empty(len(grams))
+        log10 = np.empty(len(grams), np.float32)
         log10[np.argsort(_bucket_of(grams, buckets), kind="stable")] = np.concatenate([_unplaned(x, np.float32) for x in answers])
-        for lo, hi in _chunks(texts):
-            own, sizes = packed_grams(texts[lo:hi])
-            u, inverse = np.unique(own, return_inverse=True)
-            score[lo:hi] = np.add.reduceat(log10[np.searchsorted(grams, u)][inverse], np.cumsum(sizes) - sizes)
+        score = _block_values(texts, grams, log10)
         n_bytes = np.array([len(t) + 1 for t in texts], np.int64)
         return pd.DataFrame({
             "doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(n, total), "base_score": base,
@@ -438,7 +449,7 @@ def _score_block(total: int, vocabulary: int, buckets: int):
     return run
 
 
-def score_documents(docs: DataFrame, held_fold: int = 1, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 40 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_fold: int = 1, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 20 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Per row: fold, word counts, the word base and the tree's log10 probability and code length per byte.
 
     Words and grams are counted over all training documents in buckets and joined back per block of documents, so
