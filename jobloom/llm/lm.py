@@ -15,6 +15,7 @@ have the shorter contexts sorted too.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,7 +188,7 @@ def _block_grams(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.n
             grams.append(g)
             counts.append(np.zeros(len(n), np.uint32) if side else n.astype(np.uint32))
             size += len(g)
-        if size > 2 * len(grams[0]) + 3_000_000:
+        if size > len(grams[0]) + 3_000_000:
             g, n = counted(np.concatenate(grams), np.concatenate(counts))
             grams, counts, size = [g], [n], len(g)
     return counted(np.concatenate(grams), np.concatenate(counts))
@@ -295,13 +296,13 @@ class Stem:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Integers as planes of equal bytes, which the shuffle's compression makes small."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    """Integers as packed planes of equal bytes."""
+    return zlib.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
 
 
 def _unplaned(raw: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+    return np.frombuffer(zlib.decompress(raw), np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
 
 
 def _merged_grams(gaps, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -344,8 +345,6 @@ def _stem(merged: DataFrame) -> Stem:
 
 def _shelves(words, buckets: int) -> dict[int, list[bytes]]:
     """Distinct words by the bucket of their checksum, each bucket in byte order: the same for the same words everywhere."""
-    import zlib
-
     out: dict[int, list[bytes]] = {}
     for w in sorted(words):
         out.setdefault(zlib.crc32(w) % buckets, []).append(w)
@@ -420,7 +419,10 @@ def _score_block(total: int, vocabulary: int, buckets: int):
         import pandas as pd
 
         texts = streams(docs["text"].tolist())
-        shelves = _shelves({b"\n"}.union(*(t.split() for t in texts)), buckets)
+        every = {b"\n"}
+        for t in texts:
+            every.update(t.split())
+        shelves = _shelves(every, buckets)
         known: dict[bytes, int] = {}
         words = found[found["kind"] == 0]
         for bucket, counts in zip(words["bucket"].tolist(), words["data"], strict=True):
@@ -449,7 +451,7 @@ def _score_block(total: int, vocabulary: int, buckets: int):
     return run
 
 
-def score_documents(docs: DataFrame, held_fold: int = 1, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 20 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_fold: int = 1, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 28 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Per row: fold, word counts, the word base and the tree's log10 probability and code length per byte.
 
     Words and grams are counted over all training documents in buckets and joined back per block of documents, so
