@@ -68,16 +68,16 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
 
 def reply_pairs(turns: DataFrame) -> DataFrame:
-    """`conv_id, chosen, rejected`: conversations with a reply, against themselves with the last reply of the neighbour (id with the last bit turned) in its place.
+    """`conv_id, chosen, rejected`: every conversation, against itself with the last reply of the neighbour (id with the last bit turned) in its place.
 
-    Conversations without an assistant turn, and those whose neighbour has none, give no pair.
+    Without an assistant turn, or where the neighbour is missing or has none, the rejected side is null.
     """
-    convs = conversation_turns(turns)
     at = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i).otherwise(-1)))
-    convs = convs.withColumn("at", at).filter("at >= 0")
-    other = convs.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.get("turns", F.col("at"))["text"].alias("reply"))
+    convs = conversation_turns(turns).withColumn("at", at)
+    other = convs.filter("at >= 0").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.get("turns", F.col("at"))["text"].alias("reply"))
     swapped = F.transform("turns", lambda t, i: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.when(i == F.col("at"), F.col("reply")).otherwise(t["text"]).alias("text")))
-    return convs.join(other, "conv_id").select("conv_id", F.col("turns").alias("chosen"), swapped.alias("rejected"))
+    rejected = F.when((F.col("at") >= 0) & F.col("reply").isNotNull(), swapped)
+    return convs.join(other, "conv_id", "left").select("conv_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
