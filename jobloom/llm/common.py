@@ -114,6 +114,21 @@ def _byte_chars() -> dict[int, str]:
 
 BYTE_CHARS = _byte_chars()
 LETTER_CHARS = {b: c for b, c in BYTE_CHARS.items() if b >= 0x7F}
+MARK_CHARS = ".,;:!?"
+
+
+def _byte_classes():
+    """By byte: 2 for a text's end, blank and newline, 1 for other ASCII white space; a mark's rank from 1; whether it is an ASCII letter."""
+    import numpy as np
+
+    cuts, marks, letters = np.zeros(256, np.uint8), np.zeros(256, np.int64), np.zeros(256, bool)
+    cuts[[9, 11, 12, 13]], cuts[[0, 10, 32]] = 1, 2
+    marks[[ord(m) for m in MARK_CHARS]] = np.arange(1, len(MARK_CHARS) + 1)
+    letters[[*range(65, 91), *range(97, 123)]] = True
+    return cuts, marks, letters
+
+
+_CUTS, _MARKS, _LETTERS = _byte_classes()
 
 
 class CachedTokenizer:
@@ -121,11 +136,12 @@ class CachedTokenizer:
 
     Both supported layouts pre-split at white space, so a chunk between blanks always gets the same ids;
     texts where that would not hold (runs of blanks for the byte-level file, control separators, strings of
-    special tokens) go through the library whole. Special-token strings in a text are ordinary text.
-    Ids are returned as little-endian uint32 bytes.
+    special tokens) go through the library whole. A mark behind an ASCII letter ends its chunk in both layouts and is
+    looked up by itself. Special-token strings in a text are ordinary text. Ids are returned as little-endian uint32
+    bytes. The cache holds two generations of at most `keep` chunks each; a chunk found in the older one moves up.
     """
 
-    def __init__(self, path: str, keep: int = 450_000):
+    def __init__(self, path: str, keep: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,10 +152,11 @@ class CachedTokenizer:
         self.lib.encode_special_tokens = True
         self.by_space = self.lib.normalizer is None  # byte level: a blank belongs to the chunk behind it
         self.packed = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size(with_added_tokens=True))]
-        self.mark = {m: self._ids([m])[0] for m in ".,;:!?"}
+        self.mark = {m: self._ids([m])[0] for m in MARK_CHARS}
         self.newline = self._ids(["\n"])[0]
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        #: Young and old chunks with a blank before them (bytes to bytes of ids), and without one.
+        self.tails: list[dict[bytes, bytes]] = [{}, {}]
+        self.heads: list[dict[bytes, bytes]] = [{}, {}]
         self.keep = keep
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -147,28 +164,30 @@ class CachedTokenizer:
 
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict[str, bytes], new: list[str], lead: str) -> None:
-        """Adds chunks to a cache: words, and words with one mark behind, straight from the library's model; others from the whole library."""
-        if len(cache) > self.keep:
-            cache.clear()
-        words, marked, other = [], [], []
-        for c in new:
-            if (m := LATIN(c)) is None:
-                other.append(c)
-            elif m[2]:
-                marked.append((c, m[1], m[2]))
-            else:
-                words.append(c)
-        bare = list(dict.fromkeys([*words, *(w for _, w, _ in marked if w not in cache)]))
-        raw = bare if self.by_space else [w.lower() for w in bare]
-        raw = [w if w.isascii() else w.encode().decode("latin-1").translate(LETTER_CHARS) for w in raw]
-        packed, tokenize, lead_char = self.packed, self.lib.model.tokenize, BYTE_CHARS[0x20] if lead else ""
-        ids = {w: b"".join([packed[t.id] for t in tokenize(lead_char + r)]) for w, r in zip(bare, raw, strict=True)}
-        for w in words:
-            cache[w] = ids[w]
-        for c, w, m in marked:
-            cache[c] = (ids.get(w) or cache[w]) + self.mark[m]
-        cache.update(zip(other, self._ids([lead + c for c in other]), strict=True))
+    def _learned(self, new: list[bytes], lead: str) -> list[bytes]:
+        """Ids of chunks: words straight from the library's model, others from the whole library."""
+        packed, tokenize, mark = self.packed, self.lib.model.tokenize, self.mark
+        begin, lower = (BYTE_CHARS[0x20] if lead else ""), not self.by_space
+        out: list[bytes] = [b""] * len(new)
+        other: list[int] = []
+        for k, raw in enumerate(new):
+            word = raw.decode()
+            m = LATIN(word)
+            if m is None:
+                other.append(k)
+                continue
+            word, end = m.groups()
+            if lower:
+                word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(LETTER_CHARS)
+            found = [packed[t.id] for t in tokenize(begin + word)]
+            if end:
+                found.append(mark[end])
+            out[k] = found[0] if len(found) == 1 else b"".join(found)
+        for k, ids in zip(other, self._ids([lead + new[k].decode() for k in other]), strict=True):
+            out[k] = ids
+        return out
 
     def _odd(self, text: str) -> bool:
         """Whether chunks between blanks could get other ids than the whole text."""
@@ -178,14 +197,21 @@ class CachedTokenizer:
             return not text.isascii() and SPACES(text) is not None or SEPARATORS(text) is not None
         return "  " in text or "\n\n" in text or " \n" in text or text.endswith(" ") or SPACES(text) is not None and SPACE_RUN(text) is not None
 
-    def _ids_of(self, chunks: list[str], cache: dict[str, bytes], lead: str) -> list[bytes]:
-        found = list(map(cache.get, chunks))
-        if None in found:
-            missing = [c for c, f in zip(chunks, found, strict=True) if f is None]
-            if len(cache) > self.keep:
-                missing = chunks  # _learn empties the cache
-            self._learn(cache, missing, lead)
-            found = [cache[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
+    def _ids_of(self, chunks: list[bytes], cache: list[dict[bytes, bytes]], lead: str) -> list[bytes]:
+        """Ids of distinct chunks."""
+        found = list(map(cache[0].get, chunks))
+        places = [k for k, f in enumerate(found) if f is None]
+        if not places:
+            return found
+        if len(cache[0]) > self.keep:
+            cache[:] = [{}, cache[0]]
+        young, old = cache
+        missing = [chunks[k] for k in places]
+        again = list(map(old.get, missing))
+        new = [c for c, f in zip(missing, again, strict=True) if f is None]
+        fresh = iter(self._learned(new, lead))
+        for k, c, f in zip(places, missing, again, strict=True):
+            found[k] = young[c] = next(fresh) if f is None else f
         return found
 
     def _batch(self, texts: list[str]) -> list[bytes]:
@@ -194,24 +220,41 @@ class CachedTokenizer:
 
         raw = "\0".join(texts).encode()
         data = np.frombuffer(raw + b"\0", np.uint8)
-        cut = np.flatnonzero((data == 0) | (data == 32) | (data == 10) if self.by_space else (data <= 32) & ((data == 0) | (data == 32) | (data >= 9) & (data <= 13)))
+        cut = np.flatnonzero(_CUTS[data] == 2 if self.by_space else _CUTS[data] > 0)
         begin, end = np.concatenate([[0], cut[:-1] + 1]), cut
         before = np.concatenate([np.zeros(1, np.uint8), data[cut[:-1]]])
         doc = np.cumsum(before == 0) - 1
-        if self.by_space:
-            kind = np.where(before == 32, 0, np.where(before == 10, 2, 1)).astype(np.uint64)
-        else:
+        kind = np.where(before == 32, 0, np.where(before == 10, 2, 1)).astype(np.uint8) if self.by_space else np.zeros(len(begin), np.uint8)
+        if not self.by_space:
             full = end > begin
-            begin, end, doc = begin[full], end[full], doc[full]
-            kind = np.zeros(len(begin), np.uint64)
-        _, first, place = np.unique(span_hashes(data, begin, end) + kind * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
-        own = kind[first].astype(int).tolist()
-        chunks = [raw[a:b].decode() for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+            begin, end, doc, kind = begin[full], end[full], doc[full], kind[full]
+        # marks behind an ASCII letter: chunks of their own, of kind 3 and more
+        marked = np.flatnonzero(end - begin > 1)
+        last = _MARKS[data[end[marked] - 1]]
+        marked = marked[(last > 0) & _LETTERS[data[end[marked] - 2]]]
+        hashed = np.array(end)
+        hashed[marked] -= 1
+        keys = span_hashes(data, begin, hashed) + kind * np.uint64(0x9E3779B97F4A7C15)
+        _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        own = kind[first].tolist()
+        chunks = [raw[a:b] for a, b in zip(begin[first].tolist(), hashed[first].tolist(), strict=True)]
         tails, heads = [k for k, o in enumerate(own) if o == 0], [k for k, o in enumerate(own) if o]
         ids: list[bytes] = [b""] * len(chunks)
-        for where, cache, lead in ((tails, self.rest, " " if self.by_space else ""), (heads, self.first, "")):
+        for where, cache, lead in ((tails, self.tails, " " if self.by_space else ""), (heads, self.heads, "")):
             for k, x in zip(where, self._ids_of([chunks[k] for k in where], cache, lead), strict=True):
                 ids[k] = self.newline + x if own[k] == 2 else x
+        if len(marked):  # each mark's place is right behind its word's
+            n = len(ids)
+            ids += [self.mark[m] for m in MARK_CHARS]
+            at = marked + np.arange(1, len(marked) + 1)
+            whole = np.empty(len(place) + len(marked), np.int64)
+            whole[at] = n - 1 + _MARKS[data[end[marked] - 1]]
+            word = np.ones(len(whole), bool)
+            word[at] = False
+            whole[word] = place
+            owner = np.empty(len(whole), np.int64)
+            owner[at], owner[word] = doc[marked], doc
+            place, doc = whole, owner
         size = np.array([len(x) >> 2 for x in ids], np.int64)
         flat = np.frombuffer(b"".join(ids), "<u4")
         start = np.cumsum(size) - size

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,19 @@ from .common import text_bytes, worker_tokenizer
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _powers_behind(cuts: np.ndarray, window: int) -> tuple[list[int], list[int]]:
+    """For each cut the cuts a power of two (up to the window) before it, shortest first: where its own begin in a list of them."""
+    here, there = [], []
+    for p in (1 << k for k in range(window.bit_length()) if 1 << k <= window):
+        at = np.minimum(np.searchsorted(cuts, cuts - p), len(cuts) - 1)
+        hit = np.flatnonzero(cuts[at] == cuts - p)
+        here.append(hit)
+        there.append(at[hit])
+    own, behind = np.concatenate(here), np.concatenate(there)
+    order = np.argsort(own, kind="stable")
+    return np.searchsorted(own[order], np.arange(len(cuts) + 1)).tolist(), behind[order].tolist()
+
+
 def choose_cuts(cuts: list[int], penalties: list[float], window: int, final: bool = True) -> list[int]:
     """Cheapest increasing choice of cuts (token positions, first 0) with gaps of at most window; ends at the last cut.
 
@@ -27,9 +41,8 @@ def choose_cuts(cuts: list[int], penalties: list[float], window: int, final: boo
     """
     n = len(cuts)
     cost, back = [0.0] * n, [0] * n
-    place = {c: k for k, c in enumerate(cuts)}
+    near, behind = _powers_behind(np.asarray(cuts, np.int64), window)
     queue: deque[int] = deque([0])
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
     for j in range(1, n):
         c = cuts[j]
         while cuts[queue[0]] < c - window:
@@ -40,9 +53,8 @@ def choose_cuts(cuts: list[int], penalties: list[float], window: int, final: boo
         else:
             i = queue[0]
             best = cost[i] + window - (c - cuts[i])
-            for p in powers:
-                k = place.get(c - p)
-                if k is not None and cost[k] < best:
+            for k in behind[near[j] : near[j + 1]]:
+                if cost[k] < best:
                     i, best = k, cost[k]
         cost[j], back[j] = best + penalties[j], i
         key = cost[j] + c
@@ -67,7 +79,6 @@ def _pack(tokenizer: str, end_id: int, window: int, cut_penalty: float, token_pe
     def run(batches: Iterator) -> Iterator:
         import zlib
 
-        import numpy as np
         import pandas as pd
         from pyspark import TaskContext
 
