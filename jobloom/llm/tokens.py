@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_bytes, worker_tokenizer
+from .common import settled, shared_dir, text_bytes, worker_tokenizer
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
@@ -61,27 +61,37 @@ def write_token_ids(
         placed.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.mode("overwrite")
         .option("parquet.block.size", str(row_group_bytes)).option("parquet.page.size", str(page_bytes))
         .option("parquet.enable.dictionary", "true").option("parquet.dictionary.page.size", str(1 << 20))
-        .option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").parquet(path)
+        .option("parquet.writer.version", "PARQUET_2_0").option("compression", "snappy").parquet(path)
     )
     return path
 
 
-def token_places(spark: SparkSession, path: str) -> DataFrame:
+def _before(spark: SparkSession, path: str, stretch: int = 4096) -> DataFrame:
+    """`part, before`: ids in the files before each. Sums run inside stretches of parts; a row a stretch is summed in one place."""
+    totals = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("total")).withColumn("s", F.floor(F.col("part") / stretch))
+    so_far = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = totals.groupBy("s").agg(F.sum("total").alias("total"))
+    stretches = stretches.select("s", so_far(Window.orderBy("s")).alias("ahead"))
+    inside = totals.select("part", "s", so_far(Window.partitionBy("s").orderBy("part")).alias("own"))
+    return inside.join(stretches, "s").select("part", (F.col("own") + F.col("ahead")).alias("before"))
+
+
+def _with_start(rows: DataFrame, before: DataFrame, broadcast_parts: int) -> DataFrame:
+    """rows joined to the ids before their file; the file table (12 bytes a row) is broadcast up to that many files, else both sides are shuffled."""
+    before = settled(before)
+    small = before.count() <= broadcast_parts
+    return rows.join(F.broadcast(before) if small else before.hint("shuffle_merge"), "part").withColumn("start", F.col("before") + F.col("at"))
+
+
+def token_places(spark: SparkSession, path: str, broadcast_parts: int = 1_000_000) -> DataFrame:
     """`doc_id, part, start, n_tokens` of written documents without reading any id: only the narrow columns are scanned."""
     meta = spark.read.parquet(path).select("doc_id", "part", "at", "n_tokens")
-    totals = meta.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # one row a file
-    before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return meta.join(totals.select("part", before.alias("before")), "part").select("doc_id", "part", (F.col("before") + F.col("at")).alias("start"), "n_tokens")
+    return _with_start(meta, _before(spark, path), broadcast_parts).select("doc_id", "part", "start", "n_tokens")
 
 
-def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
+def read_token_ids(spark: SparkSession, path: str, broadcast_parts: int = 1_000_000) -> DataFrame:
     """Written documents with their ids: `doc_id, start, n_tokens, ids`."""
-    rows = spark.read.parquet(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(F.broadcast(totals.select("part", before.alias("before"))), "part").select(
-        "doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids"
-    )  # the broadcast side has one row of 12 bytes a file, and a file has at least part_bytes of text
+    return _with_start(spark.read.parquet(path), _before(spark, path), broadcast_parts).select("doc_id", "start", "n_tokens", "ids")
 
 
 def _digest(batches: Iterator) -> Iterator:
