@@ -13,6 +13,12 @@ from pyspark.sql.types import BooleanType, StringType
 #: Company forms that say nothing about identity, written in Japanese (anywhere) and Latin (at the end).
 JAPANESE_FORMS = ("株式会社", "有限会社", "合同会社", "合資会社", "合名会社", "(株)", "（株）")
 LATIN_FORMS = ("inc", "incorporated", "llc", "ltd", "limited", "co", "corp", "corporation", "gmbh", "kk", "pllc", "plc")
+#: A posting's fields that count as its content.
+CONTENT_FIELDS = ("title", "company_name", "location", "remote", "employment_type", "salary_min", "salary_max", "description")
+#: Closing tags that end a line, IPv6 ranges whose last 32 bits are an IPv4 address, telling key parts.
+BLOCK_TAGS = "p|div|li|ul|ol|h[1-6]|br|tr|table|section"
+NAT64_RANGES = ("64:ff9b::/96", "64:ff9b:1::/48")
+SECRET_MARKERS = ("password", "code", "otp", "token", "session", "authorization", "cookie", "secret")
 
 
 @pandas_udf(StringType())
@@ -63,7 +69,7 @@ def blocked_v6(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether a literal IPv6 address, unwrapped from v4-mapped and NAT64 forms, isn't public; null if it is no address."""
     import ipaddress
 
-    nat = ipaddress.ip_network("64:ff9b::/96")
+    translated = tuple(map(ipaddress.ip_network, NAT64_RANGES))
     shared = ipaddress.ip_network("100.64.0.0/10")
 
     def one(v):
@@ -73,7 +79,7 @@ def blocked_v6(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
             return None
         if a.version == 6 and a.ipv4_mapped:
             a = a.ipv4_mapped
-        elif a.version == 6 and a in nat:
+        elif a.version == 6 and any(a in net for net in translated):
             a = ipaddress.ip_address(int(a) & 0xFFFFFFFF)
         return bool(a.is_private or a.is_loopback or a.is_link_local or a.is_multicast or a.is_reserved or a.is_unspecified or (a.version == 4 and a in shared))
 
@@ -81,14 +87,27 @@ def blocked_v6(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one).astype("boolean")
 
 
-def is_ascii(c: Column) -> Column:
-    return F.length(c) == F.octet_length(c)
+#: Characters that NFKC leaves as they are and whose lower case, but for ß, is their case folding: ASCII, Latin-1 letters, common marks.
+_PLAIN = r"^[\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\u0152\u0153\u0160\u0161\u017D\u017E\u0178\u2013\u2014\u2018\u2019\u201C\u201D\u20AC]*$"
+#: Stands between the values of a list while it is folded as one text; no text holds it.
+_BETWEEN = "\u0001"
+
+
+def folded(c: Column) -> Column:
+    """NFKC and case folding. Plain texts take built-ins; the UDF is handed nulls for them, so they cost it nothing."""
+    plain = c.rlike(_PLAIN)
+    return F.when(plain, F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))).otherwise(fold_unicode(F.when(~plain, c)))
+
+
+def folded_list(values: Column) -> Column:
+    """folded for each value of an array that isn't blank; a null array is empty."""
+    some = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(F.regexp_replace(v, r"(?U)\s", "") != "", F.lit(False)))
+    return F.when(F.size(some) > 0, F.split(folded(F.array_join(some, _BETWEEN)), _BETWEEN)).otherwise(F.array().cast("array<string>"))
 
 
 def normalize_text(c: Column) -> Column:
-    """Compatibility form, case folded, white space single and trimmed; ASCII texts stay on built-ins."""
-    folded = F.when(is_ascii(c), F.lower(c)).otherwise(fold_unicode(c))
-    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
+    """Compatibility form, case folded, white space single and trimmed."""
+    return F.trim(F.regexp_replace(folded(c), r"(?U)\s+", " "))
 
 
 def normalize_company(c: Column) -> Column:
@@ -110,6 +129,12 @@ def posting_key(vendor: Column, external_id: Column, company: Column, title: Col
     return F.coalesce(F.when(F.nullif(external_id, F.lit("")).isNotNull(), F.concat_ws(":", vendor, external_id)), dedup_key(company, title, location))
 
 
+def posting_hash(posting: Column) -> Column:
+    """Hash of what makes a posting's content: eight fields and two sorted skill lists; the apply link and review marks stay out."""
+    lists = (F.array_sort(F.coalesce(posting[n], F.array().cast("array<string>"))).alias(n) for n in ("required_skills", "preferred_skills"))
+    return content_hash(F.struct(*(posting[n].alias(n) for n in CONTENT_FIELDS), *lists))
+
+
 def content_hash(content: Column) -> Column:
     """Hash of a struct with its nulls kept: equal structs and only those are equal."""
     return F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256)
@@ -124,15 +149,18 @@ def first_nonempty(*values: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    """Breaks and block ends as newlines, tags gone, then references decoded; lines trimmed at their ends, two newlines at most."""
-    t = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"(?i)</(?:p|div|li|ul|ol|h[1-6]|br|tr|table|section)\s*>", "\n")
+    """Breaks and block ends as newlines, tags gone, then references decoded; lines trimmed at their ends, two newlines at most; "" for null.
+
+    Texts with common references only take built-ins; the UDF is handed nulls for them.
+    """
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)<br\s*/?>", "\n")
+    t = F.regexp_replace(t, rf"(?i)</(?:{BLOCK_TAGS})\s*>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", "")
     plain = t
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(sign))
     simple = ~F.regexp_replace(t, r"&(?:lt|gt|quot|copy|middot|nbsp|amp);", "").contains("&") & ~t.rlike(r"&amp;[#a-zA-Z]")
-    t = F.when(simple, plain).otherwise(unescape_html(t))
+    t = F.when(simple, plain).otherwise(unescape_html(F.when(~simple, t)))
     t = F.regexp_replace(t, r"[ \t ]+\n", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
@@ -140,12 +168,22 @@ def html_to_text(c: Column) -> Column:
 def url_join(base: Column, link: Column) -> Column:
     """A link seen from base: absolute ones as they are, root-relative ones on base's host, others by the general rule."""
     root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    return F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), link).when(link.rlike(r"^/[^/]") | (link == "/"), F.concat(root, link)).otherwise(join_url(base, link))
+    absolute, rooted = link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), link.rlike(r"^/[^/]") | (link == "/")
+    return F.when(absolute, link).when(rooted, F.concat(root, link)).otherwise(join_url(base, F.when(~absolute & ~rooted, link)))
+
+
+def _without_separators(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)[\s_-]", "")
 
 
 def fold_key(c: Column) -> Column:
-    """A word without blanks, underlines and hyphens."""
-    return F.regexp_replace(F.lower(c), r"[\s_-]", "")
+    """A value folded, without blanks, underlines and hyphens."""
+    return _without_separators(folded(c))
+
+
+def fold_keys(values: Column) -> Column:
+    """Keys of an array's values that aren't blank; a null array is empty."""
+    return F.transform(folded_list(values), _without_separators)
 
 
 def split_list(c: Column) -> Column:
@@ -154,7 +192,7 @@ def split_list(c: Column) -> Column:
 
 def role_words(c: Column, noise: tuple[str, ...], shortest: int = 1) -> Column:
     """Distinct words of Latin letters and digits, at least that long, without words that name a level."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(folded(c), F.lit("[a-z0-9]+"), F.lit(0)))
     return F.filter(F.array_except(words, F.array(*(F.lit(w) for w in noise))), lambda w: F.length(w) >= shortest)
 
 
@@ -163,7 +201,8 @@ def join_distinct(values: Column, sep: str = "; ") -> Column:
 
 
 def to_month(c: Column) -> Column:
-    """YYYY-MM from YYYY-M and longer; else empty."""
+    """YYYY-MM from YYYY-M and longer; else empty, also for null."""
+    c = F.trim(F.coalesce(c, F.lit("")))
     year, month = F.regexp_extract(c, r"^(\d{4})-(\d{1,2})", 1), F.regexp_extract(c, r"^(\d{4})-(\d{1,2})", 2)
     return F.when(year != "", F.concat(year, F.lit("-"), F.lpad(month, 2, "0"))).otherwise("")
 
@@ -172,6 +211,23 @@ def null_if_blank(c: Column) -> Column:
     return F.when(F.trim(c) != "", F.trim(c))
 
 
+def form_companies(companies: Column) -> Column:
+    """A document's companies as a form takes them: periods as months, missing arrays empty."""
+    empty = F.array().cast("array<string>")
+    each = lambda c: c.withField("period_start", to_month(c["period_start"])).withField("period_end", to_month(c["period_end"])).withField("achievements", F.coalesce(c["achievements"], empty))
+    return F.transform(F.coalesce(companies, F.array()), each)
+
+
+def payload_companies(companies: Column) -> Column:
+    """The same as it is stored: blank periods are unknown."""
+    each = lambda c: c.withField("period_start", F.nullif(c["period_start"], F.lit(""))).withField("period_end", F.nullif(c["period_end"], F.lit("")))
+    return F.transform(companies, each)
+
+
+def hash_token(c: Column) -> Column:
+    return F.sha2(c, 256)
+
+
 def normalize_email(c: Column) -> Column:
     return F.lower(F.trim(c))
 
@@ -181,11 +237,12 @@ def hash_email(c: Column, secret: Column) -> Column:
 
 
 def mask_email(c: Column) -> Column:
-    """First character and domain of an address; other texts as they are."""
-    return F.when(c.contains("@"), F.concat(F.substring(c, 1, 1), F.lit("***@"), F.substring_index(c, "@", -1))).otherwise(c)
+    """First character of the name and all behind the first @ of an address; other texts as they are."""
+    at = F.instr(c, "@")
+    return F.when(at > 0, F.concat(F.substring(F.substring_index(c, "@", 1), 1, 1), F.lit("***@"), F.substr(c, at + 1))).otherwise(c)
 
 
-def redact_map(m: Column, markers: tuple[str, ...] = ("password", "code", "otp", "token", "session", "authorization", "cookie", "secret")) -> Column:
+def redact_map(m: Column, markers: tuple[str, ...] = SECRET_MARKERS) -> Column:
     """Values under telling keys hidden; addresses under the keys email and ip masked."""
     return F.transform_values(
         m, lambda k, v: F.when(F.lower(k).rlike("|".join(markers)), F.lit("***")).when(F.lower(k).isin("email", "ip"), mask_email(v)).otherwise(v)
@@ -194,3 +251,9 @@ def redact_map(m: Column, markers: tuple[str, ...] = ("password", "code", "otp",
 
 def first_forwarded(c: Column) -> Column:
     return F.trim(F.split(c, ",")[0])
+
+
+def register_functions(spark) -> None:
+    """The helpers that no built-in offers, by name for SQL."""
+    for name, fn in (("fold_unicode", fold_unicode), ("unescape_html", unescape_html), ("keyed_hash", keyed_hash), ("join_url", join_url), ("blocked_v6", blocked_v6)):
+        spark.udf.register(name, fn)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_key, role_words
+from ..functions.text import fold_keys, folded_list, normalize_text, role_words
 
 #: Words that name a level, and job families that are no engineering, product or data role.
 LEVEL_WORDS = ("senior", "junior", "lead", "staff", "principal", "mid", "level", "i", "ii", "iii", "iv")
@@ -15,6 +15,11 @@ OTHER_FAMILIES = (
 )
 
 
+def scoped(rows: DataFrame, user: str, value) -> DataFrame:
+    """A tenant's own rows; tables partitioned by the column are pruned to its folder."""
+    return rows.filter(F.col(user) == F.lit(value))
+
+
 def due(status: Column, last_fetched: Column, interval_hours: Column, now: Column) -> Column:
     """Active and never fetched, or fetched at least its interval ago."""
     return (status == "active") & (last_fetched.isNull() | (F.expr("INTERVAL 1 HOUR") * interval_hours + last_fetched <= now))
@@ -22,21 +27,23 @@ def due(status: Column, last_fetched: Column, interval_hours: Column, now: Colum
 
 def type_mismatch(job_type: Column, wanted: Column) -> Column:
     """Both sides known and no key in common. The job's value is cut at commas and blanks before its parts are folded."""
-    own = F.filter(F.transform(F.split(job_type, r"[,\s]+"), fold_key), lambda x: x != "")
-    want = F.filter(F.transform(wanted, fold_key), lambda x: x != "")
+    own, want = fold_keys(F.split(job_type, r"(?U)[,\s]+")), fold_keys(wanted)
     return F.coalesce((F.size(own) > 0) & (F.size(want) > 0) & ~F.arrays_overlap(own, want), F.lit(False))
 
 
 def remote_mismatch(remote: Column, required: Column, location: Column, wanted: Column) -> Column:
     """Remote work is required, the job says it is not remote, and no wanted place (folded) is in its location."""
-    near = F.exists(F.transform(wanted, fold_key), lambda w: (w != "") & F.coalesce(F.lower(location).contains(w), F.lit(False)))
+    place = normalize_text(location)
+    # the place rides along with each wanted one: a lambda must not call the folding UDF itself
+    pairs = F.arrays_zip(fold_keys(wanted).alias("w"), F.array_repeat(place, F.size(fold_keys(wanted))).alias("p"))
+    near = F.exists(pairs, lambda x: (x["w"] != "") & F.coalesce(x["p"].contains(x["w"]), F.lit(False)))
     return F.coalesce(required & (remote == F.lit(False)) & ~F.coalesce(near, F.lit(False)), F.lit(False))
 
 
 def title_role_match(title: Column, roles: Column, n: int = 4) -> Column:
     """Some word of the title equals a word of a wanted role (3 letters and more), or shares its first n letters where both have n."""
     own = role_words(title, LEVEL_WORDS)
-    want = F.array_distinct(F.flatten(F.transform(roles, lambda r: role_words(r, LEVEL_WORDS, 3))))
+    want = role_words(F.array_join(folded_list(roles), " "), LEVEL_WORDS, 3)
     heads = lambda words: F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.substring(w, 1, n))
     return F.arrays_overlap(own, want) | F.arrays_overlap(heads(own), heads(want))
 
@@ -45,7 +52,7 @@ def title_rejected(title: Column, roles: Column, mode: str, families: tuple[str,
     """off: never; strict: without a match; loose: without a match and with a word of another family. Without roles: never."""
     if mode == "off":
         return F.lit(False)
-    miss = (F.size(roles) > 0) & ~title_role_match(title, roles)
+    miss = (F.size(F.coalesce(roles, F.array().cast("array<string>"))) > 0) & ~F.coalesce(title_role_match(title, roles), F.lit(False))
     if mode == "loose":
         miss = miss & F.arrays_overlap(role_words(title, LEVEL_WORDS), F.array(*(F.lit(f) for f in families)))
     return F.coalesce(miss, F.lit(False))
@@ -120,14 +127,181 @@ def triage(status: Column, has_block: Column) -> Column:
     )
 
 
-def crawl_decision(urls: DataFrame, rules: DataFrame, url: str = "url", host: str = "host", path: str = "path") -> DataFrame:
+def status_message(body: Column, status: Column, fallback: Column) -> Column:
+    """A refused call's own message: the body's error.message, else the client's text, else the status."""
+    told = F.try_variant_get(F.try_parse_json(body), "$.error.message", "string")
+    return F.coalesce(F.nullif(told, F.lit("")), F.nullif(fallback, F.lit("")), F.concat(F.lit("HTTP "), status.cast("string")))
+
+
+def above_threshold(score: Column, threshold: int = 30) -> Column:
+    """Whether a scored posting stays; one without a score isn't judged."""
+    return score.isNull() | (score >= threshold)
+
+
+def unexpired(rows: DataFrame, expires: str, now: Column) -> DataFrame:
+    """Rows whose end is still to come; one that ends now has ended."""
+    return rows.filter(F.col(expires) > now)
+
+
+def owned_key(key: Column, user: Column, prefix: str = "resumes") -> Column:
+    """Whether a stored object lies under its user's own prefix; null keys and users own nothing."""
+    return F.coalesce(key.startswith(F.concat(F.lit(f"{prefix}/"), user, F.lit("/"))), F.lit(False))
+
+
+def upload_error(key: Column, user: Column, size: Column, content_type: Column, cap: int, allowed: tuple[str, ...]) -> Column:
+    """Why an upload isn't taken: another's key, no object, too large, a kind that isn't allowed; null if it is."""
+    return (
+        F.when(~owned_key(key, user), F.lit("not found")).when(size.isNull(), F.lit("not uploaded")).when(size > cap, F.lit("too large"))
+        .when(~F.coalesce(content_type.isin(*allowed), F.lit(False)), F.lit("unsupported type"))
+    )
+
+
+#: What a row must meet, by kind of row. Each takes the row's columns by name.
+LONGEST = {"company_name": 300, "title": 300, "location": 300, "employment_type": 60, "description": 20_000, "apply_url": 2000}
+STATES = {
+    "source_type": ("ats", "json_ld", "llm"), "source_status": ("active", "paused", "error"), "robots_state": ("allowed", "disallowed", "unknown"),
+    "posting_status": ("new", "interested", "not_interested", "archived"),
+    "application_status": ("applied", "screening", "first_interview", "final_interview", "offer", "rejected", "withdrawn"),
+    "event_kind": ("status_change", "note", "interview", "reminder"), "version_source": ("upload", "form", "llm_extract", "tailored"),
+    "version_status": ("pending", "extracting", "structuring", "ready", "failed"), "analysis_kind": ("gap_analysis", "resume_tailoring"),
+    "analysis_status": ("pending", "running", "succeeded", "failed"),
+}
+
+
+def _unset_or(c: Column, rule: Column) -> Column:
+    return c.isNull() | rule
+
+
+def _salary_rules() -> dict[str, Column]:
+    lo, hi = F.col("salary_min"), F.col("salary_max")
+    return {"salary_min": _unset_or(lo, lo >= 0), "salary_max": _unset_or(hi, hi >= 0), "salary_order": lo.isNull() | hi.isNull() | (lo <= hi)}
+
+
+def posting_rules() -> dict[str, Column]:
+    """A posting typed in by hand: names given, lengths, pay."""
+    within = {f"{n}_length": _unset_or(F.col(n), F.length(n) <= most) for n, most in LONGEST.items()}
+    return {"company_name": F.length("company_name") >= 1, "title": F.length("title") >= 1, **within, **_salary_rules()}
+
+
+def source_rules() -> dict[str, Column]:
+    """A registered page: web address, label, hours between fetches."""
+    hours = F.coalesce(F.col("fetch_interval_hours"), F.lit(24))
+    return {"url": url_allowed(F.trim(F.col("url"))), "url_length": F.length("url") <= 2000, "label_length": _unset_or(F.col("label"), F.length("label") <= 200), "interval": hours.between(1, 168)}
+
+
+def preference_rules() -> dict[str, Column]:
+    return _salary_rules()
+
+
+def document_rules() -> dict[str, Column]:
+    """A document comes either as an uploaded object or as text of some length."""
+    has_key, has_text = (F.coalesce(F.col(c) != "", F.lit(False)) for c in ("source_key", "raw_text"))
+    return {"one_source": has_key != has_text, "text_length": _unset_or(F.col("raw_text"), F.length(F.trim("raw_text")) >= 40)}
+
+
+def outcome_rules() -> dict[str, Column]:
+    return {"score": F.col("score").between(0, 100)}
+
+
+def code_rules() -> dict[str, Column]:
+    return {"code": F.col("code").rlike(r"^\d{6}$")}
+
+
+def state_rule(column: str, kind: str) -> Column:
+    """Membership of a set of states."""
+    return F.col(column).isin(*STATES[kind])
+
+
+def quarantined(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): bad rows with `broken`, the names of the rules they break."""
+    judged = rows.withColumn("broken", failed_rules(**rules))
+    return judged.filter(F.size("broken") == 0).drop("broken"), judged.filter(F.size("broken") > 0)
+
+
+def crawl_state(status: Column) -> Column:
+    """What a host's rules file says by its status: 404 allows all, other failures and no answer leave it unknown, and allow."""
+    return F.when(status.isNull(), "unknown").when(status == 404, "allowed").when(status >= 400, "unknown").otherwise("allowed")
+
+
+def parsed_rules(files: DataFrame, agent: str, host: str = "host", body: str = "body") -> DataFrame:
+    """`host, prefix, allow, crawl_delay` for an agent from rules files: its own groups, else those of "*".
+
+    A group is a run of user-agent lines and the lines behind it up to the next such run. One row a rule; a group's delay
+    stands on a row with a null prefix. A host's file is numbered line by line inside the host.
+    """
+    line = F.trim(F.regexp_replace(F.col("line"), "#.*$", ""))
+    lines = files.select(host, F.posexplode(F.split(F.col(body), r"\r\n|\r|\n")).alias("at", "line"))
+    lines = lines.select(host, "at", F.lower(F.trim(F.substring_index(line, ":", 1))).alias("field"), F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1)).alias("value"))
+    lines = lines.filter(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay"))
+    w = Window.partitionBy(host).orderBy("at")
+    names = F.col("field") == "user-agent"
+    starts = names & F.coalesce(F.lag("field").over(w) != "user-agent", F.lit(True))
+    lines = lines.withColumn("_g", F.sum(starts.cast("int")).over(w)).filter("_g > 0")
+    mine = F.lit(agent.lower()).contains(F.lower(F.col("value"))) & (F.col("value") != "")
+    groups = lines.filter(names).groupBy(host, "_g").agg(F.max(mine).alias("own"), F.max(F.col("value") == "*").alias("any")).filter("own OR any")
+    best = groups.groupBy(host).agg(F.max("own").alias("some"))
+    chosen = groups.join(best, host).filter("own = some").select(host, "_g")
+    rules = lines.filter(~names).join(chosen, [host, "_g"])
+    delay = F.col("field") == "crawl-delay"
+    return rules.filter(delay | (F.col("value") != "")).select(host, F.when(~delay, F.col("value")).alias("prefix"), F.when(~delay, F.col("field") == "allow").alias("allow"), F.when(delay, F.col("value").try_cast("double")).alias("crawl_delay"))
+
+
+def crawl_decision(urls: DataFrame, rules: DataFrame, url: str = "url", host: str = "host", path: str = "path", hosts: DataFrame | None = None) -> DataFrame:
     """urls with `decision`: the longest rule of the host that begins the path, allowing ones first on ties; without a rule: allowed.
 
-    rules: host, prefix, allow. A host's rules are few; the join is on the host.
+    rules: host, prefix, allow, and crawl_delay if known; a host's rules are few, and the join is on the host. With hosts
+    (host, status of its rules file, null if it gave none) `robots_state` and `crawl_delay` (the longest) come too, and
+    rules count only where the file was read.
     """
-    hits = urls.join(rules, host, "left").withColumn("fits", F.coalesce(F.col(path).startswith(F.col("prefix")) & (F.col("prefix") != ""), F.lit(False)))
-    best = F.max(F.when(F.col("fits"), F.struct(F.length("prefix").alias("n"), F.col("allow").alias("allow"))))
-    return hits.groupBy(*urls.columns).agg(best.alias("best")).withColumn("decision", F.when(F.coalesce(F.col("best.allow"), F.lit(True)), "allowed").otherwise("disallowed")).drop("best")
+    if "crawl_delay" not in rules.columns:
+        rules = rules.withColumn("crawl_delay", F.lit(None).cast("double"))
+    own = urls.columns
+    # one row a host: its rules as an array, so urls keep their number and repeated rows stay apart
+    lists = rules.groupBy(host).agg(F.collect_list(F.when(F.col("prefix") != "", F.struct("prefix", "allow"))).alias("_rules"), F.max("crawl_delay").alias("crawl_delay"))
+    out = urls.join(lists, host, "left")
+    if hosts is not None:
+        out = out.join(hosts.select(host, F.col("status").alias("_status")), host, "left").withColumn("robots_state", crawl_state(F.col("_status")))
+        read = F.coalesce(F.col("_status") < 400, F.lit(False))
+        out = out.withColumn("_rules", F.when(read, F.col("_rules"))).withColumn("crawl_delay", F.when(read, F.col("crawl_delay")))
+    fits = F.filter("_rules", lambda r: F.col(path).startswith(r["prefix"]))
+    best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["allow"].alias("allow"))))
+    out = out.withColumn("decision", F.when(F.coalesce(best["allow"], F.lit(True)), "allowed").otherwise("disallowed"))
+    return out.select(*own, "decision", *(("robots_state", "crawl_delay") if hosts is not None else ()))
+
+
+def route_sources(sources: DataFrame, patterns: list[tuple[str, str]], embeds: list[tuple[str, str]], reserved: tuple[str, ...], known_vendors: tuple[str, ...]) -> DataFrame:
+    """sources with `route, vendor, board, robots_state, error, needs_manual`: the first way that gives postings.
+
+    sources: url; api_failed (its vendor's board could not be read; null: it could); robots (allowed, disallowed, unknown
+    or null), page_status (null: no answer), fetch_error, page_url (after redirects), page (its html), has_jsonld. The
+    address itself comes first and needs no robots step; then robots; then the page; then an embed in it; then JSON-LD;
+    else someone has to add the postings by hand.
+    """
+    vendor_of = lambda c: F.when(c["vendor"].isin(*known_vendors), c)
+    direct = vendor_of(classify_route(F.col("url"), patterns, reserved))
+    direct = F.when(~F.coalesce(F.col("api_failed"), F.lit(False)), direct)
+    embedded = vendor_of(classify_route(F.coalesce("page_url", "url"), patterns, reserved, F.col("page"), embeds))
+    embedded = F.when(~F.coalesce(F.col("api_failed"), F.lit(False)), embedded)
+    banned = F.coalesce(F.col("robots") == "disallowed", F.lit(False))
+    unread = F.col("fetch_error").isNotNull() | F.col("page_status").isNull()
+    bad = F.col("page_status") >= 400
+    step = (
+        F.when(direct.isNotNull(), "direct").when(banned, "banned").when(unread, "unread").when(bad, "bad")
+        .when(embedded.isNotNull(), "embedded").when(F.coalesce(F.col("has_jsonld"), F.lit(False)), "json_ld").otherwise("none")
+    )
+    out = sources.withColumn("_step", step).withColumn("_hit", F.when(F.col("_step") == "direct", direct).when(F.col("_step") == "embedded", embedded))
+    is_step = lambda *names: F.col("_step").isin(*names)
+    return (
+        out.withColumn("route", F.when(is_step("direct", "embedded"), "ats").when(is_step("json_ld"), "json_ld"))
+        .withColumn("vendor", F.col("_hit.vendor")).withColumn("board", F.col("_hit.board"))
+        .withColumn("robots_state", F.when(is_step("direct"), "unknown").otherwise(F.coalesce("robots", F.lit("unknown"))))
+        .withColumn(
+            "error",
+            F.when(is_step("banned"), "robots.txt disallows this URL").when(is_step("unread"), F.concat(F.lit("could not fetch the page: "), F.coalesce("fetch_error", F.lit("no answer"))))
+            .when(is_step("bad"), F.concat(F.lit("the page returned HTTP "), F.col("page_status").cast("string"))).when(is_step("none"), "no job listings found"),
+        )
+        .withColumn("needs_manual", is_step("banned", "none")).drop("_step", "_hit")
+    )
 
 
 def fresh_rules(rules: DataFrame, now: Column, ttl_seconds: int, host: str = "host", fetched: str = "fetched_at") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import positions
+
 
 def failure_streak(runs: DataFrame, key: str, order: list[str], ok: Column) -> DataFrame:
     """runs with `streak`: failures in a row up to and with this run; 0 on success. Islands between successes are numbered."""
@@ -32,8 +34,13 @@ def pace(requests: DataFrame, host: str, arrival: str, order: list[str], interva
 
 
 def ranked(rows: DataFrame, score: str, tie: list[Column]) -> DataFrame:
-    """rows with `rank` by score, highest first, unscored last. Positions of one order need one sort of the table."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc_nulls_last(), *tie)))
+    """rows with `rank` (from 1) by score, highest first, unscored last. Ranges of the order are sorted apart."""
+    return positions(rows, [F.col(score).desc_nulls_last(), *tie], "rank").withColumn("rank", F.col("rank") + 1)
+
+
+def newest_first(rows: DataFrame, ts: str, tie: list[Column]) -> DataFrame:
+    """rows from the latest on; Spark sorts by ranges."""
+    return rows.orderBy(F.col(ts).desc_nulls_last(), *tie)
 
 
 def seen_range(rows: DataFrame, key: list[str], ts: str) -> DataFrame:

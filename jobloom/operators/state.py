@@ -1,34 +1,45 @@
-"""Rules whose next step depends on the last accepted event: batch forms, one sorted group a key.
+"""Rules whose next step depends on the last accepted event: batch forms on the JVM.
 
-A key's events are a user's or token's own log; groups are cut no finer because each step needs the one before. Null
-keys belong to nobody and are left out.
+A key's log is cut where a rule surely starts afresh (a gap of at least the time to live, an issued code), and each
+stretch is folded by itself: only times and order marks of a stretch meet in one row, never the events. Null keys belong
+to nobody and are left out.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _folded(df: DataFrame, key: list[str], step, schema: str) -> DataFrame:
-    return df.filter(" AND ".join(f"{k} IS NOT NULL" for k in key)).groupBy(*key).applyInPandas(step, schema)
+def _stretches(events: DataFrame, key: list[str], seconds: str, order: str, gap: float) -> DataFrame:
+    """events of known keys with `_at` (time and order mark) and `_stretch`, which grows where the event before is at least gap ago."""
+    w = Window.partitionBy(*key).orderBy(seconds, order)
+    fresh = F.coalesce(F.col(seconds) - F.lag(seconds).over(w) >= gap, F.lit(True))
+    known = events.dropna(subset=key).withColumn("_fresh", fresh.cast("int"))
+    return known.withColumn("_stretch", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_at", F.struct(F.col(seconds).cast("double").alias("s"), F.col(order).alias("o"))).drop("_fresh")
 
 
-def dedupe_ttl(events: DataFrame, key: list[str], seconds: str, order: str, ttl: float) -> DataFrame:
-    """Rows that are processed: a key's first, and each at least ttl after the last processed one; duplicates don't prolong."""
-    at = events.columns.index
+def _marks(stretches: DataFrame, key: list[str], moves) -> DataFrame:
+    """Per stretch the marks at which the state moves: the first, and each for which moves(last mark, mark) holds."""
+
+    def step(done: Column, at: Column) -> Column:
+        last = F.element_at(done, -1)
+        return F.when(F.coalesce(moves(last["s"], at["s"]), F.lit(True)), F.array_append(done, at)).otherwise(done)
+
+    times = F.sort_array(F.collect_list("_at"))
+    start = F.slice(F.col("_times"), 1, 1)
+    one = stretches.groupBy(*key, "_stretch").agg(times.alias("_times"))
+    return one.select(*key, "_stretch", F.aggregate(F.slice("_times", 2, F.size("_times")), start, step).alias("_marks"))
+
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([seconds, order])
-        keep, last = [], None
-        for s in pdf.iloc[:, at(seconds)]:
-            ok = last is None or s - last >= ttl
-            last = s if ok else last
-            keep.append(ok)
-        return pdf[keep]
+def dedupe_ttl(events: DataFrame, key: list[str], seconds: str, order: str, ttl: float) -> DataFrame:
+    """Rows that are processed: a key's first, and each at least ttl after the last processed one; duplicates don't prolong.
 
-    return _folded(events, key, step, events.schema.simpleString()[7:-1])
+    Equal times are taken by order, which tells a key's events apart.
+    """
+    stretches = _stretches(events, key, seconds, order, ttl)
+    kept = _marks(stretches, key, lambda last, s: s - last >= ttl).select(*key, "_stretch", F.explode("_marks").alias("_at"))
+    return stretches.join(kept, [*key, "_stretch", "_at"], "left_semi").select(*events.columns)
 
 
 def sliding_sessions(events: DataFrame, key: str, seconds: str, order: str, refresh: float, ttl: float) -> DataFrame:
@@ -36,50 +47,38 @@ def sliding_sessions(events: DataFrame, key: str, seconds: str, order: str, refr
 
     A touch is recorded, and moves the end, only if the last recorded one is at least `refresh` ago.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields) + ", alive boolean, expires double"
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([seconds, order])
-        alive, expires, touched, end = [], [], None, None
-        for s in pdf[seconds]:
-            live = end is not None and s < end
-            if not live or s - touched >= refresh:
-                touched, end = s, s + ttl
-            alive.append(live)
-            expires.append(float(end))
-        return pdf.assign(alive=alive, expires=expires)
-
-    return _folded(events, [key], step, schema)
+    stretches = _stretches(events, [key], seconds, order, ttl)
+    touched = _marks(stretches, [key], lambda last, s: (s >= last + ttl) | (s - last >= refresh)).select(key, "_stretch", F.explode("_marks").alias("_touch"))
+    # each event stands between two recorded touches: the running maximum of touches gives the one before and the one now
+    rows = stretches.join(touched.withColumn("_at", F.col("_touch")), [key, "_stretch", "_at"], "left")
+    w = Window.partitionBy(key, "_stretch").orderBy("_at")
+    before = F.max("_touch").over(w.rowsBetween(Window.unboundedPreceding, -1))["s"]
+    now = F.max("_touch").over(w.rowsBetween(Window.unboundedPreceding, 0))["s"]
+    rows = rows.withColumn("_before", before).withColumn("_now", now)
+    alive = F.coalesce(F.col(seconds) < F.col("_before") + ttl, F.lit(False))
+    return rows.select(*events.columns, alive.alias("alive"), (F.col("_now") + ttl).alias("expires"))
 
 
 def replay_attempts(log: DataFrame, key: str, seconds: str, order: str, kind: str, code: str, challenge: str, max_attempts: int, ttl: float) -> DataFrame:
     """Verify events of a log of issues and verifications with `result`: ok, invalid or too_many_attempts.
 
     An issue replaces the live code and its count. Expired, absent or otherwise challenged codes are invalid uncounted;
-    a wrong code counts, and the last allowed wrong one removes the code; success uses it up.
+    a wrong code counts, and the last allowed wrong one removes the code; success uses it up. Between two issues this is
+    closed: a counted try finds a live code if no right one and fewer than max_attempts wrong ones came before it.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields) + ", result string"
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([seconds, order])
-        live, results = None, []
-        for s, k, c, ch in zip(pdf[seconds], pdf[kind], pdf[code], pdf[challenge], strict=True):
-            result = None
-            if k == "issue":
-                live = [c, ch, s + ttl, 0]
-            elif live is None or s >= live[2] or ch != live[1]:
-                result = "invalid"
-            elif c == live[0]:
-                live, result = None, "ok"
-            else:
-                live[3] += 1
-                result = "invalid"
-                if live[3] >= max_attempts:
-                    live, result = None, "too_many_attempts"
-            results.append(result)
-        return pdf.assign(result=results)[[r is not None for r in results]]
-
-    return _folded(log, [key], step, schema)
+    so_far = Window.partitionBy(key).orderBy(seconds, order).rowsBetween(Window.unboundedPreceding, 0)
+    issued = F.col(kind) == "issue"
+    rows = log.dropna(subset=[key]).withColumn("_issue", F.last(F.when(issued, F.struct(F.col(seconds).alias("s"), F.col(order).alias("o"), F.col(code).alias("code"), F.col(challenge).alias("challenge"))), ignorenulls=True).over(so_far))
+    rows = rows.filter(~issued)
+    counted = F.coalesce((F.col(seconds) < F.col("_issue.s") + ttl) & F.col(challenge).eqNullSafe(F.col("_issue.challenge")), F.lit(False))
+    right = F.col(code).eqNullSafe(F.col("_issue.code"))
+    rows = rows.withColumn("_right", (counted & right).cast("int")).withColumn("_wrong", (counted & ~right).cast("int"))
+    w = Window.partitionBy(key, "_issue.s", "_issue.o").orderBy(seconds, order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    rows = rows.withColumn("_rights", before("_right")).withColumn("_wrongs", before("_wrong"))
+    live = (F.col("_rights") == 0) & (F.col("_wrongs") < max_attempts)
+    result = F.when(live & (F.col("_right") == 1), "ok").when(live & (F.col("_wrong") == 1) & (F.col("_wrongs") == max_attempts - 1), "too_many_attempts").otherwise("invalid")
+    return rows.select(*log.columns, result.alias("result"))
 
 
 def route_deliveries(attempts: DataFrame, receives: str, ok: Column, known_task: Column, max_receive: int = 3) -> DataFrame:

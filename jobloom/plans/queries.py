@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -12,36 +10,15 @@ from ..functions import text as X
 from ..operators import clustering as C
 from ..operators import gates as G
 from ..operators import pacing as P
+from ..operators import snapshots as D
 from ..operators import state as S
 from ..sources import payloads as L
 from ..streaming import streams as R
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLE_SQL[name] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def seconds(column: str):
-    """Epoch seconds of a zone-less time, read as UTC."""
-    return F.unix_micros(F.col(column).cast("timestamp")) / 1e6
-
+from .registry import ORACLE_SQL, QUERIES, query, seconds, table, wide
 
 @query("q01", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 42")
 def q01(spark, d):
-    return table(spark, d, "orders").filter("o_custkey = 42").select("o_orderkey", "o_totalprice")
+    return G.scoped(table(spark, d, "orders"), "o_custkey", 42).select("o_orderkey", "o_totalprice")
 
 
 @query(
@@ -85,9 +62,13 @@ _PREFS = [("u1", "PROMO, ECONOMY", False, "Brand#11"), ("u2", "", True, "Brand#2
 def q04(spark, d):
     prefs = spark.createDataFrame(_PREFS, "user_id string, types string, remote_required boolean, places string").withColumn("types", X.split_list(F.col("types"))).withColumn("places", X.split_list(F.col("places")))
     remote = F.when(F.col("p_size") % 3 == 0, F.lit(True)).when(F.col("p_size") % 3 == 1, F.lit(False))
-    reason = G.first_reason(type=G.type_mismatch(F.col("p_type"), F.col("types")), remote=G.remote_mismatch(remote, F.col("remote_required"), F.col("p_brand"), F.col("places")))
+    # every third type and every fifth brand is written in full-width characters
+    kind = F.when(F.col("p_partkey") % 3 == 0, wide(F.col("p_type"))).otherwise(F.col("p_type"))
+    place = F.when(F.col("p_partkey") % 5 == 0, wide(F.col("p_brand"))).otherwise(F.col("p_brand"))
+    reason = G.first_reason(type=G.type_mismatch(kind, F.col("prefs.types")), remote=G.remote_mismatch(remote, F.col("prefs.remote_required"), place, F.col("prefs.places")))
     # every posting meets its tenant's preferences; here all three tenants see every part
-    return table(spark, d, "part").withColumn("user_id", F.explode(F.array(*(F.lit(p[0]) for p in _PREFS)))).join(F.broadcast(prefs), "user_id", "left").select("p_partkey", "user_id", reason.alias("reason"))
+    part = table(spark, d, "part").withColumn("user_id", F.explode(F.array(*(F.lit(p[0]) for p in _PREFS))))
+    return C.attach_preferences(part, prefs).select("p_partkey", "user_id", reason.alias("reason"))
 
 
 @query(
@@ -99,7 +80,8 @@ def q04(spark, d):
 )
 def q05(spark, d):
     roles = F.array(F.lit("Senior Widget"), F.lit("Bolted Gear"))
-    return table(spark, d, "part").select("p_partkey", *(G.title_rejected(F.col("p_name"), roles, m, ("anvil", "ring")).alias(f"rejected_{m}") for m in ("off", "loose", "strict")))
+    title = F.when(F.col("p_partkey") % 4 == 0, wide(F.col("p_name"))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", *(G.title_rejected(title, roles, m, ("anvil", "ring")).alias(f"rejected_{m}") for m in ("off", "loose", "strict")))
 
 
 _ROUTES = [("blog", r"^blog\.([a-z0-9]+)\."), ("mobile", r"^m\.([a-z0-9]+)\."), ("site", r"^(?:www\.)?([a-z0-9]+)\.")]
@@ -146,7 +128,7 @@ def q08(spark, d):
     FROM part WHERE p_partkey % 5 <> 4""",
 )
 def q09(spark, d):
-    """Pages of one posting each as object, list or @graph, with a repeat of it; a fifth has broken JSON."""
+    """Pages of one posting each as object, list or @graph (of one object or a list), with a repeat of it; a fifth has broken JSON."""
     p = table(spark, d, "part")
     kinds = F.when(F.col("p_partkey") % 3 == 0, F.lit('["FULL_TIME", "CONTRACTOR"]')).otherwise(F.lit('"FULL_TIME"'))
     place = F.lit('{"address": {"addressLocality": "Tokyo", "addressCountry": "JP"}}')
@@ -157,7 +139,7 @@ def q09(spark, d):
         F.lit(', "maxValue": '), (F.col("p_size") * 2).cast("string"), F.lit(', "unitText": "MONTH"}}}'),
     )
     shape = F.col("p_partkey") % 5
-    body = F.when(shape == 0, node).when(shape == 1, F.concat(F.lit("["), node, F.lit(", "), node, F.lit("]"))).when(shape == 4, F.substring(node, 1, 60)).otherwise(F.concat(F.lit('{"@graph": [{"@type": "Thing"}, '), node, F.lit("]}")))
+    body = F.when(shape == 0, node).when(shape == 1, F.concat(F.lit("["), node, F.lit(", "), node, F.lit("]"))).when(shape == 4, F.substring(node, 1, 60)).when(shape == 2, F.concat(F.lit('{"@type": "WebPage", "@graph": '), node, F.lit("}"))).otherwise(F.concat(F.lit('{"@graph": [{"@type": "Thing"}, '), node, F.lit("]}")))
     pages = p.select("p_partkey", F.lit("http://h.example/list").alias("url"), F.concat(F.lit('<html><script type="application/ld+json">'), body, F.lit("</script></html>")).alias("html"))
     return L.extract_job_postings(pages, "p_partkey", "url", "html").select("p_partkey", "url", "title", "company_name", "location", "employment_type", "salary_min", "salary_max")
 
@@ -341,13 +323,29 @@ def q26(spark, d):
     return S.sliding_sessions(e, "user_id", "s", "event_id", 21600.0, 86400.0).select("event_id", "alive", F.round("expires").cast("long").alias("expires"))
 
 
-@query("q27")
-def q27(spark, d):
-    """Verification replay over events: a signup issues a code, others try one; tested against a plain loop."""
-    e = table(spark, d, "events").select(
-        "event_id", "user_id", seconds("ts").alias("s"), F.when(F.col("event_type") == "signup", "issue").otherwise("verify").alias("kind"),
+_ATTEMPTS = """WITH RECURSIVE o AS (SELECT user_id, event_id, event_type = 'signup' AS issue, event_id % 4 = 0 AS good, event_id % 9 = 0 AS other, epoch_us(ts) / 1e6 AS s,
+      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL),
+    f AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, false AS live, false AS asked, 0.0::DOUBLE AS ends, 0 AS wrong, NULL::VARCHAR AS result FROM (SELECT DISTINCT user_id FROM o)
+      UNION ALL SELECT o.user_id, o.k, o.event_id,
+        CASE WHEN issue THEN true WHEN f.live AND o.s < f.ends AND o.other = f.asked THEN NOT good AND f.wrong + 1 < 5 ELSE f.live END,
+        CASE WHEN issue THEN o.other ELSE f.asked END, CASE WHEN issue THEN o.s + 6 * 86400 ELSE f.ends END,
+        CASE WHEN issue THEN 0 WHEN f.live AND o.s < f.ends AND o.other = f.asked AND NOT good THEN f.wrong + 1 ELSE f.wrong END,
+        CASE WHEN issue THEN NULL WHEN f.live AND o.s < f.ends AND o.other = f.asked THEN CASE WHEN good THEN 'ok' WHEN f.wrong + 1 = 5 THEN 'too_many_attempts' ELSE 'invalid' END ELSE 'invalid' END
+      FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+    SELECT event_id, user_id, result FROM f WHERE result IS NOT NULL"""
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """Verification log over events: a signup issues a code, others try one."""
+    return events.select(
+        "event_id", "user_id", "ts", F.when(F.col("event_type") == "signup", "issue").otherwise("verify").alias("kind"),
         F.when((F.col("event_type") == "signup") | (F.col("event_id") % 4 == 0), "right").otherwise("wrong").alias("code"), F.when(F.col("event_id") % 9 == 0, "x").otherwise("c").alias("challenge"),
     )
+
+
+@query("q27", _ATTEMPTS)
+def q27(spark, d):
+    e = attempts(table(spark, d, "events")).withColumn("s", seconds("ts"))
     return S.replay_attempts(e, "user_id", "s", "event_id", "kind", "code", "challenge", 5, 6 * 86400.0).select("event_id", "user_id", "result")
 
 
@@ -374,11 +372,16 @@ def q29(spark, d):
     )
     e = table(spark, d, "events").select("event_type", (F.col("value") * 100).cast("long").alias("i"), (F.col("value") * 10).cast("long").alias("o"))
     calls = C.attach_rates(e, prices, "event_type", ("3", "15"))
-    cost = N.cost_usd(F.col("i"), F.col("o"), F.col("input_rate"), F.col("output_rate"))
-    return calls.groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.sum(cost).cast("double").alias("cost"))
+    calls = calls.select(F.lit(None).cast("string").alias("user_id"), F.col("event_type").alias("model"), F.col("i").alias("input_tokens"), F.col("o").alias("output_tokens"), "input_rate", "output_rate")
+    totals = C.usage_totals(D.usage_rows(calls, "job_match"), ["purpose", "model"])
+    return totals.select(F.col("model").alias("event_type"), "calls", F.col("cost_usd").cast("double").alias("cost"))
 
 
-_OUTCOME = "CASE doc_id % 6 WHEN 0 THEN CAST(doc_id % 101 AS INTEGER) WHEN 1 THEN CAST(doc_id % 101 AS INTEGER) WHEN 2 THEN 0 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE CAST(doc_id % 101 AS INTEGER) END"
+# a text score keeps its digits: "n/100" is beyond 100 but for "0/100"
+_OUTCOME = (
+    "CASE doc_id % 6 WHEN 0 THEN CAST(doc_id % 101 AS INTEGER) WHEN 1 THEN CAST(doc_id % 101 AS INTEGER) WHEN 2 THEN 0 "
+    "WHEN 3 THEN CASE WHEN doc_id % 101 = 0 THEN 100 END WHEN 4 THEN NULL ELSE CAST(doc_id % 101 AS INTEGER) END"
+)
 
 
 def _outcomes(spark, d):
@@ -398,7 +401,7 @@ def _outcomes(spark, d):
 @query(
     "q30",
     f"""SELECT doc_id, {_OUTCOME} AS score, CAST(CASE doc_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS n_matched, CAST(CASE doc_id % 6 WHEN 2 THEN 1 ELSE 0 END AS INTEGER) AS n_concerns,
-    CASE doc_id % 4 WHEN 0 THEN 'transient' WHEN 1 THEN 'fatal' WHEN 2 THEN 'transient' ELSE CASE WHEN doc_id % 6 = 4 THEN 'transient' ELSE 'ok' END END AS triage FROM documents WHERE doc_id % 101 > 0""",
+    CASE doc_id % 4 WHEN 0 THEN 'transient' WHEN 1 THEN 'fatal' WHEN 2 THEN 'transient' ELSE CASE WHEN doc_id % 6 = 4 THEN 'transient' ELSE 'ok' END END AS triage FROM documents""",
 )
 def q30(spark, d):
     status = F.element_at(F.array(F.lit(429), F.lit(404), F.lit(503), F.lit(200)), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -408,9 +411,9 @@ def q30(spark, d):
     )
 
 
-@query("q31", f"SELECT doc_id, score FROM (SELECT doc_id, {_OUTCOME} AS score FROM documents WHERE doc_id % 101 > 0) WHERE score >= 30")
+@query("q31", f"SELECT doc_id, score FROM (SELECT doc_id, {_OUTCOME} AS score FROM documents) WHERE score >= 30")
 def q31(spark, d):
-    return _outcomes(spark, d).select("doc_id", F.col("o.score").alias("score")).filter("score >= 30")
+    return _outcomes(spark, d).select("doc_id", F.col("o.score").alias("score")).filter(F.col("score").isNotNull() & G.above_threshold(F.col("score")))
 
 
 @query(
@@ -463,7 +466,10 @@ def q35(spark, d):
     when = lambda n: F.when(key % n == 0, key.cast("string")).alias("external_id")
     stored = o.select(key.alias("target"), when(2), F.concat(F.lit("u"), F.floor(key / 3).cast("string")).alias("url"))
     batch = o.filter("o_orderkey % 5 = 0").select("o_orderkey", when(4), F.concat(F.lit("u"), F.floor(key / 2).cast("string")).alias("url"))
-    return C.match_existing(batch, stored, ["external_id", "url"], "target").select("o_orderkey", "target")
+    # another source holds the same ids and addresses; its rows are no matches
+    other = stored.withColumn("source", F.lit("b")).withColumn("target", -F.col("target"))
+    stored = stored.withColumn("source", F.lit("a")).unionByName(other)
+    return C.match_existing(batch.withColumn("source", F.lit("a")), stored, ["external_id", "url"], "target", ["source"]).select("o_orderkey", "target")
 
 
 @query(
@@ -482,9 +488,10 @@ def q36(spark, d):
     """SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE event_type <> 'view') AS status, arg_max(event_id % 2 = 0, event_id) FILTER (WHERE event_id % 3 = 0) AS bookmarked FROM events GROUP BY user_id""",
 )
 def q37(spark, d):
-    e = table(spark, d, "events")
-    patch = lambda value, given: F.max_by(F.when(given, value), F.when(given, F.col("event_id")))
-    return e.groupBy("user_id").agg(patch(F.col("event_type"), F.col("event_type") != "view").alias("status"), patch(F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0).alias("bookmarked"))
+    patches = table(spark, d, "events").select(
+        "user_id", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("status"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 2 == 0).alias("bookmarked")
+    )
+    return D.fold_patches(patches, "user_id", ["event_id"], ["status", "bookmarked"])
 
 
 @query(
@@ -536,11 +543,9 @@ def q41(spark, d):
     """WITH o AS (SELECT o_orderkey FROM orders WHERE o_custkey % 5 <> 0) SELECT count(*) AS n, CAST(round(sum(l_quantity)) AS BIGINT) AS quantity FROM lineitem SEMI JOIN o ON l_orderkey = o_orderkey""",
 )
 def q42(spark, d):
-    gone = table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("o_custkey"))
-    orders = table(spark, d, "orders")
-    left = orders.join(gone, "o_custkey", "left_anti")
-    gone_orders = orders.join(left.select("o_orderkey"), "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").join(gone_orders, "l_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity")).cast("long").alias("quantity"))
+    gone = table(spark, d, "customer").filter("c_custkey % 5 = 0").select("c_custkey")
+    chain = [(table(spark, d, "orders"), "o_custkey", "o_orderkey"), (table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")]
+    return D.cascade_delete(gone, chain)[-1].agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity")).cast("long").alias("quantity"))
 
 
 @query(
@@ -558,12 +563,13 @@ def q44(spark, d):
 
 @query("s1", ORACLE_SQL["q24"])
 def s1(spark, d):
-    return R.drained(R.dedupe_stream(R.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"], 86400))
+    return R.drained(R.dedupe_stream(R.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"], 86400)).drop("batch")
 
 
 @query("s2", "SELECT user_id, CAST(floor(epoch_us(ts) / 1e6 / 86400) * 86400 AS BIGINT) AS window_start, count(*) AS hits FROM events GROUP BY ALL")
 def s2(spark, d):
-    return R.drained(R.rate_counts_stream(R.read_events(spark, f"{d}/events.parquet"), "user_id"), "complete")
+    updates = R.drained(R.rate_counts_stream(R.read_events(spark, f"{d}/events.parquet"), "user_id"), "update")
+    return R.latest_counts(updates, ["user_id", "window_start"], "hits")
 
 
 @query(
@@ -574,12 +580,12 @@ def s2(spark, d):
 )
 def s3(spark, d):
     events = R.read_events(spark, f"{d}/events.parquet").withColumn("failed", F.col("event_type") == "error")
-    return R.drained(R.failure_stream(events, "user_id", "failed"))
+    return R.drained(R.failure_stream(events, "user_id", "failed")).drop("batch")
 
 
 @query("s4", f"SELECT event_id, alive FROM ({ORACLE_SQL['q26']})")
 def s4(spark, d):
-    return R.drained(R.session_stream(R.read_events(spark, f"{d}/events.parquet"), "user_id", 21600, 86400))
+    return R.drained(R.session_stream(R.read_events(spark, f"{d}/events.parquet"), "user_id", 21600, 86400)).drop("batch")
 
 
 @query("s5", "SELECT event_id, CASE WHEN event_type <> 'error' THEN 'done' WHEN event_id % 4 + 1 >= 3 THEN 'dead' ELSE 'retry' END AS route FROM events")
@@ -588,4 +594,7 @@ def s5(spark, d):
         attempts = batch.withColumn("receives", F.col("event_id") % 4 + 1)
         return S.route_deliveries(attempts, "receives", F.col("event_type") != "error", F.lit(True)).select("event_id", "route")
 
-    return R.drained(R.read_events(spark, f"{d}/events.parquet"), each=each)
+    return R.drained(R.read_events(spark, f"{d}/events.parquet"), each=each).drop("batch")
+
+
+from . import stored  # noqa: E402, F401  registers the queries on stored tables

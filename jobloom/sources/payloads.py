@@ -12,11 +12,15 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.numbers import annual_salary
 from ..functions.text import first_nonempty, html_to_text, identity, url_join
-from ..operators.clustering import first_by
+from ..operators.clustering import first_by_traversal
 
 POSTING = "external_id string, url string, title string, company_name string, location string, remote boolean, employment_type string, salary_min bigint, salary_max bigint, description string, needs_review array<string>"
 NODE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "company", "location", "employment_type", "url", "external_id", "description", "currency", "unit", "lo", "hi", "single")]))
 
+#: The type of a posting's object, the parts of an address in order.
+JOB_TYPE = "JobPosting"
+PLACE_PARTS = ("addressLocality", "addressRegion", "addressCountry")
+
 Normaliser = Callable[[DataFrame], DataFrame]
 _NORMALISERS: dict[str, Normaliser] = {}
 
@@ -62,7 +66,6 @@ def _title(c: Column) -> Column:
 
 
 
-
 def jobs_object(landed: DataFrame) -> DataFrame:
     """Object with `jobs`, HTML contents, places in `location` and `offices`; remote is true if any place says so, else unknown."""
     offices = F.coalesce(_get("$.offices", "array<struct<name:string>>"), F.array().cast("array<struct<name:string>>"))
@@ -115,66 +118,76 @@ def jsonld_nodes(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
     script = re.compile(r"<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", re.I | re.S)
 
-    def text(v):
-        if isinstance(v, str):
-            return v.strip() or None
-        if isinstance(v, dict):
-            return text(v.get("name"))
-        if isinstance(v, list):
-            return next((t for t in map(text, v) if t), None)
+    def name_of(value):
+        """A text, an object's name, or the first of a list that has one."""
+        queue = [value]
+        while queue:
+            v = queue.pop(0)
+            if isinstance(v, list):
+                queue = v + queue
+            elif isinstance(v, dict):
+                queue.insert(0, v.get("name"))
+            elif isinstance(v, str) and v.strip():
+                return v.strip()
         return None
 
-    def place(v):
-        found = []
-        for p in v if isinstance(v, list) else [v]:
-            address = p.get("address") if isinstance(p, dict) else None
-            if isinstance(address, str):
-                found.append(address.strip())
-            elif isinstance(address, dict):
-                found.append(", ".join(x for x in (text(address.get(k)) for k in ("addressLocality", "addressRegion", "addressCountry")) if x))
-        return "; ".join(dict.fromkeys(x for x in found if x)) or None
-
-    def number(v):
-        return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
-
-    def node(n):
-        kinds = n.get("@type")
-        if "JobPosting" not in (kinds if isinstance(kinds, list) else [kinds]) or not text(n.get("title")):
+    def address_of(spot):
+        address = spot.get("address") if isinstance(spot, dict) else None
+        if isinstance(address, dict):
+            address = ", ".join(str(address[part]) for part in PLACE_PARTS if address.get(part))
+        return address if isinstance(address, str) else ""
+
+    def places(value):
+        return "; ".join(dict.fromkeys(filter(None, map(address_of, value if isinstance(value, list) else [value])))) or None
+
+    def amount(value):
+        return repr(float(value)) if type(value) in (int, float) else None
+
+    def kinds(value):
+        listed = map(str, value) if isinstance(value, list) else [str(value)] if value else []
+        return ", ".join(listed) or None
+
+    def as_object(value):
+        return value if isinstance(value, dict) else {}
+
+    def posting(thing):
+        """A job posting with a title as one record, else None."""
+        declared = thing.get("@type")
+        title = name_of(thing.get("title"))
+        if title is None or JOB_TYPE not in (declared if isinstance(declared, list) else [declared]):
             return None
-        pay = n.get("baseSalary") if isinstance(n.get("baseSalary"), dict) else {}
-        value = pay.get("value") if isinstance(pay.get("value"), dict) else {}
-        kind = n.get("employmentType")
-        link = text(n.get("url")) or text(n.get("@id"))
+        pay = as_object(thing.get("baseSalary"))
+        value = as_object(pay.get("value"))
+        link, description, unit = name_of(thing.get("url")) or name_of(thing.get("@id")), thing.get("description"), value.get("unitText")
         return {
-            "title": text(n.get("title")), "company": text(n.get("hiringOrganization")), "location": place(n.get("jobLocation")), "employment_type": ", ".join(map(str, kind)) or None if isinstance(kind, list) else str(kind) if kind else None,
-            "url": link, "external_id": text(n.get("identifier")) or link, "description": n.get("description") if isinstance(n.get("description"), str) else None, "currency": pay.get("currency"),
-            "unit": (str(value["unitText"]).lower() if value.get("unitText") else None), "lo": number(value.get("minValue")), "hi": number(value.get("maxValue")), "single": number(value.get("value")),
+            "title": title, "company": name_of(thing.get("hiringOrganization")), "location": places(thing.get("jobLocation")), "employment_type": kinds(thing.get("employmentType")),
+            "url": link, "external_id": name_of(thing.get("identifier")) or link, "description": description if isinstance(description, str) else None, "currency": pay.get("currency"),
+            "unit": str(unit).lower() if unit else None, "lo": amount(value.get("minValue")), "hi": amount(value.get("maxValue")), "single": amount(value.get("value")),
         }
 
+    def things(data):
+        """All objects, graphs opened after their holder, lists from the end."""
+        if isinstance(data, list):
+            for item in reversed(data):
+                yield from things(item)
+        elif isinstance(data, dict):
+            yield data
+            yield from things(data.get("@graph"))
+
     def page(html):
-        out = []
+        found = []
         for body in script.findall(html or ""):
             try:
-                open_ = [json.loads(body)]
-            except ValueError:
+                found += filter(None, map(posting, things(json.loads(body))))
+            except (ValueError, RecursionError):
                 continue
-            while open_:
-                v = open_.pop()
-                if isinstance(v, list):
-                    open_ += v
-                elif isinstance(v, dict):
-                    if isinstance(v.get("@graph"), list):
-                        open_ += v["@graph"]
-                    if found := node(v):
-                        out.append(found)
-        return out
+        return found
 
     for s in pages:
         yield pd.Series([page(h) for h in s], index=s.index)
 
 
 
-
 def extract_job_postings(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """Postings in JSON-LD scripts, one row a resolved url of a page: the first in traversal order. Pages without such a script stay out of Python."""
     found = pages.filter(F.col(html).contains("ld+json")).select(key, F.col(url).alias("_base"), F.posexplode(jsonld_nodes(F.col(html))).alias("place", "n"))
@@ -184,7 +197,7 @@ def extract_job_postings(pages: DataFrame, key: str, url: str, html: str) -> Dat
         key, "place", link.alias("url"), F.col("n.title").alias("title"), F.col("n.company").alias("company_name"), F.col("n.location").alias("location"), F.col("n.employment_type").alias("employment_type"),
         identity(F.col("n.external_id"), link).alias("external_id"), html_to_text(F.coalesce(F.col("n.description"), F.lit(""))).alias("description"), pay.alias("pay"),
     )
-    return first_by(rows, [key, "url"], [F.asc("place")]).select(key, "url", "title", "company_name", "location", "employment_type", "external_id", "description", F.col("pay.salary_min").alias("salary_min"), F.col("pay.salary_max").alias("salary_max"))
+    return first_by_traversal(rows, [key, "url"], ["place"]).select(key, "url", "title", "company_name", "location", "employment_type", "external_id", "description", F.col("pay.salary_min").alias("salary_min"), F.col("pay.salary_max").alias("salary_max"))
 
 
 def decode_envelopes(messages: DataFrame, body: str, place: Column, now: Column) -> DataFrame:
@@ -205,6 +218,67 @@ def charset_of(content_type: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_extract(content_type, r"(?i)charset=\"?([A-Za-z0-9_-]+)", 1)), F.lit("")), F.lit("utf-8"))
 
 
+@pandas_udf(T.StringType())
+def decode_bytes(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Bytes as text in a named charset, bad bytes replaced; null for an unknown charset."""
+
+    def one(raw, charset):
+        try:
+            return None if raw is None else bytes(raw).decode(charset, errors="replace")
+        except LookupError:
+            return None
+
+    for raw, charset in values:
+        yield pd.Series([one(r, c) for r, c in zip(raw, charset, strict=True)], index=raw.index)
+
+
+def decoded(content: Column, content_type: Column) -> Column:
+    """A fetched body as text: its charset (default utf-8), bad bytes replaced. Valid utf-8 takes built-ins; the UDF is handed nulls for it."""
+    charset = charset_of(content_type)
+    text = content.cast("string")
+    plain = charset.isin("utf-8", "utf8", "us-ascii") & F.is_valid_utf8(text)
+    return F.when(plain, text).otherwise(decode_bytes(F.when(~plain, content), charset))
+
+
+Decoder = Callable[[bytes], str]
+_DECODERS: dict[str, Decoder] = {}
+
+
+def register_decoder(extension: str, fn: Decoder) -> None:
+    """fn turns an uploaded file's bytes into text; errors it raises fail that file alone."""
+    _DECODERS[extension.lower()] = fn
+
+
+register_decoder("txt", lambda raw: raw.decode("utf-8", errors="replace"))
+register_decoder("md", lambda raw: raw.decode("utf-8", errors="replace"))
+
+
+def extract_texts(files: DataFrame, path: str = "path", content: str = "content", shortest: int = 40, cap: int = 60_000) -> DataFrame:
+    """`path, status, error, text` of uploaded files (binaryFile rows): decoded by extension, then judged like text_gate."""
+    decoders = dict(_DECODERS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, errors = [], []
+            for name, raw in zip(batch[path], batch[content], strict=True):
+                fn, text, error = decoders.get(str(name).rpartition(".")[2].lower()), None, None
+                if fn is None:
+                    error = "unsupported file"
+                else:
+                    try:
+                        text = fn(bytes(raw) if raw is not None else b"")
+                    except Exception as reason:
+                        error = f"could not read the file: {reason}"
+                texts.append(text)
+                errors.append(error)
+            yield pd.DataFrame({"path": batch[path], "raw": texts, "failed": errors}).astype(object)
+
+    rows = files.select(path, content).mapInPandas(run, "path string, raw string, failed string")
+    clean = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
+    error = F.coalesce("failed", F.when(F.length(F.coalesce(clean, F.lit(""))) < shortest, F.lit("too little text")))
+    return rows.select("path", F.when(error.isNull(), F.lit("structuring")).otherwise("failed").alias("status"), error.alias("error"), F.when(error.isNull(), F.substring(clean, 1, cap)).alias("text"))
+
+
 def text_gate(name: Column, text: Column, shortest: int = 40, cap: int = 60_000) -> Column:
     """struct(status, error, text) of an uploaded document's text."""
     kind = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))

@@ -6,52 +6,50 @@ key's events are taken in time order.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ingest import Scorer, SnapshotStore, ingest_batch
+from ..operators.shared import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where none is named (tests)."""
-    import tempfile
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def read_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+def read_events(spark: SparkSession, path: str, files_per_trigger: int = 10) -> DataFrame:
     """Event files as a stream with event time `ts`; at most so many files a batch."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
     # as a pattern of one name: a stream takes a pattern for a table of one file as well as for a folder
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
+    literal = re.sub(r"([\[\]{}*?\\])", r"\\\1", path.rstrip("/"))
+    return reader.parquet(f"{literal[:-1]}[{literal[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns its output, written batch by batch to the shared folder.
 
-    A batch's folder is named by its number, so a batch that is run again after a failure replaces its own output. In
-    complete mode the last batch is the result.
+def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None, base: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns its output, written batch by batch to the shared folder, with `batch`.
+
+    A batch's folder is named by its number, so a batch that is run again after a failure replaces its own output; what
+    is done is read from the folders, so a restart with the same base goes on. In update mode a later batch's rows stand
+    beside the earlier ones they supersede.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    done: list[int] = []
+    base = base or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         out = each(batch, number) if each else batch
         out.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-        done.append(number)
 
     query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    if not done:
-        return spark.createDataFrame([], stream.schema)
-    if mode == "complete":
-        return spark.read.parquet(f"{base}/out/batch={max(done)}")
-    return spark.read.option("basePath", f"{base}/out").parquet(*(f"{base}/out/batch={n}" for n in done)).drop("batch")
+    if not _exists(spark, f"{base}/out"):
+        return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
+    return spark.read.parquet(f"{base}/out")
 
 
 def dedupe_stream(events: DataFrame, key: list[str], ttl_seconds: int, delay: str = "1 hour") -> DataFrame:
@@ -77,7 +75,7 @@ def dedupe_stream(events: DataFrame, key: list[str], ttl_seconds: int, delay: st
 
 
 def rate_counts_stream(events: DataFrame, key: str, width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Hits per key and fixed window; refused hits count too."""
+    """Hits per key and fixed window; refused hits count too. Run in update mode: windows behind the watermark leave the state."""
     counted = events.withWatermark("ts", delay).groupBy(key, F.window("ts", width)).agg(F.count(F.lit(1)).alias("hits"))
     return counted.select(key, F.unix_timestamp("window.start").alias("window_start"), "hits")
 
@@ -117,3 +115,55 @@ def session_stream(events: DataFrame, key: str, refresh: int, ttl: int, delay: s
 
     known = events.filter(f"{key} IS NOT NULL").withWatermark("ts", delay)
     return known.groupBy(key).applyInPandasWithState(step, "event_id long, alive boolean", "touched double", "append", "EventTimeTimeout")
+
+
+def latest_counts(updates: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """The last of the counts that an update stream gave for its keys; counts only grow."""
+    return updates.groupBy(*keys).agg(F.max(count).alias(count))
+
+
+def attempts_stream(log: DataFrame, key: str, max_attempts: int, ttl: int, delay: str = "1 hour") -> DataFrame:
+    """`event_id, result` of verify events: the state of a key is its live code, challenge, end and wrong tries; it leaves when the code ends."""
+
+    def step(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        code, challenge, end, wrong = state.get if state.exists else (None, None, 0.0, 0)
+        ids, results = [], []
+        for event, kind, given, asked, at in zip(pdf["event_id"], pdf["kind"], pdf["code"], pdf["challenge"], pdf["ts"].map(pd.Timestamp.timestamp), strict=True):
+            if kind == "issue":
+                code, challenge, end, wrong = given, asked, at + ttl, 0
+                continue
+            result = "invalid"
+            if code is not None and at < end and asked == challenge:
+                wrong += given != code
+                result = "ok" if given == code else "too_many_attempts" if wrong >= max_attempts else "invalid"
+                code = None if result != "invalid" else code
+            ids.append(event)
+            results.append(result)
+        if code is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((code, challenge, float(end), int(wrong)))
+            state.setTimeoutTimestamp(max(int(end * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": ids, "result": results}).astype({"event_id": "int64", "result": object})
+
+    known = log.filter(f"{key} IS NOT NULL").withWatermark("ts", delay)
+    return known.groupBy(key).applyInPandasWithState(step, "event_id long, result string", "code string, challenge string, ends double, wrong long", "append", "EventTimeTimeout")
+
+
+def ingest_stream(deliveries: DataFrame, store: SnapshotStore, runs_of: Callable[[DataFrame, int], DataFrame], preferences: DataFrame, scorer: Scorer, now: Callable[[int], Column], **options) -> DataFrame:
+    """Runs a stream of fetched postings through ingest_batch, each batch on the snapshot that the one before left; returns the statuses.
+
+    The store's batch -1 is the snapshot to begin with. runs_of gives a batch's run per source.
+    """
+
+    def each(batch: DataFrame, number: int) -> DataFrame:
+        snapshot, statuses = ingest_batch(store.before(number), batch, runs_of(batch, number), preferences, scorer, now(number), **options)
+        store.write(number, snapshot)
+        return statuses.select("source_id", "identity", "status", "reason", "match_score", "error")
+
+    return drained(deliveries, each=each)
