@@ -78,23 +78,34 @@ def mixed(h, salt: int = 0):
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data, begin, end):
+class SpanHasher:
     """64-bit hashes of data[begin:end] for many spans of a byte array: polynomials over mixed bytes, read off prefix sums, then mixed."""
-    import numpy as np
 
-    n = len(data)
-    with np.errstate(over="ignore"):
-        if not _POWERS or len(_POWERS[0]) < n:
-            powers = []
-            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-                p = np.full(max(n, 1 << 21), base, np.uint64)
-                p[0] = 1
-                powers.append(np.multiply.accumulate(p, out=p))
-            _POWERS[:] = [*powers, mixed(np.arange(256, dtype=np.uint64), 0x5851F42D4C957F2D)]
-        power, inverse, coded = _POWERS
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(coded[data] * power[:n], out=prefix[1:])
-        return mixed((prefix[end] - prefix[begin]) * inverse[begin])
+    def __init__(self, data):
+        import numpy as np
+
+        n = len(data)
+        with np.errstate(over="ignore"):
+            if not _POWERS or len(_POWERS[0]) < n:
+                powers = []
+                for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+                    p = np.full(max(n, 1 << 21), base, np.uint64)
+                    p[0] = 1
+                    powers.append(np.multiply.accumulate(p, out=p))
+                _POWERS[:] = [*powers, mixed(np.arange(256, dtype=np.uint64), 0x5851F42D4C957F2D)]
+            power, self.inverse, coded = _POWERS
+            self.prefix = np.zeros(n + 1, np.uint64)
+            np.cumsum(coded[data] * power[:n], out=self.prefix[1:])
+
+    def __call__(self, begin, end):
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            return mixed((self.prefix[end] - self.prefix[begin]) * self.inverse[begin])
+
+
+def span_hashes(data, begin, end):
+    return SpanHasher(data)(begin, end)
 
 
 #: A word of Latin letters whose NFC form and lower case are one letter each, and a mark behind it.
@@ -141,7 +152,7 @@ class CachedTokenizer:
     bytes. The cache holds two generations of at most `keep` chunks each; a chunk found in the older one moves up.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 180_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
