@@ -15,14 +15,13 @@ have the shorter contexts sorted too.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, text_bytes, written
+from .common import crc_fold, span_hashes, text_bytes, written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 DEPTH = 7
@@ -40,14 +39,16 @@ def streams(texts) -> list[bytes]:
 def packed_grams(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A gram for each byte of each document and its newline (newlines stand before the start); and bytes a document."""
     pad = b"\n" * DEPTH
-    data = np.frombuffer(pad + pad.join([d + b"\n" for d in docs]), np.uint8).astype(np.uint64)
-    n = len(data) - DEPTH
-    gram = data[DEPTH:].copy()
-    for back in range(1, DEPTH + 1):
-        gram |= data[DEPTH - back : DEPTH - back + n] << np.uint64(8 * (DEPTH + 1 - back))
+    raw = pad + pad.join([d + b"\n" for d in docs])
+    n = len(raw) - DEPTH
+    # eight bytes from each place on, the last of them turned to the lowest place
+    window = np.ndarray((n,), "<u8", raw, 0, (1,))
+    gram = window << _U8
+    gram |= window >> np.uint64(56)
     sizes = np.array([len(d) + 1 for d in docs], np.int64)
-    begin = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-    keep = np.arange(int(sizes.sum())) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+    keep = np.ones(n, bool)
+    stops = np.cumsum(sizes + DEPTH)[:-1] - DEPTH
+    keep[(stops[:, None] + np.arange(DEPTH)).ravel()] = False
     return gram[keep], sizes
 
 
@@ -167,7 +168,7 @@ def _bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
         return ((grams >> np.uint64(8 * (DEPTH + 1 - _SPLIT))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
 
 
-def _chunks(texts: list[bytes], size: int = 3 << 20) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[bytes], size: int = 3 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about that many bytes."""
     lo = 0
     while lo < len(texts):
@@ -179,29 +180,53 @@ def _chunks(texts: list[bytes], size: int = 3 << 20) -> Iterator[tuple[int, int]
         lo = hi
 
 
+def _union(parts: list[np.ndarray]) -> np.ndarray:
+    """Distinct values of sorted arrays, in order."""
+    both = np.concatenate(parts)
+    both.sort()
+    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+
+
 def _block_grams(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of a block in order, with their counts in its training documents (0: only held out)."""
-    grams, counts, size = [], [], 0
+    parts, sides = [], []
     for lo, hi in _chunks(texts):
         for side in (False, True):
-            g, n = counted(packed_grams([t for t, h in zip(texts[lo:hi], held[lo:hi], strict=True) if h == side])[0])
-            grams.append(g)
-            counts.append(np.zeros(len(n), np.uint32) if side else n.astype(np.uint32))
-            size += len(g)
-        if size > len(grams[0]) + 3_000_000:
-            g, n = counted(np.concatenate(grams), np.concatenate(counts))
-            grams, counts, size = [g], [n], len(g)
-    return counted(np.concatenate(grams), np.concatenate(counts))
-
-
-def _block_values(texts: list[bytes], grams: np.ndarray, log10: np.ndarray) -> np.ndarray:
-    """Sums of the grams' values a document."""
-    score = np.zeros(len(texts))
-    for lo, hi in _chunks(texts):
-        own, sizes = packed_grams(texts[lo:hi])
-        u, inverse = np.unique(own, return_inverse=True)
-        score[lo:hi] = np.add.reduceat(log10[np.searchsorted(grams, u)].astype(float)[inverse], np.cumsum(sizes) - sizes)
-    return score
+            own = [t for t, h in zip(texts[lo:hi], held[lo:hi], strict=True) if h == side]
+            if own:
+                g, n = counted(packed_grams(own)[0])
+                parts.append(g)
+                sides.append(None if side else n.astype(np.uint32))
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    grams = _union(parts)
+    counts = np.zeros(len(grams), np.uint32)
+    while parts:
+        g, n = parts.pop(), sides.pop()
+        if n is not None:
+            counts[np.searchsorted(grams, g)] += n
+    return grams, counts
+
+
+class BlockPlaces:
+    """Where the grams of a block's documents stand among its distinct ones: sorted once."""
+
+    def __init__(self, texts: list[bytes]):
+        self.parts = []
+        for lo, hi in _chunks(texts):
+            grams, sizes = packed_grams(texts[lo:hi])
+            u, inverse = np.unique(grams, return_inverse=True)
+            self.parts.append((lo, hi, u, inverse.astype(np.uint32), sizes))
+        self.n = len(texts)
+        self.grams = _union([p[2] for p in self.parts]) if self.parts else np.zeros(0, np.uint64)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the grams' values a document."""
+        out = np.zeros(self.n)
+        for lo, hi, u, inverse, sizes in self.parts:
+            own = values[np.searchsorted(self.grams, u)].astype(float)
+            out[lo:hi] = np.add.reduceat(own[inverse], np.cumsum(sizes) - sizes)
+        return out
 
 
 _KT = _log_kt(*np.meshgrid(np.arange(64.0), np.arange(64.0), indexing="ij"))
@@ -296,21 +321,30 @@ class Stem:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Integers as packed planes of equal bytes."""
-    return zlib.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
+    """Numbers as packed planes of equal bytes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
 
 
 def _unplaned(raw: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
     width = np.dtype(kind).itemsize
-    return np.frombuffer(zlib.decompress(raw), np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+
 
+def _unpacked(gaps: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(gaps, np.uint64), dtype=np.uint64)
 
-def _merged_grams(gaps, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Distinct grams of a bucket's blocks with their counts; the place of each block's grams among them, block after block; and the blocks' sizes."""
-    each = [np.cumsum(_unplaned(x, np.uint64), dtype=np.uint64) for x in gaps]
-    grams, inverse = np.unique(np.concatenate(each), return_inverse=True)
-    n = np.bincount(inverse, np.concatenate([_unplaned(x, np.uint32) for x in counts]), len(grams)).astype(np.int64)
-    return grams, n, inverse, [len(x) for x in each]
+
+def _merged_grams(gaps, counts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a bucket's blocks with their counts."""
+    grams = _union([_unpacked(x) for x in gaps])
+    n = np.zeros(len(grams), np.int64)
+    for x, c in zip(gaps, counts, strict=True):
+        n[np.searchsorted(grams, _unpacked(x))] += _unplaned(c, np.uint32)
+    return grams, n
 
 
 def _gram_values(shared):
@@ -322,14 +356,11 @@ def _gram_values(shared):
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1).to_pylist()[0]
-                grams, counts, inverse, sizes = _merged_grams(one["gaps"], one["n"])
-                values = Branches(grams, counts).log10(shared.value).astype(np.float32)[inverse]
-                parts = np.split(values, np.cumsum(sizes)[:-1])
-                blocks = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([1] * blocks, pa.int32()), pa.array([one["bucket"]] * blocks, pa.int32()), pa.array(one["blocks"], pa.int32()), pa.array([_planes(x) for x in parts], pa.binary())],
-                    ["kind", "bucket", "block", "data"],
-                )
+                grams, counts = _merged_grams(one["gaps"], one["n"])
+                values = Branches(grams, counts).log10(shared.value).astype(np.float32)
+                for block, gaps in zip(one["blocks"], one["gaps"], strict=True):
+                    part = _planes(values[np.searchsorted(grams, _unpacked(gaps))])
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([one["bucket"]], pa.int32()), pa.array([block], pa.int32()), pa.array([part], pa.binary())], ["kind", "bucket", "block", "data"])
 
     return run
 
@@ -343,42 +374,70 @@ def _stem(merged: DataFrame) -> Stem:
     return Stem(keys[order], *(sums.column(k).to_numpy()[order] for k in (1, 2, 3)))
 
 
-def _shelves(words, buckets: int) -> dict[int, list[bytes]]:
-    """Distinct words by the bucket of their checksum, each bucket in byte order: the same for the same words everywhere."""
-    out: dict[int, list[bytes]] = {}
-    for w in sorted(words):
-        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    return out
+class BlockWords:
+    """A block's tokens as 64-bit hashes of their bytes: distinct ones in order, and each document's."""
+
+    def __init__(self, texts: list[bytes]):
+        self.parts = []
+        for lo, hi in _chunks(texts):
+            raw = b"\n".join(texts[lo:hi]) + b"\n"
+            data = np.frombuffer(raw, np.uint8)
+            white = (data == 32) | (data == 10)
+            before = np.concatenate([[True], white[:-1]])
+            begin, end = np.flatnonzero(~white & before), np.flatnonzero(white & ~before)
+            sizes = np.array([len(t) + 1 for t in texts[lo:hi]], np.int64)
+            doc = np.searchsorted(np.cumsum(sizes), begin, "right")
+            u, inverse = np.unique(span_hashes(data, begin, end), return_inverse=True)
+            self.parts.append((lo, hi, u, inverse.astype(np.uint32), doc))
+        self.n = len(texts)
+        self.words = _union([p[2] for p in self.parts]) if self.parts else np.zeros(0, np.uint64)
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """Occurrences of each word in training documents."""
+        out = np.zeros(len(self.words), np.uint64)
+        for lo, _, u, inverse, doc in self.parts:
+            out[np.searchsorted(self.words, u)] += np.bincount(inverse[train[lo + doc]], minlength=len(u)).astype(np.uint64)
+        return out
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        """Sums of the words' values a document."""
+        out = np.zeros(self.n)
+        for lo, hi, u, inverse, doc in self.parts:
+            out[lo:hi] = np.bincount(doc, value[np.searchsorted(self.words, u)][inverse], hi - lo)
+        return out
+
+
+def _by_bucket(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the runs of a sorted array."""
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    return list(zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True))
+
+
+def _word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the hashes: sorted words have sorted buckets."""
+    return ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _parts_of_block(buckets: int):
-    """A block's distinct words (kind 0) and grams (kind 1) with their counts in its training documents (0: only held out), a row a bucket; the end is the word "\\n"."""
+    """A block's distinct words (kind 0) and grams (kind 1) with their counts in its training documents (0: only held out), a row a bucket; ends of documents: kind 2."""
 
     def run(key, pdf):
-        from collections import Counter
-
         import pandas as pd
 
-        train, every = Counter(), {b"\n"}
-        texts, held_out = streams(pdf["text"].tolist()), pdf["held_out"].tolist()
-        for text, held in zip(texts, held_out, strict=True):
-            words = text.split()
-            if held:
-                every.update(words)
-            else:
-                train.update(words)
-                train[b"\n"] += 1
-        every.update(train)
-        rows = []
-        for bucket, words in _shelves(every, buckets).items():
-            rows.append((0, bucket, int(key[0]), b" ".join(words), _planes(np.array([train.get(w, 0) for w in words], np.uint64))))
-        grams, counts = _block_grams(texts, held_out)
-        bucket = _bucket_of(grams, buckets)
+        texts, held = streams(pdf["text"].tolist()), pdf["held_out"].to_numpy(bool)
+        block, rows = int(key[0]), []
+        words = BlockWords(texts)
+        n = words.counts(~held)
+        for bucket, a, b in _by_bucket(_word_bucket(words.words, buckets)):
+            rows.append((0, bucket, block, _planes(np.diff(words.words[a:b], prepend=np.uint64(0))), _planes(n[a:b])))
+        rows.append((2, 0, block, b"", _planes(np.array([int((~held).sum())], np.uint64))))
+        del words
+        grams, counts = _block_grams(texts, held.tolist())
+        bucket = _bucket_of(grams, buckets).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        grams, counts, bucket = grams[order], counts[order], bucket[order]
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        for a, b in zip(at, [*at[1:], len(bucket)], strict=True):
-            rows.append((1, int(bucket[a]), int(key[0]), _planes(np.diff(grams[a:b], prepend=np.uint64(0))), _planes(counts[a:b].astype(np.uint32))))
+        grams, counts = grams[order], counts[order]
+        for k, a, b in _by_bucket(bucket[order]):
+            rows.append((1, k, block, _planes(np.diff(grams[a:b], prepend=np.uint64(0))), _planes(counts[a:b])))
         return pd.DataFrame(rows, columns=["kind", "bucket", "block", "data", "counts"])
 
     return run
@@ -396,55 +455,49 @@ def _merge_bucket(key, pdf):
 
     names = [x.split()[0] for x in _MERGED.split(", ")]
     kind, bucket = int(key[0]), int(key[1])
+    none = (None,) * 7
+    if kind == 2:
+        ends = sum(int(_unplaned(x, np.uint64)[0]) for x in pdf["counts"])
+        return pd.DataFrame([(2, 0, -1, b"", ends, int(ends > 0), *none)], columns=names)
     if kind:
-        grams, counts, _, _ = _merged_grams(pdf["data"], pdf["counts"])
+        grams, counts = _merged_grams(pdf["data"], pdf["counts"])
         keys, zeros, ones, split = Branches(grams, counts).roots()
         row = (1, bucket, -1, b"", 0, 0, pdf["block"].tolist(), pdf["data"].tolist(), pdf["counts"].tolist(), keys.view(np.int64), zeros, ones, split)
         return pd.DataFrame([row], columns=names)
-    total: dict[bytes, int] = {}
-    lists = []
-    for words, counts in zip(pdf["data"], pdf["counts"], strict=True):
-        ws, ns = words.split(b" "), _unplaned(counts, np.uint64).tolist()
-        lists.append(ws)
-        for w, n in zip(ws, ns, strict=True):
-            total[w] = total.get(w, 0) + n
-    none = (None,) * 7
-    rows = [(0, bucket, int(b), _planes(np.array([total[w] for w in ws], np.uint64)), 0, 0, *none) for b, ws in zip(pdf["block"], lists, strict=True)]
-    rows.append((0, bucket, -1, b"", sum(total.values()), sum(1 for n in total.values() if n), *none))
+    each = [_unpacked(x) for x in pdf["data"]]
+    words = _union(each)
+    total = np.zeros(len(words), np.uint64)
+    for w, n in zip(each, pdf["counts"], strict=True):
+        total[np.searchsorted(words, w)] += _unplaned(n, np.uint64)
+    rows = [(0, bucket, int(b), _planes(total[np.searchsorted(words, w)]), 0, 0, *none) for b, w in zip(pdf["block"], each, strict=True)]
+    rows.append((0, bucket, -1, b"", int(total.sum()), int((total > 0).sum()), *none))
     return pd.DataFrame(rows, columns=names)
 
 
-def _score_block(total: int, vocabulary: int, buckets: int):
+def _score_block(total: int, vocabulary: int, ends: int, buckets: int):
+    """total, vocabulary: of training tokens, ends of documents among them; ends: how many these are."""
+
     def run(key, docs, found):
         import pandas as pd
 
         texts = streams(docs["text"].tolist())
-        every = {b"\n"}
-        for t in texts:
-            every.update(t.split())
-        shelves = _shelves(every, buckets)
-        known: dict[bytes, int] = {}
-        words = found[found["kind"] == 0]
-        for bucket, counts in zip(words["bucket"].tolist(), words["data"], strict=True):
-            known.update(zip(shelves[bucket], _unplaned(counts, np.uint64).tolist(), strict=True))
+        n_bytes = np.array([len(t) + 1 for t in texts], np.int64)
         scale = np.log10(total + 0.5 * (vocabulary + 1))
-        value = dict(zip(known, np.log10(np.array([*known.values()], float) + 0.5).tolist(), strict=True))
-        n = len(docs)
-        base, n_tokens, n_known = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for k, t in enumerate(texts):
-            tokens = t.split()
-            tokens.append(b"\n")
-            n_tokens[k] = len(tokens)
-            n_known[k] = len(tokens) - list(map(known.__getitem__, tokens)).count(0)
-            base[k] = sum(map(value.__getitem__, tokens)) - len(tokens) * scale
-        grams = _block_grams(texts, docs["held_out"].tolist())[0]
+        own = BlockWords(texts)
+        answers = found[found["kind"] == 0].sort_values("bucket")["data"]
+        known = np.concatenate([np.zeros(0, np.uint64), *(_unplaned(x, np.uint64) for x in answers)]).astype(float)
+        n_tokens = own.sums(np.ones(len(known))) + 1
+        n_known = own.sums((known > 0).astype(float)) + (ends > 0)
+        base = own.sums(np.log10(known + 0.5)) + np.log10(ends + 0.5) - n_tokens * scale
+        del own, known
+        places = BlockPlaces(texts)
+        del texts
         answers = found[found["kind"] == 1].sort_values("bucket")["data"]
-        log10 = np.empty(len(grams), np.float32)
-        log10[np.argsort(_bucket_of(grams, buckets), kind="stable")] = np.concatenate([_unplaned(x, np.float32) for x in answers])
-        score = _block_values(texts, grams, log10)
-        n_bytes = np.array([len(t) + 1 for t in texts], np.int64)
+        log10 = np.empty(len(places.grams), np.float32)
+        log10[np.argsort(_bucket_of(places.grams, buckets), kind="stable")] = np.concatenate([_unplaned(x, np.float32) for x in answers])
+        score = places.sums(log10)
         return pd.DataFrame({
-            "doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(n, total), "base_score": base,
+            "doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"], "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "train_tokens": np.full(len(docs), total), "base_score": base,
             "score": score, "bits_per_byte": -score / np.log10(2) / n_bytes,
         })
 
@@ -455,8 +508,8 @@ def score_documents(docs: DataFrame, held_fold: int = 1, doc_id: str = "doc_id",
     """Per row: fold, word counts, the word base and the tree's log10 probability and code length per byte.
 
     Words and grams are counted over all training documents in buckets and joined back per block of documents, so
-    neither the vocabulary nor the tree meets in one place; the short contexts' nodes alone are broadcast. A gram's
-    log10 P comes back as a 32-bit float and is added up in 64 bits. Null and blank texts are the end alone. Null ids
+    neither the vocabulary nor the tree meets in one place; the short contexts' nodes alone are broadcast. Words are told
+    apart by 64-bit hashes. A gram's log10 P comes back as a 32-bit float and is added up in 64 bits. Null and blank texts are the end alone. Null ids
     train and are not held out. Repeated rows count each; other columns are not read. Without training documents all
     counts are 0 and the tree gives every bit one half. An empty table gives no rows.
     """
@@ -468,13 +521,15 @@ def score_documents(docs: DataFrame, held_fold: int = 1, doc_id: str = "doc_id",
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     parts = rows.groupBy("block").applyInPandas(_parts_of_block(buckets), "kind int, bucket int, block int, data binary, counts binary")
     merged = written(parts.groupBy("kind", "bucket").applyInPandas(_merge_bucket, _MERGED))
-    total, vocabulary = merged.filter("kind = 0 AND block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
+    sums = {r[0]: r for r in merged.filter("block = -1 AND kind <> 1").groupBy("kind").agg(F.sum("tokens"), F.sum("vocabulary")).collect()}
+    ends = sums[2][1] if 2 in sums else 0
+    total, vocabulary = (sum(r[k] for r in sums.values()) for k in (1, 2))
     shared = spark.sparkContext.broadcast(_stem(merged))
     values = merged.filter("kind = 1").select("bucket", "blocks", "gaps", "n").mapInArrow(_gram_values(shared), "kind int, bucket int, block int, data binary")
     found = merged.filter("kind = 0 AND block >= 0").select("kind", "bucket", "block", "data").unionByName(values)
     return (
         rows.groupBy("block").cogroup(found.groupBy("block"))
-        .applyInPandas(_score_block(total, vocabulary, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+        .applyInPandas(_score_block(total, vocabulary, ends, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     )
 
 
