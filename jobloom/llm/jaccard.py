@@ -8,9 +8,11 @@ first d + 1, and j + 1 entries among the first d + 1 + j (prefix filter over fra
 1 / t; a set uses its own class's fragments and those of the class below, so that any two similar sets meet in the
 class of the smaller. Sets with an entry of one class in common, directly or over others, form a candidate cluster.
 
-Counting. Inside a cluster, blocks of sets of compatible sizes meet in pairs; overlaps are counted fragment by
-fragment as matrix products, and summed per pair. What leaves a block pair is a spanning forest of its links, so
-neither copies nor near copies are ever written out as pairs.
+Counting. Each cluster has a leader, the set that shares most entries. Every member's n-grams are cut into the fragments of
+the global order, fragments of member and leader are counted apart on Spark, and partial overlaps are summed per pair;
+members that link with the leader need no further pairs among themselves. The others meet the whole cluster in blocks: a task
+counts the overlaps of one fragment between two blocks, and the partial counts are summed per block pair. What leaves a
+block pair is a spanning forest of its links, so neither copies nor near copies are ever written out as pairs.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import settled
 from .components import connected_components
@@ -57,7 +60,7 @@ def ngram_sets(texts: list[str | None], n: int = 4, chunk: int = 1 << 21) -> lis
             np.multiply.accumulate(inverse, out=inverse)
             coded = mixed(np.arange(256, dtype=np.uint64), 0x5851F42D4C957F2D)[data]
             prefix = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(coded * power)])
-            blank = data <= 32
+            blank = (data == 32) | (data == 10)  # streams hold no other white space
             begin = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
             stop = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
             line_end = np.flatnonzero(data == 10)
@@ -86,10 +89,14 @@ def ngram_sets(texts: list[str | None], n: int = 4, chunk: int = 1 << 21) -> lis
 
 
 class Fragments:
-    """Size classes and their fragment counts for a threshold of num / den."""
+    """Size classes and their fragment counts for a threshold of num / den.
 
-    def __init__(self, num: int, den: int, largest: int = 1 << 40):
-        self.num, self.den = num, den
+    exact makes every n-gram a fragment, so a prefix is the d + 1 least n-grams and the filter never misses a pair; it
+    gives more and commoner entries.
+    """
+
+    def __init__(self, num: int, den: int, largest: int = 1 << 40, exact: bool = False):
+        self.num, self.den, self.exact = num, den, exact
         bounds = [1.0]
         while bounds[-1] < largest:
             bounds.append(bounds[-1] * den / num)
@@ -106,6 +113,8 @@ class Fragments:
         """
         least, largest = int(np.ceil(self.bounds[c])), int(np.ceil(self.bounds[c + 1])) - 1
         d = (self.den - self.num) * largest // self.num
+        if self.exact:
+            return d, 0, 0
         if d < 16:
             return d, 1 << 20, max(0, min(6, least - d - 3))  # a fragment of its own for each n-gram, but for two at most
         count = int(np.ceil(1.3 * (d + 1))) + 24
@@ -118,6 +127,9 @@ class Fragments:
         d, count, more = self.scheme(s) if s >= 0 else (0, 0, 0)
         if d == 0:
             return np.zeros(0, np.uint64)  # such sets link only if equal
+        if not count:
+            with np.errstate(over="ignore"):
+                return mixed(grams[: d + 1] + np.uint64(s << 32) * _BASE)
         place = ((grams >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         with np.errstate(over="ignore"):
@@ -125,11 +137,11 @@ class Fragments:
             return mixed(sums + (place[at][: d + 1 + more] + np.uint64(s << 32)) * _BASE)
 
 
-def _describe(n: int, num: int, den: int):
+def _describe(n: int, num: int, den: int, exact: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        fragments, seen, none = Fragments(num, den), set(), np.zeros(0, np.uint64)
+        fragments, seen, none = Fragments(num, den, exact=exact), set(), np.zeros(0, np.uint64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 some = batch.slice(lo, 1024)
@@ -201,92 +213,200 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], grams_a_fragment:
     return total
 
 
-def _verify(n: int, num: int, den: int):
+def _cut(n: int):
+    """doc_id, text, fragments, extra columns -> a row a fragment with the text's n-grams in that range of the order, packed; empty ones too."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                sets = ngram_sets(some.column(1).to_pylist(), n)
+                count = some.column(2).to_numpy()
+                row, frag, data = [], [], []
+                for k, (grams, f) in enumerate(zip(sets, count.tolist(), strict=True)):
+                    edges = [0, *np.searchsorted(grams, np.array([(i << 64) // f for i in range(1, f)], np.uint64)).tolist(), len(grams)]
+                    for i in range(f):
+                        row.append(k)
+                        frag.append(i)
+                        data.append(grams[edges[i] : edges[i + 1]].tobytes())
+                take = some.take(pa.array(row, pa.int64()))
+                extra = [take.column(c) for c in range(3, batch.num_columns)]
+                names = batch.schema.names[3:]
+                yield pa.RecordBatch.from_arrays([take.column(0), pa.array(frag, pa.int32()), pa.array(data, pa.binary()), *extra], ["doc_id", "fragment", "grams", *names])
+
+    return run
+
+
+def _common(batches: Iterator) -> Iterator:
+    """doc_id, set, leader's and own n-grams of a fragment -> their partial overlap."""
+    import pyarrow as pa
+
+    for batch in batches:
+        names = batch.schema.names
+        left, right = (batch.column(names.index(c)).to_pylist() for c in ("grams", "leader_grams"))
+        n = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(left, right, strict=True)]
+        kept = [batch.column(names.index(c)) for c in ("component", "doc_id", "size", "leader", "leader_size")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64())], ["component", "doc_id", "size", "leader", "leader_size", "common"])
+
+
+_PARTIAL = "component long, kind int, k1 int, k2 int, a array<long>, b array<long>, na array<long>, nb array<long>, common binary"
+
+
+def _block_overlaps(key, pdf):
+    """Partial overlaps of one fragment between two blocks, or within one (kind 0, k1 = k2)."""
+    import pandas as pd
+    import zstandard
+
+    pdf = pdf.sort_values(["side", "doc_id", "size"])
+    side = pdf["side"].to_numpy()
+    same = key[1] == 0 and key[2] == key[3]
+    left = pdf if same else pdf[side == 0]
+    right = left if same else pdf[side == 1]
+    sets = lambda part: [np.frombuffer(x, np.uint64) for x in part["grams"]]
+    names = [c.split()[0] for c in _PARTIAL.split(", ")]
+    if not len(left) or not len(right):
+        return pd.DataFrame([], columns=names)
+    n = overlaps(sets(left), sets(right)).astype(np.uint32)
+    packed = zstandard.ZstdCompressor(level=1).compress(n.tobytes())
+    row = (*key[:4], left["doc_id"].tolist(), right["doc_id"].tolist(), left["size"].tolist(), right["size"].tolist(), packed)
+    return pd.DataFrame([row], columns=names)
+
+
+def _block_links(num: int, den: int):
+    """Sums the partial overlaps of a block pair over fragments and gives a spanning forest of its links."""
+
     def run(key, pdf):
         import pandas as pd
-
-        sets = ngram_sets(pdf["text"].tolist(), n)
-        ids, side = pdf["doc_id"].to_numpy(), pdf["side"].to_numpy()
-        same = key[2] == 0 and key[1] == key[3]
-        left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        inter = overlaps([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
-        size = np.array([len(s) for s in sets], np.int64)
-        linked = inter * den >= num * (size[left][:, None] + size[right][None, :] - inter)
-        # a spanning forest: least ids spread over links until they rest
-        rows, cols = np.nonzero(linked)
-        x, y, label = left[rows], right[cols], ids.copy()
-        while True:
+        import zstandard
+
+        x = zstandard.ZstdDecompressor()
+        a, b = (np.array(pdf[c].iloc[0], np.int64) for c in ("a", "b"))
+        na, nb = (np.array(pdf[c].iloc[0], np.int64) for c in ("na", "nb"))
+        total = np.zeros((len(a), len(b)), np.int64)
+        for part in pdf["common"]:
+            total += np.frombuffer(x.decompress(part), np.uint32).reshape(total.shape)
+        rows, cols = np.nonzero(total * den >= num * (na[:, None] + nb[None] - total))
+        ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        left, right, label = place[: len(a)][rows], place[len(a) :][cols], np.arange(len(ids))
+        while True:  # least ids spread over links until they rest
             before = label.copy()
-            low = np.minimum(label[x], label[y])
-            np.minimum.at(label, x, low)
-            np.minimum.at(label, y, low)
+            low = np.minimum(label[left], label[right])
+            np.minimum.at(label, left, low)
+            np.minimum.at(label, right, low)
             if (label == before).all():
                 break
-        moved = label != ids
-        return pd.DataFrame({"a": label[moved], "b": ids[moved]})
+        moved = label != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[label[moved]], "b": ids[moved]})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text", block: int = 2048) -> DataFrame:
+def _shared_entries(met: DataFrame, most_hot: int = 10_000) -> DataFrame:
+    """Rows (node, need, entry) whose entry two nodes have, once each.
+
+    Entries that a sixty-fourth of the nodes, taken by hash, hold often are counted by aggregation, combined before the
+    shuffle, so that no task gets a common entry's rows; at most about most_hot can be so common, and their table is
+    broadcast. All others go by entry to a window.
+    """
+    total = met.count()
+    often = max(32, total // most_hot // 64)
+    some = met.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(64)) == 0).groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= often).select("entry")
+    hot = settled(some)
+    entry = Window.partitionBy("entry")
+    usual = met.join(F.broadcast(hot), "entry", "left_anti").withColumn("lo", F.min("node").over(entry)).withColumn("hi", F.max("node").over(entry)).filter("lo <> hi").select("node", "need", "entry")
+    common = met.join(F.broadcast(hot), "entry", "left_semi")
+    twice = common.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("entry")
+    return usual.unionByName(common.join(F.broadcast(twice), "entry", "left_semi").select("node", "need", "entry")).distinct()
+
+
+def _first_of_entry(met: DataFrame) -> DataFrame:
+    """Edges from the least node of each entry to its others; entries' least nodes are combined before the shuffle."""
+    least = met.groupBy("entry").agg(F.min("node").alias("a"))
+    return met.join(least, "entry").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+#: Kinds of block pairs: which members' blocks meet. Low members are of the cluster's size class, high ones of the class above; loose ones did not link with the leader.
+_MEET = (("low_loose", "low_loose"), ("low_loose", "low_tied"), ("low_loose", "high_loose"), ("low_loose", "high_tied"), ("low_tied", "high_loose"))
+_SORTS = ("low_loose", "low_tied", "high_loose", "high_tied")
+
+
+def jaccard_components(
+    docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text", block: int = 256, group_bytes: int = 8 << 20, exact: bool = False,
+) -> DataFrame:
     """`doc_id, n_shingles, component_id` per row: size of its set of word n-grams and the smallest linked id.
 
     Two documents link when den * |x & y| >= num * |x | y|. Null, empty and blank texts have no n-grams, link with
     nothing and are their own component; a null id has a null component; rows that repeat an id are one document
     of all their links; equal sets are one set until the end. No partner or candidate is ever dropped. Entries are
-    64-bit hashes: only a collision of hashes (about pairs / 2**64) could join other texts.
+    64-bit hashes: only a collision of hashes (about pairs / 2**64) could join other texts. The fragments of large sets miss
+    a pair with a chance below 1e-16; exact takes the plain prefix filter instead. A task that counts holds the n-grams of at most two
+    blocks of sets in one fragment, about group_bytes.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    facts = settled(rows.mapInArrow(_describe(n, num, den), "doc_id long, n_shingles long, s1 long, s2 long, class int, own array<long>, low array<long>"))
+    facts = settled(rows.mapInArrow(_describe(n, num, den, exact), "doc_id long, n_shingles long, s1 long, s2 long, class int, own array<long>, low array<long>"))
     sets = settled(
         facts.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "s1", "s2", "class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     )
     # sets that share an entry: each with the first of the entry. A pair meets in the class of its smaller set, so
     # the classes' clusters stay apart: a node is a set in a class, its own or the one below
     node = lambda of, scheme: F.xxhash64(of, scheme)
-    schemes = Fragments(num, den)
+    schemes = Fragments(num, den, exact=exact)
     need = F.array(*(F.lit(schemes.scheme(c)[2] + 1) for c in range(len(schemes.bounds) - 1)))  # a number a size class, up to 2**40 n-grams
     lists = F.array(F.struct(F.col("class").alias("s"), F.col("own").alias("e")), F.struct((F.col("class") - 1).alias("s"), F.col("low").alias("e")))
     met = facts.filter("size(own) + size(low) > 0").select("s1", F.explode(lists).alias("l")).filter("size(l.e) > 0")
     met = met.select(node("s1", "l.s").alias("node"), F.get(need, F.col("l.s")).alias("need"), F.explode("l.e").alias("entry"))
-    entry = Window.partitionBy("entry")
-    shared = met.withColumn("lo", F.min("node").over(entry)).withColumn("hi", F.max("node").over(entry)).filter("lo <> hi")
-    shared = settled(shared.select("node", "need", "entry").distinct())
+    shared = settled(_shared_entries(met))
     # a set that shares fewer entries with all others than a link needs with one has no link
-    enough = settled(shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).filter("n >= need").select("node"))
-    met = shared.join(enough, "node", "left_semi").select("node", "entry").withColumn("first", F.min("node").over(entry))
-    clusters = connected_components(met.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
-    roles = sets.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).select(node("s1", F.col("class") - F.col("upper")).alias("node"), "rep", "upper")
-    members = settled(clusters.join(roles, "node").select("component", "rep", "upper"))
-    # blocks of the smaller and of the larger sets of a cluster; every two of the former meet, and each with each of the latter
-    blocks = members.groupBy("component").agg(
-        F.ceil(F.count(F.when(F.col("upper") == 0, 1)) / block).cast("int").alias("lows"), F.ceil(F.count(F.when(F.col("upper") == 1, 1)) / block).cast("int").alias("highs")
-    )
-    placed = members.join(settled(blocks.filter("lows > 0")), "component")
+    enough = settled(shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).filter("n >= need").select("node", "n"))
+    clusters = connected_components(_first_of_entry(shared.join(enough.select("node"), "node", "left_semi").select("node", "entry")))
+    roles = sets.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).select(node("s1", F.col("class") - F.col("upper")).alias("node"), "rep", "upper", F.col("n_shingles").alias("size"))
+    members = settled(clusters.join(roles, "node").join(enough, "node").select("component", "rep", "upper", "size", "n"))
+    leaders = members.groupBy("component").agg(F.max_by(F.struct(F.col("rep").alias("leader"), F.col("size").alias("leader_size")), F.struct("n", -F.col("rep"))).alias("l"), F.max("size").alias("largest"))
+    leaders = settled(leaders.select("component", "l.*", "largest"))
+    # fragments so many that two blocks of the cluster's largest set fit; a repeated id with another text is told apart by its set's size
+    fragments = F.greatest(F.lit(1), F.ceil(F.col("largest") * (16 * block) / group_bytes)).cast("int")
+    cut = lambda of: of.mapInArrow(_cut(n), T.StructType([*_CUT, *of.schema.fields[3:]]))
+    wanted = members.join(leaders.select("component", "largest"), "component").select("component", F.col("rep").alias("doc_id"), "size", fragments.alias("fragments"))
+    own = cut(rows.join(wanted, "doc_id").select("doc_id", "text", "fragments", "component", "size"))
+    lead = leaders.select("component", F.col("leader").alias("doc_id"), "leader_size", fragments.alias("fragments"))
+    lead = cut(rows.join(lead, "doc_id").select("doc_id", "text", "fragments", "component", "leader_size"))
+    lead = lead.select("component", "fragment", F.col("doc_id").alias("leader"), "leader_size", F.col("grams").alias("leader_grams"))
+    both = own.join(lead, ["component", "fragment"]).select("component", "doc_id", "size", "grams", "leader", "leader_size", "leader_grams")
+    partial = both.mapInArrow(_common, "component long, doc_id long, size long, leader long, leader_size long, common long")
+    pairs = partial.groupBy("component", "doc_id", "size", "leader", "leader_size").agg(F.sum("common").alias("common"))
+    tied = settled(pairs.filter(F.col("common") * den >= num * (F.col("size") + F.col("leader_size") - F.col("common"))).select("component", "doc_id", "leader").distinct())
+    stars = tied.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+    # blocks of what is left, each against what it may still link with
+    sort = F.concat(F.when(F.col("upper") == 0, "low_").otherwise("high_"), F.when(F.col("_t").isNotNull(), "tied").otherwise("loose"))
+    sorted_ = members.join(tied.select("component", F.col("doc_id").alias("rep"), F.lit(True).alias("_t")), ["component", "rep"], "left").withColumn("sort", sort)
+    counts = sorted_.groupBy("component").agg(*(F.ceil(F.count(F.when(F.col("sort") == x, 1)) / block).cast("int").alias(x) for x in _SORTS), F.max("size").alias("largest"))
+    counts = counts.filter("low_loose > 0 OR (low_tied > 0 AND high_loose > 0)")
+    placed = sorted_.select("component", "rep", "size", "sort").join(settled(counts), "component")
     upto = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    pair = lambda k1, upper, k2, side: F.struct(k1.cast("int").alias("k1"), F.lit(upper).alias("u2"), k2.cast("int").alias("k2"), side.cast("int").alias("side"))
-    low_k, high_k = F.pmod(F.xxhash64("rep"), F.col("lows")), F.pmod(F.xxhash64("rep"), F.col("highs"))
-    places = F.when(
-        F.col("upper") == 0,
-        F.concat(
-            F.transform(upto(F.col("lows")), lambda j: pair(F.least(low_k, j), 0, F.greatest(low_k, j), F.when(low_k <= j, 0).otherwise(1))),
-            F.transform(upto(F.col("highs")), lambda j: pair(low_k, 1, j, F.lit(0))),
-        ),
-    ).otherwise(F.transform(upto(F.col("lows")), lambda j: pair(j, 1, high_k, F.lit(1))))
-    placed = placed.select("component", F.col("rep").alias("doc_id"), places.alias("places"))
-    # a repeated id with another text is another set with the same representative: both come along
-    texts = rows.join(placed, "doc_id").withColumn("place", F.explode("places")).select("component", "place.*", "doc_id", "text")
-    links = texts.groupBy("component", "k1", "u2", "k2").applyInPandas(_verify(n, num, den), "a long, b long")
-    merged = connected_components(links.select("a", "b"))
+    mine = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.coalesce(*(F.when(F.col("sort") == x, F.col(x)) for x in _SORTS)))).cast("int")
+    place = lambda kind, k1, k2, side: F.struct(F.lit(kind).alias("kind"), k1.cast("int").alias("k1"), k2.cast("int").alias("k2"), side.cast("int").alias("side"))
+    none = F.array().cast("array<struct<kind:int,k1:int,k2:int,side:int>>")
+    places = [F.when(F.col("sort") == "low_loose", F.transform(upto(F.col("low_loose")), lambda j: place(0, F.least(F.col("mine"), j), F.greatest(F.col("mine"), j), F.when(F.col("mine") <= j, 0).otherwise(1)))).otherwise(none)]
+    for kind, (x, y) in enumerate(_MEET[1:], 1):
+        places.append(F.when(F.col("sort") == x, F.transform(upto(F.col(y)), lambda j, kind=kind: place(kind, F.col("mine"), j, F.lit(0)))).otherwise(none))
+        places.append(F.when(F.col("sort") == y, F.transform(upto(F.col(x)), lambda j, kind=kind: place(kind, j, F.col("mine"), F.lit(1)))).otherwise(none))
+    placed = placed.withColumn("mine", mine).select(F.col("rep").alias("doc_id"), "component", "size", fragments.alias("fragments"), F.concat(*places).alias("places")).filter("size(places) > 0")
+    parts = cut(rows.join(placed, "doc_id").select("doc_id", "text", "fragments", "component", "size", "places"))
+    parts = parts.withColumn("place", F.explode("places")).select("component", "place.*", "fragment", "doc_id", "size", "grams")
+    counted = parts.groupBy("component", "kind", "k1", "k2", "fragment").applyInPandas(_block_overlaps, _PARTIAL)
+    links = counted.groupBy("component", "kind", "k1", "k2").applyInPandas(_block_links(num, den), "a long, b long")
+    merged = connected_components(settled(stars.unionByName(links)))
     merged = settled(sets.filter("copies > 1").select("rep").join(merged.withColumnRenamed("node", "rep"), "rep", "full").select("rep", F.coalesce("component", "rep").alias("component_id")))
     known = settled(sets.join(merged, "rep").select("n_shingles", "s1", "s2", "component_id"))
     out = facts.select("doc_id", "n_shingles", "s1", "s2").join(known, ["n_shingles", "s1", "s2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+_CUT = (T.StructField("doc_id", T.LongType()), T.StructField("fragment", T.IntegerType()), T.StructField("grams", T.BinaryType()))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
