@@ -24,18 +24,23 @@ def conversation_turns(turns: DataFrame, conv_id: str = "conv_id", turn: str = "
 
 
 def common_turns(a: Column, b: Column) -> Column:
-    """How many turns two arrays share from the start, by role and text."""
+    """How many turns two arrays share from the start, by role and text; nulls, also null turns, are equal to nulls alone."""
     n = F.least(F.size(a), F.size(b))
     same = F.transform(
         F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: (F.get(a, i)["role"] == F.get(b, i)["role"]) & (F.get(a, i)["text"] == F.get(b, i)["text"]),
+        lambda i: F.get(a, i)["role"].eqNullSafe(F.get(b, i)["role"]) & F.get(a, i)["text"].eqNullSafe(F.get(b, i)["text"]) & (F.get(a, i).isNull() == F.get(b, i).isNull()),
     )
     first = F.array_position(same, False)
     return F.when(first > 0, first - 1).otherwise(n).cast("int")
 
 
+def _given(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
 def rendered(turns: Column) -> Column:
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(HEAD), t["role"], F.lit(MIDDLE), t["text"], F.lit(END))), "")
+    """Turns as text; a null role or text is empty, a null turn has both null."""
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(HEAD), _given(t["role"]), F.lit(MIDDLE), _given(t["text"]), F.lit(END))), "")
 
 
 def loss_spans(turns: Column, trained: str = "assistant") -> Column:
@@ -43,10 +48,10 @@ def loss_spans(turns: Column, trained: str = "assistant") -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
 
     def step(a: Column, t: Column) -> Column:
-        begin = a["at"] + len(HEAD) + F.length(t["role"]) + len(MIDDLE)
-        stop = begin + F.length(t["text"]) + len(END)
+        begin = a["at"] + len(HEAD) + F.length(_given(t["role"])) + len(MIDDLE)
+        stop = begin + F.length(_given(t["text"])) + len(END)
         span = F.struct(begin.cast("int").alias("start"), stop.cast("int").alias("stop"))
-        return F.struct(stop.cast("int").alias("at"), F.when(t["role"] == trained, F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+        return F.struct(stop.cast("int").alias("at"), F.when(t["role"].eqNullSafe(F.lit(trained)), F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
 
     return F.aggregate(turns, start, step, lambda a: a["spans"])
 
@@ -68,41 +73,48 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
 
 def reply_pairs(turns: DataFrame) -> DataFrame:
-    """`conv_id, chosen, rejected`: every conversation, against itself with the last reply of the neighbour (id with the last bit turned) in its place.
+    """`conv_id, chosen, rejected`: every conversation, against itself with one reply exchanged for the last reply of the neighbour (id with the last bit turned).
 
-    Without an assistant turn, or where the neighbour is missing or has none, the rejected side is null.
+    Of a conversation's n assistant turns the one numbered conv_id mod n (from 0) is exchanged, so pairs part at all
+    depths and go on behind. Without an assistant turn, or where the neighbour is missing or has none, the rejected side is null.
     """
-    at = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i).otherwise(-1)))
-    convs = conversation_turns(turns).withColumn("at", at)
-    other = convs.filter("at >= 0").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.get("turns", F.col("at"))["text"].alias("reply"))
+    replies = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull())
+    convs = conversation_turns(turns).withColumn("replies", replies)
+    convs = convs.withColumn("at", F.when(F.size("replies") > 0, F.get("replies", F.pmod(F.col("conv_id"), F.greatest(F.size("replies"), F.lit(1))).cast("int"))))
+    other = convs.filter("at IS NOT NULL").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.get("turns", F.array_max("replies"))["text"].alias("reply"))
     swapped = F.transform("turns", lambda t, i: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.when(i == F.col("at"), F.col("reply")).otherwise(t["text"]).alias("text")))
-    rejected = F.when((F.col("at") >= 0) & F.col("reply").isNotNull(), swapped)
+    rejected = F.when(F.col("at").isNotNull() & F.col("reply").isNotNull(), swapped)
     return convs.join(other, "conv_id", "left").select("conv_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))
 
 
+def spans_text(spans: Column) -> Column:
+    """Spans as one text: "start-stop" with commas between."""
+    return F.array_join(F.transform(spans, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"))), ",")
+
+
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = reply_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    out = format_preferences(pairs)
-    loss = lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + s["stop"] - s["start"]).cast("long")
+    """Prompt, completions and loss masks of every conversation's pair."""
+    out = format_preferences(reply_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return out.select(
-        "conv_id", F.col("n_prefix").cast("long").alias("n_prefix"), F.md5("prompt").alias("prompt_md5"), F.md5("chosen_completion").alias("chosen_md5"), F.md5("rejected_completion").alias("rejected_md5"),
-        F.length("prompt").cast("long").alias("prompt_chars"), loss("chosen_loss").alias("chosen_loss_chars"), loss("rejected_loss").alias("rejected_loss_chars"),
+        "conv_id", F.col("n_prefix").cast("long").alias("n_prefix"), "prompt", "chosen_completion", "rejected_completion",
+        spans_text(F.col("chosen_loss")).alias("chosen_mask"), spans_text(F.col("rejected_loss")).alias("rejected_mask"),
     )
 
 
 OP2_SQL = """
 WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
   FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
-l AS (SELECT conv_id, max(pos) AS at FROM t WHERE role = 'assistant' GROUP BY conv_id),
-r AS (SELECT l.conv_id, l.at, t.text AS reply FROM l JOIN t ON t.conv_id = l.conv_id AND t.pos = l.at),
-p AS (SELECT a.conv_id, a.at, b.reply FROM r a JOIN r b ON b.conv_id = xor(a.conv_id, 1::BIGINT)),
-both_sides AS (SELECT t.conv_id, t.pos, t.role, t.text AS chosen, CASE WHEN t.pos = p.at THEN p.reply ELSE t.text END AS rejected FROM t JOIN p USING (conv_id)),
-d AS (SELECT conv_id, coalesce(min(pos) FILTER (WHERE chosen <> rejected) - 1, max(pos)) AS n_prefix FROM both_sides GROUP BY conv_id),
-x AS (SELECT b.*, d.n_prefix, '<|' || role || '|>' || chr(10) || chosen || '<|end|>' || chr(10) AS c, '<|' || role || '|>' || chr(10) || rejected || '<|end|>' || chr(10) AS j FROM both_sides b JOIN d USING (conv_id))
-SELECT conv_id, n_prefix, md5(coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE pos <= n_prefix), '')) AS prompt_md5,
-  md5(coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE pos > n_prefix), '')) AS chosen_md5, md5(coalesce(string_agg(j, '' ORDER BY pos) FILTER (WHERE pos > n_prefix), '')) AS rejected_md5,
-  CAST(coalesce(sum(length(c)) FILTER (WHERE pos <= n_prefix), 0) AS BIGINT) AS prompt_chars,
-  CAST(coalesce(sum(length(chosen) + 8) FILTER (WHERE pos > n_prefix AND role = 'assistant'), 0) AS BIGINT) AS chosen_loss_chars,
-  CAST(coalesce(sum(length(rejected) + 8) FILTER (WHERE pos > n_prefix AND role = 'assistant'), 0) AS BIGINT) AS rejected_loss_chars
-FROM x GROUP BY conv_id, n_prefix
+a AS (SELECT conv_id, pos, text, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM t WHERE role = 'assistant'),
+r AS (SELECT conv_id, max(pos) FILTER (WHERE k = ((conv_id % n) + n) % n) AS at_pos, arg_max(text, pos) AS reply FROM a GROUP BY conv_id),
+p AS (SELECT c.conv_id, x.at_pos, y.reply, x.at_pos IS NOT NULL AND y.reply IS NOT NULL AS paired FROM (SELECT DISTINCT conv_id FROM t) c LEFT JOIN r x ON x.conv_id = c.conv_id LEFT JOIN r y ON y.conv_id = xor(c.conv_id, 1::BIGINT)),
+s AS (SELECT t.conv_id, t.pos, t.role, t.text AS chosen, CASE WHEN paired THEN CASE WHEN t.pos = at_pos THEN reply ELSE t.text END END AS rejected, paired FROM t JOIN p USING (conv_id)),
+d AS (SELECT conv_id, CASE WHEN bool_and(paired) THEN coalesce(min(pos) FILTER (WHERE chosen <> rejected) - 1, max(pos)) ELSE 0 END AS n_prefix FROM s GROUP BY conv_id),
+x AS (SELECT s.*, d.n_prefix, '<|' || role || '|>' || chr(10) || chosen || '<|end|>' || chr(10) AS c, '<|' || role || '|>' || chr(10) || rejected || '<|end|>' || chr(10) AS j FROM s JOIN d USING (conv_id)),
+o AS (SELECT *, sum(CASE WHEN pos > n_prefix THEN length(c) ELSE 0 END) OVER w - length(c) AS co, sum(CASE WHEN pos > n_prefix THEN length(j) ELSE 0 END) OVER w - length(j) AS jo FROM x
+  WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, n_prefix, coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE pos <= n_prefix), '') AS prompt,
+  coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE pos > n_prefix), '') AS chosen_completion, coalesce(string_agg(j, '' ORDER BY pos) FILTER (WHERE pos > n_prefix), '') AS rejected_completion,
+  coalesce(string_agg((co + length(role) + 5)::BIGINT || '-' || (co + length(c))::BIGINT, ',' ORDER BY pos) FILTER (WHERE pos > n_prefix AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((jo + length(role) + 5)::BIGINT || '-' || (jo + length(j))::BIGINT, ',' ORDER BY pos) FILTER (WHERE pos > n_prefix AND role = 'assistant' AND paired), '') AS rejected_mask
+FROM o GROUP BY conv_id, n_prefix
 """
