@@ -3,33 +3,21 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import positions, settled, shared_folder
+
+
 #: ASCII white space that separates words, as a Java regex and as characters.
 WS_REGEX = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\f\r"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one of our own only where none is named (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, else a fresh local one (single-machine tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder: later jobs reread it instead of recomputing it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The folder named in spark.checkpoint.dir; without one a local folder on one machine, an error on a cluster."""
+    return shared_folder(spark)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -313,18 +301,5 @@ def worker_tokenizer(name: str) -> CachedTokenizer:
     return _LOADED[name]
 
 
-def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df (settled) with consecutive positions from 0 in the given total order, without a window over all rows.
-
-    Ranges of the order are sorted apart; only one count a partition, as many as spark.sql.shuffle.partitions at most,
-    meets on the driver.
-    """
-    spark = df.sparkSession
-    placed = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
-    part, row = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    before, offsets = 0, []
-    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect()):
-        offsets.append((p, before))
-        before += n
-    table = spark.createDataFrame(offsets, "_p long, _before long")
-    return placed.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn(name, F.col("_before") + row).drop("_m", "_p", "_before")
+#: df with consecutive positions in a total order.
+global_index = positions

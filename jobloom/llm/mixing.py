@@ -101,13 +101,14 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: i
 
     Rows are joined to their counts by id and text hash, so repeated ids keep their own texts.
     """
-    keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text", "source"))
-    counts = mix_counts(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("doc_id", "text", "source").alias("h"))), weights, epochs, seed)
-    counts = counts.groupBy(F.col("doc_id.h").alias("_h")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    each = keyed.join(counts.filter("_copies > 0"), "_h")
+    h, copies, rows, n = (name + "_" * max((len(c) for c in docs.columns), default=0) for name in "hcrn")  # longer than any column of docs
+    keyed = docs.withColumn(h, F.xxhash64("doc_id", "text", "source"))
+    counts = mix_counts(docs.select(F.struct("doc_id", F.xxhash64("doc_id", "text", "source").alias("h")).alias("doc_id"), "text", "source"), weights, epochs, seed)
+    counts = counts.groupBy(F.col("doc_id.h").alias(h)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+    each = keyed.join(counts.filter(F.col(copies) > 0), h)
     # equal rows are one row taken as often as all of them together
-    once = each.filter("_rows = 1").unionByName(each.filter("_rows > 1").dropDuplicates(["_h"]))
-    return once.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+    once = each.filter(F.col(rows) == 1).unionByName(each.filter(F.col(rows) > 1).dropDuplicates([h]))
+    return once.withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,13 +141,13 @@ def apply_quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_i
     stratum is a stratum of its own. Null, empty and short texts fail the base rules. Repeated rows keep a row each;
     labels never add rows. An empty table gives no rows. Measures are computed once and kept in the checkpoint folder.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.col(text).alias("text"), F.xxhash64(text, stratum).alias("text_hash"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"), F.xxhash64(text, stratum).alias("text_hash"))
     measured = with_text_measures(rows).drop("text").withColumn("base_failed", base_failed()).withColumn("passes", strictest_passed())
     measured = settled(measured)
     good = labels.groupBy(F.col("doc_id").alias("doc_id")).agg(F.max("quality").alias("_q")).filter("_q = 1").select("doc_id")
     holdout = measured.filter(~F.col("base_failed")).select("doc_id", "stratum", "passes").join(good, "doc_id", "left_semi")
     levels = certified_levels(holdout, risk, confidence)
-    out = measured.join(levels, "stratum", "left")
+    out = measured.join(levels.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")), "left").drop("_s")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("level").isNull() | (F.col("passes") <= F.col("level"))))
 
 
@@ -171,7 +171,7 @@ def _passes_sql() -> str:
 
 def _measures_sql(table: str) -> str:
     return rf"""
-  txt AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, row_number() OVER () AS rid FROM {table}),
+  txt AS (SELECT doc_id, coalesce('=' || lang, 'none') AS stratum, coalesce(text, '') AS text, row_number() OVER () AS rid FROM {table}),
   arr AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
     list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM txt),
   win AS (SELECT rid, unnest(range(1, greatest(len(words) - 1, 1))) AS i, words FROM arr WHERE len(words) >= 3),
