@@ -504,7 +504,7 @@ def _score_block(total: int, vocabulary: int, ends: int, buckets: int):
     return run
 
 
-def score_documents(docs: DataFrame, held_fold: int = 1, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_fold: int = 1, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 12 << 20, bucket_bytes: int = 6 << 20) -> DataFrame:
     """Per row: fold, word counts, the word base and the tree's log10 probability and code length per byte.
 
     Words and grams are counted over all training documents in buckets and joined back per block of documents, so
