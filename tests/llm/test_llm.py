@@ -55,6 +55,76 @@ def test_restores_hidden_words(spark):
     for hidden, word in (("l0ser", "loser"), ("s t u p i d", "stupid"), ("looooser", "loser"), ("m0r0n", "moron"), ("p4thetic", "pathetic"), ("$tupid", "stupid"), ("t.r.a.s.h", "trash")):
         assert word in toxicity.restored_words(f"here {hidden} there", model, {}), hidden
     assert toxicity.restored_words("", model, {}) == set() and "there" in toxicity.restored_words("Here, there!", model, {})
+    # doubled letters, white space of any kind and number, no limit on a token's length
+    for hidden, word in (("sttuuppiidd", "stupid"), ("i\td\n i  o t", "idiot"), ("t r a\u00a0s h", "trash"), ("x." * 40 + "l.0.s.e.r", "loser")):
+        assert any(word in w for w in toxicity.restored_words(f"here {hidden} there", model, {})), hidden
+    assert toxicity.suspicious("a" * 10 + "1" + "b" * 90)
+    long = toxicity.restored_words("l0ser" * 20_000, model, {})
+    assert any(w.startswith("loserloser") for w in long)
+
+
+def brute_restore(observed, model):
+    """Every path of the lattice, one by one."""
+    stretched = len(toxicity._DOUBLES(observed)) >= toxicity.STRETCHED
+    behind = len(observed.rstrip(toxicity.MARKS + " "))
+    best = {}
+
+    def walk(at, a, b, score, text):
+        if at == len(observed):
+            total = score + (model.log(a, b, "^") if b != "^" else 0.0)
+            best[text.strip()] = max(total, best.get(text.strip(), -1e300))
+            return
+        c, cost = observed[at], toxicity.COST
+        own = c in toxicity.LETTERS
+        for x, price in [(c, 0.0)] if own else [(x, cost["leet"]) for x in toxicity.LEET.get(c, "")]:
+            walk(at + 1, b, x, score - price + model.log(a, b, x), text + x)
+        if at and c == observed[at - 1]:
+            run = stretched or (at > 1 and observed[at - 2] == c) or observed[at + 1 : at + 2] == c
+            walk(at + 1, a, b, score - cost["repeat" if run else "sign"], text)
+        if c in toxicity.SEPARATORS:
+            walk(at + 1, a, b, score - cost["drop"], text)
+            walk(at + 1, "^", "^", score - cost["keep"] + (model.log(a, b, "^") if b != "^" else 0.0), text + " " if b != "^" else text)
+        elif not own:
+            edge = at == 0 or observed[at - 1] in toxicity.SEPARATORS or at + 1 >= behind
+            price = cost["drop"] if edge and (c == "!" or c not in toxicity.LEET) else cost["sign"]
+            walk(at + 1, *((a, b) if b == "^" or not edge else (b, "^")), score - price, text)
+
+    walk(0, "^", "^", 0.0, "")
+    return best
+
+
+def test_viterbi_equals_every_path(spark):
+    rows = small(spark, [(i, "loser stupid idiot trash the of and here lost rest tide", "en", "a") for i in range(3)])
+    model = toxicity.train_char_model(rows)
+    rng = random.Random(12)
+    for hidden in ["l0ser", "s.t u", "1d1ot", "tr@sh!", "looose", "$.s"] + ["".join(rng.choice("ls0 1.t!") for _ in range(rng.randint(1, 6))) for _ in range(60)]:
+        best = brute_restore(hidden, model)
+        got = toxicity.restore(hidden, model)
+        assert abs(best[got] - max(best.values())) < 1e-9, (hidden, got)
+
+
+def test_character_counts_equal_a_plain_loop():
+    texts = ["The cat, sat. Ünïß l0ser don't", "", "ça élève... (word) a", "x" * 50 + " æøåœ, ee\x85ff\u3000gg"]
+    want = {}
+    for t in texts:
+        for w in t.lower().split():
+            w = w.strip(toxicity.MARKS)
+            if toxicity._PLAIN(w):
+                padded = "^^" + w + "^"
+                for i in range(len(padded) - 2):
+                    want[padded[i : i + 3]] = want.get(padded[i : i + 3], 0) + 1
+    total, signs = toxicity.trigram_counts(texts), "^" + toxicity.LETTERS
+    b = len(signs)
+    assert {signs[k // b**2] + signs[k // b % b] + signs[k % b]: int(total[k]) for k in np.flatnonzero(total).tolist()} == want
+
+
+def test_halves_of_a_known_word_are_decoded(spark):
+    rows = small(spark, [(i, "stupid the of and here there", "en", "a") for i in range(3)])
+    model = toxicity.train_char_model(rows)
+    scorer = toxicity.Scorer(model, np.zeros(0, np.uint64), np.zeros(0), -3.0, ["stupid"])
+    assert "stupid" in toxicity.Words(["here stu pid, there"], model, {}, scorer.halves).texts()
+    assert "stupid" not in toxicity.Words(["here stu, there pid"], model, {}, scorer.halves).texts()
+    assert toxicity.Scorer(model, np.zeros(0, np.uint64), np.zeros(0), -3.0).features(["", "a", " \n"])[:, 3].tolist() == [0.0, float(np.log1p(1)), 0.0]
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -192,7 +262,7 @@ def test_top_k_equals_brute_force(spark):
     x[100:200] = x[100]
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(900, None), (901, [None] + [0.0] * 7), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (None, [0.0] * 8), (5, [float(c) for c in x[5]])]
     vectors = knn.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = knn.top_k(vectors, vectors.filter("vec_id % 10 = 0"), 5, group=4, block=64).toPandas().sort_values(["query_id", "rank"])
+    got = knn.top_k(vectors, vectors.filter("vec_id % 10 = 0"), 5, cell=20, group=4, block=64, part=4).toPandas().sort_values(["query_id", "rank"])
     q = np.floor(256 * x).astype(np.int64)
     for i in range(0, 300, 10):
         s = q @ q[i]
@@ -203,6 +273,34 @@ def test_top_k_equals_brute_force(spark):
     assert knn.top_k(few, few, 5).count() == 6 and knn.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_groups_that_cannot_matter_get_no_rows(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 16)) * 4
+    centres = 8 * centres / np.linalg.norm(centres, axis=1)[:, None]
+    x = np.concatenate([c + rng.normal(size=(100, 16)) * 0.02 for c in centres])
+    vectors = knn.quantised(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    sent: list[int] = []
+    got = knn.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5, cell=20, group=1, sent_to=sent).toPandas()
+    q = np.floor(256 * x).astype(np.int64)
+    for i in range(0, 2000, 50):
+        s = q @ q[i]
+        best = sorted((-int(s[j]), j) for j in range(2000) if j != i)[:5]
+        assert [(-a, b) for a, b in best] == list(got[got.query_id == i].sort_values("rank")[["score", "vec_id"]].itertuples(index=False, name=None))
+    groups = 40
+    assert sent[0] < 0.25 * groups * 2000
+
+
+def test_top_k_of_odd_vectors(spark):
+    rows = [(0, [1e8, -1e8]), (50, [3e16, 0.0]), (1, [1e8]), (2, []), (3, [1e300, -1e300]), (4, [0.5, 0.5, 0.5]), (5, [0.5, 0.5, 0.5]), (50, [1.0, 1.0])]
+    vectors = knn.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = knn.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 3).toPandas()
+    own = got[got.query_id == 0].sort_values("rank")
+    assert own.vec_id.tolist() == [1, 3, 50] and own.score.tolist() == [2**63 - 1] * 3
+    assert set(got[got.query_id == 50].vec_id) <= {0, 1, 3, 4, 5} and (got["rank"] <= 3).all()
+    tie = knn.top_k(vectors.filter("vec_id IN (2, 4, 5)"), vectors.filter("vec_id = 2"), 3).toPandas().sort_values("rank")
+    assert tie.vec_id.tolist() == [4, 5] and tie.score.tolist() == [0, 0]
+
+
 # 5
 
 
@@ -220,6 +318,47 @@ def test_main_text(spark):
     assert html.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repeats_of_a_host_equal_brute_force(spark):
+    rng = random.Random(13)
+    menu, note = [f"m{i}" for i in range(20)], [f"n{i}" for i in range(9)]
+    pages = []
+    for c in range(12):
+        body = [rng.choice("abcdef") + str(rng.randint(0, 400)) for _ in range(rng.randint(3, 60))]
+        pages.append(("h" if c < 9 else "g", c, (menu if c % 2 else note) + body + (menu[:12] if c == 3 else [])))
+    pages.append(("h", 20, pages[1][2]))
+    got = {(r["host"], r["content"], r["at"]): (r["length"], r["pages"]) for r in html.host_repeats(spark.createDataFrame(pages, "host string, content long, tokens array<string>"), 8).collect()}
+    want = {}
+    for host, c, t in pages:
+        for i in range(len(t) - 7):
+            others = [o for h, o, u in pages if h == host and any(u[j : j + 8] == t[i : i + 8] for j in range(len(u) - 7))]
+            if len(others) > 1:
+                n = 8
+                while i + 2 * n <= len(t) and any(o != c and h == host and any(u[j : j + 2 * n] == t[i : i + 2 * n] for j in range(len(u) - 2 * n + 1)) for h, o, u in pages):
+                    n *= 2
+                want[host, c, i] = (n, len(others))
+    assert got == want and max(v[0] for v in got.values()) >= 32
+
+
+def test_copies_and_mirrors_keep_their_articles(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    menu = "<div>" + " ".join(f"m{i}" for i in range(10)) + "</div>"
+    rows = [(1, "http://a.x/1", f"{menu}<p>{body}</p>"), (2, "http://a.x/1?print", f"{menu}<p>{body}</p>")]
+    rows += [(3 + i, f"http://b.x/{i}", f"{menu}<p>{' '.join(f'{i}v{j}' for j in range(30))}</p>") for i in range(6)] + [(20, "http://b.x/20", f"{menu}<p>0v0 0v1 0v2 0v3 0v4 0v5 0v6 0v7 0v8 0v9 own</p>")]
+    rows += [(30, "http://c.x/1", f"<div>intro of the page</div><article><header><h1>T</h1></header><p class='related'>kept</p><div class='related'>gone</div></article><p>{body}</p>"), (31, "http://c.x/2", f"<p>{body}</p>")]
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert body in got[1] and body in got[2]
+    assert got[3] == " ".join(f"0v{j}" for j in range(30)) and got[20].startswith("0v0") and got[20].endswith("own")
+    assert got[30] == "T kept" and got[31] == ""
+
+
+def test_pages_without_their_article_marks_give_the_same_text(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?article[^>]*>", ""))
+    a = {r["page_id"]: r["text"] for r in html.extract_main_text(pages).collect()}
+    b = {r["page_id"]: r["text"] for r in html.extract_main_text(bare).collect()}
+    assert sum(a[k] == b[k] for k in a) >= 0.9 * len(a)
+
+
 # 6
 
 
@@ -365,9 +504,42 @@ def test_jaccard_components_equal_brute_force(spark, odd, words):
         want = brute_components(frame.toPandas(), n, num, 100)
         assert len(got) == len(rows)
         assert {int(r.doc_id): int(r.component_id) for r in got.itertuples() if r.doc_id == r.doc_id} == want
+        fine = jaccard.jaccard_components(frame, n=n, num=num, block=2, group_bytes=64, exact=True).toPandas()
+        assert {int(r.doc_id): int(r.component_id) for r in fine.itertuples() if r.doc_id == r.doc_id} == want
     assert jaccard.jaccard_components(frame.limit(0)).count() == 0
 
 
+def test_chains_beyond_the_leader_and_common_entries(spark, monkeypatch):
+    """Links that the leader of a cluster doesn't have: chains of texts, each like the next alone; and entries that most sets hold."""
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 80]), "en", "a", None, "x") for i in range(60)]
+    rows += [(100 + i, " ".join([*words[900:960], f"v{i}"]), "en", "a", None, "x") for i in range(80)]
+    rows += [(300, "tail \x1c one\x1ctwo three four five", "en", "a", None, "x"), (301, "tail one two three four five", "en", "a", None, "x")]
+    frame = spark.createDataFrame(rows, DOCS)
+    want = brute_components(frame.toPandas(), 4, 85, 100)
+    assert len({want[i] for i in range(60)}) == 1 and len({want[100 + i] for i in range(80)}) == 1 and want[301] == 301
+    hot = jaccard._shared_entries
+    for most_hot in (10_000, 1 << 40):
+        monkeypatch.setattr(jaccard, "_shared_entries", lambda met, most_hot=most_hot: hot(met, most_hot))
+        got = jaccard.jaccard_components(frame, block=8, group_bytes=2000).toPandas()
+        assert {int(r.doc_id): int(r.component_id) for r in got.itertuples()} == want
+
+
+def test_the_filter_misses_no_pair_near_the_threshold():
+    """Recall of the fragments' entries among pairs at and just above the threshold, by size."""
+    rng = np.random.default_rng(14)
+    scheme = jaccard.Fragments(85, 100)
+    for n in (7, 20, 40, 90, 150, 400, 1500):
+        for _ in range(40):
+            differ = int(15 * n // 85 / 2) if n > 12 else 0
+            base = rng.integers(0, 1 << 64, 3 * n, dtype=np.uint64)  # as hashes are: over all 64 bits
+            x, y = np.sort(base[:n]), np.sort(np.concatenate([base[differ:n], base[n : n + differ]]))
+            assert 100 * (n - differ) >= 85 * (n + differ)
+            c = scheme.size_class(n)
+            both = np.intersect1d(scheme.entries(x, c), scheme.entries(y, c))
+            assert len(both) >= scheme.scheme(c)[2] + 1 or differ == 0 and scheme.scheme(c)[0] == 0
+
+
 def test_components_of_long_paths(spark):
     rng = random.Random(10)
     ids = list(range(400))
