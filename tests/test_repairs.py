@@ -177,3 +177,39 @@ def test_partial_run_keeps_what_scored_and_prunes_nothing(spark):
     paused = I.Snapshot(held.jobs, held.postings, held.sources.withColumn("status", F.lit("paused")))
     again, none = I.ingest_batch(paused, fetched, runs_of(held.sources), prefs, I.landed_scorer(refused), F.lit(2))
     assert none.count() == 0 and again.jobs.count() == held.jobs.count()
+
+
+def test_helpers_by_name_in_sql(spark):
+    X.register_functions(spark)
+    assert spark.sql("SELECT fold_unicode('Ａß'), unescape_html('&eacute;'), blocked_v6('64:ff9b:1::808:808'), join_url('http://h/a/', 'b')").first()[:] == ("ass", "é", False, "http://h/a/b")
+
+
+def test_usage_rows_are_appended(spark, tmp_path):
+    calls = spark.createDataFrame([("u", "m", 1_000_000, 2_000_000, 7)], "user_id string, model string, input_tokens long, output_tokens long, source int")
+    calls = calls.withColumn("input_rate", F.lit("3").cast("decimal(10,4)")).withColumn("output_rate", F.lit("15").cast("decimal(10,4)"))
+    for _ in range(2):
+        D.append_usage(D.usage_rows(calls, "job_match", "job_source", "source"), f"file://{tmp_path}/usage")
+    total = C.usage_totals(spark.read.parquet(f"file://{tmp_path}/usage"), ["purpose", "related_kind", "related_id"]).first()
+    assert (total["purpose"], total["related_id"], total["calls"], float(total["cost_usd"])) == ("job_match", "7", 2, 66.0)
+
+
+def test_posting_keys(spark):
+    rows = [("v", "7", "v:7"), ("v", "", None), ("v", None, None)]
+    got = column(spark, rows, "v string, e string, k string", X.posting_key(F.col("v"), F.col("e"), F.lit("Foo Inc"), F.lit("T"), F.lit(None).cast("string")))
+    assert got[0] == "v:7" and got[1] == got[2] and len(got[1]) == 64
+
+
+def test_bodies_in_odd_charsets(spark):
+    rows = [(b"\xff\xe9", "text/html; charset=latin-1"), (b"ok\xff", "text/html"), (b"x", "text/html; charset=nonsense"), (None, None)]
+    assert column(spark, rows, "b binary, t string", L.decoded(F.col("b"), F.col("t"))) == ["ÿé", "ok�", None, None]
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    from jobloom.streaming import streams as R
+
+    landed = f"file://{tmp_path}/in"
+    read = lambda: spark.readStream.schema("a int").parquet(landed)
+    spark.createDataFrame([(1,)], "a int").write.parquet(landed)
+    assert R.drained(read(), base=f"file://{tmp_path}/run").count() == 1
+    spark.createDataFrame([(2,)], "a int").write.mode("append").parquet(landed)
+    assert sorted(r["a"] for r in R.drained(read(), base=f"file://{tmp_path}/run").collect()) == [1, 2]
