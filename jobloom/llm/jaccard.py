@@ -20,12 +20,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settled
+from .common import settled, written
 from .components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -213,8 +213,17 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], grams_a_fragment:
     return total
 
 
+def _sum_of(grams: np.ndarray, salt: int = 1) -> np.uint64:
+    """A hash of a set: the sum of its mixed n-grams."""
+    with np.errstate(over="ignore"):
+        return np.add.reduce(mixed(grams, salt), dtype=np.uint64)
+
+
 def _cut(n: int):
-    """doc_id, text, fragments, extra columns -> a row a fragment with the text's n-grams in that range of the order, packed; empty ones too."""
+    """doc_id, text, fragments, s1, extra columns -> a row a fragment with the text's n-grams in that range of the order, packed; empty ones too.
+
+    Rows whose text isn't the set meant by s1 (another text of a repeated id) give none.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -223,9 +232,11 @@ def _cut(n: int):
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
                 sets = ngram_sets(some.column(1).to_pylist(), n)
-                count = some.column(2).to_numpy()
+                count, meant = some.column(2).to_numpy(), some.column(3).to_numpy().view(np.uint64)
                 row, frag, data = [], [], []
                 for k, (grams, f) in enumerate(zip(sets, count.tolist(), strict=True)):
+                    if _sum_of(grams) != meant[k]:
+                        continue
                     edges = [0, *np.searchsorted(grams, np.array([(i << 64) // f for i in range(1, f)], np.uint64)).tolist(), len(grams)]
                     for i in range(f):
                         row.append(k)
@@ -247,8 +258,8 @@ def _common(batches: Iterator) -> Iterator:
         names = batch.schema.names
         left, right = (batch.column(names.index(c)).to_pylist() for c in ("grams", "leader_grams"))
         n = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(left, right, strict=True)]
-        kept = [batch.column(names.index(c)) for c in ("component", "doc_id", "size", "leader", "leader_size")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64())], ["component", "doc_id", "size", "leader", "leader_size", "common"])
+        kept = [batch.column(names.index(c)) for c in ("component", "doc_id", "s1", "size", "leader", "leader_size")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64())], ["component", "doc_id", "s1", "size", "leader", "leader_size", "common"])
 
 
 _PARTIAL = "component long, kind int, k1 int, k2 int, a array<long>, b array<long>, na array<long>, nb array<long>, common binary"
@@ -259,7 +270,7 @@ def _block_overlaps(key, pdf):
     import pandas as pd
     import zstandard
 
-    pdf = pdf.sort_values(["side", "doc_id", "size"])
+    pdf = pdf.sort_values(["side", "doc_id", "s1"])
     side = pdf["side"].to_numpy()
     same = key[1] == 0 and key[2] == key[3]
     left = pdf if same else pdf[side == 0]
@@ -303,14 +314,13 @@ def _block_links(num: int, den: int):
     return run
 
 
-def _shared_entries(met: DataFrame, most_hot: int = 10_000) -> DataFrame:
-    """Rows (node, need, entry) whose entry two nodes have, once each.
+def _shared_entries(met: DataFrame, total: int, most_hot: int = 10_000) -> DataFrame:
+    """Rows (node, need, entry), total in number, whose entry two nodes have, once each.
 
     Entries that a sixty-fourth of the nodes, taken by hash, hold often are counted by aggregation, combined before the
     shuffle, so that no task gets a common entry's rows; at most about most_hot can be so common, and their table is
     broadcast. All others go by entry to a window.
     """
-    total = met.count()
     often = max(32, total // most_hot // 64)
     some = met.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(64)) == 0).groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= often).select("entry")
     hot = settled(some)
@@ -357,44 +367,53 @@ def jaccard_components(
     lists = F.array(F.struct(F.col("class").alias("s"), F.col("own").alias("e")), F.struct((F.col("class") - 1).alias("s"), F.col("low").alias("e")))
     met = facts.filter("size(own) + size(low) > 0").select("s1", F.explode(lists).alias("l")).filter("size(l.e) > 0")
     met = met.select(node("s1", "l.s").alias("node"), F.get(need, F.col("l.s")).alias("need"), F.explode("l.e").alias("entry"))
-    shared = settled(_shared_entries(met))
+    total = facts.agg(F.coalesce(F.sum(F.size("own") + F.size("low")), F.lit(0))).first()[0]
+    shared = settled(_shared_entries(met, total))
     # a set that shares fewer entries with all others than a link needs with one has no link
     enough = settled(shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).filter("n >= need").select("node", "n"))
     clusters = connected_components(_first_of_entry(shared.join(enough.select("node"), "node", "left_semi").select("node", "entry")))
-    roles = sets.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).select(node("s1", F.col("class") - F.col("upper")).alias("node"), "rep", "upper", F.col("n_shingles").alias("size"))
-    members = settled(clusters.join(roles, "node").join(enough, "node").select("component", "rep", "upper", "size", "n"))
-    leaders = members.groupBy("component").agg(F.max_by(F.struct(F.col("rep").alias("leader"), F.col("size").alias("leader_size")), F.struct("n", -F.col("rep"))).alias("l"), F.max("size").alias("largest"))
+    roles = sets.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).select(node("s1", F.col("class") - F.col("upper")).alias("node"), F.col("rep").alias("doc_id"), "s1", "upper", F.col("n_shingles").alias("size"))
+    members = settled(clusters.join(roles, "node").join(enough, "node").select("component", "doc_id", "s1", "upper", "size", "n"))
+    leaders = members.groupBy("component").agg(F.max_by(F.struct(F.col("doc_id").alias("leader"), "s1", F.col("size").alias("leader_size")), F.struct("n", "doc_id", "s1")).alias("l"), F.max("size").alias("largest"))
     leaders = settled(leaders.select("component", "l.*", "largest"))
-    # fragments so many that two blocks of the cluster's largest set fit; a repeated id with another text is told apart by its set's size
-    fragments = F.greatest(F.lit(1), F.ceil(F.col("largest") * (16 * block) / group_bytes)).cast("int")
+    # fragments so many that two blocks of the cluster's largest set fit
+    fragments = F.greatest(F.lit(1), F.ceil(F.col("largest") * (16 * block) / group_bytes)).cast("int").alias("fragments")
+    # each text is shuffled once, by id; repeated rows are one there, and members' alone go on
+    texts = written(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     cut = lambda of: of.mapInArrow(_cut(n), T.StructType([*_CUT, *of.schema.fields[3:]]))
-    wanted = members.join(leaders.select("component", "largest"), "component").select("component", F.col("rep").alias("doc_id"), "size", fragments.alias("fragments"))
-    own = cut(rows.join(wanted, "doc_id").select("doc_id", "text", "fragments", "component", "size"))
-    lead = leaders.select("component", F.col("leader").alias("doc_id"), "leader_size", fragments.alias("fragments"))
-    lead = cut(rows.join(lead, "doc_id").select("doc_id", "text", "fragments", "component", "leader_size"))
+    wanted = members.join(leaders.select("component", "largest"), "component").select("doc_id", fragments, "s1", "component", "size").distinct()
+    own = cut(texts.join(wanted, "doc_id").select("doc_id", "text", "fragments", "s1", "component", "size"))
+    lead = leaders.select(F.col("leader").alias("doc_id"), fragments, "s1", "component", "leader_size")
+    lead = cut(texts.join(lead, "doc_id").select("doc_id", "text", "fragments", "s1", "component", "leader_size"))
     lead = lead.select("component", "fragment", F.col("doc_id").alias("leader"), "leader_size", F.col("grams").alias("leader_grams"))
-    both = own.join(lead, ["component", "fragment"]).select("component", "doc_id", "size", "grams", "leader", "leader_size", "leader_grams")
-    partial = both.mapInArrow(_common, "component long, doc_id long, size long, leader long, leader_size long, common long")
-    pairs = partial.groupBy("component", "doc_id", "size", "leader", "leader_size").agg(F.sum("common").alias("common"))
-    tied = settled(pairs.filter(F.col("common") * den >= num * (F.col("size") + F.col("leader_size") - F.col("common"))).select("component", "doc_id", "leader").distinct())
+    both = own.join(lead, ["component", "fragment"]).select("component", "doc_id", "s1", "size", "grams", "leader", "leader_size", "leader_grams")
+    partial = both.mapInArrow(_common, "component long, doc_id long, s1 long, size long, leader long, leader_size long, common long")
+    pairs = partial.groupBy("component", "doc_id", "s1", "size", "leader", "leader_size").agg(F.sum("common").alias("common"))
+    tied = settled(pairs.filter(F.col("common") * den >= num * (F.col("size") + F.col("leader_size") - F.col("common"))).select("component", "doc_id", "s1", "leader"))
     stars = tied.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     # blocks of what is left, each against what it may still link with
     sort = F.concat(F.when(F.col("upper") == 0, "low_").otherwise("high_"), F.when(F.col("_t").isNotNull(), "tied").otherwise("loose"))
-    sorted_ = members.join(tied.select("component", F.col("doc_id").alias("rep"), F.lit(True).alias("_t")), ["component", "rep"], "left").withColumn("sort", sort)
+    sorted_ = members.join(tied.select("component", "doc_id", "s1", F.lit(True).alias("_t")), ["component", "doc_id", "s1"], "left").withColumn("sort", sort)
     counts = sorted_.groupBy("component").agg(*(F.ceil(F.count(F.when(F.col("sort") == x, 1)) / block).cast("int").alias(x) for x in _SORTS), F.max("size").alias("largest"))
     counts = counts.filter("low_loose > 0 OR (low_tied > 0 AND high_loose > 0)")
-    placed = sorted_.select("component", "rep", "size", "sort").join(settled(counts), "component")
+    placed = sorted_.select("component", "doc_id", "s1", "size", "sort").join(settled(counts), "component")
     upto = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    mine = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.coalesce(*(F.when(F.col("sort") == x, F.col(x)) for x in _SORTS)))).cast("int")
+    mine = F.pmod(F.xxhash64("s1"), F.greatest(F.lit(1), F.coalesce(*(F.when(F.col("sort") == x, F.col(x)) for x in _SORTS)))).cast("int")
     place = lambda kind, k1, k2, side: F.struct(F.lit(kind).alias("kind"), k1.cast("int").alias("k1"), k2.cast("int").alias("k2"), side.cast("int").alias("side"))
     none = F.array().cast("array<struct<kind:int,k1:int,k2:int,side:int>>")
     places = [F.when(F.col("sort") == "low_loose", F.transform(upto(F.col("low_loose")), lambda j: place(0, F.least(F.col("mine"), j), F.greatest(F.col("mine"), j), F.when(F.col("mine") <= j, 0).otherwise(1)))).otherwise(none)]
+
+    def meeting(kind: int, x: str, y: str) -> list[Column]:
+        """Blocks of sort x against those of sort y."""
+        left = F.transform(upto(F.col(y)), lambda j: place(kind, F.col("mine"), j, F.lit(0)))
+        right = F.transform(upto(F.col(x)), lambda j: place(kind, j, F.col("mine"), F.lit(1)))
+        return [F.when(F.col("sort") == x, left).otherwise(none), F.when(F.col("sort") == y, right).otherwise(none)]
+
     for kind, (x, y) in enumerate(_MEET[1:], 1):
-        places.append(F.when(F.col("sort") == x, F.transform(upto(F.col(y)), lambda j, kind=kind: place(kind, F.col("mine"), j, F.lit(0)))).otherwise(none))
-        places.append(F.when(F.col("sort") == y, F.transform(upto(F.col(x)), lambda j, kind=kind: place(kind, j, F.col("mine"), F.lit(1)))).otherwise(none))
-    placed = placed.withColumn("mine", mine).select(F.col("rep").alias("doc_id"), "component", "size", fragments.alias("fragments"), F.concat(*places).alias("places")).filter("size(places) > 0")
-    parts = cut(rows.join(placed, "doc_id").select("doc_id", "text", "fragments", "component", "size", "places"))
-    parts = parts.withColumn("place", F.explode("places")).select("component", "place.*", "fragment", "doc_id", "size", "grams")
+        places += meeting(kind, x, y)
+    placed = placed.withColumn("mine", mine).select("doc_id", "component", "s1", "size", fragments, F.concat(*places).alias("places")).filter("size(places) > 0")
+    parts = cut(texts.join(placed, "doc_id").select("doc_id", "text", "fragments", "s1", "component", "size", "places"))
+    parts = parts.withColumn("place", F.explode("places")).select("component", "place.*", "fragment", "doc_id", "s1", "size", "grams")
     counted = parts.groupBy("component", "kind", "k1", "k2", "fragment").applyInPandas(_block_overlaps, _PARTIAL)
     links = counted.groupBy("component", "kind", "k1", "k2").applyInPandas(_block_links(num, den), "a long, b long")
     merged = connected_components(settled(stars.unionByName(links)))
