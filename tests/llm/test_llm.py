@@ -514,13 +514,14 @@ def test_chains_beyond_the_leader_and_common_entries(spark, monkeypatch):
     words = [f"w{i}" for i in range(1000)]
     rows = [(i, " ".join(words[3 * i : 3 * i + 80]), "en", "a", None, "x") for i in range(60)]
     rows += [(100 + i, " ".join([*words[900:960], f"v{i}"]), "en", "a", None, "x") for i in range(80)]
+    rows += [(5, " ".join([*words[900:960], "v5"]), "en", "a", None, "x"), (100, " ".join([*words[900:960], "v0"]), "en", "a", None, "x")]  # ids with another text, and a repeated row
     rows += [(300, "tail \x1c one\x1ctwo three four five", "en", "a", None, "x"), (301, "tail one two three four five", "en", "a", None, "x")]
     frame = spark.createDataFrame(rows, DOCS)
     want = brute_components(frame.toPandas(), 4, 85, 100)
-    assert len({want[i] for i in range(60)}) == 1 and len({want[100 + i] for i in range(80)}) == 1 and want[301] == 301
+    assert {want[i] for i in range(60)} == {want[100 + i] for i in range(80)} == {0} and want[301] == 301
     hot = jaccard._shared_entries
     for most_hot in (10_000, 1 << 40):
-        monkeypatch.setattr(jaccard, "_shared_entries", lambda met, most_hot=most_hot: hot(met, most_hot))
+        monkeypatch.setattr(jaccard, "_shared_entries", lambda met, total, most_hot=most_hot: hot(met, total, most_hot))
         got = jaccard.jaccard_components(frame, block=8, group_bytes=2000).toPandas()
         assert {int(r.doc_id): int(r.component_id) for r in got.itertuples()} == want
 
