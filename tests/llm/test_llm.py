@@ -532,7 +532,7 @@ def test_the_filter_misses_no_pair_near_the_threshold():
     scheme = jaccard.Fragments(85, 100)
     for n in (7, 20, 40, 90, 150, 400, 1500):
         for _ in range(40):
-            differ = int(15 * n // 85 / 2) if n > 12 else 0
+            differ = 15 * n // 185  # the most that a linked pair of equal sizes can differ by
             base = rng.integers(0, 1 << 64, 3 * n, dtype=np.uint64)  # as hashes are: over all 64 bits
             x, y = np.sort(base[:n]), np.sort(np.concatenate([base[differ:n], base[n : n + differ]]))
             assert 100 * (n - differ) >= 85 * (n + differ)
