@@ -343,7 +343,7 @@ _SORTS = ("low_loose", "low_tied", "high_loose", "high_tied")
 
 
 def jaccard_components(
-    docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text", block: int = 256, group_bytes: int = 8 << 20, exact: bool = False,
+    docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text", block: int = 1024, group_bytes: int = 8 << 20, exact: bool = False,
 ) -> DataFrame:
     """`doc_id, n_shingles, component_id` per row: size of its set of word n-grams and the smallest linked id.
 
