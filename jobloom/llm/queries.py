@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP2_SQL, op2_preference_format
+from .filters import OP11_SQL, op11_filter_audit
 from .html import op5_main_text
 from .jaccard import OP9_SQL, op9_jaccard_join
 from .knn import OP4_SQL, op4_voronoi_join
+from .lexical import OP12_SQL, op12_ranked_search
 from .lm import op3_context_tree
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_ranked_search": op12_ranked_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_preference_format": OP2_SQL, "op4_voronoi_join": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_preference_format": OP2_SQL, "op4_voronoi_join": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_ranked_search": OP12_SQL}
