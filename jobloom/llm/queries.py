@@ -15,6 +15,7 @@ from .lexical import OP12_SQL, op12_ranked_search
 from .lm import op3_context_tree
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
+from .pii import op13_pii
 from .quality import OP6_SQL, op6_quality_rules
 from .tokens import op7_token_parquet
 from .toxicity import op1_toxicity
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_filter_audit": op11_filter_audit,
     "op12_ranked_search": op12_ranked_search,
+    "op13_pii": op13_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_preference_format": OP2_SQL, "op4_voronoi_join": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_ranked_search": OP12_SQL}
