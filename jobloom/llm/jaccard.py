@@ -2,17 +2,17 @@
 
 The global order of n-grams is the order of their 64-bit hashes, and fragments are ranges of it. Two uses:
 
-Candidates. If J(x, y) >= t, x and y differ in at most d = (1 - t) / t * min(|x|, |y|) n-grams. Cut into more than d
-fragments, they agree exactly on all but d of them, so their lists of non-empty fragments share an entry among the
-first d + 1, and j + 1 entries among the first d + 1 + j (prefix filter over fragments). The fragments are chosen by size class, a class reaching over a ratio
-1 / t; a set uses its own class's fragments and those of the class below, so that any two similar sets meet in the
-class of the smaller. Sets with an entry of one class in common, directly or over others, form a candidate cluster.
+Candidates. If J(x, y) >= t, x and y differ in at most d = (1 - t) / t * min(|x|, |y|) n-grams, so among the first d + 1 + m n-grams
+of each, m + 1 are common to both (prefix filter). d and m are chosen by size class, a class reaching over a ratio
+1 / t; a set uses its own class's prefix and that of the class below, so that any two similar sets meet in the
+class of the smaller. Sets that share m + 1 entries of one class, directly or over others, form a candidate cluster.
 
-Counting. Each cluster has a leader, the set that shares most entries. Every member's n-grams are cut into the fragments of
+Counting. Each cluster has a leader, the set that shares most entries. Every member's n-grams are cut once into the fragments of
 the global order, fragments of member and leader are counted apart on Spark, and partial overlaps are summed per pair;
-members that link with the leader need no further pairs among themselves. The others meet the whole cluster in blocks: a task
-counts the overlaps of one fragment between two blocks, and the partial counts are summed per block pair. What leaves a
-block pair is a spanning forest of its links, so neither copies nor near copies are ever written out as pairs.
+members that link with the leader need no further pairs among themselves, and, distances obeying the triangle inequality, none
+with members that are far from it. What is left meets in blocks: a task counts the overlaps of one fragment between
+two blocks, and the partial counts are summed per block pair. What leaves a block pair is a spanning forest of its
+links, so neither copies nor near copies are ever written out as pairs.
 """
 
 from __future__ import annotations
@@ -89,10 +89,9 @@ def ngram_sets(texts: list[str | None], n: int = 4, chunk: int = 1 << 21) -> lis
 
 
 class Fragments:
-    """Size classes and their fragment counts for a threshold of num / den.
+    """Size classes for a threshold of num / den, and the first stretch of the order in which similar sets of a class must meet.
 
-    exact makes every n-gram a fragment, so a prefix is the d + 1 least n-grams and the filter never misses a pair; it
-    gives more and commoner entries.
+    exact takes the plain prefix, in which one common n-gram suffices; the longer one asks for more and gives far fewer candidates.
     """
 
     def __init__(self, num: int, den: int, largest: int = 1 << 40, exact: bool = False):
@@ -106,35 +105,19 @@ class Fragments:
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
     def scheme(self, c: int) -> tuple[int, int, int]:
-        """Most differing n-grams of a pair whose smaller set is in class c, how many fragments tell them apart, and how many entries beyond one the prefixes must share.
-
-        A set of the class's least size fills so many fragments, less 8.5 standard deviations, that a pair agrees on
-        more than that many; with hashes as the order, the chance of less is below 1e-16.
-        """
+        """Most differing n-grams of a pair whose smaller set is in class c, the length of the prefixes, and how many entries beyond one they share."""
         least, largest = int(np.ceil(self.bounds[c])), int(np.ceil(self.bounds[c + 1])) - 1
         d = (self.den - self.num) * largest // self.num
-        if self.exact:
-            return d, 0, 0
-        if d < 16:
-            return d, 1 << 20, max(0, min(6, least - d - 3))  # a fragment of its own for each n-gram, but for two at most
-        count = int(np.ceil(1.3 * (d + 1))) + 24
-        load = least / count
-        filled = count * (1 - np.exp(-load)) - 8.5 * np.sqrt(count * (np.exp(-load) - (1 + load) * np.exp(-2 * load))) - 2
-        return d, count, max(0, min(4 + d // 8, int(filled) - d - 1))
+        more = 0 if self.exact else max(0, min(max(6, d // 4), least - d - 1))
+        return d, d + 1 + more, more
 
     def entries(self, grams: np.ndarray, s: int) -> np.ndarray:
-        """The set's prefix entries under the fragments of size class s."""
-        d, count, more = self.scheme(s) if s >= 0 else (0, 0, 0)
+        """The set's prefix entries in size class s."""
+        d, length, _ = self.scheme(s) if s >= 0 else (0, 0, 0)
         if d == 0:
             return np.zeros(0, np.uint64)  # such sets link only if equal
-        if not count:
-            with np.errstate(over="ignore"):
-                return mixed(grams[: d + 1] + np.uint64(s << 32) * _BASE)
-        place = ((grams >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-        at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(mixed(grams, 0x2545F4914F6CDD1D), at)[: d + 1 + more]
-            return mixed(sums + (place[at][: d + 1 + more] + np.uint64(s << 32)) * _BASE)
+            return mixed(grams[:length] + np.uint64(s << 32) * _BASE)
 
 
 def _describe(n: int, num: int, den: int, exact: bool):
@@ -251,15 +234,15 @@ def _cut(n: int):
 
 
 def _common(batches: Iterator) -> Iterator:
-    """doc_id, set, leader's and own n-grams of a fragment -> their partial overlap."""
+    """A member's and its leader's n-grams of a fragment -> their partial overlap."""
     import pyarrow as pa
 
     for batch in batches:
         names = batch.schema.names
         left, right = (batch.column(names.index(c)).to_pylist() for c in ("grams", "leader_grams"))
         n = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(left, right, strict=True)]
-        kept = [batch.column(names.index(c)) for c in ("component", "doc_id", "s1", "size", "leader", "leader_size")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64())], ["component", "doc_id", "s1", "size", "leader", "leader_size", "common"])
+        kept = ["component", "doc_id", "s1", "size", "fragment", "leader", "leader_size"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), pa.array(n, pa.int64())], [*kept, "common"])
 
 
 _PARTIAL = "component long, kind int, k1 int, k2 int, a array<long>, b array<long>, na array<long>, nb array<long>, common binary"
@@ -315,7 +298,7 @@ def _block_links(num: int, den: int):
 
 
 def _shared_entries(met: DataFrame, total: int, most_hot: int = 10_000) -> DataFrame:
-    """Rows (node, need, entry), total in number, whose entry two nodes have, once each.
+    """Rows (node, need, entry), total in number, whose entry two nodes have, once each, with `f`, the entry's rows, null for hot entries.
 
     Entries that a sixty-fourth of the nodes, taken by hash, hold often are counted by aggregation, combined before the
     shuffle, so that no task gets a common entry's rows; at most about most_hot can be so common, and their table is
@@ -325,21 +308,79 @@ def _shared_entries(met: DataFrame, total: int, most_hot: int = 10_000) -> DataF
     some = met.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(64)) == 0).groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= often).select("entry")
     hot = settled(some)
     entry = Window.partitionBy("entry")
-    usual = met.join(F.broadcast(hot), "entry", "left_anti").withColumn("lo", F.min("node").over(entry)).withColumn("hi", F.max("node").over(entry)).filter("lo <> hi").select("node", "need", "entry")
+    usual = met.join(F.broadcast(hot), "entry", "left_anti").withColumn("lo", F.min("node").over(entry)).withColumn("hi", F.max("node").over(entry)).withColumn("f", F.count(F.lit(1)).over(entry))
+    usual = usual.filter("lo <> hi").select("node", "need", "entry", "f")
     common = met.join(F.broadcast(hot), "entry", "left_semi")
     twice = common.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("entry")
-    return usual.unionByName(common.join(F.broadcast(twice), "entry", "left_semi").select("node", "need", "entry")).distinct()
+    return usual.unionByName(common.join(F.broadcast(twice), "entry", "left_semi").select("node", "need", "entry", F.lit(None).cast("long").alias("f"))).distinct()
 
 
 def _first_of_entry(met: DataFrame) -> DataFrame:
-    """Edges from the least node of each entry to its others; entries' least nodes are combined before the shuffle."""
-    least = met.groupBy("entry").agg(F.min("node").alias("a"))
-    return met.join(least, "entry").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    """Edges from the least node of each entry to its others; least nodes are combined before the shuffle, those of hot entries (f is null) broadcast."""
+    edges = []
+    for part, send in ((met.filter("f IS NULL"), F.broadcast), (met.filter("f IS NOT NULL"), lambda x: x)):
+        least = part.groupBy("entry").agg(F.min("node").alias("a"))
+        edges.append(part.join(send(least), "entry").filter("node <> a").select("a", F.col("node").alias("b")))
+    return edges[0].unionByName(edges[1]).distinct()
+
+
+def _candidate_edges(shared: DataFrame, rare: int = 48) -> DataFrame:
+    """Edges that connect any two nodes which share as many entries as a link needs: (node, need, entry, f) -> a, b.
+
+    Pairs that share an entry of at most `rare` rows are counted pair by pair, as many rows as entries have at most times rare / 2,
+    and stay if those entries, with as many common ones as both could share, suffice. Pairs that share common entries
+    alone need enough of them each; such nodes are tied over each common entry's least node, so a large group gives
+    no pairs.
+    """
+    common = shared.filter(F.coalesce(F.col("f") > rare, F.lit(True)))
+    many = settled(common.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")))
+    stars = _first_of_entry(common.join(many.filter("c >= need").select("node"), "node", "left_semi").select("node", "entry", "f"))
+    few = shared.filter(F.col("f") <= rare).join(many.select("node", "c"), "node", "left")
+    held = few.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("node", F.coalesce("c", F.lit(0)).alias("c"), "need"))).alias("_x"))
+    held = held.filter("size(_x) > 1").select("_x", F.posexplode("_x").alias("_i", "_a"))
+    pairs = held.select("_a", F.explode(F.slice("_x", F.col("_i") + 2, F.size("_x"))).alias("_b"))
+    counted = pairs.groupBy(F.col("_a.node").alias("a"), F.col("_b.node").alias("b"), F.least("_a.c", "_b.c").alias("c"), F.col("_a.need").alias("need")).agg(F.count(F.lit(1)).alias("n"))
+    return stars.unionByName(counted.filter("n + c >= need").select("a", "b"))
+
+
+#: Kinds of block pairs of a large cluster: which members' blocks meet. Low members are of the cluster's size class, high ones of the class
+#: above; loose ones did not link with the leader, near ones among them may link with a set that did.
+_MEET = (("low_loose", "low_loose"), ("low_loose", "high_loose"), ("low_near", "low_tied"), ("low_near", "high_tied"), ("low_tied", "high_near"))
+_ROLES = ("low_loose", "high_loose", "low_near", "high_near", "low_tied", "high_tied")
+
+
+def _places(roles: DataFrame, block: int) -> DataFrame:
+    """roles (component, doc_id, s1, upper, tied, near) with `places`, the block pairs in which a member meets others; members without any are left out.
+
+    By the triangle inequality of Jaccard distances a set too far from the leader links with none that is tied to it, so
+    tied sets meet near ones alone. A cluster within one block meets there at once.
+    """
+    low, tied, near = F.col("upper") == 0, F.col("tied"), F.col("near")
+    is_role = {"low_loose": low & ~tied, "high_loose": ~low & ~tied, "low_near": low & near, "high_near": ~low & near, "low_tied": low & tied, "high_tied": ~low & tied}
+    n = lambda c: F.count(F.when(c, 1))
+    counts = roles.groupBy("component").agg(F.count(F.lit(1)).alias("_all"), n(~tied).alias("_loose"), n(near).alias("_near"), *(F.ceil(n(is_role[r]) / block).cast("int").alias(r) for r in _ROLES))
+    counts = settled(counts.filter("_loose > 1 OR _near > 0"))
+    rows = roles.join(counts, "component")
+    mine = {r: F.pmod(F.xxhash64("s1"), F.greatest(F.lit(1), F.col(r))).cast("int") for r in _ROLES}
+    upto = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda kind, k1, k2, side: F.struct(F.lit(kind).alias("kind"), k1.cast("int").alias("k1"), k2.cast("int").alias("k2"), side.cast("int").alias("side"))
+    none = F.array().cast("array<struct<kind:int,k1:int,k2:int,side:int>>")
+
+    def own_sort(x: str) -> Column:
+        return F.transform(upto(F.col(x)), lambda j: place(0, F.least(mine[x], j), F.greatest(mine[x], j), F.when(mine[x] <= j, 0).otherwise(1)))
 
+    def meeting(kind: int, x: str, y: str) -> list[Column]:
+        """Blocks of role x against those of role y."""
+        left = F.transform(upto(F.col(y)), lambda j: place(kind, mine[x], j, F.lit(0)))
+        right = F.transform(upto(F.col(x)), lambda j: place(kind, j, mine[y], F.lit(1)))
+        return [F.when(is_role[x], left).otherwise(none), F.when(is_role[y], right).otherwise(none)]
 
-#: Kinds of block pairs: which members' blocks meet. Low members are of the cluster's size class, high ones of the class above; loose ones did not link with the leader.
-_MEET = (("low_loose", "low_loose"), ("low_loose", "low_tied"), ("low_loose", "high_loose"), ("low_loose", "high_tied"), ("low_tied", "high_loose"))
-_SORTS = ("low_loose", "low_tied", "high_loose", "high_tied")
+    blocks = [F.when(is_role["low_loose"], own_sort("low_loose")).otherwise(none)]
+    for kind, (x, y) in enumerate(_MEET[1:], 1):
+        blocks += meeting(kind, x, y)
+    once = F.when(~tied | (F.col("_near") > 0), F.array(place(0, F.lit(0), F.lit(0), F.lit(0)))).otherwise(none)
+    placed = rows.withColumn("places", F.when(F.col("_all") <= block, once).otherwise(F.concat(*blocks)))
+    return placed.select("component", "doc_id", "s1", "places").filter("size(places) > 0")
 
 
 def jaccard_components(
@@ -349,10 +390,9 @@ def jaccard_components(
 
     Two documents link when den * |x & y| >= num * |x | y|. Null, empty and blank texts have no n-grams, link with
     nothing and are their own component; a null id has a null component; rows that repeat an id are one document
-    of all their links; equal sets are one set until the end. No partner or candidate is ever dropped. Entries are
-    64-bit hashes: only a collision of hashes (about pairs / 2**64) could join other texts. The fragments of large sets miss
-    a pair with a chance below 1e-16; exact takes the plain prefix filter instead. A task that counts holds the n-grams of at most two
-    blocks of sets in one fragment, about group_bytes.
+    of all their links; equal sets are one set until the end. No partner or candidate is ever dropped, and no link is missed. Entries are
+    64-bit hashes: only a collision of hashes (about pairs / 2**64) could join other texts; exact takes shorter prefixes with more candidates. A task that counts holds the
+    n-grams of at most two blocks of sets in one fragment, about group_bytes.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     facts = settled(rows.mapInArrow(_describe(n, num, den, exact), "doc_id long, n_shingles long, s1 long, s2 long, class int, own array<long>, low array<long>"))
@@ -371,48 +411,36 @@ def jaccard_components(
     shared = settled(_shared_entries(met, total))
     # a set that shares fewer entries with all others than a link needs with one has no link
     enough = settled(shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).filter("n >= need").select("node", "n"))
-    clusters = connected_components(_first_of_entry(shared.join(enough.select("node"), "node", "left_semi").select("node", "entry")))
+    clusters = connected_components(_candidate_edges(shared.join(enough.select("node"), "node", "left_semi")))
     roles = sets.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).select(node("s1", F.col("class") - F.col("upper")).alias("node"), F.col("rep").alias("doc_id"), "s1", "upper", F.col("n_shingles").alias("size"))
     members = settled(clusters.join(roles, "node").join(enough, "node").select("component", "doc_id", "s1", "upper", "size", "n"))
-    leaders = members.groupBy("component").agg(F.max_by(F.struct(F.col("doc_id").alias("leader"), "s1", F.col("size").alias("leader_size")), F.struct("n", "doc_id", "s1")).alias("l"), F.max("size").alias("largest"))
-    leaders = settled(leaders.select("component", "l.*", "largest"))
-    # fragments so many that two blocks of the cluster's largest set fit
+    leaders = members.groupBy("component").agg(
+        F.max_by(F.struct(F.col("doc_id").alias("leader"), F.col("s1").alias("leader_s1"), F.col("size").alias("leader_size")), F.struct("n", "doc_id", "s1")).alias("l"),
+        F.max("size").alias("largest"), F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("salts"),
+    )
+    leaders = settled(leaders.select("component", "l.*", "largest", "salts"))
+    # each member's text is cut once, into fragments so many that two blocks of the cluster's largest set fit; repeated rows are one there
     fragments = F.greatest(F.lit(1), F.ceil(F.col("largest") * (16 * block) / group_bytes)).cast("int").alias("fragments")
-    # each text is shuffled once, by id; repeated rows are one there, and members' alone go on
-    texts = written(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    cut = lambda of: of.mapInArrow(_cut(n), T.StructType([*_CUT, *of.schema.fields[3:]]))
-    wanted = members.join(leaders.select("component", "largest"), "component").select("doc_id", fragments, "s1", "component", "size").distinct()
-    own = cut(texts.join(wanted, "doc_id").select("doc_id", "text", "fragments", "s1", "component", "size"))
-    lead = leaders.select(F.col("leader").alias("doc_id"), fragments, "s1", "component", "leader_size")
-    lead = cut(texts.join(lead, "doc_id").select("doc_id", "text", "fragments", "s1", "component", "leader_size"))
-    lead = lead.select("component", "fragment", F.col("doc_id").alias("leader"), "leader_size", F.col("grams").alias("leader_grams"))
-    both = own.join(lead, ["component", "fragment"]).select("component", "doc_id", "s1", "size", "grams", "leader", "leader_size", "leader_grams")
-    partial = both.mapInArrow(_common, "component long, doc_id long, s1 long, size long, leader long, leader_size long, common long")
-    pairs = partial.groupBy("component", "doc_id", "s1", "size", "leader", "leader_size").agg(F.sum("common").alias("common"))
-    tied = settled(pairs.filter(F.col("common") * den >= num * (F.col("size") + F.col("leader_size") - F.col("common"))).select("component", "doc_id", "s1", "leader"))
-    stars = tied.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-    # blocks of what is left, each against what it may still link with
-    sort = F.concat(F.when(F.col("upper") == 0, "low_").otherwise("high_"), F.when(F.col("_t").isNotNull(), "tied").otherwise("loose"))
-    sorted_ = members.join(tied.select("component", "doc_id", "s1", F.lit(True).alias("_t")), ["component", "doc_id", "s1"], "left").withColumn("sort", sort)
-    counts = sorted_.groupBy("component").agg(*(F.ceil(F.count(F.when(F.col("sort") == x, 1)) / block).cast("int").alias(x) for x in _SORTS), F.max("size").alias("largest"))
-    counts = counts.filter("low_loose > 0 OR (low_tied > 0 AND high_loose > 0)")
-    placed = sorted_.select("component", "doc_id", "s1", "size", "sort").join(settled(counts), "component")
-    upto = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    mine = F.pmod(F.xxhash64("s1"), F.greatest(F.lit(1), F.coalesce(*(F.when(F.col("sort") == x, F.col(x)) for x in _SORTS)))).cast("int")
-    place = lambda kind, k1, k2, side: F.struct(F.lit(kind).alias("kind"), k1.cast("int").alias("k1"), k2.cast("int").alias("k2"), side.cast("int").alias("side"))
-    none = F.array().cast("array<struct<kind:int,k1:int,k2:int,side:int>>")
-    places = [F.when(F.col("sort") == "low_loose", F.transform(upto(F.col("low_loose")), lambda j: place(0, F.least(F.col("mine"), j), F.greatest(F.col("mine"), j), F.when(F.col("mine") <= j, 0).otherwise(1)))).otherwise(none)]
-
-    def meeting(kind: int, x: str, y: str) -> list[Column]:
-        """Blocks of sort x against those of sort y."""
-        left = F.transform(upto(F.col(y)), lambda j: place(kind, F.col("mine"), j, F.lit(0)))
-        right = F.transform(upto(F.col(x)), lambda j: place(kind, j, F.col("mine"), F.lit(1)))
-        return [F.when(F.col("sort") == x, left).otherwise(none), F.when(F.col("sort") == y, right).otherwise(none)]
-
-    for kind, (x, y) in enumerate(_MEET[1:], 1):
-        places += meeting(kind, x, y)
-    placed = placed.withColumn("mine", mine).select("doc_id", "component", "s1", "size", fragments, F.concat(*places).alias("places")).filter("size(places) > 0")
-    parts = cut(texts.join(placed, "doc_id").select("doc_id", "text", "fragments", "s1", "component", "size", "places"))
+    texts = rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    leads = (F.col("doc_id") == F.col("leader")) & (F.col("s1") == F.col("leader_s1"))
+    wanted = members.join(leaders, "component").select("doc_id", fragments, "s1", "component", "size", "leader", "leader_size", leads.alias("leads"), "salts")
+    wanted = texts.join(wanted, "doc_id").select("doc_id", "text", "fragments", "s1", "component", "size", "leader", "leader_size", "leads", "salts")
+    own = written(wanted.mapInArrow(_cut(n), T.StructType([*_CUT, *wanted.schema.fields[3:]])))
+    # a leader's fragments go to as many tasks as its cluster has 512 members
+    lead = own.filter("leads").select("component", "fragment", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("grams").alias("leader_grams"))
+    both = own.withColumn("salt", F.pmod(F.xxhash64("s1"), F.col("salts")).cast("int")).join(lead, ["component", "fragment", "salt"])
+    both = both.select("component", "doc_id", "s1", "size", "fragment", "grams", "leader", "leader_size", "leader_grams")
+    partial = both.mapInArrow(_common, "component long, doc_id long, s1 long, size long, fragment int, leader long, leader_size long, common long")
+    key = ["component", "doc_id", "s1", "size", "leader", "leader_size"]
+    # texts of one id and one set have equal fragments
+    pairs = partial.groupBy(*key, "fragment").agg(F.max("common").alias("common")).groupBy(*key).agg(F.sum("common").alias("common"))
+    union = F.col("size") + F.col("leader_size") - F.col("common")
+    tied = F.col("common") * den >= num * union
+    judged = settled(pairs.select("component", "doc_id", "s1", "leader", tied.alias("tied"), (~tied & (F.col("common") * den >= (2 * num - den) * union)).alias("near")))
+    stars = judged.filter("tied AND doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+    # what is left meets in blocks
+    placed = _places(members.select("component", "doc_id", "s1", "upper").join(judged.drop("leader"), ["component", "doc_id", "s1"]), block)
+    parts = own.select("component", "doc_id", "s1", "size", "fragment", "grams").join(placed, ["component", "doc_id", "s1"])
     parts = parts.withColumn("place", F.explode("places")).select("component", "place.*", "fragment", "doc_id", "s1", "size", "grams")
     counted = parts.groupBy("component", "kind", "k1", "k2", "fragment").applyInPandas(_block_overlaps, _PARTIAL)
     links = counted.groupBy("component", "kind", "k1", "k2").applyInPandas(_block_links(num, den), "a long, b long")
