@@ -298,7 +298,7 @@ def _block_links(num: int, den: int):
 
 
 def _shared_entries(met: DataFrame, total: int, most_hot: int = 10_000) -> DataFrame:
-    """Rows (node, need, entry), total in number, whose entry two nodes have, once each, with `f`, the entry's rows, null for hot entries.
+    """Rows (node, need, entry), total in number, whose entry two nodes have, once each, with the entry's least node `lo` and its rows `f`, null for hot entries.
 
     Entries that a sixty-fourth of the nodes, taken by hash, hold often are counted by aggregation, combined before the
     shuffle, so that no task gets a common entry's rows; at most about most_hot can be so common, and their table is
@@ -309,23 +309,14 @@ def _shared_entries(met: DataFrame, total: int, most_hot: int = 10_000) -> DataF
     hot = settled(some)
     entry = Window.partitionBy("entry")
     usual = met.join(F.broadcast(hot), "entry", "left_anti").withColumn("lo", F.min("node").over(entry)).withColumn("hi", F.max("node").over(entry)).withColumn("f", F.count(F.lit(1)).over(entry))
-    usual = usual.filter("lo <> hi").select("node", "need", "entry", "f")
+    usual = usual.filter("lo <> hi").select("node", "need", "entry", "lo", "f")
     common = met.join(F.broadcast(hot), "entry", "left_semi")
-    twice = common.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("entry")
-    return usual.unionByName(common.join(F.broadcast(twice), "entry", "left_semi").select("node", "need", "entry", F.lit(None).cast("long").alias("f"))).distinct()
-
-
-def _first_of_entry(met: DataFrame) -> DataFrame:
-    """Edges from the least node of each entry to its others; least nodes are combined before the shuffle, those of hot entries (f is null) broadcast."""
-    edges = []
-    for part, send in ((met.filter("f IS NULL"), F.broadcast), (met.filter("f IS NOT NULL"), lambda x: x)):
-        least = part.groupBy("entry").agg(F.min("node").alias("a"))
-        edges.append(part.join(send(least), "entry").filter("node <> a").select("a", F.col("node").alias("b")))
-    return edges[0].unionByName(edges[1]).distinct()
+    twice = common.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("entry", "lo")
+    return usual.unionByName(common.join(F.broadcast(twice), "entry").select("node", "need", "entry", "lo", F.lit(None).cast("long").alias("f"))).distinct()
 
 
 def _candidate_edges(shared: DataFrame, rare: int = 48) -> DataFrame:
-    """Edges that connect any two nodes which share as many entries as a link needs: (node, need, entry, f) -> a, b.
+    """Edges that connect any two nodes which share as many entries as a link needs: (node, need, entry, lo, f) -> a, b.
 
     Pairs that share an entry of at most `rare` rows are counted pair by pair, as many rows as entries have at most times rare / 2,
     and stay if those entries, with as many common ones as both could share, suffice. Pairs that share common entries
@@ -334,7 +325,7 @@ def _candidate_edges(shared: DataFrame, rare: int = 48) -> DataFrame:
     """
     common = shared.filter(F.coalesce(F.col("f") > rare, F.lit(True)))
     many = settled(common.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")))
-    stars = _first_of_entry(common.join(many.filter("c >= need").select("node"), "node", "left_semi").select("node", "entry", "f"))
+    stars = common.join(many.filter("c >= need").select("node"), "node", "left_semi").filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
     few = shared.filter(F.col("f") <= rare).join(many.select("node", "c"), "node", "left")
     held = few.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("node", F.coalesce("c", F.lit(0)).alias("c"), "need"))).alias("_x"))
     held = held.filter("size(_x) > 1").select("_x", F.posexplode("_x").alias("_i", "_a"))
