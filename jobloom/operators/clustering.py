@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import in_ranges, running
+
 
 def match_existing(batch: DataFrame, existing: DataFrame, keys: list[str], target: str, scope: list[str] = ()) -> DataFrame:
     """batch with the target of the existing row of its scope (its source) that agrees in the first of keys that any does: one equi-join a key, no OR join.

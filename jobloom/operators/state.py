@@ -1,8 +1,6 @@
-"""Rules whose next step depends on the last accepted event: batch forms on the JVM.
+"""Rules whose next step depends on the last accepted event: batch forms without a task or a row for a whole key.
 
-A key's log is cut where a rule surely starts afresh (a gap of at least the time to live, an issued code), and each
-stretch is folded by itself: only times and order marks of a stretch meet in one row, never the events. Null keys belong
-to nobody and are left out.
+Null keys belong to nobody and are left out.
 """
 
 from __future__ import annotations
@@ -10,53 +8,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _stretches(events: DataFrame, key: list[str], seconds: str, order: str, gap: float) -> DataFrame:
-    """events of known keys with `_at` (time and order mark) and `_stretch`, which grows where the event before is at least gap ago."""
-    w = Window.partitionBy(*key).orderBy(seconds, order)
-    fresh = F.coalesce(F.col(seconds) - F.lag(seconds).over(w) >= gap, F.lit(True))
-    known = events.dropna(subset=key).withColumn("_fresh", fresh.cast("int"))
-    return known.withColumn("_stretch", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_at", F.struct(F.col(seconds).cast("double").alias("s"), F.col(order).alias("o"))).drop("_fresh")
-
-
-def _marks(stretches: DataFrame, key: list[str], moves) -> DataFrame:
-    """Per stretch the marks at which the state moves: the first, and each for which moves(last mark, mark) holds."""
-
-    def step(done: Column, at: Column) -> Column:
-        last = F.element_at(done, -1)
-        return F.when(F.coalesce(moves(last["s"], at["s"]), F.lit(True)), F.array_append(done, at)).otherwise(done)
-
-    times = F.sort_array(F.collect_list("_at"))
-    start = F.slice(F.col("_times"), 1, 1)
-    one = stretches.groupBy(*key, "_stretch").agg(times.alias("_times"))
-    return one.select(*key, "_stretch", F.aggregate(F.slice("_times", 2, F.size("_times")), start, step).alias("_marks"))
+from .scan import first_by_steps, in_ranges, running
 
 
 def dedupe_ttl(events: DataFrame, key: list[str], seconds: str, order: str, ttl: float) -> DataFrame:
     """Rows that are processed: a key's first, and each at least ttl after the last processed one; duplicates don't prolong.
 
-    Equal times are taken by order, which tells a key's events apart.
+    Equal times are taken by order, which tells a key's events apart. Without a time to live every row is processed.
     """
-    stretches = _stretches(events, key, seconds, order, ttl)
-    kept = _marks(stretches, key, lambda last, s: s - last >= ttl).select(*key, "_stretch", F.explode("_marks").alias("_at"))
-    return stretches.join(kept, [*key, "_stretch", "_at"], "left_semi").select(*events.columns)
+    if ttl <= 0:
+        return events.dropna(subset=key)
+    return first_by_steps(events, key, seconds, order, ttl).filter("_step").select(*events.columns)
 
 
 def sliding_sessions(events: DataFrame, key: str, seconds: str, order: str, refresh: float, ttl: float) -> DataFrame:
     """events with `alive` and `expires`: the first creates a session; one that finds it expired (at or after its end) creates anew and is not alive before.
 
-    A touch is recorded, and moves the end, only if the last recorded one is at least `refresh` ago.
+    A touch is recorded, and moves the end, only if the last recorded one is at least `refresh` ago, or the session has expired.
     """
-    stretches = _stretches(events, [key], seconds, order, ttl)
-    touched = _marks(stretches, [key], lambda last, s: (s >= last + ttl) | (s - last >= refresh)).select(key, "_stretch", F.explode("_marks").alias("_touch"))
-    # each event stands between two recorded touches: the running maximum of touches gives the one before and the one now
-    rows = stretches.join(touched.withColumn("_at", F.col("_touch")), [key, "_stretch", "_at"], "left")
-    w = Window.partitionBy(key, "_stretch").orderBy("_at")
-    before = F.max("_touch").over(w.rowsBetween(Window.unboundedPreceding, -1))["s"]
-    now = F.max("_touch").over(w.rowsBetween(Window.unboundedPreceding, 0))["s"]
-    rows = rows.withColumn("_before", before).withColumn("_now", now)
+    gap = min(refresh, ttl)
+    if gap > 0:
+        stepped = first_by_steps(events, [key], seconds, order, gap).drop("_range")
+    else:
+        stepped = events.dropna(subset=[key]).withColumn("_t", F.col(seconds).cast("double")).withColumn("_step", F.lit(True))
+    placed = in_ranges(stepped, [key], ["_t", order])
+    touch = F.when(F.col("_step"), F.col("_t"))
+    rows = running(placed, [key], ["_t", order], maxima={"_before": touch}, before=True)
+    now = F.when(F.col("_step"), F.col("_t")).otherwise(F.col("_before"))
     alive = F.coalesce(F.col(seconds) < F.col("_before") + ttl, F.lit(False))
-    return rows.select(*events.columns, alive.alias("alive"), (F.col("_now") + ttl).alias("expires"))
+    return rows.select(*events.columns, alive.alias("alive"), (now + ttl).alias("expires"))
 
 
 def replay_attempts(log: DataFrame, key: str, seconds: str, order: str, kind: str, code: str, challenge: str, max_attempts: int, ttl: float) -> DataFrame:
