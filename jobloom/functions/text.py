@@ -125,14 +125,19 @@ def dedup_key(company: Column, title: Column, location: Column) -> Column:
 
 
 def posting_key(vendor: Column, external_id: Column, company: Column, title: Column, location: Column) -> Column:
-    """A vendor's own id where there is one, else the key of names."""
-    return F.coalesce(F.when(F.nullif(external_id, F.lit("")).isNotNull(), F.concat_ws(":", vendor, external_id)), dedup_key(company, title, location))
+    """A vendor's own id where both vendor and id are known, else the key of names, under which postings of several boards meet."""
+    known = (F.coalesce(vendor, F.lit("")) != "") & (F.coalesce(external_id, F.lit("")) != "")
+    return F.when(known, F.concat_ws(":", vendor, external_id)).otherwise(dedup_key(company, title, location))
 
 
-def posting_hash(posting: Column) -> Column:
-    """Hash of what makes a posting's content: eight fields and two sorted skill lists; the apply link and review marks stay out."""
+def posting_content(posting: Column) -> Column:
+    """What makes a posting's content, as JSON with its nulls: eight fields and two sorted skill lists; the apply link and review marks stay out."""
     lists = (F.array_sort(F.coalesce(posting[n], F.array().cast("array<string>"))).alias(n) for n in ("required_skills", "preferred_skills"))
-    return content_hash(F.struct(*(posting[n].alias(n) for n in CONTENT_FIELDS), *lists))
+    return F.to_json(F.struct(*(posting[n].alias(n) for n in CONTENT_FIELDS), *lists), {"ignoreNullFields": "false"})
+
+
+def posting_hash(posting: Column) -> Column:
+    return F.sha2(posting_content(posting), 256)
 
 
 def content_hash(content: Column) -> Column:

@@ -8,19 +8,21 @@ an error that kept nothing. Every step is an equi-join or a column; no source is
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_outcome
-from ..functions.text import identity, normalize_company, normalize_text, posting_hash, posting_key
+from ..functions.text import identity, normalize_company, normalize_text, posting_content, posting_key
 from . import gates
 from .clustering import attach_preferences, match_existing, merge_postings, orphan_parents, stale_rows, survivors
 from .shared import settled
-from .snapshots import build_payload, record_outcomes, source_type_of
+from .snapshots import build_payload, record_outcomes, source_type_of, usage_rows
+from .store import Snapshot, SnapshotStore
 
-#: Takes postings to score (with source_id, identity, prefs) and returns source_id, identity, status (of the call), body (its JSON), and tokens if it has them.
+__all__ = ["Scorer", "Snapshot", "SnapshotStore", "batch_usage", "ingest_batch", "ingest_status", "landed_scorer"]
+
+#: Takes postings to score (with source_id, identity, prefs) and returns source_id, identity, status (of the call), body (its JSON), and the columns of CALL if it has them.
 Scorer = Callable[[DataFrame], DataFrame]
 
 FIELDS = ("title", "company_name", "location", "remote", "employment_type", "salary_min", "salary_max", "required_skills", "preferred_skills", "description", "apply_url", "needs_review")
@@ -36,7 +38,7 @@ def landed_scorer(outcomes: DataFrame) -> Scorer:
 
 
 def ingest_status(fetched: DataFrame, known: DataFrame, preferences: DataFrame, scorer: Scorer, threshold: int = 30, title_mode: str = "loose") -> DataFrame:
-    """fetched with `identity, digest, status, reason, match_score, outcome, error`.
+    """fetched with `identity, raw_text, digest, status, reason, match_score, outcome, call, error`.
 
     fetched: source_id, user_id, external_id, url, source_type, ats_vendor and a posting's FIELDS; one row an identity
     and source. known: source_id, identity, hash. Without preferences of its user a posting is kept unscored. A call that
@@ -44,7 +46,7 @@ def ingest_status(fetched: DataFrame, known: DataFrame, preferences: DataFrame,
     leaves it scoring_failed.
     """
     posting = F.struct(*FIELDS)
-    rows = fetched.withColumn("identity", identity(F.col("external_id"), F.col("url"))).withColumn("digest", posting_hash(posting))
+    rows = fetched.withColumn("identity", identity(F.col("external_id"), F.col("url"))).withColumn("raw_text", posting_content(posting)).withColumn("digest", F.sha2("raw_text", 256))
     rows = gates.attach_known_hash(rows, known, ["source_id", "identity"])
     rows = attach_preferences(rows, preferences)
     p = F.col("prefs")
@@ -56,7 +58,10 @@ def ingest_status(fetched: DataFrame, known: DataFrame, preferences: DataFrame,
     rows = rows.withColumn("reason", F.when(p.isNotNull(), reason))
     gate = F.when(F.col("known_hash").eqNullSafe(F.col("digest")), "unchanged").when(F.col("reason").isNotNull(), "filtered").when(p.isNull(), "kept").otherwise("pending")
     rows = settled(rows.withColumn("_gate", gate).drop("known_hash"))
-    answers = scorer(rows.filter("_gate = 'pending'")).select("source_id", "identity", F.col("status").alias("_status"), F.col("body").alias("_body"))
+    told = scorer(rows.filter("_gate = 'pending'"))
+    kinds = ("string", "long", "long", "decimal(10,4)", "decimal(10,4)")
+    call = F.struct(*((F.col(c) if c in told.columns else F.lit(None)).cast(kind).alias(c) for c, kind in zip(CALL, kinds, strict=True)))
+    answers = told.select("source_id", "identity", F.col("status").alias("_status"), F.col("body").alias("_body"), call.alias("call"))
     rows = rows.join(answers, ["source_id", "identity"], "left").withColumn("outcome", parse_outcome(F.col("_body")))
     told = gates.triage(F.col("_status"), F.try_parse_json("_body").isNotNull())
     score = F.col("outcome.score")
@@ -69,21 +74,30 @@ def ingest_status(fetched: DataFrame, known: DataFrame, preferences: DataFrame,
     )
 
 
-@dataclass
-class Snapshot:
-    """The stored tables: jobs (source_id, user_id, identity, external_id, url, dedup_key, hash, structured, match_score, first_seen, last_seen),
-    postings (user_id, dedup_key, company_name, company_name_normalized, canonical_title, location_normalized, structured, match_score) and sources."""
+#: Of a call, where the scorer tells: its model, tokens and rates per million tokens.
+CALL = ("model", "input_tokens", "output_tokens", "input_rate", "output_rate")
+
+
+def batch_usage(statuses: DataFrame) -> DataFrame:
+    """Usage rows of a batch's scored and kept postings, linked to their source; none where the scorer tells no model."""
+    calls = statuses.filter("status = 'kept' AND match_score IS NOT NULL AND call.model IS NOT NULL").select("user_id", "source_id", "call.*")
+    return usage_rows(calls, "job_match", "job_source", "source_id")
+
 
-    jobs: DataFrame
-    postings: DataFrame
-    sources: DataFrame
+def _latest(rows: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
+    """The last row of each key, combined before the shuffle."""
+    names = [f"_k{i}" for i in range(len(key))]
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*(k.alias(n) for k, n in zip(key, names, strict=True))).agg(last.alias("_r")).select("_r.*")
 
 
-def ingest_batch(held: Snapshot, fetched: DataFrame, runs: DataFrame, preferences: DataFrame, scorer: Scorer, now: Column, applications: DataFrame | None = None, threshold: int = 30, title_mode: str = "loose") -> tuple[Snapshot, DataFrame]:
+def ingest_batch(held: Snapshot, fetched: DataFrame, runs: DataFrame, preferences: DataFrame, scorer: Scorer, now: Column, applications: DataFrame | None = None, threshold: int = 30, title_mode: str = "loose", position: str | None = None) -> tuple[Snapshot, DataFrame]:
     """The new snapshot after a batch, and the statuses of its postings.
 
     runs: source_id, run (its order), at, error, route, vendor, robots_state; one run a source and batch. Sources that are missing or
-    not active are skipped. applications: user_id, dedup_key, of postings that must stay though no job shows them.
+    not active are skipped. applications: user_id, dedup_key, of postings that must stay though no job shows them. position: fetched's column
+    of a posting's place in its listing; of postings for one job or address the last is stored (without a place, the last by identity and hash), so that
+    (source, external id) and (source, url) stay unique. Every kept posting is a view of its own in the merge and has its usage row (batch_usage).
     """
     active = held.sources.filter("status = 'active'").select("source_id")
     runs, fetched = runs.join(active, "source_id", "left_semi"), fetched.join(active, "source_id", "left_semi")
@@ -94,13 +108,19 @@ def ingest_batch(held: Snapshot, fetched: DataFrame, runs: DataFrame, preference
     match = F.when(F.col("match_score").isNotNull(), F.col("outcome"))
     kept = kept.withColumn("structured", build_payload([F.col(f) for f in FIELDS], F.col("source_type"), F.col("ats_vendor"), match))
     # a kept posting takes the place of the job with its external id, else of the one with its address
-    job = ["source_id", "user_id", "identity", "external_id", "url", "dedup_key", "hash", "structured", "match_score"]
-    batch = match_existing(kept.withColumn("hash", F.col("digest")).select(*job), held.jobs.withColumn("_old", F.col("identity")), ["external_id", "url"], "_old", ["source_id"])
-    batch = settled(batch)
+    job = ["source_id", "user_id", "identity", "external_id", "url", "dedup_key", "hash", "structured", "match_score", "source_type", "ats_vendor", "raw_text", "needs_review"]
+    rows = kept.withColumn("hash", F.col("digest")).withColumn("needs_review", F.coalesce(F.size("needs_review") > 0, F.lit(False))).withColumn("_at", F.col(position) if position else F.lit(0))
+    batch = match_existing(rows.select(*job, "_at"), held.jobs.withColumn("_old", F.col("identity")), ["external_id", "url"], "_old", ["source_id"])
+    # of postings that take one job's place, or share an address, the last stays
+    order = ["_at", "identity", "hash"]
+    batch = _latest(batch, [F.col("source_id"), F.coalesce(F.concat(F.lit("job "), F.col("_old")), F.concat(F.lit("new "), F.coalesce("url", "identity")))], order)
+    batch = settled(_latest(batch, [F.col("source_id"), F.coalesce("url", "identity")], order))
     first = held.jobs.select("source_id", F.col("identity").alias("_old"), F.col("first_seen").alias("_first"))
     written = batch.join(first, ["source_id", "_old"], "left").select(*job, F.coalesce("_first", now).alias("first_seen"), now.alias("last_seen"))
-    replaced = batch.select("source_id", F.coalesce("_old", "identity").alias("identity"))
-    jobs = held.jobs.join(replaced, ["source_id", "identity"], "left_anti").select(*written.columns).unionByName(written)
+    replaced = batch.select("source_id", F.explode(F.array_compact(F.array("_old", "identity"))).alias("identity")).distinct()
+    stored = held.jobs.select(*(F.col(c) if c in held.jobs.columns else F.lit(None).cast(dict(written.dtypes)[c]).alias(c) for c in written.columns))
+    stored = stored.join(replaced, ["source_id", "identity"], "left_anti").join(written.select("source_id", "url").distinct(), ["source_id", "url"], "left_anti")
+    jobs = stored.unionByName(written)
     # what the source no longer lists or no longer matches goes, if its run was complete
     complete = runs.filter("error IS NULL").select("source_id")
     stay = survivors(statuses, ["source_id", "identity"])
@@ -119,38 +139,3 @@ def ingest_batch(held: Snapshot, fetched: DataFrame, runs: DataFrame, preference
     postings = postings.join(orphans.select("user_id", "dedup_key"), ["user_id", "dedup_key"], "left_anti")
     sources = record_outcomes(held.sources, runs, ["run"])
     return Snapshot(jobs, postings, sources), statuses
-
-
-class SnapshotStore:
-    """Snapshots of the stored tables under a shared folder, one folder a batch: `foreachBatch` rewrites its own and reads the one before.
-
-    A batch's folder is complete once its marker is written, so a batch that is run again after a failure starts from the
-    same snapshot and replaces what it had begun.
-    """
-
-    def __init__(self, spark, base: str):
-        self.spark, self.base = spark, base
-
-    def _path(self, batch: int, table: str) -> str:
-        return f"{self.base}/batch={batch}/{table}"
-
-    def write(self, batch: int, snapshot: Snapshot) -> None:
-        for name in ("jobs", "postings", "sources"):
-            getattr(snapshot, name).write.mode("overwrite").parquet(self._path(batch, name))
-        self.spark.range(1).write.mode("overwrite").parquet(self._path(batch, "done"))
-
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def read(self, batch: int) -> Snapshot:
-        return Snapshot(*(self.spark.read.parquet(self._path(batch, name)) for name in ("jobs", "postings", "sources")))
-
-    def before(self, batch: int) -> Snapshot:
-        """The last complete snapshot before a batch; -1 is the one that the store began with."""
-        while batch >= 0:
-            batch -= 1
-            if self._exists(f"{self._path(batch, 'done')}/_SUCCESS"):
-                return self.read(batch)
-        raise ValueError("the store holds no snapshot")

@@ -17,7 +17,7 @@ from ..operators.shared import shared_folder
 from ..sources import payloads as L
 from ..streaming import streams as R
 from .queries import _ATTEMPTS, _ROUTES, attempts
-from .registry import query, seconds, table, wide
+from .registry import ORACLE_SQL, query, seconds, table, wide
 
 
 @query("q45", "SELECT p_partkey, sha256(lower(p_brand) || '|' || lower(p_name) || '|' || lower(p_type)) AS dedup_key FROM part")
@@ -277,7 +277,7 @@ def q64(spark, d):
     "q65",
     """WITH t AS (SELECT p_partkey, '- Roles: ' || p_name || ', ' || p_type || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '- Locations: ' || p_brand || chr(10) ELSE '' END || '- Remote required: ' || CASE WHEN p_partkey % 3 = 0 THEN 'yes' ELSE 'no' END ||
       CASE WHEN p_partkey % 5 = 0 THEN chr(10) || '- Minimum salary: ¥' || format('{:,}', p_size * 100000) || '/year' || chr(10) || '- Target start: 2024-05-06' ELSE '' END AS prefs FROM part)
-    SELECT p_partkey, md5('The person is looking for:' || chr(10) || prefs || chr(10) || chr(10) || 'Score how well this posting matches what they want.' || chr(10) || chr(10) || '<job>' || chr(10) || '{' || p_name || '}' || chr(10) || '</job>' || chr(10)) AS prompt,
+    SELECT p_partkey, md5('Wishes:' || chr(10) || prefs || chr(10) || chr(10) || 'Rate from 0 to 100 how the posting below meets them.' || chr(10) || chr(10) || '<job>' || chr(10) || '{' || p_name || '}' || chr(10) || '</job>' || chr(10)) AS prompt,
       CASE WHEN p_partkey % 4 = 0 THEN 'gone' WHEN p_partkey % 4 = 1 THEN 'Last fetched a' WHEN p_partkey % 4 = 2 THEN 'Fetched b' ELSE 'Waiting for first fetch…' END AS line FROM t JOIN part USING (p_partkey)""",
 )
 def q65(spark, d):
@@ -288,7 +288,7 @@ def q65(spark, d):
     )
     job = F.concat(F.lit("{"), "p_name", F.lit("}"))
     line = N.status_line(F.when(k % 4 == 0, "gone").otherwise(""), F.when(k % 4 == 1, F.lit("a")), F.when(k % 4 < 3, F.lit("b")))
-    return table(spark, d, "part").select("p_partkey", F.md5(N.prompt(prefs, job)).alias("prompt"), line.alias("line"))
+    return table(spark, d, "part").select("p_partkey", F.md5(N.prompt(prefs, job, "Wishes:\n{preferences}\n\nRate from 0 to 100 how the posting below meets them.\n\n<job>\n{job}\n</job>\n")).alias("prompt"), line.alias("line"))
 
 
 @query("q66", "SELECT event_id FROM events ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 50")
@@ -504,6 +504,27 @@ def s6(spark, d):
     return statuses.select(F.col("identity").cast("long").alias("doc_id"), "status")
 
 
+@query(
+    "s8",
+    ORACLE_SQL["q77"],
+)
+def s8(spark, d):
+    """The stored jobs after a stream of several batches, one landed file each; a batch rewrites the buckets of its own sources."""
+    held, fetched, prefs, outcomes = ingest_inputs(spark, d)
+    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    store = I.SnapshotStore(spark, f"{base}/store")
+    store.write(-1, held)
+    # a source's listing is in one file
+    fetched.withColumn("_file", F.pmod(F.xxhash64("source_id"), F.lit(6))).write.partitionBy("_file").parquet(f"{base}/parts")
+    for name in store._names(f"{base}/parts"):
+        if name.startswith("_file="):
+            spark.read.schema(fetched.schema).parquet(f"{base}/parts/{name}").coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    landed = spark.readStream.schema(fetched.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
+    R.ingest_stream(landed, store, lambda batch, n: runs_of(held.sources.join(batch.select("source_id").distinct(), "source_id", "left_semi")), prefs, I.landed_scorer(outcomes), lambda n: F.lit(2))
+    after = store.read(store.batches()[-1])
+    return after.jobs.select(F.col("external_id").cast("long").alias("doc_id"), "match_score", "first_seen", "last_seen")
+
+
 @query("s7", _ATTEMPTS.replace("SELECT event_id, user_id, result FROM f", "SELECT event_id, result FROM f"))
 def s7(spark, d):
     log = attempts(R.read_events(spark, f"{d}/events.parquet"))

@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import Scorer, SnapshotStore, ingest_batch
-from ..operators.shared import shared_folder
+from ..operators.ingest import Scorer, SnapshotStore, batch_usage, ingest_batch
+from ..operators.shared import settled, shared_folder
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 10) -> DataFrame:
@@ -155,15 +155,20 @@ def attempts_stream(log: DataFrame, key: str, max_attempts: int, ttl: int, delay
     return known.groupBy(key).applyInPandasWithState(step, "event_id long, result string", "code string, challenge string, ends double, wrong long", "append", "EventTimeTimeout")
 
 
-def ingest_stream(deliveries: DataFrame, store: SnapshotStore, runs_of: Callable[[DataFrame, int], DataFrame], preferences: DataFrame, scorer: Scorer, now: Callable[[int], Column], **options) -> DataFrame:
+def ingest_stream(deliveries: DataFrame, store: SnapshotStore, runs_of: Callable[[DataFrame, int], DataFrame], preferences: DataFrame, scorer: Scorer, now: Callable[[int], Column], keep: int | None = 3, **options) -> DataFrame:
     """Runs a stream of fetched postings through ingest_batch, each batch on the snapshot that the one before left; returns the statuses.
 
-    The store's batch -1 is the snapshot to begin with. runs_of gives a batch's run per source.
+    The store's batch -1 is the snapshot to begin with. runs_of gives a batch's run per source; only the buckets of those sources and their users are
+    read and written. A batch's usage rows replace those of its own number under `usage`. After each batch all but the last `keep` snapshots expire.
     """
 
     def each(batch: DataFrame, number: int) -> DataFrame:
-        snapshot, statuses = ingest_batch(store.before(number), batch, runs_of(batch, number), preferences, scorer, now(number), **options)
-        store.write(number, snapshot)
+        runs = settled(runs_of(batch, number))
+        snapshot, statuses = ingest_batch(store.before(number, runs), batch, runs, preferences, scorer, now(number), **options)
+        store.write(number, snapshot, runs)
+        batch_usage(statuses).write.mode("overwrite").parquet(f"{store.base}/usage/batch={number}")
+        if keep:
+            store.expire(keep)
         return statuses.select("source_id", "identity", "status", "reason", "match_score", "error")
 
     return drained(deliveries, each=each)
