@@ -41,7 +41,7 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def ngram_sets(texts: list[str | None], n: int = 4, chunk: int = 1 << 21) -> list[np.ndarray]:
+def ngram_sets(texts: list[str | None], n: int = 4, chunk: int = 1 << 20) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's n-grams of lower-cased words; of the whole text if it has fewer words.
 
     A gram's hash is a polynomial over its bytes, read off prefix sums of the whole chunk, then mixed.
@@ -298,7 +298,7 @@ def _block_links(num: int, den: int):
 
 
 def _shared_entries(met: DataFrame, total: int, most_hot: int = 10_000) -> DataFrame:
-    """Rows (node, need, entry), total in number, whose entry two nodes have, once each, with the entry's least node `lo` and its rows `f`, null for hot entries.
+    """Rows (node, entry), total in number, whose entry two nodes have, once each, with the entry's least node `lo` and its rows `f`, null for hot entries.
 
     Entries that a sixty-fourth of the nodes, taken by hash, hold often are counted by aggregation, combined before the
     shuffle, so that no task gets a common entry's rows; at most about most_hot can be so common, and their table is
@@ -309,10 +309,10 @@ def _shared_entries(met: DataFrame, total: int, most_hot: int = 10_000) -> DataF
     hot = settled(some)
     entry = Window.partitionBy("entry")
     usual = met.join(F.broadcast(hot), "entry", "left_anti").withColumn("lo", F.min("node").over(entry)).withColumn("hi", F.max("node").over(entry)).withColumn("f", F.count(F.lit(1)).over(entry))
-    usual = usual.filter("lo <> hi").select("node", "need", "entry", "lo", "f")
+    usual = usual.filter("lo <> hi").select("node", "entry", "lo", "f")
     common = met.join(F.broadcast(hot), "entry", "left_semi")
     twice = common.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("entry", "lo")
-    return usual.unionByName(common.join(F.broadcast(twice), "entry").select("node", "need", "entry", "lo", F.lit(None).cast("long").alias("f"))).distinct()
+    return usual.unionByName(common.join(F.broadcast(twice), "entry").select("node", "entry", "lo", F.lit(None).cast("long").alias("f"))).distinct()
 
 
 def _candidate_edges(shared: DataFrame, rare: int = 48) -> DataFrame:
@@ -397,14 +397,15 @@ def jaccard_components(
     need = F.array(*(F.lit(schemes.scheme(c)[2] + 1) for c in range(len(schemes.bounds) - 1)))  # a number a size class, up to 2**40 n-grams
     lists = F.array(F.struct(F.col("class").alias("s"), F.col("own").alias("e")), F.struct((F.col("class") - 1).alias("s"), F.col("low").alias("e")))
     met = facts.filter("size(own) + size(low) > 0").select("s1", F.explode(lists).alias("l")).filter("size(l.e) > 0")
-    met = met.select(node("s1", "l.s").alias("node"), F.get(need, F.col("l.s")).alias("need"), F.explode("l.e").alias("entry"))
+    met = met.select(node("s1", "l.s").alias("node"), F.explode("l.e").alias("entry"))
     total = facts.agg(F.coalesce(F.sum(F.size("own") + F.size("low")), F.lit(0))).first()[0]
     shared = settled(_shared_entries(met, total))
     # a set that shares fewer entries with all others than a link needs with one has no link
-    enough = settled(shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).filter("n >= need").select("node", "n"))
-    clusters = connected_components(_candidate_edges(shared.join(enough.select("node"), "node", "left_semi")))
+    needs = sets.select("s1", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("s")).select(node("s1", "s").alias("node"), F.get(need, F.col("s")).alias("need"))
+    enough = settled(shared.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(needs, "node").filter("n >= need").select("node", "n", "need").distinct())
+    clusters = connected_components(_candidate_edges(shared.join(enough.select("node", "need"), "node")))
     roles = sets.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).select(node("s1", F.col("class") - F.col("upper")).alias("node"), F.col("rep").alias("doc_id"), "s1", "upper", F.col("n_shingles").alias("size"))
-    members = settled(clusters.join(roles, "node").join(enough, "node").select("component", "doc_id", "s1", "upper", "size", "n"))
+    members = settled(clusters.join(roles, "node").join(enough.select("node", "n"), "node").select("component", "doc_id", "s1", "upper", "size", "n"))
     leaders = members.groupBy("component").agg(
         F.max_by(F.struct(F.col("doc_id").alias("leader"), F.col("s1").alias("leader_s1"), F.col("size").alias("leader_size")), F.struct("n", "doc_id", "s1")).alias("l"),
         F.max("size").alias("largest"), F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("salts"),
@@ -412,10 +413,10 @@ def jaccard_components(
     leaders = settled(leaders.select("component", "l.*", "largest", "salts"))
     # each member's text is cut once, into fragments so many that two blocks of the cluster's largest set fit; repeated rows are one there
     fragments = F.greatest(F.lit(1), F.ceil(F.col("largest") * (16 * block) / group_bytes)).cast("int").alias("fragments")
-    texts = rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     leads = (F.col("doc_id") == F.col("leader")) & (F.col("s1") == F.col("leader_s1"))
     wanted = members.join(leaders, "component").select("doc_id", fragments, "s1", "component", "size", "leader", "leader_size", leads.alias("leads"), "salts")
-    wanted = texts.join(wanted, "doc_id").select("doc_id", "text", "fragments", "s1", "component", "size", "leader", "leader_size", "leads", "salts")
+    wanted = rows.join(wanted, "doc_id").select("doc_id", "text", "fragments", "s1", "component", "size", "leader", "leader_size", "leads", "salts", F.xxhash64("text").alias("_t"))
+    wanted = wanted.dropDuplicates(["doc_id", "s1", "component", "_t"]).drop("_t")
     own = written(wanted.mapInArrow(_cut(n), T.StructType([*_CUT, *wanted.schema.fields[3:]])))
     # a leader's fragments go to as many tasks as its cluster has 512 members
     lead = own.filter("leads").select("component", "fragment", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("grams").alias("leader_grams"))
