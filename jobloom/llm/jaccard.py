@@ -323,11 +323,12 @@ def _candidate_edges(shared: DataFrame, rare: int = 48) -> DataFrame:
     alone need enough of them each; such nodes are tied over each common entry's least node, so a large group gives
     no pairs.
     """
-    common = shared.filter(F.coalesce(F.col("f") > rare, F.lit(True)))
-    many = settled(common.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")))
-    stars = common.join(many.filter("c >= need").select("node"), "node", "left_semi").filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    few = shared.filter(F.col("f") <= rare).join(many.select("node", "c"), "node", "left")
-    held = few.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("node", F.coalesce("c", F.lit(0)).alias("c"), "need"))).alias("_x"))
+    common = F.coalesce(F.col("f") > rare, F.lit(True))
+    # a node has no more entries than its prefix is long, so its window is small
+    told = shared.withColumn("c", F.count(F.when(common, 1)).over(Window.partitionBy("node")))
+    stars = told.filter(common & (F.col("c") >= F.col("need")) & (F.col("node") != F.col("lo"))).select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    few = told.filter(~common)
+    held = few.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("node", "c", "need"))).alias("_x"))
     held = held.filter("size(_x) > 1").select("_x", F.posexplode("_x").alias("_i", "_a"))
     pairs = held.select("_a", F.explode(F.slice("_x", F.col("_i") + 2, F.size("_x"))).alias("_b"))
     counted = pairs.groupBy(F.col("_a.node").alias("a"), F.col("_b.node").alias("b"), F.least("_a.c", "_b.c").alias("c"), F.col("_a.need").alias("need")).agg(F.count(F.lit(1)).alias("n"))
