@@ -179,11 +179,12 @@ def drop_except(rows: DataFrame, user: str, key: str, commands: DataFrame) -> Da
 def attach_rates(calls: DataFrame, prices: DataFrame, model: str, fallback: tuple[str, str]) -> DataFrame:
     """calls with input_rate and output_rate of the first price (by priority) whose model_prefix begins the model; else the fallback.
 
-    prices is a price list, a few rows in any run; it is broadcast by Spark's own size check. Rows keep their number: the
-    model names, not the calls, are matched.
+    Rows keep their number: the model names, not the calls, are matched, each by all of its own prefixes, so the price list may be long
+    and the join is one of equal keys. A null model has the fallback; of equal priorities any counts.
     """
-    models = calls.select(model).distinct()
-    hits = models.join(prices, F.col(model).startswith(F.col("model_prefix")))
+    models = calls.select(model).filter(F.col(model).isNotNull()).distinct()
+    prefixes = models.withColumn("_n", F.explode(F.sequence(F.lit(0), F.length(model)))).select(model, F.substring(F.col(model), F.lit(1), F.col("_n")).alias("_prefix"))
+    hits = prefixes.join(prices, F.col("_prefix") == F.col("model_prefix"))
     best = hits.groupBy(model).agg(F.min_by(F.struct("input_rate", "output_rate"), "priority").alias("_p"))
     rate = lambda f, v: F.coalesce(F.col(f"_p.{f}"), F.lit(v).cast("decimal(10,4)")).alias(f)
     return calls.join(best, model, "left").select(*calls.columns, rate("input_rate", fallback[0]), rate("output_rate", fallback[1]))
