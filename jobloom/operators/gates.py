@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_keys, folded_list, normalize_text, role_words
+from .asof import last_before, longest_prefix
 
 #: Words that name a level, and job families that are no engineering, product or data role.
 LEVEL_WORDS = ("senior", "junior", "lead", "staff", "principal", "mid", "level", "i", "ii", "iii", "iv")
@@ -249,24 +250,32 @@ def parsed_rules(files: DataFrame, agent: str, host: str = "host", body: str = "
 def crawl_decision(urls: DataFrame, rules: DataFrame, url: str = "url", host: str = "host", path: str = "path", hosts: DataFrame | None = None) -> DataFrame:
     """urls with `decision`: the longest rule of the host that begins the path, allowing ones first on ties; without a rule: allowed.
 
-    rules: host, prefix, allow, and crawl_delay if known; a host's rules are few, and the join is on the host. With hosts
-    (host, status of its rules file, null if it gave none) `robots_state` and `crawl_delay` (the longest) come too, and
+    rules: host, prefix, allow, and crawl_delay if known; they may be many, for paths meet them by equal prefixes. With hosts
+    (host, status of its rules file, null if it gave none; one row a host) `robots_state` and `crawl_delay` (the longest) come too, and
     rules count only where the file was read.
     """
-    if "crawl_delay" not in rules.columns:
-        rules = rules.withColumn("crawl_delay", F.lit(None).cast("double"))
     own = urls.columns
-    # one row a host: its rules as an array, so urls keep their number and repeated rows stay apart
-    lists = rules.groupBy(host).agg(F.collect_list(F.when(F.col("prefix") != "", F.struct("prefix", "allow"))).alias("_rules"), F.max("crawl_delay").alias("crawl_delay"))
-    out = urls.join(lists, host, "left")
     if hosts is not None:
-        out = out.join(hosts.select(host, F.col("status").alias("_status")), host, "left").withColumn("robots_state", crawl_state(F.col("_status")))
-        read = F.coalesce(F.col("_status") < 400, F.lit(False))
-        out = out.withColumn("_rules", F.when(read, F.col("_rules"))).withColumn("crawl_delay", F.when(read, F.col("crawl_delay")))
-    fits = F.filter("_rules", lambda r: F.col(path).startswith(r["prefix"]))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["allow"].alias("allow"))))
-    out = out.withColumn("decision", F.when(F.coalesce(best["allow"], F.lit(True)), "allowed").otherwise("disallowed"))
-    return out.select(*own, "decision", *(("robots_state", "crawl_delay") if hosts is not None else ()))
+        rules = rules.join(hosts.filter("status < 400").select(host), host, "left_semi")
+    out = longest_prefix(urls, rules, host, path, "prefix", F.col("allow"), "_allow")
+    out = out.withColumn("decision", F.when(F.coalesce("_allow", F.lit(True)), "allowed").otherwise("disallowed"))
+    if hosts is None:
+        return out.select(*own, "decision")
+    delays = rules.groupBy(host).agg(F.max("crawl_delay").alias("crawl_delay")) if "crawl_delay" in rules.columns else rules.select(host, F.lit(None).cast("double").alias("crawl_delay")).distinct()
+    out = out.join(hosts.select(host, F.col("status").alias("_status")), host, "left").withColumn("robots_state", crawl_state(F.col("_status")))
+    return out.join(delays, host, "left").select(*own, "decision", "robots_state", "crawl_delay")
+
+
+def crawl_decision_as_of(requests: DataFrame, files: DataFrame, agent: str, ttl_seconds: float = 86_400, host: str = "host", path: str = "path", at: str = "at", request: str = "request_id") -> DataFrame:
+    """requests with `file_id, decision, robots_state, crawl_delay` by the rules that their host had when they were made.
+
+    requests: request_id, host, path, at. files, the fetches of rules files: file_id, host, fetched_at, status (null: no answer), body. A request is judged by
+    its host's last fetch that is at most ttl_seconds older; without one the state is unknown, and it is allowed. Requests keep their number.
+    """
+    dated = last_before(requests, files, host, at, "fetched_at", request, "file_id", ttl_seconds)
+    read = files.select("file_id", "status", "body").dropDuplicates(["file_id"])
+    rules = parsed_rules(read.filter("status < 400"), agent, host="file_id")
+    return crawl_decision(dated, rules, host="file_id", path=path, hosts=read.select("file_id", "status"))
 
 
 def route_sources(sources: DataFrame, patterns: list[tuple[str, str]], embeds: list[tuple[str, str]], reserved: tuple[str, ...], known_vendors: tuple[str, ...]) -> DataFrame:
@@ -305,7 +314,7 @@ def route_sources(sources: DataFrame, patterns: list[tuple[str, str]], embeds: l
 
 
 def fresh_rules(rules: DataFrame, now: Column, ttl_seconds: int, host: str = "host", fetched: str = "fetched_at") -> DataFrame:
-    """Latest rules of each host that aren't older than the time to live."""
-    young = rules.filter((F.col(fetched) <= now) & (now.cast("long") - F.col(fetched).cast("long") < ttl_seconds))
+    """Latest rules of each host that aren't older than the time to live, at one moment; `crawl_decision_as_of` takes each request's own."""
+    young = rules.filter((F.col(fetched) <= now) & (F.unix_micros(now) - F.unix_micros(F.col(fetched)) <= ttl_seconds * 1_000_000))
     last = Window.partitionBy(host).orderBy(F.desc(fetched))
     return young.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")

@@ -561,6 +561,23 @@ def q44(spark, d):
     return L.decode_envelopes(messages, "body", F.col("event_id"), F.lit("2024-02-01").cast("timestamp")).select("event_id", "task", "idempotency_key")
 
 
+@query(
+    "q79",
+    """WITH f AS (SELECT user_id, ts, max(event_id) AS file_id FROM events WHERE event_type = 'error' GROUP BY ALL), r AS (SELECT * FROM events WHERE event_type <> 'error'),
+    m AS (SELECT r.event_id, r.event_type, CASE WHEN epoch_us(r.ts) - epoch_us(f.ts) <= 172800000000 THEN f.file_id END AS file_id FROM r ASOF LEFT JOIN f ON r.user_id = f.user_id AND r.ts >= f.ts)
+    SELECT event_id, file_id, CASE WHEN file_id % 4 = 1 AND event_type = 'view' OR file_id % 4 = 2 AND event_type <> 'view' THEN 'disallowed' ELSE 'allowed' END AS decision,
+    CASE WHEN file_id % 4 < 3 THEN 'allowed' ELSE 'unknown' END AS robots_state, CASE WHEN file_id % 4 = 2 THEN 3.0::DOUBLE END AS crawl_delay FROM m""",
+)
+def q79(spark, d):
+    """Requests judged by the rules of their own moment: a user is a host, its errors are fetches of its rules, which differ from one to the next."""
+    e = table(spark, d, "events")
+    kind = F.col("event_id") % 4
+    body = F.when(kind == 1, F.lit("User-agent: *\nDisallow: /v\n")).when(kind == 2, F.lit("User-agent: *\nDisallow: /\nAllow: /view\nCrawl-delay: 3\n"))
+    files = e.filter("event_type = 'error'").select(F.col("event_id").alias("file_id"), F.col("user_id").alias("host"), F.col("ts").alias("fetched_at"), F.when(kind == 0, 404).when(kind < 3, 200).alias("status"), body.alias("body"))
+    requests = e.filter("event_type <> 'error'").select("event_id", F.col("user_id").alias("host"), F.concat(F.lit("/"), "event_type").alias("path"), F.col("ts").alias("at"))
+    return G.crawl_decision_as_of(requests, files, "jobbot", 172_800, request="event_id").select("event_id", "file_id", "decision", "robots_state", "crawl_delay")
+
+
 @query("s1", ORACLE_SQL["q24"])
 def s1(spark, d):
     return R.drained(R.dedupe_stream(R.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"], 86400)).drop("batch")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,38 +22,88 @@ NODE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("tit
 JOB_TYPE = "JobPosting"
 PLACE_PARTS = ("addressLocality", "addressRegion", "addressCountry")
 
-Normaliser = Callable[[DataFrame], DataFrame]
-_NORMALISERS: dict[str, Normaliser] = {}
+Read = Callable[[], Column]
 
 
-def register_normaliser(vendor: str, fn: Normaliser) -> None:
-    """fn gets landed rows of its vendor and returns `source_id` and a posting's columns."""
-    _NORMALISERS[vendor] = fn
+@dataclass(frozen=True)
+class Board:
+    """Where a vendor's payload holds what a posting needs: paths inside a job, of several the first that is there.
+
+    remote, pay and employment stand on a job as variant `j`; pay is a struct(lo, hi, unit, currency) of doubles and texts, to be made annual.
+    """
+
+    jobs: str
+    url: tuple[str, ...]
+    title: str
+    location: str
+    html: str
+    plain: str | None = None
+    external_id: str = "$.id"
+    company: str | None = None
+    employment: str | None = None
+    remote: Read | None = None
+    pay: Read | None = None
+    board_url: bool = False
+
+
+_BOARDS: dict[str, Board] = {}
+
+
+def register_board(vendor: str, board: Board) -> None:
+    """Payloads of the vendor are read as board says; all vendors are read in one scan."""
+    _BOARDS[vendor] = board
 
 
 def normalise_boards(landed: DataFrame) -> DataFrame:
-    """All vendors' postings with `vendor`; payloads of vendors without a normaliser give none."""
-    out = None
-    for vendor, fn in sorted(_NORMALISERS.items()):
-        part = fn(landed.filter(F.col("vendor") == vendor)).withColumn("vendor", F.lit(vendor))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All vendors' postings: `source_id`, a posting's columns and `vendor`; payloads of vendors without a board give none.
+
+    landed: source_id, vendor, board_id, body. One scan: a body is parsed once, its vendor's array is exploded, and each column is
+    a CASE over vendors, so another vendor is another branch. Broken bodies, and those without the array, give no rows (see bad_payloads).
+    """
+    if not _BOARDS:
+        raise ValueError("no board is registered")
+
+    def by_vendor(of: Callable[[Board], Column | None], kind: str) -> Column:
+        cases = [(v, c) for v, b in sorted(_BOARDS.items()) if (c := of(b)) is not None]
+        out = F.lit(None).cast(kind)
+        for vendor, c in reversed(cases):
+            out = F.when(F.col("vendor") == vendor, c.cast(kind)).otherwise(out)
+        return out
+
+    text = lambda path: None if path is None else _get(path)
+    items = by_vendor(lambda b: F.try_variant_get("_v", b.jobs, "array<variant>"), "array<variant>")
+    jobs = landed.filter(F.col("vendor").isin(*_BOARDS)).select("source_id", "vendor", "board_id", F.try_parse_json("body").alias("_v"))
+    jobs = jobs.select("source_id", "vendor", "board_id", F.explode(items).alias("j"))
+    address = lambda b: F.coalesce(*map(_get, b.url), *([F.concat(F.lit("board:"), F.col("board_id"))] if b.board_url else []))
+    company = lambda b: F.col("board_id") if b.company is None else first_nonempty(_get(b.company), F.col("board_id"))
+    parts = "struct<lo:double,hi:double,unit:string,currency:string>"
+    raw = jobs.select(
+        "source_id", "vendor", "board_id", by_vendor(lambda b: text(b.external_id), "string").alias("external_id"), by_vendor(address, "string").alias("url"),
+        by_vendor(lambda b: text(b.title), "string").alias("title"), by_vendor(company, "string").alias("company_name"), by_vendor(lambda b: text(b.location), "string").alias("location"),
+        by_vendor(lambda b: b.remote and b.remote(), "boolean").alias("_remote"), by_vendor(lambda b: text(b.employment), "string").alias("employment_type"), by_vendor(lambda b: b.pay and b.pay(), parts).alias("_pay"),
+        by_vendor(lambda b: text(b.plain), "string").alias("_plain"), by_vendor(lambda b: text(b.html), "string").alias("_html"),
+    )
+    # a job that says its text plainly needs none of its markup
+    plain = F.nullif(F.trim("_plain"), F.lit(""))
+    pay = annual_salary(F.col("_pay.lo"), F.col("_pay.hi"), F.lit(None).cast("double"), F.col("_pay.unit"), F.col("_pay.currency"), False, True)
+    read = raw.withColumn("_made", html_to_text(F.when(plain.isNull(), F.col("_html")))).withColumn("_year", pay).withColumn("description", F.coalesce(plain, F.col("_made")))
+    known = F.col("_year.salary_min").isNotNull() | F.col("_year.salary_max").isNotNull()
+    return read.select(
+        "source_id", "external_id", "url", _title(F.col("title")).alias("title"), "company_name", "location",
+        F.when(F.col("_remote"), F.lit(True)).alias("remote"), "employment_type", F.col("_year.salary_min").alias("salary_min"), F.col("_year.salary_max").alias("salary_max"), "description",
+        _review(F.col("description"), known).alias("needs_review"), "vendor",
+    )
 
 
 def bad_payloads(landed: DataFrame) -> DataFrame:
     """Landed rows whose body isn't JSON or lacks the vendor's array of jobs."""
     v = F.try_parse_json("body")
-    shape = F.when(F.col("vendor") == "list", v).otherwise(F.try_variant_get(v, "$.jobs", "variant"))
+    shape = F.try_variant_get(v, "$.jobs", "variant")
+    for vendor, board in sorted(_BOARDS.items()):
+        shape = F.when(F.col("vendor") == vendor, F.try_variant_get(v, board.jobs, "variant")).otherwise(shape)
     return landed.filter(~F.coalesce(F.schema_of_variant(shape).startswith("ARRAY"), F.lit(False)))
 
 
-def _each(landed: DataFrame, path: str) -> DataFrame:
-    """One row an element of the payload's array, as variant j."""
-    v = F.try_parse_json("body")
-    items = F.try_variant_get(v, path, "array<variant>")
-    return landed.select("source_id", "board_id", F.explode(items).alias("j"))
-
-
 def _get(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("j", path, kind)
 
@@ -65,49 +116,24 @@ def _title(c: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("(untitled)"))
 
 
-
-def jobs_object(landed: DataFrame) -> DataFrame:
-    """Object with `jobs`, HTML contents, places in `location` and `offices`; remote is true if any place says so, else unknown."""
+def _somewhere_remote() -> Column:
+    """Whether the place or any office says so."""
     offices = F.coalesce(_get("$.offices", "array<struct<name:string>>"), F.array().cast("array<struct<name:string>>"))
     places = F.concat(F.array(_get("$.location.name")), F.transform(offices, lambda o: o["name"]))
-    remote = F.exists(places, lambda p: F.coalesce(F.lower(p).contains("remote"), F.lit(False)))
-    description = html_to_text(F.coalesce(_get("$.content"), F.lit("")))
-    null = F.lit(None)
-    return _each(landed, "$.jobs").select(
-        "source_id", _get("$.id").alias("external_id"), F.coalesce(_get("$.absolute_url"), F.concat(F.lit("board:"), F.col("board_id"))).alias("url"), _title(_get("$.title")).alias("title"),
-        first_nonempty(_get("$.company_name"), F.col("board_id")).alias("company_name"), _get("$.location.name").alias("location"), F.when(remote, F.lit(True)).alias("remote"),
-        null.cast("string").alias("employment_type"), null.cast("long").alias("salary_min"), null.cast("long").alias("salary_max"), description.alias("description"), _review(description, F.lit(False)).alias("needs_review"),
-    )
+    return F.exists(places, lambda p: F.coalesce(F.lower(p).contains("remote"), F.lit(False)))
 
 
-def jobs_list(landed: DataFrame) -> DataFrame:
-    """A list of jobs with `text` for the title and `categories`."""
-    description = first_nonempty(_get("$.descriptionPlain"), html_to_text(_get("$.description")))
-    null = F.lit(None)
-    return _each(landed, "$").select(
-        "source_id", _get("$.id").alias("external_id"), F.coalesce(_get("$.hostedUrl"), _get("$.applyUrl")).alias("url"), _title(_get("$.text")).alias("title"), F.col("board_id").alias("company_name"),
-        _get("$.categories.location").alias("location"), F.when(_get("$.workplaceType") == "remote", F.lit(True)).alias("remote"), _get("$.categories.commitment").alias("employment_type"),
-        null.cast("long").alias("salary_min"), null.cast("long").alias("salary_max"), description.alias("description"), _review(description, F.lit(False)).alias("needs_review"),
-    )
-
-
-def jobs_paid(landed: DataFrame) -> DataFrame:
-    """Object with `jobs` and pay components, the first in yen counting."""
+def _first_in_yen() -> Column:
+    """Of pay components the first in yen."""
     parts = _get("$.compensation.summaryComponents", "array<struct<currencyCode:string,interval:string,minValue:double,maxValue:double>>")
     yen = F.get(F.filter(parts, lambda c: c["currencyCode"] == "JPY"), 0)
-    rows = _each(landed, "$.jobs").withColumn("pay", annual_salary(yen["minValue"], yen["maxValue"], F.lit(None).cast("double"), yen["interval"], yen["currencyCode"], False, True))
-    description = first_nonempty(_get("$.descriptionPlain"), html_to_text(_get("$.descriptionHtml")))
-    known = F.col("pay.salary_min").isNotNull() | F.col("pay.salary_max").isNotNull()
-    return rows.select(
-        "source_id", _get("$.id").alias("external_id"), F.coalesce(_get("$.jobUrl"), _get("$.applyUrl")).alias("url"), _title(_get("$.title")).alias("title"), F.col("board_id").alias("company_name"),
-        _get("$.location").alias("location"), F.when(_get("$.isRemote", "boolean"), F.lit(True)).alias("remote"), _get("$.employmentType").alias("employment_type"),
-        F.col("pay.salary_min").alias("salary_min"), F.col("pay.salary_max").alias("salary_max"), description.alias("description"), _review(description, known).alias("needs_review"),
-    )
+    return F.struct(yen["minValue"].alias("lo"), yen["maxValue"].alias("hi"), yen["interval"].alias("unit"), yen["currencyCode"].alias("currency"))
 
 
-register_normaliser("object", jobs_object)
-register_normaliser("list", jobs_list)
-register_normaliser("paid", jobs_paid)
+#: Where the three kinds of boards hold their fields.
+register_board("object", Board("$.jobs", ("$.absolute_url",), "$.title", "$.location.name", "$.content", company="$.company_name", remote=_somewhere_remote, board_url=True))
+register_board("list", Board("$", ("$.hostedUrl", "$.applyUrl"), "$.text", "$.categories.location", "$.description", "$.descriptionPlain", employment="$.categories.commitment", remote=lambda: _get("$.workplaceType") == "remote"))
+register_board("paid", Board("$.jobs", ("$.jobUrl", "$.applyUrl"), "$.title", "$.location", "$.descriptionHtml", "$.descriptionPlain", employment="$.employmentType", remote=lambda: _get("$.isRemote", "boolean"), pay=_first_in_yen))
 
 
 @pandas_udf(NODE)
