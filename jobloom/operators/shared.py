@@ -18,6 +18,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-shared-")
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
     sc = df.sparkSession.sparkContext

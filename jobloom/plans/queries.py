@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from ..operators import gates as G
 from ..operators import pacing as P
 from ..operators import snapshots as D
 from ..operators import state as S
+from ..operators.shared import shared_folder
 from ..sources import payloads as L
+from ..streaming import deliveries as Q
 from ..streaming import streams as R
 from .registry import ORACLE_SQL, QUERIES, query, seconds, table, wide
 
@@ -614,4 +618,23 @@ def s5(spark, d):
     return R.drained(R.read_events(spark, f"{d}/events.parquet"), each=each).drop("batch")
 
 
+@query(
+    "s9",
+    """SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'dead' WHEN event_type <> 'error' OR event_id % 3 < 2 THEN 'done' ELSE 'dead' END AS route,
+    CASE WHEN event_id % 50 = 0 THEN 3 WHEN event_type <> 'error' THEN 1 WHEN event_id % 3 = 0 THEN 2 ELSE 3 END AS receives FROM events""",
+)
+def s9(spark, d):
+    """Messages in six files, one a batch: failed ones come again with the next batch or run, until they are done or in the dead-letter output."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    task = F.when(F.col("event_id") % 50 != 0, "fetch").otherwise("no such task")
+    table(spark, d, "events").select("event_id", "event_type", task.alias("task")).repartition(6, "event_id").write.parquet(f"{base}/landed")
+    log = Q.DeliveryLog(spark, f"{base}/log", spark.read.parquet(f"{base}/landed").schema)
+    messages = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
+    handle = lambda rows: rows.withColumn("ok", (F.col("event_type") != "error") | (F.col("receives") >= 2 + F.col("event_id") % 3))
+    Q.deliver_stream(messages, log, handle, ("fetch",), 3)
+    while Q.redrive(log, handle, ("fetch",), 3):
+        pass
+    return log.read("done", "dead").select("event_id", "route", "receives")
+
+
 from . import stored  # noqa: E402, F401  registers the queries on stored tables
