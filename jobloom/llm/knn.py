@@ -104,8 +104,8 @@ def _planes(shared):
     return run
 
 
-def _replicate(shared):
-    """Each row to the query groups it may matter to, once for each of a group's parts."""
+def _replicate(shared, count: bool = False):
+    """Each row to the query groups it may matter to, once for each of a group's parts; with count only how many rows a group gets, batch by batch."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -123,6 +123,10 @@ def _replicate(shared):
                 near = frame.distances(frame.unpack(some.column(1).take(pa.array(seen)).to_pylist()).astype(float), False)[:, groups]
                 keep = near[own, g] <= reach[g]
                 row, g = row[keep], g[keep]
+                if count:
+                    hit, times = np.unique(groups[g], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(times.astype(np.int64))], ["g", "n"])
+                    continue
                 times = parts[g]
                 row, c = np.repeat(row, times), np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
                 take = some.take(pa.array(row))
@@ -178,7 +182,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
     the query's id is its partner. Scores that a long can't hold stop at its limits and tie there. Pivots are the
     least hashes of ids among distinct vectors, about one for `cell` rows and at most max_pivots; queries use the first of them, about one for
     `group` queries, since a row is sent once a query group. Their number changes the work and never the result. A group's rows and queries are cut into blocks by hash, so a crowded group is many tasks.
-    sent_to, if given, gets the number of rows sent.
+    A row is sent once a part of each query group it may matter to, a query once a block of the rows sent to its group: both follow the
+    pruning. sent_to, if given, gets both numbers.
     """
     spark = vectors.sparkSession
     vectors = settled(vectors.dropDuplicates(["vec_id", "v"]))
@@ -223,13 +228,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
     parts = np.array([-(-h[2] // part) for h in held])
     plan = spark.sparkContext.broadcast((frame, groups, low, high, reach, parts))
     sent = rows.mapInArrow(_replicate(plan), "g int, c int, vec_id long, v binary")
-    blocks = max(1, -(-n // block))
-    sent = sent.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    # a group's blocks follow from the rows sent to it, so its queries meet those alone; one number a group
+    got = {r["g"]: r["n"] for r in rows.mapInArrow(_replicate(plan, True), "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    cuts = [max(1, -(-got.get(h[0], 0) // block)) for h in held]
     if sent_to is not None:
-        sent = settled(sent)
-        sent_to.append(sent.count())
-    counts = F.element_at(F.create_map(*(F.lit(int(x)) for h, m in zip(held, parts, strict=True) for x in (h[0], m))), F.col("cell"))
-    own = asked.select(F.col("cell").alias("g"), F.pmod(F.xxhash64("vec_id", F.lit(1)), counts).cast("int").alias("c"), "vec_id", "v").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        sent_to += [sum(got[h[0]] * int(m) for h, m in zip(held, parts, strict=True) if h[0] in got), sum(h[2] * b for h, b in zip(held, cuts, strict=True))]
+    of_group = lambda numbers, c: F.element_at(F.create_map(*(F.lit(int(x)) for h, m in zip(held, numbers, strict=True) for x in (h[0], m))), F.col(c))
+    sent = sent.withColumn("b", F.pmod(F.xxhash64("vec_id"), of_group(cuts, "g")).cast("int"))
+    own = asked.select(F.col("cell").alias("g"), F.pmod(F.xxhash64("vec_id", F.lit(1)), of_group(parts, "cell")).cast("int").alias("c"), "vec_id", "v")
+    own = own.withColumn("b", F.explode(F.sequence(F.lit(0), of_group(cuts, "g") - 1)))
     found = sent.groupBy("g", "c", "b").cogroup(own.groupBy("g", "c", "b")).applyInPandas(_solve(shared, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -280,7 +280,7 @@ def test_groups_that_cannot_matter_get_no_rows(spark):
     x = np.concatenate([c + rng.normal(size=(100, 16)) * 0.02 for c in centres])
     vectors = knn.quantised(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
     sent: list[int] = []
-    got = knn.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5, cell=20, group=1, sent_to=sent).toPandas()
+    got = knn.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5, cell=20, group=1, block=64, sent_to=sent).toPandas()
     q = np.floor(256 * x).astype(np.int64)
     for i in range(0, 2000, 50):
         s = q @ q[i]
@@ -288,6 +288,7 @@ def test_groups_that_cannot_matter_get_no_rows(spark):
         assert [(-a, b) for a, b in best] == list(got[got.query_id == i].sort_values("rank")[["score", "vec_id"]].itertuples(index=False, name=None))
     groups = 40
     assert sent[0] < 0.25 * groups * 2000
+    assert groups <= sent[1] < 0.4 * groups * -(-2000 // 64)  # queries meet the blocks of the rows sent to their group, not all blocks
 
 
 def test_top_k_of_odd_vectors(spark):
