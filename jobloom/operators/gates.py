@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from ipaddress import ip_network
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_keys, folded_list, normalize_text, role_words
+from ..functions.text import NAT64_RANGES, fold_keys, folded_list, normalize_text, role_words
 from .asof import last_before, longest_prefix
 
 #: Words that name a level, and job families that are no engineering, product or data role.
@@ -102,18 +107,69 @@ def v4_number(ip: Column) -> Column:
     """A dotted quad as a number; null for anything else."""
     parts = F.split(ip, r"\.")
     number = sum((parts[i].try_cast("long") * (1 << 8 * (3 - i)) for i in range(1, 4)), parts[0].try_cast("long") * (1 << 24))
-    good = ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(parts, lambda p: p.try_cast("int") <= 255)
+    good = ip.rlike(r"\A\d{1,3}(\.\d{1,3}){3}\z") & F.forall(parts, lambda p: p.try_cast("int") <= 255)
     return F.when(good, number)
 
 
+#: Addresses inside the ranges above that are public all the same; IPv6 ranges that are not public, and public parts of them.
+OPEN_V4 = ("192.0.0.9/32", "192.0.0.10/32")
+CLOSED_V6 = ("::/3", "2001::/23", "2001:db8::/32", "2002::/16", "4000::/2", "8000::/1")
+OPEN_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28", "fec0::/10")
+
+
+def _closed_number(n: Column) -> Column:
+    within = lambda net: n.between(int(net.network_address), int(net.broadcast_address))
+    closed = [within(ip_network(f"{first}/{bits}")) for first, bits in CLOSED_V4]
+    return reduce(or_, closed) & ~reduce(or_, (within(ip_network(r)) for r in OPEN_V4))
+
+
 def blocked_v4(ip: Column) -> Column:
-    n = v4_number(ip)
-    out = F.lit(False)
-    for first, bits in CLOSED_V4:
-        a, b, c, d = map(int, first.split("."))
-        low = a << 24 | b << 16 | c << 8 | d
-        out = out | n.between(low, low + (1 << 32 - bits) - 1)
-    return out
+    return F.coalesce(_closed_number(v4_number(ip)), F.lit(False))
+
+
+def v6_digits(ip: Column) -> Column:
+    """A literal IPv6 address, with or without a zone, as its 32 lower-case hexadecimal digits, which sort as addresses do; null for anything else."""
+    bare = F.lower(F.regexp_replace(ip, r"\A([^%]*)%[^%]+\z", "$1"))
+    quad = F.regexp_extract(bare, r":([0-9]+(?:\.[0-9]+){3})\z", 1)
+    last = F.lower(F.lpad(F.hex(_plain_v4(quad)), 8, "0"))
+    whole = F.when(quad == "", bare).otherwise(F.concat(F.regexp_extract(bare, r"\A(.*:)[^:]*\z", 1), F.substring(last, 1, 4), F.lit(":"), F.substring(last, 5, 4)))
+
+    def read(x: Column) -> Column:
+        gap = x.contains("::")
+        listed = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ":"))
+        left, right = listed(F.substring_index(x, "::", 1)), listed(F.when(gap, F.substring_index(x, "::", -1)).otherwise(""))
+        n = F.size(left) + F.size(right)
+        run = "(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)"
+        good = (x != "") & x.rlike(rf"\A{run}?(?:::{run}?)?\z") & F.when(gap, n <= 7).otherwise(n == 8)
+        full = lambda c: F.array_join(F.transform(c, lambda g: F.lpad(g, 4, "0")), "")
+        return F.when(good, F.concat(full(left), F.repeat(F.lit("0"), 32 - 4 * n), full(right)))
+
+    # no address is longer than this, so long texts don't meet the pattern
+    return F.when(F.length(bare) <= 45, _once(whole, read))
+
+
+def _plain_v4(ip: Column) -> Column:
+    """v4_number without leading zeros."""
+    return F.when(~ip.rlike(r"(\A|\.)0[0-9]"), v4_number(ip))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
+def closed_address(ip: Column) -> Column:
+    """Whether a literal IPv4 or IPv6 address isn't public; null if it is no address. Addresses that hold an IPv4 one (mapped, translated) are judged by that.
+
+    Expressions only: ranges are compared as digits of one length, so no row leaves the JVM.
+    """
+    ends = lambda r: tuple(f"{int(x):032x}" for x in (ip_network(r).network_address, ip_network(r).broadcast_address))
+
+    def judge(d: Column) -> Column:
+        among = lambda ranges: reduce(or_, (d.between(*map(F.lit, ends(r))) for r in ranges))
+        inner = F.conv(F.substring(d, 25, 8), 16, 10).cast("long")
+        return F.when(among(("::ffff:0:0/96", *NAT64_RANGES)), _closed_number(inner)).otherwise(among(CLOSED_V6) & ~among(OPEN_V6))
+
+    return F.when(ip.contains(":"), _once(v6_digits(ip), judge)).otherwise(_once(_plain_v4(ip), _closed_number))
 
 
 def failed_rules(**rules: Column) -> Column:

@@ -43,7 +43,7 @@ def q46(spark, d):
     first = F.element_at(F.array(*(F.lit(n) for n in (10, 100, 127, 169, 172, 192, 8, 224))), (F.col("event_id") % 8 + 1).cast("int"))
     v4 = F.concat_ws(".", first.cast("string"), (F.col("event_id") % 256).cast("string"), (F.floor(F.col("event_id") / 256) % 256).cast("string"), F.lit("7"))
     head = F.element_at(F.array(*(F.lit(h) for h in ("::ffff:", "64:ff9b::", "64:ff9b:1::"))), (F.col("event_id") % 3 + 1).cast("int"))
-    return table(spark, d, "events").select("event_id", X.blocked_v6(F.concat(head, v4)).alias("blocked"))
+    return table(spark, d, "events").select("event_id", G.closed_address(F.concat(head, v4)).alias("blocked"))
 
 
 @query(
