@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scan import in_ranges, running
 
 
+def left_by(rows: DataFrame, other: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """rows joined left with other by equal columns (of rows, of other; the names differ). Rows without a key are spread by all that they hold, where a plain join sends them to one task."""
+    lost = reduce(or_, (rows[a].isNull() for a, _ in pairs))
+    left = rows.withColumn("_spread", F.when(lost, F.pmod(F.xxhash64(*(rows[c] for c in rows.columns)), F.lit(1 << 20)) + 1).otherwise(0))
+    # not a plain 0, which the optimizer would take out of the keys
+    right = other.withColumn("_even", F.when(F.col(pairs[0][1]).isNull(), F.lit(-1).cast("long")).otherwise(0))
+    same = reduce(and_, (left[a] == right[b] for a, b in pairs), left["_spread"] == right["_even"])
+    return left.join(right, same, "left").drop("_spread", "_even")
+
+
 def last_before(requests: DataFrame, versions: DataFrame, key: str, at: str, since: str, request: str, version: str, ttl_seconds: float | None = None) -> DataFrame:
     """requests with `version`: their key's last version that began at or before them and is at most ttl_seconds older; null if there is none.
 
@@ -41,4 +54,4 @@ def longest_prefix(rows: DataFrame, rules: DataFrame, key: str, text: str, prefi
     cut = texts.join(lengths, "_key").withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("_text"))))
     cut = cut.withColumn("_prefix", F.substring(F.col("_text"), F.lit(1), F.col("_n"))).withColumn("_hash", F.xxhash64("_prefix"))
     best = cut.join(known, ["_key", "_hash", "_prefix"]).groupBy("_key", "_text").agg(F.max(F.struct("_n", "_value")).alias("_best"))
-    return rows.join(best, (rows[key] == best["_key"]) & (rows[text] == best["_text"]), "left").select(*(rows[c] for c in rows.columns), F.col("_best._value").alias(name))
+    return left_by(rows, best, [(key, "_key"), (text, "_text")]).select(*rows.columns, F.col("_best._value").alias(name))

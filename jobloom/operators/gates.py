@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NAT64_RANGES, fold_keys, folded_list, normalize_text, role_words
-from .asof import last_before, longest_prefix
+from .asof import last_before, left_by, longest_prefix
 
 #: Words that name a level, and job families that are no engineering, product or data role.
 LEVEL_WORDS = ("senior", "junior", "lead", "staff", "principal", "mid", "level", "i", "ii", "iii", "iv")
@@ -318,8 +318,8 @@ def crawl_decision(urls: DataFrame, rules: DataFrame, url: str = "url", host: st
     if hosts is None:
         return out.select(*own, "decision")
     delays = rules.groupBy(host).agg(F.max("crawl_delay").alias("crawl_delay")) if "crawl_delay" in rules.columns else rules.select(host, F.lit(None).cast("double").alias("crawl_delay")).distinct()
-    out = out.join(hosts.select(host, F.col("status").alias("_status")), host, "left").withColumn("robots_state", crawl_state(F.col("_status")))
-    return out.join(delays, host, "left").select(*own, "decision", "robots_state", "crawl_delay")
+    known = hosts.select(host, "status").join(delays, host, "left").select(F.col(host).alias("_host"), F.col("status").alias("_status"), "crawl_delay")
+    return left_by(out, known, [(host, "_host")]).withColumn("robots_state", crawl_state(F.col("_status"))).select(*own, "decision", "robots_state", "crawl_delay")
 
 
 def crawl_decision_as_of(requests: DataFrame, files: DataFrame, agent: str, ttl_seconds: float = 86_400, host: str = "host", path: str = "path", at: str = "at", request: str = "request_id") -> DataFrame:
