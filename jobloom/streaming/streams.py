@@ -1,21 +1,22 @@
 """Streaming forms of the keyed rules: same answers as the batch forms on logs in time order.
 
 State is one small row a key, evicted by event-time timers once it can no longer matter; within a micro-batch a
-key's events are taken in time order.
+key's events are taken in time order. Events that come behind their key's judged ones or the watermark are given back as
+late (`processors.py`).
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import Scorer, SnapshotStore, batch_usage, ingest_batch
 from ..operators.shared import settled, shared_folder
+from .processors import STATE_STORE, Attempts, Processed, Sessions, Streaks, judged
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 10) -> DataFrame:
@@ -45,33 +46,21 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
         out = each(batch, number) if each else batch
         out.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    named = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)
+    try:  # a query takes the session's settings when it starts
+        query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STATE_STORE[0], named)
     query.awaitTermination()
     if not _exists(spark, f"{base}/out"):
         return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
     return spark.read.parquet(f"{base}/out")
 
 
-def dedupe_stream(events: DataFrame, key: list[str], ttl_seconds: int, delay: str = "1 hour") -> DataFrame:
-    """`event_id` of processed events: a key's first, and each at least ttl after the last processed one."""
-
-    def step(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = state.get[0] if state.exists else None
-        keep = []
-        for t in pdf["ts"].map(pd.Timestamp.timestamp):
-            ok = last is None or t - last >= ttl_seconds
-            last = t if ok else last
-            keep.append(ok)
-        state.update((float(last),))
-        state.setTimeoutTimestamp(max(int((last + ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pdf.loc[keep, ["event_id"]]
-
-    known = events.filter(" AND ".join(f"{k} IS NOT NULL" for k in key)).withWatermark("ts", delay)
-    return known.groupBy(*key).applyInPandasWithState(step, "event_id long", "last double", "append", "EventTimeTimeout")
+def dedupe_stream(events: DataFrame, key: list[str], ttl_seconds: float, delay: str = "1 hour") -> DataFrame:
+    """`event_id, late` of processed events: a key's first, and each at least ttl after the last processed one; and of late ones, which nobody judged."""
+    return judged(events, key, "ts", "event_id", Processed(int(ttl_seconds * 1e6)), delay)
 
 
 def rate_counts_stream(events: DataFrame, key: str, width: str = "1 day", delay: str = "1 day") -> DataFrame:
@@ -80,41 +69,14 @@ def rate_counts_stream(events: DataFrame, key: str, width: str = "1 day", delay:
     return counted.select(key, F.unix_timestamp("window.start").alias("window_start"), "hits")
 
 
-def failure_stream(events: DataFrame, key: str, failed: str, max_failures: int = 5) -> DataFrame:
-    """`event_id, streak, stopped`: failures in a row with each run, and whether that stops the source."""
-
-    def step(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        run, streaks = state.get[0] if state.exists else 0, []
-        for bad in pdf[failed]:
-            run = run + 1 if bad else 0
-            streaks.append(run)
-        state.update((int(run),))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "streak": streaks, "stopped": [s >= max_failures for s in streaks]})
-
-    return events.filter(f"{key} IS NOT NULL").groupBy(key).applyInPandasWithState(step, "event_id long, streak long, stopped boolean", "run long", "append", "NoTimeout")
-
-
-def session_stream(events: DataFrame, key: str, refresh: int, ttl: int, delay: str = "1 hour") -> DataFrame:
-    """`event_id, alive`: whether an access finds its session; touches move its end only so often."""
+def failure_stream(events: DataFrame, key: str, failed: str, max_failures: int = 5, delay: str = "1 hour") -> DataFrame:
+    """`event_id, streak, stopped, late`: failures in a row with each run, and whether that stops the source."""
+    return judged(events.withColumn("failed", F.col(failed)), [key], "ts", "event_id", Streaks(max_failures), delay)
 
-    def step(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        touched, alive = state.get[0] if state.exists else None, []
-        for t in pdf["ts"].map(pd.Timestamp.timestamp):
-            live = touched is not None and t < touched + ttl
-            if not live or t - touched >= refresh:
-                touched = t
-            alive.append(live)
-        state.update((float(touched),))
-        state.setTimeoutTimestamp(max(int((touched + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "alive": alive})
 
-    known = events.filter(f"{key} IS NOT NULL").withWatermark("ts", delay)
-    return known.groupBy(key).applyInPandasWithState(step, "event_id long, alive boolean", "touched double", "append", "EventTimeTimeout")
+def session_stream(events: DataFrame, key: str, refresh: float, ttl: float, delay: str = "1 hour") -> DataFrame:
+    """`event_id, alive, late`: whether an access finds its session; touches move its end only so often."""
+    return judged(events, [key], "ts", "event_id", Sessions(int(refresh * 1e6), int(ttl * 1e6)), delay)
 
 
 def latest_counts(updates: DataFrame, keys: list[str], count: str) -> DataFrame:
@@ -122,37 +84,9 @@ def latest_counts(updates: DataFrame, keys: list[str], count: str) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max(count).alias(count))
 
 
-def attempts_stream(log: DataFrame, key: str, max_attempts: int, ttl: int, delay: str = "1 hour") -> DataFrame:
-    """`event_id, result` of verify events: the state of a key is its live code, challenge, end and wrong tries; it leaves when the code ends."""
-
-    def step(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        code, challenge, end, wrong = state.get if state.exists else (None, None, 0.0, 0)
-        ids, results = [], []
-        for event, kind, given, asked, at in zip(pdf["event_id"], pdf["kind"], pdf["code"], pdf["challenge"], pdf["ts"].map(pd.Timestamp.timestamp), strict=True):
-            if kind == "issue":
-                code, challenge, end, wrong = given, asked, at + ttl, 0
-                continue
-            result = "invalid"
-            if code is not None and at < end and asked == challenge:
-                wrong += given != code
-                result = "ok" if given == code else "too_many_attempts" if wrong >= max_attempts else "invalid"
-                code = None if result != "invalid" else code
-            ids.append(event)
-            results.append(result)
-        if code is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((code, challenge, float(end), int(wrong)))
-            state.setTimeoutTimestamp(max(int(end * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": ids, "result": results}).astype({"event_id": "int64", "result": object})
-
-    known = log.filter(f"{key} IS NOT NULL").withWatermark("ts", delay)
-    return known.groupBy(key).applyInPandasWithState(step, "event_id long, result string", "code string, challenge string, ends double, wrong long", "append", "EventTimeTimeout")
+def attempts_stream(log: DataFrame, key: str, max_attempts: int, ttl: float, delay: str = "1 hour") -> DataFrame:
+    """`event_id, result, late` of verify events, and of late events of any kind: a key's state is its live code, challenge, end and wrong tries."""
+    return judged(log, [key], "ts", "event_id", Attempts(max_attempts, int(ttl * 1e6)), delay)
 
 
 def ingest_stream(deliveries: DataFrame, store: SnapshotStore, runs_of: Callable[[DataFrame, int], DataFrame], preferences: DataFrame, scorer: Scorer, now: Callable[[int], Column], keep: int | None = 3, **options) -> DataFrame:
