@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import clustering as C
 from ..operators import gates as G
 from ..operators import ingest as I
+from ..operators import layout as B
 from ..operators import pacing as P
 from ..operators import snapshots as D
 from ..operators.shared import shared_folder
@@ -567,3 +568,36 @@ _late_query("s10", ORACLE_SQL["q24"], "user_id, event_type", "", lambda e: R.ded
 _late_query("s11", ORACLE_SQL["s3"], "user_id", "streak, stopped", lambda e: R.failure_stream(e.withColumn("failed", F.col("event_type") == "error"), "user_id", "failed"))
 _late_query("s12", ORACLE_SQL["s4"], "user_id", "alive", lambda e: R.session_stream(e, "user_id", 21600, 86400))
 _late_query("s13", ORACLE_SQL["s7"], "user_id", "result", lambda e: R.attempts_stream(attempts(e), "user_id", 5, 6 * 86400))
+
+
+def _laid(layout: B.Layout, rows):
+    return layout.write(rows, f"{shared_folder(rows.sparkSession)}/table-{uuid.uuid4().hex}")
+
+
+@query("q80", ORACLE_SQL["q01"])
+def q80(spark, d):
+    """q01 on a stored table: the customer's folder alone is read."""
+    layout = B.Layout(("o_orderkey",), 8, user="o_custkey", folders=16)
+    return layout.scoped(_laid(layout, table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")), 42).select("o_orderkey", "o_totalprice")
+
+
+@query("q81", ORACLE_SQL["q03"])
+def q81(spark, d):
+    """q03 on stored hashes: the batch goes to the buckets of what is stored."""
+    docs = table(spark, d, "documents")
+    content = lambda t: X.content_hash(F.struct(F.col("source").alias("company"), t.alias("title"), F.col("lang").alias("location"), F.array_sort(F.array("lang", "source")).alias("skills")))
+    old = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
+    known = _laid(B.Layout(("doc_id",), 8), docs.filter("doc_id % 10 <> 0").select("doc_id", content(old).alias("hash")))
+    now = docs.filter("doc_id % 11 <> 0").select("doc_id", content(F.col("text")).alias("now_hash"))
+    return G.attach_known_hash(now, known, ["doc_id"]).select("doc_id", G.diff_status(F.col("now_hash"), F.col("known_hash")).alias("status"))
+
+
+@query("q82", ORACLE_SQL["q13"])
+def q82(spark, d):
+    """q13 on stored tables: distinct identities and those that survived meet without an exchange of either."""
+    layout = B.Layout(("l_suppkey", "l_partkey"), 8)
+    items = table(spark, d, "lineitem")
+    held = _laid(layout, items.select("l_suppkey", "l_partkey")).distinct()
+    survivors = _laid(layout, items.filter("l_quantity > 25").select("l_suppkey", "l_partkey"))
+    complete = table(spark, d, "supplier").filter("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return B.stale_stored(held, survivors, complete, ["l_suppkey", "l_partkey"], "l_suppkey").select("l_suppkey", "l_partkey")
