@@ -199,15 +199,15 @@ class Attempts(Ordered):
         return state[2] if state[0] is not None else us
 
 
-def judged(events: DataFrame, key: list[str], time: str, order: str, processor: Ordered, delay: str | None) -> DataFrame:
+def judged(events: DataFrame, key: list[str], time: str, order: str, processor: Ordered, delay: str) -> DataFrame:
     """`event_id`, the processor's columns and `late`, of a stream with a key and a time; rows without either belong to nobody.
 
     The watermark runs on a copy of the time that only copies of the rows carry, which leave behind it: so it advances,
-    but drops no late row before the processor sees it. Times are after 1970. Without a delay there are no timers to run.
+    but drops no late row before the processor sees it. Times are after 1970.
     """
     known = events.filter(" AND ".join(f"{c} IS NOT NULL" for c in (*key, time, order)))
     rows = known.select(*key, F.unix_micros(time).alias("at_us"), F.col(order).cast("long").alias("at_id"), *processor.fields, F.col(time).alias("_at"))
     ticks = rows.withColumn("_clock", F.explode(F.array(F.col("_at"), F.lit(None).cast("timestamp")))).drop("_at")
-    ticked = ticks.withWatermark("_clock", delay or "0 seconds").filter("_clock IS NULL")
+    ticked = ticks.withWatermark("_clock", delay).filter("_clock IS NULL")
     schema = ", ".join(["event_id long", *(f"{n} {t}" for n, t in processor.given.items()), "late boolean"])
     return ticked.groupBy(*key).transformWithStateInPandas(processor, schema, "append", "EventTime")
