@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
@@ -153,19 +154,24 @@ def first_nonempty(*values: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(v), F.lit("")) for v in values), F.lit(""))
 
 
-def html_to_text(c: Column) -> Column:
+#: References that built-ins decode, the sign that begins them last.
+COMMON_REFERENCES = ("lt", "gt", "quot", "copy", "middot", "nbsp", "amp")
+
+
+def html_to_text(c: Column, references: tuple[str, ...] | None = None) -> Column:
     """Breaks and block ends as newlines, tags gone, then references decoded; lines trimmed at their ends, two newlines at most; "" for null.
 
+    references: names of the only ones to decode, in that order and where they end in a semicolon; None: all that HTML has, also cut ones ("&amp{").
     Texts with common references only take built-ins; the UDF is handed nulls for them.
     """
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)<br\s*/?>", "\n")
     t = F.regexp_replace(t, rf"(?i)</(?:{BLOCK_TAGS})\s*>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", "")
     plain = t
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(sign))
-    simple = ~F.regexp_replace(t, r"&(?:lt|gt|quot|copy|middot|nbsp|amp);", "").contains("&") & ~t.rlike(r"&amp;[#a-zA-Z]")
-    t = F.when(simple, plain).otherwise(unescape_html(F.when(~simple, t)))
+    for name in references or COMMON_REFERENCES:
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(unescape(f"&{name};")))
+    simple = ~F.regexp_replace(t, rf"&(?:{'|'.join(COMMON_REFERENCES)});", "").contains("&") & ~t.rlike(r"&amp;[#a-zA-Z]")
+    t = plain if references else F.when(simple, plain).otherwise(unescape_html(F.when(~simple, t)))
     t = F.regexp_replace(t, r"[ \t ]+\n", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 

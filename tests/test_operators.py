@@ -1,5 +1,6 @@
 """Operators on small tables written for the case."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from jobloom.functions import numbers as N
@@ -7,7 +8,9 @@ from jobloom.functions import text as X
 from jobloom.operators import clustering as C
 from jobloom.operators import gates as G
 from jobloom.operators import pacing as P
+from jobloom.plans.queries import ORACLE_SQL, QUERIES
 from jobloom.sources import payloads as L
+from tests.compare import duck, shown
 
 
 def values(spark, rows, schema, *columns):
@@ -53,6 +56,20 @@ def test_html_keeps_escaped_tags(spark):
     assert [g[0] for g in values(spark, rows, "h string", X.html_to_text(F.col("h")))] == ["a\nb <c> & d", "x\ny é", ""]
 
 
+def test_html_with_cut_references(spark):
+    """All of HTML's references are decoded, cut ones too; where references are named, those alone, with their semicolon."""
+    rows = [("a&amp&quot;{b &lt; c&amp",), ("&amp;quot; &copy;",)]
+    assert [g[0] for g in values(spark, rows, "h string", X.html_to_text(F.col("h")))] == ['a&"{b < c&', "&quot; ©"]
+    assert [g[0] for g in values(spark, rows, "h string", X.html_to_text(F.col("h"), ("quot", "copy", "middot", "amp")))] == ['a&amp"{b &lt; c&amp', "&quot; ©"]
+
+
+def test_text_of_pages_with_cut_references_equals_sql(spark, tmp_path):
+    html = ["<p>und&amp{margin:0}</p>", "x&amp;&am<br>y&copy;&lt;b&gt; &quot", "<div>a \t</div>\n\n\n&middot;&amp;amp;"]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = pd.DataFrame({"page_id": range(len(html)), "html": html})
+    assert shown(QUERIES["q08"](spark, str(tmp_path)).toPandas()) == shown(duck(ORACLE_SQL["q08"], pages=pages))
+
+
 def test_outcomes_drift(spark):
     rows = [('{"score": "73", "matched": "a", "concerns": null}',), ('{"score": "73/100"}',), ('{"score": 40, "matched": ["x", "y"]}',), ("{",), (None,)]
     got = values(spark, rows, "r string", N.parse_outcome(F.col("r"))["score"], N.parse_outcome(F.col("r"))["matched"])
