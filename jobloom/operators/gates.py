@@ -103,12 +103,16 @@ CLOSED_V4 = (
 )
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row however often then names it."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
 def v4_number(ip: Column) -> Column:
     """A dotted quad as a number; null for anything else."""
-    parts = F.split(ip, r"\.")
-    number = sum((parts[i].try_cast("long") * (1 << 8 * (3 - i)) for i in range(1, 4)), parts[0].try_cast("long") * (1 << 24))
-    good = ip.rlike(r"\A\d{1,3}(\.\d{1,3}){3}\z") & F.forall(parts, lambda p: p.try_cast("int") <= 255)
-    return F.when(good, number)
+    parts = F.transform(F.split(ip, r"\."), lambda p: p.try_cast("long"))
+    number = lambda p: F.when(F.array_max(p) <= 255, sum((p[i] * (1 << 8 * (3 - i)) for i in range(1, 4)), p[0] * (1 << 24)))
+    return F.when(ip.rlike(r"\A\d{1,3}(\.\d{1,3}){3}\z"), _once(parts, number))
 
 
 #: Addresses inside the ranges above that are public all the same; IPv6 ranges that are not public, and public parts of them.
@@ -124,28 +128,43 @@ def _closed_number(n: Column) -> Column:
 
 
 def blocked_v4(ip: Column) -> Column:
-    return F.coalesce(_closed_number(v4_number(ip)), F.lit(False))
+    return F.coalesce(_once(v4_number(ip), _closed_number), F.lit(False))
 
 
 def v6_digits(ip: Column) -> Column:
-    """A literal IPv6 address, with or without a zone, as its 32 lower-case hexadecimal digits, which sort as addresses do; null for anything else."""
-    bare = F.lower(F.regexp_replace(ip, r"\A([^%]*)%[^%]+\z", "$1"))
-    quad = F.regexp_extract(bare, r":([0-9]+(?:\.[0-9]+){3})\z", 1)
-    last = F.lower(F.lpad(F.hex(_plain_v4(quad)), 8, "0"))
-    whole = F.when(quad == "", bare).otherwise(F.concat(F.regexp_extract(bare, r"\A(.*:)[^:]*\z", 1), F.substring(last, 1, 4), F.lit(":"), F.substring(last, 5, 4)))
+    """A literal IPv6 address, with or without a zone, as its 32 lower-case hexadecimal digits, which sort as addresses do; null for anything else.
+
+    What is named more than once is computed once (`_once`): a lambda's body shares nothing by itself.
+    """
+    # digits alone: lower() goes by all of Unicode
+    small = lambda x: F.translate(x, "ABCDEF", "abcdef")
+    quad = lambda x: F.regexp_extract(x, r":([0-9]+(?:\.[0-9]+){3})\z", 1)
+    halves = lambda d: F.concat(F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4))
+
+    def whole(x: Column) -> Column:
+        """x with a dotted end as two groups; without one that is an address, null."""
+        last = lambda q: F.when(q == "", x).otherwise(F.concat(F.regexp_extract(x, r"\A(.*:)[^:]*\z", 1), _once(small(F.lpad(F.hex(_plain_v4(q)), 8, "0")), halves)))
+        return F.when(x.contains("."), _once(quad(x), last)).otherwise(x)
+
+    def groups(x: Column) -> Column:
+        return F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(":"), F.lit(""))) + 1)
 
     def read(x: Column) -> Column:
-        gap = x.contains("::")
-        listed = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ":"))
-        left, right = listed(F.substring_index(x, "::", 1)), listed(F.when(gap, F.substring_index(x, "::", -1)).otherwise(""))
-        n = F.size(left) + F.size(right)
         run = "(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)"
-        good = (x != "") & x.rlike(rf"\A{run}?(?:::{run}?)?\z") & F.when(gap, n <= 7).otherwise(n == 8)
-        full = lambda c: F.array_join(F.transform(c, lambda g: F.lpad(g, 4, "0")), "")
-        return F.when(good, F.concat(full(left), F.repeat(F.lit("0"), 32 - 4 * n), full(right)))
+        listed = F.trim(F.replace(x, F.lit("::"), F.lit(":")), F.lit(":"))
+
+        def padded(r: Column) -> Column:
+            """r: all groups, how many they are, and how many stand before the gap."""
+            digits = F.when(r["all"] == "", "").otherwise(F.array_join(F.transform(F.split(r["all"], ":"), lambda g: F.lpad(g, 4, "0")), ""))
+            filled = lambda d: F.concat(F.substring(d, F.lit(1), r["left"] * 4), F.repeat(F.lit("0"), 32 - 4 * r["n"]), F.substring(d, r["left"] * 4 + 1, F.lit(32)))
+            return F.when(F.when(x.contains("::"), r["n"] <= 7).otherwise(r["n"] == 8), _once(digits, filled))
 
+        counted = _once(listed, lambda z: F.struct(z.alias("all"), groups(z).alias("n"), groups(F.substring_index(x, "::", 1)).alias("left")))
+        return F.when((x != "") & x.rlike(rf"\A{run}?(?:::{run}?)?\z"), _once(counted, padded))
+
+    bare = small(F.when(ip.contains("%"), F.regexp_replace(ip, r"\A([^%]*)%[^%]+\z", "$1")).otherwise(ip))
     # no address is longer than this, so long texts don't meet the pattern
-    return F.when(F.length(bare) <= 45, _once(whole, read))
+    return _once(bare, lambda x: F.when(F.length(x) <= 45, _once(whole(x), read)))
 
 
 def _plain_v4(ip: Column) -> Column:
@@ -153,10 +172,6 @@ def _plain_v4(ip: Column) -> Column:
     return F.when(~ip.rlike(r"(\A|\.)0[0-9]"), v4_number(ip))
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
-
-
 def closed_address(ip: Column) -> Column:
     """Whether a literal IPv4 or IPv6 address isn't public; null if it is no address. Addresses that hold an IPv4 one (mapped, translated) are judged by that.
 
@@ -167,7 +182,7 @@ def closed_address(ip: Column) -> Column:
     def judge(d: Column) -> Column:
         among = lambda ranges: reduce(or_, (d.between(*map(F.lit, ends(r))) for r in ranges))
         inner = F.conv(F.substring(d, 25, 8), 16, 10).cast("long")
-        return F.when(among(("::ffff:0:0/96", *NAT64_RANGES)), _closed_number(inner)).otherwise(among(CLOSED_V6) & ~among(OPEN_V6))
+        return F.when(among(("::ffff:0:0/96", *NAT64_RANGES)), _once(inner, _closed_number)).otherwise(among(CLOSED_V6) & ~among(OPEN_V6))
 
     return F.when(ip.contains(":"), _once(v6_digits(ip), judge)).otherwise(_once(_plain_v4(ip), _closed_number))
 

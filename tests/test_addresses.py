@@ -49,3 +49,9 @@ def test_addresses_equal_the_library(spark):
 def test_no_python_in_the_plan(spark):
     for name in ("q34", "q46"):
         assert "Python" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_address_is_read_once(spark):
+    """An address's number is computed once, however many ranges it is compared with, and digits don't go through Unicode's lower case."""
+    plan = QUERIES["q46"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("conv(") == 1 and "lower(" not in plan
