@@ -17,7 +17,7 @@ from ..operators import snapshots as D
 from ..operators.shared import shared_folder
 from ..sources import payloads as L
 from ..streaming import streams as R
-from .queries import _ATTEMPTS, _ROUTES, attempts
+from .queries import _ATTEMPTS, _ROUTES, BUCKETS, attempts
 from .registry import ORACLE_SQL, query, seconds, table, wide
 
 
@@ -529,7 +529,7 @@ def s8(spark, d):
 @query("s7", _ATTEMPTS.replace("SELECT event_id, user_id, result FROM f", "SELECT event_id, result FROM f"))
 def s7(spark, d):
     log = attempts(R.read_events(spark, f"{d}/events.parquet"))
-    return R.drained(R.attempts_stream(log, "user_id", 5, 6 * 86400)).filter("NOT late").drop("batch", "late")
+    return R.drained(R.attempts_stream(log, "user_id", 5, 6 * 86400, buckets=BUCKETS)).filter("NOT late").drop("batch", "late")
 
 
 def _late_sql(sql: str, keys: str, columns: str) -> str:
@@ -551,7 +551,7 @@ def landed_late(spark, d: str, base: str):
     held = F.col("event_id") % 97 == 0
     place = F.when(held, 5).otherwise(F.floor((us - F.lit(low or 0)) * 5 / F.lit((high or 0) - (low or 0) + 1)))
     for k in range(6):
-        events.filter(place == k).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+        events.filter(place == k).repartition(1).write.mode("append").parquet(f"{base}/landed")
     return R.read_events(spark, f"{base}/landed", 1)
 
 
@@ -564,10 +564,10 @@ def _late_query(name: str, sql: str, keys: str, columns: str, rule) -> None:
     query(name, _late_sql(sql, keys, columns))(run)
 
 
-_late_query("s10", ORACLE_SQL["q24"], "user_id, event_type", "", lambda e: R.dedupe_stream(e, ["user_id", "event_type"], 86400))
-_late_query("s11", ORACLE_SQL["s3"], "user_id", "streak, stopped", lambda e: R.failure_stream(e.withColumn("failed", F.col("event_type") == "error"), "user_id", "failed"))
-_late_query("s12", ORACLE_SQL["s4"], "user_id", "alive", lambda e: R.session_stream(e, "user_id", 21600, 86400))
-_late_query("s13", ORACLE_SQL["s7"], "user_id", "result", lambda e: R.attempts_stream(attempts(e), "user_id", 5, 6 * 86400))
+_late_query("s10", ORACLE_SQL["q24"], "user_id, event_type", "", lambda e: R.dedupe_stream(e, ["user_id", "event_type"], 86400, buckets=BUCKETS))
+_late_query("s11", ORACLE_SQL["s3"], "user_id", "streak, stopped", lambda e: R.failure_stream(e.withColumn("failed", F.col("event_type") == "error"), "user_id", "failed", buckets=BUCKETS))
+_late_query("s12", ORACLE_SQL["s4"], "user_id", "alive", lambda e: R.session_stream(e, "user_id", 21600, 86400, buckets=BUCKETS))
+_late_query("s13", ORACLE_SQL["s7"], "user_id", "result", lambda e: R.attempts_stream(attempts(e), "user_id", 5, 6 * 86400, buckets=BUCKETS))
 
 
 def _laid(layout: B.Layout, rows):

@@ -55,30 +55,36 @@ class Ordered(StatefulProcessor):
         """Microseconds from which on the state says no more than its absence; None: it stays."""
         raise NotImplementedError
 
+    def take(self, us: np.ndarray, ids: np.ndarray, rest: list[np.ndarray], old: tuple | None, watermark: int) -> tuple[np.ndarray, dict[str, np.ndarray], tuple | None, np.ndarray]:
+        """One key's rows in order, after its state: numbers and columns of those given back, the new state (None: no row was judged), numbers of late rows."""
+        late = us // 1000 < watermark
+        if old is not None:
+            late |= (us < old[0]) | (us == old[0]) & (ids < old[1])
+        now = ~late
+        if not now.any():
+            return ids[:0], {}, None, ids
+        columns, shown, new = self.judge(us[now], {n: r[now] for n, r in zip(self.fields, rest, strict=True)}, None if old is None else tuple(old[2:]))
+        return ids[now][shown], {n: c[shown] for n, c in columns.items()}, (int(us[now][-1]), int(ids[now][-1]), *new), ids[late]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parts = [[pdf[c].to_numpy() for c in ("at_us", "at_id", *self.fields)] for pdf in rows]
         us, ids, *rest = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort((ids, us))
-        us, ids, rest = us[order], ids[order], [r[order] for r in rest]
         old = self.state.get() if self.state.exists() else None
-        late = us // 1000 < timerValues.getCurrentWatermarkInMs()
-        if old is not None:
-            late |= (us < old[0]) | (us == old[0]) & (ids < old[1])
-        now = ~late
-        if now.any():
-            columns, shown, new = self.judge(us[now], {n: r[now] for n, r in zip(self.fields, rest, strict=True)}, None if old is None else tuple(old[2:]))
-            last = int(us[now][-1])
-            self.state.update((last, int(ids[now][-1]), *new))
-            self._leave(last, new, timerValues)
-            yield self._out(ids[now][shown], {n: c[shown] for n, c in columns.items()}, False)
-        if late.any():
-            yield self._out(ids[late], {}, True)
-
-    def _leave(self, last: int, state: tuple, timerValues) -> None:
-        end = self.until(last, state)
-        if end is not None:
-            # behind the last row, so that what comes to no state is never before it
-            self.handle.registerTimer(max(math.ceil(end / 1000), last // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        shown, columns, new, late = self.take(us[order], ids[order], [r[order] for r in rest], old, timerValues.getCurrentWatermarkInMs())
+        if new is not None:
+            self.state.update(new)
+            end = self.gone(new)
+            if end is not None:
+                self.handle.registerTimer(max(end, timerValues.getCurrentWatermarkInMs() + 1))
+            yield self._out(shown, columns, False)
+        if len(late):
+            yield self._out(late, {}, True)
+
+    def gone(self, held: tuple) -> int | None:
+        """The watermark (milliseconds) from which on a key's state may leave; behind its last row, so that what comes to no state is never before it."""
+        end = self.until(held[0], tuple(held[2:]))
+        return None if end is None else max(math.ceil(end / 1000), held[0] // 1000 + 1)
 
     def _out(self, ids: np.ndarray, columns: dict[str, np.ndarray], late: bool) -> pd.DataFrame:
         out = {"event_id": ids.astype("int64")}
@@ -88,10 +94,9 @@ class Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
-            last, _, *state = self.state.get()
-            end = self.until(last, tuple(state))
+            end = self.gone(self.state.get())
             # an older timer of a state that lives on
-            if end is not None and max(math.ceil(end / 1000), last // 1000 + 1) <= timerValues.getCurrentWatermarkInMs():
+            if end is not None and end <= timerValues.getCurrentWatermarkInMs():
                 self.state.clear()
         return iter(())
 
@@ -199,15 +204,93 @@ class Attempts(Ordered):
         return state[2] if state[0] is not None else us
 
 
-def judged(events: DataFrame, key: list[str], time: str, order: str, processor: Ordered, delay: str) -> DataFrame:
+class Shared(StatefulProcessor):
+    """A rule for all keys of a bucket: one call, one state and one timer for many keys, each judged apart as by the rule itself.
+
+    A call, a state's way to the store and back and a frame given back cost milliseconds, many times what a key's rows do. The state holds the
+    bucket's live keys side by side and is written whole; the timer is the first one's at which a key may leave, when all that may leave do.
+    """
+
+    def __init__(self, rule: Ordered):
+        self.rule = rule
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        kept = [f.split(" ") for f in self.rule.kept.split(", ") if f]
+        lists = [("held_key", "string"), ("at_us", "long"), ("at_id", "long"), *kept]
+        self.state = handle.getValueState("state", ", ".join(f"{n} array<{t}>" for n, t in lists) + ", alarm long")
+
+    def _held(self) -> tuple[dict[str, tuple], int | None]:
+        if not self.state.exists():
+            return {}, None
+        names, *lists, alarm = self.state.get()
+        return dict(zip(names, zip(*lists, strict=True), strict=True)), alarm
+
+    def _hold(self, held: dict[str, tuple], alarm: int | None, timerValues) -> None:
+        if not held:
+            self.state.clear()
+            return
+        watermark = timerValues.getCurrentWatermarkInMs()
+        ends = [e for e in map(self.rule.gone, held.values()) if e is not None]
+        if ends and (alarm is None or min(ends) < alarm):
+            alarm = max(min(ends), watermark + 1)
+            self.handle.registerTimer(alarm)
+        self.state.update((list(held), *map(list, zip(*held.values(), strict=True)), alarm))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [[pdf[c].to_numpy() for c in ("key_text", "at_us", "at_id", *self.rule.fields)] for pdf in rows]
+        codes, us, ids, *rest = (np.concatenate(p) for p in zip(*parts, strict=True))
+        codes, names = pd.factorize(codes)
+        order = np.lexsort((ids, us, codes))
+        us, ids, rest = us[order], ids[order], [r[order] for r in rest]
+        ends = np.cumsum(np.bincount(codes, minlength=len(names))).tolist()
+        held, alarm = self._held()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        shown, columns, late, changed, start = [], [], [], False, 0
+        for name, end in zip(names, ends, strict=True):
+            own, given, new, behind = self.rule.take(us[start:end], ids[start:end], [r[start:end] for r in rest], held.get(name), watermark)
+            start = end
+            if new is not None:
+                held[name], changed = new, True
+                shown.append(own)
+                columns.append(given)
+            late.append(behind)
+        if changed:
+            self._hold(held, alarm, timerValues)
+            yield self.rule._out(np.concatenate(shown), {n: np.concatenate([c[n] for c in columns]) for n in columns[0]}, False)
+        late = np.concatenate(late)
+        if len(late):
+            yield self.rule._out(late, {}, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, alarm = self._held()
+        if held:
+            watermark = timerValues.getCurrentWatermarkInMs()
+            ends = {name: self.rule.gone(state) for name, state in held.items()}
+            live = {name: state for name, state in held.items() if ends[name] is None or ends[name] > watermark}
+            self._hold(live, None if alarm is not None and alarm <= watermark else alarm, timerValues)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def judged(events: DataFrame, key: list[str], time: str, order: str, processor: Ordered, delay: str, buckets: int | None = None) -> DataFrame:
     """`event_id`, the processor's columns and `late`, of a stream with a key and a time; rows without either belong to nobody.
 
+    Without buckets each key has a state and a call of its own, which many keys with few rows make slow; with them, keys that fall into one bucket share those.
+    A task holds one bucket's rows of a micro-batch at a time. A stream's buckets must not change between its runs.
     The watermark runs on a copy of the time that only copies of the rows carry, which leave behind it: so it advances,
     but drops no late row before the processor sees it. Times are after 1970.
     """
+    schema = ", ".join(["event_id long", *(f"{n} {t}" for n, t in processor.given.items()), "late boolean"])
     known = events.filter(" AND ".join(f"{c} IS NOT NULL" for c in (*key, time, order)))
     rows = known.select(*key, F.unix_micros(time).alias("at_us"), F.col(order).cast("long").alias("at_id"), *processor.fields, F.col(time).alias("_at"))
+    if buckets:
+        # a key as text: the same for equal keys alone
+        named = F.to_json(F.struct(*key)).alias("key_text")
+        rows = rows.select(F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("_bucket"), named, *(c for c in rows.columns if c not in key))
+        key, processor = ["_bucket"], Shared(processor)
     ticks = rows.withColumn("_clock", F.explode(F.array(F.col("_at"), F.lit(None).cast("timestamp")))).drop("_at")
     ticked = ticks.withWatermark("_clock", delay).filter("_clock IS NULL")
-    schema = ", ".join(["event_id long", *(f"{n} {t}" for n, t in processor.given.items()), "late boolean"])
     return ticked.groupBy(*key).transformWithStateInPandas(processor, schema, "append", "EventTime")

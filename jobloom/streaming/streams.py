@@ -2,7 +2,7 @@
 
 State is one small row a key, evicted by event-time timers once it can no longer matter; within a micro-batch a
 key's events are taken in time order. Events that come behind their key's judged ones or the watermark are given back as
-late (`processors.py`).
+late (`processors.py`). With `buckets`, keys of a bucket share a state and a call: for many keys with few rows each.
 """
 
 from __future__ import annotations
@@ -58,9 +58,9 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     return spark.read.parquet(f"{base}/out")
 
 
-def dedupe_stream(events: DataFrame, key: list[str], ttl_seconds: float, delay: str = "1 hour") -> DataFrame:
+def dedupe_stream(events: DataFrame, key: list[str], ttl_seconds: float, delay: str = "1 hour", buckets: int | None = None) -> DataFrame:
     """`event_id, late` of processed events: a key's first, and each at least ttl after the last processed one; and of late ones, which nobody judged."""
-    return judged(events, key, "ts", "event_id", Processed(int(ttl_seconds * 1e6)), delay)
+    return judged(events, key, "ts", "event_id", Processed(int(ttl_seconds * 1e6)), delay, buckets)
 
 
 def rate_counts_stream(events: DataFrame, key: str, width: str = "1 day", delay: str = "1 day") -> DataFrame:
@@ -69,14 +69,14 @@ def rate_counts_stream(events: DataFrame, key: str, width: str = "1 day", delay:
     return counted.select(key, F.unix_timestamp("window.start").alias("window_start"), "hits")
 
 
-def failure_stream(events: DataFrame, key: str, failed: str, max_failures: int = 5, delay: str = "1 hour") -> DataFrame:
+def failure_stream(events: DataFrame, key: str, failed: str, max_failures: int = 5, delay: str = "1 hour", buckets: int | None = None) -> DataFrame:
     """`event_id, streak, stopped, late`: failures in a row with each run, and whether that stops the source."""
-    return judged(events.withColumn("failed", F.col(failed)), [key], "ts", "event_id", Streaks(max_failures), delay)
+    return judged(events.withColumn("failed", F.col(failed)), [key], "ts", "event_id", Streaks(max_failures), delay, buckets)
 
 
-def session_stream(events: DataFrame, key: str, refresh: float, ttl: float, delay: str = "1 hour") -> DataFrame:
+def session_stream(events: DataFrame, key: str, refresh: float, ttl: float, delay: str = "1 hour", buckets: int | None = None) -> DataFrame:
     """`event_id, alive, late`: whether an access finds its session; touches move its end only so often."""
-    return judged(events, [key], "ts", "event_id", Sessions(int(refresh * 1e6), int(ttl * 1e6)), delay)
+    return judged(events, [key], "ts", "event_id", Sessions(int(refresh * 1e6), int(ttl * 1e6)), delay, buckets)
 
 
 def latest_counts(updates: DataFrame, keys: list[str], count: str) -> DataFrame:
@@ -84,9 +84,9 @@ def latest_counts(updates: DataFrame, keys: list[str], count: str) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max(count).alias(count))
 
 
-def attempts_stream(log: DataFrame, key: str, max_attempts: int, ttl: float, delay: str = "1 hour") -> DataFrame:
+def attempts_stream(log: DataFrame, key: str, max_attempts: int, ttl: float, delay: str = "1 hour", buckets: int | None = None) -> DataFrame:
     """`event_id, result, late` of verify events, and of late events of any kind: a key's state is its live code, challenge, end and wrong tries."""
-    return judged(log, [key], "ts", "event_id", Attempts(max_attempts, int(ttl * 1e6)), delay)
+    return judged(log, [key], "ts", "event_id", Attempts(max_attempts, int(ttl * 1e6)), delay, buckets)
 
 
 def ingest_stream(deliveries: DataFrame, store: SnapshotStore, runs_of: Callable[[DataFrame, int], DataFrame], preferences: DataFrame, scorer: Scorer, now: Callable[[int], Column], keep: int | None = 3, **options) -> DataFrame:

@@ -106,3 +106,23 @@ def test_late_rows_and_eviction(spark, tmp_path, empty):
     # the watermark ends at 59 hours: only e's session can still matter
     state = spark.read.format("statestore").option("stateVarName", "state").load(f"file://{base}/state")
     assert [r[0] for r in state.select("key.user_id").collect()] == ["e"]
+
+
+def test_keys_of_a_bucket_share_calls_and_states(spark, tmp_path):
+    """As with a state a key: same rows, late ones too; a state a bucket, which holds only keys that can still matter."""
+    folder, hour = str(tmp_path / "in"), 3600
+    rows = [(n, (n * 7) % 40, "issue" if n % 5 == 0 else "try", "a" if n % 3 else None, "x", n * 600 + (-200 * hour if n % 41 == 0 else 0)) for n in range(600)]
+    for k in range(3):
+        df = spark.createDataFrame(rows[200 * k : 200 * k + 200], "event_id long, user_id long, kind string, code string, challenge string, s long")
+        df.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s"))).coalesce(1).write.mode("append").parquet(folder)
+    read = lambda: R.read_events(spark, folder, 1).withColumn("failed", F.col("kind") == "try")
+    forms = {
+        "dedupe": lambda b: R.dedupe_stream(read(), ["user_id", "kind"], 10 * hour, buckets=b), "failure": lambda b: R.failure_stream(read(), "user_id", "failed", buckets=b),
+        "session": lambda b: R.session_stream(read(), "user_id", hour, 5 * hour, buckets=b), "attempts": lambda b: R.attempts_stream(read(), "user_id", 3, 9 * hour, buckets=b),
+    }
+    for name, form in forms.items():
+        one, many = (sorted(map(str, R.drained(form(b), base=str(tmp_path / f"{name}-{b}")).collect())) for b in (None, 2))
+        assert one == many and any("late=True" in r for r in one)
+        state = lambda b: spark.read.format("statestore").option("stateVarName", "state").load(f"file://{tmp_path}/{name}-{b}/state")  # noqa: B023, E731
+        held = state(2).select(F.explode("value.held_key"))
+        assert state(2).count() <= 2 and held.count() == state(None).count()
