@@ -309,10 +309,11 @@ def _shared_entries(met: DataFrame, total: int, most_hot: int = 10_000) -> DataF
     hot = settled(some)
     entry = Window.partitionBy("entry")
     usual = met.join(F.broadcast(hot), "entry", "left_anti").withColumn("lo", F.min("node").over(entry)).withColumn("hi", F.max("node").over(entry)).withColumn("f", F.count(F.lit(1)).over(entry))
-    usual = usual.filter("lo <> hi").select("node", "entry", "lo", "f")
+    # rows of an entry are together already: each side is made distinct by itself, so the usual rows aren't shuffled once more
+    usual = usual.filter("lo <> hi").select("node", "entry", "lo", "f").distinct()
     common = met.join(F.broadcast(hot), "entry", "left_semi")
     twice = common.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("entry", "lo")
-    return usual.unionByName(common.join(F.broadcast(twice), "entry").select("node", "entry", "lo", F.lit(None).cast("long").alias("f"))).distinct()
+    return usual.unionByName(common.join(F.broadcast(twice), "entry").select("node", "entry", "lo", F.lit(None).cast("long").alias("f")).distinct())
 
 
 def _candidate_edges(shared: DataFrame, rare: int = 48) -> DataFrame:

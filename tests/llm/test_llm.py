@@ -573,3 +573,16 @@ def test_pipeline_stages(spark):
             assert len(kept) <= before and set(kept.doc_id) <= {r[0] for r in docs.select("doc_id").collect()}
         before = len(kept)
         docs = spark.createDataFrame(kept, docs.schema)
+
+
+def test_usual_entries_are_shuffled_once(spark):
+    """Repeated rows of an entry go where its rows are, without an exchange of their own; the result is distinct, common entries too."""
+    from jobloom.llm.jaccard import _shared_entries
+
+    rows = [(n, 1) for n in range(3000)] + [(n, 100 + n // 2) for n in range(40)] * 2 + [(7, 999)] * 2
+    met = spark.createDataFrame(rows, "node long, entry long")
+    shared = _shared_entries(met, len(rows))
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Union")]  # nothing moves what both sides give
+    got = shared.collect()
+    assert len(got) == 3040 and {(r["node"], r["entry"]) for r in got} == set(rows) - {(7, 999)}
