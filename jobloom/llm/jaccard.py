@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -388,7 +389,10 @@ def jaccard_components(
     n-grams of at most two blocks of sets in one fragment, about group_bytes.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    facts = settled(rows.mapInArrow(_describe(n, num, den, exact), "doc_id long, n_shingles long, s1 long, s2 long, class int, own array<long>, low array<long>"))
+    described = rows.mapInArrow(_describe(n, num, den, exact), "doc_id long, n_shingles long, s1 long, s2 long, class int, own array<long>, low array<long>")
+    # the entries are the widest table here: they stay on the workers' disks until it is known which are shared; lost parts are described again
+    described = described.persist(StorageLevel.DISK_ONLY)
+    facts = settled(described.select("doc_id", "n_shingles", "s1", "s2", "class", (F.size("own") + F.size("low")).alias("entries")))
     sets = settled(
         facts.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "s1", "s2", "class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     )
@@ -398,10 +402,11 @@ def jaccard_components(
     schemes = Fragments(num, den, exact=exact)
     need = F.array(*(F.lit(schemes.scheme(c)[2] + 1) for c in range(len(schemes.bounds) - 1)))  # a number a size class, up to 2**40 n-grams
     lists = F.array(F.struct(F.col("class").alias("s"), F.col("own").alias("e")), F.struct((F.col("class") - 1).alias("s"), F.col("low").alias("e")))
-    met = facts.filter("size(own) + size(low) > 0").select("s1", F.explode(lists).alias("l")).filter("size(l.e) > 0")
+    met = described.filter("size(own) + size(low) > 0").select("s1", F.explode(lists).alias("l")).filter("size(l.e) > 0")
     met = met.select(node("s1", "l.s").alias("node"), F.explode("l.e").alias("entry"))
-    total = facts.agg(F.coalesce(F.sum(F.size("own") + F.size("low")), F.lit(0))).first()[0]
+    total = facts.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
     shared = settled(_shared_entries(met, total))
+    described.unpersist()
     # a set that shares fewer entries with all others than a link needs with one has no link
     needs = sets.select("s1", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("s")).select(node("s1", "s").alias("node"), F.get(need, F.col("s")).alias("need"))
     enough = settled(shared.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(needs, "node").filter("n >= need").select("node", "n", "need").distinct())

@@ -586,3 +586,16 @@ def test_usual_entries_are_shuffled_once(spark):
     assert "Exchange" not in plan[: plan.index("Union")]  # nothing moves what both sides give
     got = shared.collect()
     assert len(got) == 3040 and {(r["node"], r["entry"]) for r in got} == set(rows) - {(7, 999)}
+
+
+def test_entries_are_kept_until_the_shared_ones_are_known(spark, monkeypatch):
+    """No table that stays holds the sets' entries, and nothing is cached when candidates are paired or afterwards."""
+    cached = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, kept, pairing = cached(), [], []
+    settled, edges = jaccard.settled, jaccard._candidate_edges
+    monkeypatch.setattr(jaccard, "settled", lambda df: kept.append(df.schema) or settled(df))
+    monkeypatch.setattr(jaccard, "_candidate_edges", lambda shared: pairing.append(cached()) or edges(shared))
+    got = jaccard.jaccard_components(small(spark, [(i, " ".join(f"w{k}" for k in range(i % 3, 60)), "en", "a") for i in range(9)])).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert not [f.name for schema in kept[:5] for f in schema if f.dataType.typeName() == "array"]
+    assert pairing == [before] and cached() == before
