@@ -134,7 +134,7 @@ def ingest_batch(held: Snapshot, fetched: DataFrame, runs: DataFrame, preference
     # orphans are looked for among the users whose sources had a complete run
     users = held.sources.join(complete, "source_id", "left_semi").select("user_id").distinct()
     mine = postings.join(users, "user_id", "left_semi").withColumn("_key", F.struct("user_id", "dedup_key"))
-    children = [(t.select(F.struct("user_id", "dedup_key").alias("_ref")), "_key", "_ref") for t in (jobs, *([applications] if applications is not None else []))]
+    children = [(t.select(F.struct("user_id", "dedup_key").alias("_ref")), "_key", "_ref") for t in (jobs, held.elsewhere, applications) if t is not None]
     orphans = orphan_parents(mine, children, F.coalesce(source_type_of(F.col("structured")) == "manual", F.lit(False)))
     postings = postings.join(orphans.select("user_id", "dedup_key"), ["user_id", "dedup_key"], "left_anti")
     sources = record_outcomes(held.sources, runs, ["run"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,19 +16,20 @@ TABLES = ("jobs", "postings", "sources")
 class Snapshot:
     """The stored tables: jobs (source_id, user_id, identity, external_id, url, dedup_key, hash, structured, match_score, first_seen, last_seen, and since round 3
     source_type, ats_vendor, raw_text, needs_review), postings (user_id, dedup_key, company_name, company_name_normalized, canonical_title, location_normalized,
-    structured, match_score) and sources."""
+    structured, match_score) and sources. elsewhere: user_id, dedup_key of the users' jobs that a snapshot of touched sources leaves out."""
 
     jobs: DataFrame
     postings: DataFrame
     sources: DataFrame
+    elsewhere: DataFrame | None = None
 
 
 class SnapshotStore:
     """Versions of the stored tables under a shared folder.
 
-    A user's rows are in one of `buckets` user buckets, its jobs and sources there in one of `parts` by source. A batch reads the user buckets of the
-    sources that it touches (an orphan is told by all jobs of its user) and writes the parts of those sources and the postings of those users, under
-    its own number; everything else stays where it is. The manifest of a batch, buckets * (2 * parts + 1) rows at most, is written last: a batch that is
+    A user's rows are in one of `buckets` user buckets, its jobs and sources there in one of `parts` by source. A batch reads the parts of the
+    sources that it touches and the postings of their users, of the users' other jobs only the keys (an orphan is told by all jobs of its user); it writes those parts and
+    postings, under its own number; everything else stays where it is. The manifest of a batch, buckets * (2 * parts + 1) rows at most, is written last: a batch that is
     run again after a failure starts from the manifest before its own and replaces its own files. `expire` deletes files that no kept manifest names.
     """
 
@@ -63,8 +65,8 @@ class SnapshotStore:
             raise ValueError("the store holds no snapshot")
         return earlier[-1]
 
-    def _read(self, manifest: dict, table: str, buckets: set[int] | None = None) -> DataFrame:
-        paths = [f"{self.base}/{table}/batch={v}/bucket={b}" for (name, b), v in sorted(manifest.items()) if name == table and (buckets is None or b // self.parts in buckets)]
+    def _read(self, manifest: dict, table: str, wanted: Callable[[int], bool] = lambda bucket: True) -> DataFrame:
+        paths = [f"{self.base}/{table}/batch={v}/bucket={b}" for (name, b), v in sorted(manifest.items()) if name == table and wanted(b)]
         schema = self.spark.read.parquet(f"{self.base}/schema/{table}").schema
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -76,10 +78,16 @@ class SnapshotStore:
         return Snapshot(*(self._read(manifest, t) for t in TABLES))
 
     def before(self, batch: int, touched: DataFrame | None = None) -> Snapshot:
-        """The last complete snapshot before a batch; of it only the user buckets of the touched sources (source_id), if those are given."""
+        """The last complete snapshot before a batch; if touched sources (source_id) are given, only the jobs of their parts, the postings and sources of their
+        user buckets, and the keys of the other jobs there."""
         manifest = self._manifest(self._last(batch))
-        users = None if touched is None else {r[0] for r in self._touched(manifest, touched).select(self._user()).distinct().collect()}
-        return Snapshot(*(self._read(manifest, t, users) for t in TABLES))
+        if touched is None:
+            return Snapshot(*(self._read(manifest, t) for t in TABLES))
+        hit = {r[0] for r in self._touched(manifest, touched).select(self._bucket("jobs")).distinct().collect()}
+        users = {b // self.parts for b in hit}
+        of_users = lambda b: b // self.parts in users
+        elsewhere = self._read(manifest, "jobs", lambda b: of_users(b) and b not in hit).select("user_id", "dedup_key")
+        return Snapshot(self._read(manifest, "jobs", lambda b: b in hit), self._read(manifest, "postings", of_users), self._read(manifest, "sources", of_users), elsewhere)
 
     def write(self, batch: int, snapshot: Snapshot, touched: DataFrame | None = None) -> None:
         """Writes a batch's snapshot: whole, or the buckets of the touched sources and their users alone."""

@@ -516,10 +516,8 @@ def s8(spark, d):
     store = I.SnapshotStore(spark, f"{base}/store")
     store.write(-1, held)
     # a source's listing is in one file
-    fetched.withColumn("_file", F.pmod(F.xxhash64("source_id"), F.lit(6))).write.partitionBy("_file").parquet(f"{base}/parts")
-    for name in store._names(f"{base}/parts"):
-        if name.startswith("_file="):
-            spark.read.schema(fetched.schema).parquet(f"{base}/parts/{name}").coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    placed = fetched.withColumn("_file", F.pmod(F.xxhash64("source_id"), F.lit(6)).cast("int"))
+    placed.repartitionById(6, "_file").drop("_file").write.parquet(f"{base}/landed")
     landed = spark.readStream.schema(fetched.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
     R.ingest_stream(landed, store, lambda batch, n: runs_of(held.sources.join(batch.select("source_id").distinct(), "source_id", "left_semi")), prefs, I.landed_scorer(outcomes), lambda n: F.lit(2))
     after = store.read(store.batches()[-1])

@@ -130,3 +130,27 @@ def test_outcomes(spark):
     rows = spark.createDataFrame([(b,) for b in bodies], "b string").select(N.parse_outcome(F.col("b")).alias("o")).select("o.*").collect()
     assert [r["score"] for r in rows] == [None, 7, None, None, 1, 60, None, None, None, 0]
     assert rows[1]["rationale"] == "x" and rows[0]["rationale"] == "" and rows[9]["matched"] == ["a"] and rows[9]["concerns"] == ["b", "c"]
+
+
+def test_a_batch_carries_the_jobs_of_its_own_sources(spark, tmp_path):
+    """Of the users' other jobs a batch reads the keys alone, and they still hold their postings."""
+    held, fetched, prefs, outcomes = ingest_inputs(spark, SF)
+    few = [r[0] for r in held.sources.orderBy("source_id").limit(3).collect()]
+    runs = runs_of(held.sources.filter(F.col("source_id").isin(few)))
+    # postings whose jobs are in other parts, without a job of the touched sources
+    shared = held.jobs.filter(~F.col("source_id").isin(few)).select("user_id", "dedup_key")
+    store = I.SnapshotStore(spark, f"file://{tmp_path}/store")
+    store.write(-1, held)
+    mine = store.before(0, runs)
+    parts = {r[0] for r in held.sources.filter(F.col("source_id").isin(few)).select(store._bucket("jobs")).collect()}
+    assert {r[0] for r in mine.jobs.select(store._bucket("jobs")).distinct().collect()} <= parts
+    assert mine.elsewhere.columns == ["user_id", "dedup_key"] and mine.elsewhere.count() > 0
+    batch = fetched.filter(F.col("source_id").isin(few))
+    whole, _ = I.ingest_batch(held, batch, runs, prefs, I.landed_scorer(outcomes), F.lit(2))
+    some, _ = I.ingest_batch(mine, batch, runs, prefs, I.landed_scorer(outcomes), F.lit(2))
+    store.write(0, some, runs)
+    after = store.read(0)
+    for table, key in (("jobs", ["source_id", "identity", "last_seen"]), ("postings", ["user_id", "dedup_key", "match_score"])):
+        got, want = (sorted(map(tuple, getattr(s, table).select(*key).collect()), key=str) for s in (after, whole))
+        assert got == want
+    assert after.postings.join(shared, ["user_id", "dedup_key"], "left_semi").count() == shared.distinct().count()
