@@ -360,6 +360,71 @@ def test_pages_without_their_article_marks_give_the_same_text(spark):
     assert sum(a[k] == b[k] for k in a) >= 0.9 * len(a)
 
 
+def _plain_repeats(streams, least):
+    """Runs of 8 tokens or more that `least` of the streams (tokens, and whether each stands in running text set aside) have, and whether they begin in such text somewhere."""
+    grams = {}
+    for c, (tokens, aside) in enumerate(streams):
+        for i in range(len(tokens)):
+            for n in range(8, len(tokens) - i + 1):
+                have = grams.setdefault(tuple(tokens[i : i + n]), [set(), False])
+                have[0].add(c)
+                have[1] |= aside[i]
+    return {run: aside for run, (have, aside) in grams.items() if len(have) >= least}
+
+
+def test_main_text_of_all_pages_by_their_hosts_runs_equals_brute_force(spark):
+    rng = random.Random(8)
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    note, line = words("n", 12), words("l", 9)
+    rows = []
+    for i in range(14):
+        body = "".join(f"<p>{' '.join(rng.choice('xyz') + str(rng.randint(0, 200)) for _ in range(rng.randint(4, 15)))}</p>" for _ in range(3))
+        menu = "<ul>" + "".join(f"<li>m{k}</li>" for k in range(10 + i % 3)) + "</ul>"
+        quoted = f"<div>{line} and more of page {i}</div>" if i % 2 else f"<div>{line}</div>"
+        if i % 4 == 0:
+            rows.append((i, f"http://h/{i}", f"{menu}<article>{body}<p>{note}</p><div>{line}</div></article><p>{words('c', 9)}</p>"))
+        else:
+            # all runs of 8 of the 30 words are shared by many pages, the 30 words by none
+            parts = " ".join(f"e{k}" for k in (range(30) if i == 3 else range(20) if i % 2 else range(10, 30)))
+            rows.append((i, f"http://h/{i}", f"<div>{words('d', 40 if i % 3 else 37)}</div><div>{menu}</div>{body}<p>{note}</p><div>{parts} {'' if i == 3 else i}</div>{quoted}<p>{words('c', 9)}</p>"))
+    once = f"<div>{words('u', 20)}</div><p>own text</p>"
+    rows += [(100 + i, f"http://h/{100 + i}", once) for i in range(9)] + [(200, "no url", rows[1][2]), (201, None, rows[1][2]), (None, "http://h/1", rows[1][2]), (202, "http://h/e", None)]
+    got = {r["url"]: (r["text"], r["n_repeated"]) for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    pages = {url: html.page_blocks(h or "") for _, url, h in rows}
+    contents = {}
+    for page, url, _ in rows:
+        texts, kinds = pages[url]
+        if page is not None and page not in (200, 201) and texts:
+            contents.setdefault(" ".join(texts), [k == "P" for t, k in zip(texts, kinds, strict=True) for _ in t.split()])
+    runs = _plain_repeats([(c.split(), a) for c, a in contents.items()], max(2, 0.3 * len(contents)))
+    for _, url, _ in rows[:-4]:
+        (texts, kinds), kept, at = pages[url], [], 0
+        if url == "http://h/1":
+            continue  # the row without an id has the same url
+        stream = " ".join(texts).split()
+        for t, k in zip(texts, kinds, strict=True):
+            end = at + len(t.split())
+            over = [stream[at:end]] if end - at >= 8 else [stream[b : b + 8] for b in range(max(0, end - 8), min(at, len(stream) - 8) + 1)]
+            gone = any(runs[tuple(r)] or k != "p" for r in over if tuple(r) in runs)
+            if k == "a" or k in "po" and not gone:
+                kept.append(t)
+            at = end
+        assert got[url] == (" ".join(kept), len({b + i for b in range(len(stream) - 7) if tuple(stream[b : b + 8]) in runs for i in range(8)}))
+    # in a marked article repeats stay but are counted; elsewhere whole repeated blocks go, and what copies alone share stays
+    assert note in got["http://h/0"][0] and got["http://h/0"][0].endswith(line) and "m0" not in got["http://h/0"][0] and got["http://h/0"][1] >= 12 + 9 + 10
+    assert got["http://h/3"][0].endswith(f"{note} {words('e', 30)} {line} and more of page 3") and got["http://h/2"][0].endswith("e29 2") and note in got["http://h/2"][0]
+    assert not any("d0" in got[f"http://h/{i}"][0] or "m0" in got[f"http://h/{i}"][0] for i in range(14) if i != 1)
+    assert got["http://h/104"] == (f"{words('u', 20)} own text", 0) and got["no url"][1] == got[None][1] == 0 and got["http://h/e"] == ("", 0)
+
+
+def test_no_page_loses_text_to_repeats_without_its_article_marks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?article[^>]*>", ""))
+    want = {r["page_id"]: " ".join(t for t, k in zip(*html.page_blocks(r["html"] or ""), strict=True) if k == "a") for r in pages.collect()}
+    got = {r["page_id"]: r for r in html.extract_main_text(bare).collect()}
+    assert {k: r["text"] for k, r in got.items()} == want and sum(r["n_repeated"] > 0 for r in got.values()) > 10
+
+
 # 6
 
 
